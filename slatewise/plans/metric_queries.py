@@ -22,7 +22,7 @@ def metrics_sql(keys: str, source: str, bins: int, y: str = "y", p: str = "p", n
     {name}_rows as (select {k} {y} as y, greatest(1e-6, least(1 - 1e-6, {p})) as p from {source}),
     {name}_ranked as (
       select *, len(list_filter(range(1, {bins}), lambda i: p >= i * cast({1.0 / bins} as double))) as bin,
-             rank() over ({part} order by p) + (count(*) over ({k and 'partition by ' + k} p) - 1) / 2.0 as avg_rank from {name}_rows),
+             rank() over ({part} order by p) + (count(*) over (partition by {k} p) - 1) / 2.0 as avg_rank from {name}_rows),
     {name}_bins as (select {k} bin, count(*) as bn, abs(avg(p) - avg(y)) as gap from {name}_ranked group by {k} bin),
     {name}_cal as (select {k} sum(bn * gap) / sum(bn) as ece, max(gap) as mce from {name}_bins {group}),
     {name} as (
@@ -207,9 +207,9 @@ RESAMPLES = 20
     "metric:s point:d low:d high:d bootstrap_samples:i",
     f"""placed as (select a_win as y, baseline_probability as b, candidate_probability as c, row_number() over (order by substr(md5(cast(game_pk as varchar)), 1, 3), game_pk) - 1 as place from predictions),
     size as (select count(*) as n from placed),
-    draws as (select r.rep, cast('0x' || substr(md5(r.rep || ':' || i.i), 1, 8) as bigint) % (select n from size) as place from range({RESAMPLES}) r(rep), (select unnest(range((select n from size))) as i) i
+    resample as (select r.rep, cast('0x' || substr(md5(r.rep || ':' || i.i), 1, 8) as bigint) % (select n from size) as place from range({RESAMPLES}) r(rep), (select unnest(range((select n from size))) as i) i
               union all select -1, place from placed),
-    s as (select rep, y, b, c from draws join placed using (place)),
+    s as (select rep, y, b, c from resample join placed using (place)),
     ranks as (select *, rank() over (partition by rep order by b) + (count(*) over (partition by rep, b) - 1) / 2.0 as rb,
                      rank() over (partition by rep order by c) + (count(*) over (partition by rep, c) - 1) / 2.0 as rc from s),
     d as (select rep, avg(case when (c >= 0.5) = (y = 1) then 1.0 else 0.0 end) - avg(case when (b >= 0.5) = (y = 1) then 1.0 else 0.0 end) as accuracy,

@@ -3,7 +3,7 @@
 The given tables hold orders, customers and suppliers, not contests and quotes.  Each view
 below reads them whole and is written in SQL that Spark and DuckDB evaluate identically, so
 the same text feeds the Spark operators and the SQL checks.  ``$TS`` is the zone-less
-timestamp type and ``$EACH(n)`` repeats every row n times with ``draw_id`` 0..n-1.
+timestamp type, ``$SHA[...]SHA$`` a SHA-256 digest and ``$EACH(n)`` repeats every row n times with ``draw_id`` 0..n-1.
 """
 
 from __future__ import annotations
@@ -96,6 +96,31 @@ VIEWS: dict[str, str] = {
                cast(l_shipdate as $TS) as captured_at, game_date as event_date, home_team, away_team
         from {lineitem} join contests on game_pk = l_orderkey
     """,
+    # typed quote rows as a feed delivers them, valid and broken
+    "raw_quotes": """
+        select l_orderkey * 10 + l_linenumber as row_id, l_orderkey - 2 as game_pk,
+               case when l_linenumber = 7 then '  ' else ' B' || cast(l_suppkey % 5 as string) || ' ' end as sportsbook,
+               case l_partkey % 5 when 0 then 'Moneyline' when 1 then 'run_line' when 2 then 'game_total' when 3 then 'team_total' else 'futures' end as market_type,
+               case when l_returnflag = 'A' then 'over' when l_returnflag = 'N' then ' under ' else 't' || cast(l_suppkey % 25 as string) end as selection,
+               case when l_linestatus = 'F' then 't' || cast(l_suppkey % 25 as string) end as team,
+               case when l_partkey % 5 = 0 and l_linenumber > 2 then null when l_linenumber = 6 then null
+                    else cast(l_linenumber as double) + cast(0.5 as double) end as line,
+               cast(l_partkey % 300 - 150 as int) as american_odds,
+               cast(cast(l_shipdate as date) as string) || case when l_linenumber = 5 then 'T18:00:00' else 'T18:00:00Z' end as captured_at
+        from {lineitem}
+    """,
+    # typed two-way price rows, with flags, formats, blanks and duplicates
+    "entries": """
+        select o_orderkey as row_id,
+               case o_orderpriority when '1-URGENT' then 'yes' when '2-HIGH' then '' when '3-MEDIUM' then 'TRUE' when '4-NOT SPECIFIED' then 'on' else case when o_orderstatus = 'P' then 'skip' else case when o_orderkey % 2 = 0 then 'maybe' else '1' end end end as include,
+               case when o_custkey % 50 = 3 then '' when o_custkey % 50 = 4 then 'soon' else cast(cast(o_orderdate as date) as string) end as game_date,
+               case when o_orderkey % 3 = 0 then cast(o_custkey as string) when o_orderkey % 3 = 1 then '' else case when o_custkey % 40 = 7 then '12.5' when o_custkey % 40 = 8 then '-4' else cast(o_orderkey as string) || '.0' end end as game_pk,
+               't' || cast(o_custkey % 25 as string) as away_team, case when o_custkey % 60 = 9 then ' ' else 't' || cast((o_custkey + 7) % 25 as string) end as home_team,
+               case when o_orderkey % 11 = 0 then '' when o_orderkey % 11 = 1 then 'even' when o_orderkey % 11 = 2 then '2,25' when o_orderkey % 11 = 3 then '+1,250' when o_orderkey % 11 = 4 then '99' else cast(100 + o_custkey % 200 as string) end as away_odds,
+               case when o_orderkey % 13 = 0 then '' when o_orderkey % 13 = 1 then '-145' when o_orderkey % 13 = 2 then '1.5' when o_orderkey % 13 = 3 then 'n/a' else '-' || cast(101 + o_custkey % 150 as string) end as home_odds,
+               case when o_orderkey % 11 = 2 then 'decimal' when o_orderstatus = 'F' then ' US ' else 'american' end as odds_format
+        from {orders}
+    """,
     # 125 score draws for every contest
     "draws": """
         select game_pk, home_team, away_team, cast(draw_id as int) as draw_id,
@@ -105,7 +130,7 @@ VIEWS: dict[str, str] = {
     """,
     # append-only prediction ledger; urgent contests carry a revised prediction
     "ledger": """
-        select game_pk * 4 + k as sequence, game_pk, event_type,
+        select game_pk * 4 + k as sequence, k as revision, game_pk, event_type, feed_status, priority,
                cast(game_date as $TS) + interval '1' hour * hours as recorded_at,
                cast(game_date as $TS) + interval '1' hour * 18 as scheduled_start,
                game_date, away_team, home_team,
@@ -113,6 +138,10 @@ VIEWS: dict[str, str] = {
                case when event_type = 'prediction' then cast(((game_pk + k) * 104729) % 900 + 50 as double) / cast(1000 as double) end as production_home_probability,
                case when event_type = 'prediction' then cast(case when game_pk % 2 = 0 then 100 + game_pk % 80 else -(100 + game_pk % 90) end as int) end as home_odds,
                case when event_type = 'prediction' then cast(case when game_pk % 2 = 1 then 100 + game_pk % 70 else -(100 + game_pk % 60) end as int) end as away_odds,
+               case when event_type = 'prediction' then cast((game_pk * 5003) % 900 + 50 as double) / cast(1000 as double) end as offered_home_implied,
+               case when event_type = 'prediction' then case when priority = '5-LOW' then null else 'v' || substr(priority, 1, 1) end end as model_version,
+               case when event_type = 'prediction' and feed_status <> 'P' then 'c-' || feed_status end as candidate_commit,
+               case when event_type = 'prediction' and priority = '2-HIGH' then 'overlay-1' end as adaptive_overlay_sha256,
                case when event_type = 'closing_line' then cast((game_pk * 6101) % 900 + 50 as double) / cast(1000 as double) end as closing_home_implied,
                case when event_type = 'outcome' then home_won end as home_won,
                case when event_type = 'prediction' then case game_pk % 4 when 0 then 'PASS' when 1 then 'ELIGIBLE' when 2 then 'ELIGIBLE' else 'BLOCKED' end end as selection_status,
@@ -126,6 +155,36 @@ VIEWS: dict[str, str] = {
             union all
             select *, 3 as k, 'outcome' as event_type, 22 as hours from contests where feed_status <> 'O') e
     """,
+    # ledger events with JSON payloads and per-contest hash chains, some of them broken
+    "evidence": """
+        select stream, game_pk, event_type, recorded_at, scheduled_start, source, snapshot_sha256, provenance, payload,
+               case when feed_status = 'P' and priority = '4-NOT SPECIFIED' and n > 1 then n + 1 else n end as sequence,
+               case when feed_status = 'O' and priority = '3-MEDIUM' and n > 1 then repeat('0', 64) when n > 1 then h1 end as previous_event_sha256,
+               case when feed_status = 'F' and priority = '5-LOW' and n = 2 then repeat('f', 64)
+                    else $SHA[c0 || '|' || h1]SHA$ end as event_sha256
+        from (
+          select *, case when l1 is null then '' else $SHA[l1 || '|' || h2]SHA$ end as h1 from (
+            select *, case when l2 is null then '' else $SHA[l2 || '|' || h3]SHA$ end as h2 from (
+              select *, case when l3 is null then '' else $SHA[l3 || '|']SHA$ end as h3 from (
+                select *, lag(c0, 1) over (partition by stream order by n) as l1, lag(c0, 2) over (partition by stream order by n) as l2,
+                       lag(c0, 3) over (partition by stream order by n) as l3
+                from (
+                  select *, cast(n as string) || '|' || event_type || '|' || cast(game_pk as string) || '|' || source || '|' || payload as c0 from (
+                    select game_pk as stream, game_pk, event_type, feed_status, priority, scheduled_start, recorded_at, 'feed-' || lower(feed_status) as source,
+                           row_number() over (partition by game_pk order by sequence) as n,
+                           case when event_type <> 'prediction' then null when priority = '3-MEDIUM' then 'abc' else md5(cast(game_pk as string)) || md5(cast(sequence as string)) end as snapshot_sha256,
+                           case when event_type <> 'prediction' then '{}' else '{"schedule":"official","live_feed":"' || case when priority = '2-HIGH' then 'Neutral_Placeholder' else 'feed' end || '","pitcher_stats":"season"' ||
+                                case when priority = '4-NOT SPECIFIED' then '' else ',"market_input":"manual"' end || '}' end as provenance,
+                           case event_type
+                             when 'prediction' then '{"away_team":"' || away_team || '","home_team":"' || case when revision = 1 and feed_status = 'O' then 'T99' else home_team end || '","home_probability":0.' || lpad(cast((game_pk * 7919) % 900 + 50 as string), 3, '0') ||
+                               ',"away_probability":0.' || lpad(cast(case when feed_status = 'P' then 500 else 950 - (game_pk * 7919) % 900 end as string), 3, '0') ||
+                               case when priority = '5-LOW' then '' else ',"model_version":"v' || substr(priority, 1, 1) || '"' end ||
+                               case when priority = '2-HIGH' and feed_status = 'F' then ',"context":{"Final_Score":7}' else ',"context":{"note":1}' end ||
+                               case feed_status when 'P' then ',"away_starter_id":' || cast(game_pk as string) when 'F' then ',"away_starter_id":' || cast(game_pk + 1 as string) || ',"away_starter_snapshot_sha256":"' || md5(home_team) || md5(away_team) || '","home_starter_snapshot_sha256":"' || md5(away_team) || md5(home_team) || '"' else '' end || '}'
+                             when 'closing_line' then '{"closing_home_implied":' || case when feed_status = 'F' and priority = '1-URGENT' then '1.250' else '0.' || lpad(cast((game_pk * 6101) % 900 + 50 as string), 3, '0') end || '}'
+                             else '{"home_won":' || case when priority = '5-LOW' and feed_status = 'P' then '2' else cast(home_won as string) end || '}' end as payload
+                    from ledger) a) b) c) d) e) f) g
+    """,
     "plays": """
         select event_id, user_id, cast(event_id % 3 as int) as outs_pre, cast(user_id % 8 as int) as base_pre,
                case event_type when 'view' then 'OUT' when 'click' then '1B' when 'error' then 'K'
@@ -171,12 +230,15 @@ def view_order(names: set[str]) -> list[str]:
 
 
 def _spark_text(sql: str) -> str:
-    sql = sql.replace("$TS", "timestamp_ntz")
+    # keep {table} placeholders for spark.sql and double every other brace, as in JSON literals
+    sql = re.sub(r"\{(\w+)\}", r"<<\1>>", sql).replace("{", "{{").replace("}", "}}")
+    sql = re.sub(r"<<(\w+)>>", r"{\1}", sql)
+    sql = sql.replace("$TS", "timestamp_ntz").replace("$SHA[", "sha2(").replace("]SHA$", ", 256)")
     return re.sub(r"\$EACH\((\d+)\)", lambda m: f"lateral view explode(sequence(0, {int(m[1]) - 1})) d as draw_id", sql)
 
 
 def _duckdb_text(sql: str) -> str:
-    sql = sql.replace("$TS", "timestamp")
+    sql = sql.replace("$TS", "timestamp").replace("$SHA[", "sha256(").replace("]SHA$", ")")
     sql = re.sub(r"\$EACH\((\d+)\)", lambda m: f"cross join unnest(range({m[1]})) d(draw_id)", sql)
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
