@@ -58,13 +58,28 @@ VIEWS: dict[str, str] = {
         from contests
     """,
     "schedule": """
-        select game_pk, game_date, away_team, home_team, away_starter, home_starter, away_runs, home_runs,
-               cast(game_date as $TS) + interval '1' hour * cast(12 + game_pk % 11 as int) as start_ts,
-               case when feed_status = 'P' then 'Postponed'
-                    when priority = '2-HIGH' then 'In Progress'
-                    when priority = '3-MEDIUM' then 'Scheduled' else 'Final' end as status_detailed
+        select game_pk, game_date, away_team, home_team, away_starter, home_starter, away_runs, home_runs, feed_status, priority,
+               case when feed_status = 'O' and priority = '4-NOT SPECIFIED' then null
+                    else cast(game_date as $TS) + interval '1' hour * cast(12 + game_pk % 11 as int) end as start_ts,
+               case feed_status when 'F' then 'Final' when 'P' then 'Final' else case when priority = '1-URGENT' then 'Live' else 'Preview' end end as status_abstract,
+               case feed_status
+                 when 'P' then case priority when '1-URGENT' then 'Suspended: Rain' when '2-HIGH' then 'Cancelled' else 'Postponed' end
+                 when 'O' then case priority when '1-URGENT' then 'In Progress' when '2-HIGH' then 'Pre-Game' else 'Scheduled' end
+                 else case priority when '1-URGENT' then 'Game Over' when '2-HIGH' then 'Completed Early' when '3-MEDIUM' then 'Final: Rescheduled' else 'Final' end end as status_detailed,
+               case feed_status when 'F' then 'F' when 'P' then 'D' else 'S' end as status_code
         from contests
     """,
+    # the feed repeats postponed contests with a later, partly filled record
+    "schedule_feed": """
+        select game_pk * 2 as arrival, game_pk, game_date, away_team, home_team, status_abstract, status_detailed,
+               case when priority = '2-HIGH' then null else away_starter end as away_pitcher, case when priority <> '5-LOW' then home_starter end as home_pitcher,
+               case when feed_status <> 'P' then 'Park ' || home_team end as venue_name
+        from schedule
+        union all
+        select game_pk * 2 + 1, game_pk, cast(game_date + interval '1' day * 3 as date), away_team, case when priority = '4-NOT SPECIFIED' then 'T99' else home_team end, 'Preview',
+               case when priority = '5-LOW' then 'Final' else 'Scheduled' end, case when priority = '2-HIGH' then away_starter end, null, 'Park ' || home_team
+        from schedule where feed_status = 'P'
+    """,
     "predictions": """
         select game_pk, game_date, team_a, team_b, a_win, team_a_is_home,
                cast((game_pk * 7919) % 900 + 50 as double) / cast(1000 as double) as baseline_probability,
@@ -212,13 +227,18 @@ VIEWS: dict[str, str] = {
 }
 
 
+def mentions(name: str, text: str) -> bool:
+    """Whether ``text`` reads the view, JSON keys of the same name aside."""
+    return re.search(rf'(?<!")\b{name}\b(?!")', text) is not None
+
+
 def view_order(names: set[str]) -> list[str]:
     """The requested views and the views they read, dependencies first."""
     wanted: list[str] = []
 
     def add(name: str) -> None:
         for other in VIEWS:
-            if other != name and re.search(rf"\b{other}\b", VIEWS[name]):
+            if other != name and mentions(other, VIEWS[name]):
                 add(other)
         if name not in wanted:
             wanted.append(name)
@@ -245,7 +265,7 @@ def _duckdb_text(sql: str) -> str:
 
 def duckdb_ctes(text: str) -> list[str]:
     """CTE definitions of every view that ``text`` mentions."""
-    used = {name for name in VIEWS if re.search(rf"\b{name}\b", text)}
+    used = {name for name in VIEWS if mentions(name, text)}
     return [f"{name} as ({_duckdb_text(VIEWS[name])})" for name in view_order(used)]
 
 
@@ -273,9 +293,9 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
             text = VIEWS[name]
-            parents = [v for v in VIEWS if v != name and re.search(rf"\b{v}\b", text)]
+            parents = [v for v in VIEWS if v != name and mentions(v, text)]
             for parent in parents:
-                text = re.sub(rf"\b{parent}\b", f"{{{parent}}}", text)
+                text = re.sub(rf'(?<!")\b{parent}\b(?!")', f"{{{parent}}}", text)
             frames = {r: self.raw(r) for r in RAW_TABLES if f"{{{r}}}" in text}
             frames |= {parent: getattr(self, parent) for parent in parents}
             target = work_path(self.spark, name)
