@@ -198,7 +198,7 @@ VIEWS: dict[str, str] = {
                                case feed_status when 'P' then ',"away_starter_id":' || cast(game_pk as string) when 'F' then ',"away_starter_id":' || cast(game_pk + 1 as string) || ',"away_starter_snapshot_sha256":"' || md5(home_team) || md5(away_team) || '","home_starter_snapshot_sha256":"' || md5(away_team) || md5(home_team) || '"' else '' end || '}'
                              when 'closing_line' then '{"closing_home_implied":' || case when feed_status = 'F' and priority = '1-URGENT' then '1.250' else '0.' || lpad(cast((game_pk * 6101) % 900 + 50 as string), 3, '0') end || '}'
                              else '{"home_won":' || case when priority = '5-LOW' and feed_status = 'P' then '2' else cast(home_won as string) end || '}' end as payload
-                    from ledger) a) b) c) d) e) f) g
+                    from ledger) a) b) c) d) e) f
     """,
     "plays": """
         select event_id, user_id, cast(event_id % 3 as int) as outs_pre, cast(user_id % 8 as int) as base_pre,
@@ -224,6 +224,40 @@ VIEWS: dict[str, str] = {
         group by l_orderkey, game_date, case when l_linenumber % 2 = 1 then home_team else away_team end,
                  l_suppkey, case when l_linenumber <= 2 then 1 else 0 end
     """,
+    # season lines as a statistics service returns them, with the plain numbers beside the JSON
+    "hitter_seasons": """
+        select *, case when player_id % 17 = 0 then '{}' else
+               '{"stats":[{"splits":[]},{"splits":[{"stat":{"plateAppearances":' || cast(pa as string) || ',"atBats":' || cast(ab as string) || ',"hits":' || cast(hits as string)
+               || ',"doubles":' || cast(doubles as string) || ',"triples":' || cast(triples as string) || ',"homeRuns":' || cast(homers as string) || ',"baseOnBalls":' || cast(walks as string)
+               || ',"intentionalWalks":' || cast(ibb as string) || ',"strikeOuts":' || cast(strikeouts as string) || ',"hitByPitch":' || cast(hbp as string)
+               || case when player_id % 15 = 0 then '' else ',"sacFlies":' || cast(sac_flies as string) end
+               || ',"avg":"' || case when player_id % 10 = 0 then '-.--' else '.' || lpad(cast(avg_k as string), 3, '0') end || '","obp":".' || lpad(cast(obp_k as string), 3, '0') || '","slg":".' || lpad(cast(slg_k as string), 3, '0') || '"}}]}]}' end as payload
+        from (
+          select player_id, pa, hits, doubles, triples, homers, walks, ibb, strikeouts, hbp, sac_flies, pa - walks - hbp - sac_flies as ab,
+                 (hits * 7) % 400 as avg_k, (hits * 11) % 500 as obp_k, (hits * 13) % 700 as slg_k
+          from (select l_partkey as player_id, cast(sum(cast(l_quantity as int) + 6) as bigint) as pa, cast(sum(l_linenumber) as bigint) as hits,
+                       cast(sum(case when l_linenumber = 2 then 1 else 0 end) as bigint) as doubles, cast(sum(case when l_linenumber = 3 then 1 else 0 end) as bigint) as triples,
+                       cast(sum(case when l_linenumber = 4 then 1 else 0 end) as bigint) as homers, cast(sum(l_suppkey % 3) as bigint) as walks,
+                       cast(sum(case when l_linenumber = 7 then 1 else 0 end) as bigint) as ibb, cast(sum(l_orderkey % 4) as bigint) as strikeouts,
+                       cast(sum(case when l_linenumber = 6 then 1 else 0 end) as bigint) as hbp, cast(sum(case when l_linenumber = 5 then 1 else 0 end) as bigint) as sac_flies
+                from {lineitem} group by l_partkey) h) k
+    """,
+    "pitcher_seasons": """
+        select *, '{"stats":[{"splits":[{"stat":{"gamesPlayed":' || cast(games as string) || ',"gamesStarted":' || cast(starts as string) || ',"inningsPitched":"' || innings_text
+               || '","strikeOuts":' || cast(strikeouts as string) || ',"baseOnBalls":' || cast(walks as string) || case when pitcher_id % 5 = 0 then '' else ',"hitBatsmen":' || cast(hit_batters as string) end
+               || ',"homeRuns":' || cast(home_runs as string) || ',"battersFaced":' || cast(batters_faced as string) || ',"hits":' || cast(hits as string) || ',"groundOuts":' || cast(outs as string)
+               || ',"airOuts":' || cast(pitcher_id % 9 as string) || ',"era":"' || case when pitcher_id % 6 = 0 then '-.--' else '4.' || lpad(cast(pitcher_id % 100 as string), 2, '0') end || '"}}]}]}' as payload
+        from (
+          select pitcher_id, count(*) as games, cast(sum(is_starter) as bigint) as starts, cast(sum(outs) as bigint) as outs, cast(sum(strikeouts) as bigint) as strikeouts,
+                 cast(sum(walks) as bigint) as walks, cast(sum(hit_batters) as bigint) as hit_batters, cast(sum(home_runs) as bigint) as home_runs,
+                 cast(sum(batters_faced) as bigint) as batters_faced, cast(sum(walks + home_runs) as bigint) as hits,
+                 case when pitcher_id % 13 = 0 then '12.3' else cast(cast((sum(outs) - sum(outs) % 3) / 3 as bigint) as string) || '.' || cast(sum(outs) % 3 as string) end as innings_text
+          from appearances group by pitcher_id) p
+    """,
+    "lineups": """
+        select distinct l_orderkey as game_pk, case when l_linenumber % 2 = 1 then 'home' else 'away' end as side, l_partkey as player_id
+        from {lineitem} join contests on game_pk = l_orderkey
+    """,
 }
 
 
