@@ -59,6 +59,8 @@ def pitcher_pit_profile(appearances: DataFrame) -> DataFrame:
     season = before.select(
         "pitcher_id", "game_date", shrunk_fip("_", STARTER_PRIOR_INNINGS).alias("starter_fip"), kbb.alias("starter_k_minus_bb"), F.col("_starts").alias("starter_starts_observed")
     )
+    # a pitcher id can start for both sides of one game, so a start is a (game, team) pair
+    starts = starts.withColumn("game_pk", F.struct("game_pk", "team"))
     recent = _rolling(starts, "pitcher_id", {"pitches": None}, (RECENT_STARTS,), "recent_", None)
     return season.join(recent.withColumnRenamed(f"recent_pitches{RECENT_STARTS}", "starter_recent_pitches"), ["pitcher_id", "game_date"])
 
@@ -148,7 +150,8 @@ def recent_team_games(games: DataFrame, n: int = RECENT_GAMES) -> DataFrame:
     by_game = Window.partitionBy("team").orderBy(F.col("game_date").asc(), F.col("game_pk").desc()).rowsBetween(1 - n, 0)
     after = done.withColumn("last", F.collect_list(F.struct("game_date", "game_pk")).over(by_game)).filter("from_end = 1").select("team", "game_date", "last")
     days = games.select("team", "game_date").distinct().join(after, ["team", "game_date"], "left")
-    before = days.select("team", F.col("game_date").alias("target_date"), F.explode(F.last("last", ignorenulls=True).over(_before("team"))).alias("g"))
+    before = days.select("team", F.col("game_date").alias("target_date"), F.last("last", ignorenulls=True).over(_before("team")).alias("last"))
+    before = before.select("team", "target_date", F.explode("last").alias("g"))
     ago = F.greatest(F.lit(0), F.datediff("target_date", F.col("g.game_date")) - 1)
     return before.select("team", "target_date", F.col("g.game_pk").alias("game_pk"), ago.alias("days_ago"))
 

@@ -22,6 +22,7 @@ EVENT_FLAGS = (
 )
 BATTER_PRIOR, STARTER_PRIOR, BULLPEN_PRIOR = 60.0, 90.0, 240.0
 RATE_EXPONENT = 0.5
+PRIOR_FLOOR = 1e-9
 HOME_NON_OUT = 1.04
 DEFAULT_HIT_MIX = (0.75, 0.23, 0.02)
 
@@ -75,13 +76,20 @@ def transition_grid_fill(plays: DataFrame) -> DataFrame:
     return seen.unionByName(unseen)
 
 
-def prior_vector(prior: DataFrame) -> DataFrame:
-    """Event probabilities as one array in event order; events never seen count zero."""
-    return prior.agg(F.array(*[F.coalesce(F.sum(F.when(F.col("event") == e, F.col("probability"))), F.lit(0.0)) for e in EVENTS]).alias("prior"))
+def prior_vector(prior: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Event probabilities as one array in event order; events never seen count zero.
+
+    A positive ``floor`` lifts small values and renormalises.
+    """
+    vector = prior.agg(F.array(*[F.coalesce(F.sum(F.when(F.col("event") == e, F.col("probability"))), F.lit(0.0)) for e in EVENTS]).alias("prior"))
+    if floor > 0:
+        vector = vector.select(F.transform("prior", lambda p: F.greatest(F.lit(floor), p)).alias("prior")).select(normalised(F.col("prior")).alias("prior"))
+    return vector
 
 
-def _with_prior(rows: DataFrame, prior: DataFrame) -> DataFrame:
-    return rows.withColumn("_one", F.lit(1)).join(prior_vector(prior).withColumn("_one", F.lit(1)), "_one").drop("_one")  # one prior row
+def _with_prior(rows: DataFrame, prior: DataFrame, floor: float = 0.0) -> DataFrame:
+    one = F.lit(1)  # the prior is a single row
+    return rows.withColumn("_one", one).join(prior_vector(prior, floor).withColumn("_one", one), "_one").drop("_one")
 
 
 def _at(event: str) -> Column:
@@ -139,10 +147,10 @@ def batter_pitcher_matchup(batters: DataFrame, pitchers: DataFrame, prior: DataF
     ``batters``: keys, player_id, batting_home, counts, opportunities.  ``pitchers``: keys, role
     (starter or bullpen), counts, opportunities; a key holds one row per role.
     """
-    floor = prior.withColumn("probability", F.greatest(F.col("probability"), F.lit(1e-9)))
-    b = posterior_rates(batters, floor, BATTER_PRIOR).select(*keys, "player_id", "batting_home", "prior", F.col("rates").alias("batter"))
-    s = posterior_rates(pitchers.filter("role = 'starter'"), floor, STARTER_PRIOR)
-    p = s.unionByName(posterior_rates(pitchers.filter("role = 'bullpen'"), floor, BULLPEN_PRIOR)).select(*keys, "role", F.col("rates").alias("pitcher"))
+    batters, pitchers = _with_prior(batters, prior, PRIOR_FLOOR), _with_prior(pitchers, prior, PRIOR_FLOOR)
+    b = posterior_rates(batters, prior, BATTER_PRIOR).select(*keys, "player_id", "batting_home", "prior", F.col("rates").alias("batter"))
+    s = posterior_rates(pitchers.filter("role = 'starter'"), prior, STARTER_PRIOR)
+    p = s.unionByName(posterior_rates(pitchers.filter("role = 'bullpen'"), prior, BULLPEN_PRIOR)).select(*keys, "role", F.col("rates").alias("pitcher"))
     rows = b.join(p, keys)
     lift = lambda rate, base: F.pow(F.least(F.lit(1e6), F.greatest(F.lit(1e-6), rate / base)), F.lit(RATE_EXPONENT))
     scaled = F.zip_with(F.zip_with("batter", "prior", lambda r, base: base * lift(r, base)), F.zip_with("pitcher", "prior", lift), lambda x, y: x * y)

@@ -157,7 +157,7 @@ def leakage_key_scan(t):
     "stream:i sequence:i event_type:s reason:s",
     f"""j as (select *, payload ->> '$.model_version' as mv, cast(payload ->> '$.home_probability' as double) as hp, cast(payload ->> '$.away_probability' as double) as ap,
       cast(payload ->> '$.closing_home_implied' as double) as cp, payload ->> '$.home_won' as hw from evidence)
-    => select stream, sequence, event_type, case when event_type <> 'outcome' and recorded_at > scheduled_start then 'recorded_after_start' when event_type = 'outcome' and recorded_at < scheduled_start then 'outcome_before_start'
+    => select stream, sequence, event_type, case when game_pk <= 0 then 'game_pk_not_positive' when event_type <> 'outcome' and recorded_at > scheduled_start then 'recorded_after_start' when event_type = 'outcome' and recorded_at < scheduled_start then 'outcome_before_start'
       when event_type = 'prediction' and {FORBIDDEN} is not null then 'outcome_like_field' when event_type = 'prediction' and mv is null then 'missing_field'
       when event_type = 'prediction' and (hp < 0 or hp > 1 or ap < 0 or ap > 1) then 'invalid_probability' when event_type = 'prediction' and abs(hp + ap - 1) > 1e-6 then 'probabilities_do_not_sum'
       when event_type = 'closing_line' and not cp between 0 and 1 then 'invalid_closing_line' when event_type = 'outcome' and hw not in ('0', '1') then 'outcome_not_binary'
@@ -175,6 +175,7 @@ issues as (
   union all select game_pk, sequence, 'provenance', 'no valid snapshot hash' from pj where event_type = 'prediction' and not coalesce(regexp_full_match(snapshot_sha256, '[0-9a-f]{{64}}'), false)
   union all select game_pk, sequence, 'provenance', 'missing provenance keys' from pj where event_type = 'prediction' and mi is null
   union all select game_pk, sequence, 'provenance', 'placeholder provenance values' from pj where event_type = 'prediction' and lower(lf) = 'neutral_placeholder'
+  union all select game_pk, sequence, 'provenance', 'invalid away starter id' from pj where event_type = 'prediction' and cast(aid as bigint) <= 0
   union all select game_pk, sequence, 'provenance', 'away starter without snapshot hash' from pj where event_type = 'prediction' and aid is not null and ah is null
   union all select game_pk, sequence, 'provenance', 'home starter snapshot without id' from pj where event_type = 'prediction' and hid is null and hh is not null
   union all select game_pk, null, 'schedule_integrity', 'conflicting teams' from pj where event_type = 'prediction' group by game_pk having count(distinct pair) > 1)

@@ -14,7 +14,7 @@ tgrid as (select distinct team, game_date from appearances)
 FIP = "(13.0 * coalesce(sum(x.home_runs), 0) + 3.0 * (coalesce(sum(x.walks), 0) + coalesce(sum(x.hit_batters), 0)) - 2.0 * coalesce(sum(x.strikeouts), 0) + 1.1 * {ip}) / (coalesce(sum(x.outs), 0) / 3.0 + {ip}) + 3.1"
 PIT = f"""
 sg as (select distinct pitcher_id, game_date from ro where role = 'S'),
-sx as (select g.pitcher_id as pid, g.game_date as gd, x.*, row_number() over (partition by g.pitcher_id, g.game_date order by x.game_date desc, x.game_pk desc) as rn
+sx as (select g.pitcher_id as pid, g.game_date as gd, x.*, row_number() over (partition by g.pitcher_id, g.game_date order by x.game_date desc, x.game_pk desc, x.team desc) as rn
    from sg g left join (select * from ro where role = 'S') x on x.pitcher_id = g.pitcher_id and x.game_date < g.game_date),
 pit as (select pid as pitcher_id, gd as game_date, {FIP.format(ip='20.0')} as starter_fip, 100.0 * (coalesce(sum(x.strikeouts), 0) - coalesce(sum(x.walks), 0) + 8.5) / (coalesce(sum(x.batters_faced), 0) + 85.0) as starter_k_minus_bb,
    avg(x.pitches) filter (where rn <= 3) as starter_recent_pitches, count(x.game_pk) as starter_starts_observed from sx x group by pid, gd)
@@ -170,7 +170,7 @@ def event_rate_prior(t):
     return profiles.event_rate_prior(t.plays)
 
 
-TRANSITIONS = "tr as (select outs_pre, base_pre, event, outs_added, base_post, runs, count(*) as n, count(*) / sum(count(*)) over (partition by outs_pre, base_pre, event) as probability from plays group by all)"
+TRANSITIONS = "tr as (select outs_pre, base_pre, event, outs_added, base_post, runs, count(*) as n, count(*) / sum(count(*)) over (partition by outs_pre, base_pre, event) as probability from plays group by outs_pre, base_pre, event, outs_added, base_post, runs)"
 STATE = "outs_pre:i base_pre:i event:s outs_added:i base_post:i runs:i n:i probability:d"
 
 
@@ -186,7 +186,7 @@ EVENT_VALUES = ", ".join(f"('{e}')" for e in profiles.EVENTS)
     "transition_grid_fill",
     STATE + " source:s",
     f"""{TRANSITIONS}, grid as (select o.o as outs_pre, b.b as base_pre, e.e as event from range(3) o(o), range(8) b(b), (values {EVENT_VALUES}) e(e)),
-    ov as (select event, outs_added, base_post, runs, count(*) as n, count(*) / sum(count(*)) over (partition by event) as probability from plays group by all)
+    ov as (select event, outs_added, base_post, runs, count(*) as n, count(*) / sum(count(*)) over (partition by event) as probability from plays group by event, outs_added, base_post, runs)
     => select grid.*, tr.outs_added, tr.base_post, tr.runs, tr.n, tr.probability, 'exact' as source from grid join tr using (outs_pre, base_pre, event)
     union all select grid.*, ov.outs_added, ov.base_post, ov.runs, ov.n, ov.probability, 'event' from grid join ov using (event) where not exists (select 1 from tr where tr.outs_pre = grid.outs_pre and tr.base_pre = grid.base_pre and tr.event = grid.event)""",
 )
@@ -260,7 +260,7 @@ def posterior_rates(t):
     return spread(profiles.posterior_rates(combined, prior, profiles.BULLPEN_PRIOR), "rates", "r")
 
 
-FLOORED = "pf as (select " + ", ".join(f"greatest(1e-9, p{i}) as p{i}" for i in range(9)) + " from pv)"
+FLOORED = "pf as (select " + ", ".join(f"greatest(1e-9, p{i}) / (" + " + ".join(f"greatest(1e-9, p{j})" for j in range(9)) + f") as p{i}" for i in range(9)) + " from pv)"
 
 
 def matchup_sql() -> str:

@@ -14,6 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slatewise.session import work_path
 
+# fields a pregame context carries for both sides
+PAIRED_FIELDS = (
+    "starter_fip", "starter_k_minus_bb", "starter_xera", "starter_xfip", "starter_siera", "starter_whip",
+    "lineup_obp", "lineup_slg", "lineup_ops", "lineup_woba_proxy", "lineup_iso", "lineup_bb_rate", "lineup_k_rate", "lineup_stats_coverage",
+    "injury_war", "bullpen_xfip", "bullpen_siera", "bullpen_era_proxy", "bullpen_whip_proxy", "bullpen_recent_pitches", "bullpen_recent_innings",
+    "bullpen_fatigue", "bullpen_high_leverage_pitches", "closer_available", "travel_fatigue", "time_zones_crossed",
+    "defense_frv", "defense_oaa", "defense_fielding_pct", "defense_errors_per_game", "catcher_framing", "baserunning_runs",
+)
+GAME_FIELDS = (
+    "umpire_run_factor", "umpire_k_factor", "park_run_factor", "park_hr_factor", "weather_run_factor",
+    "air_density", "wind_out_component", "rain_risk", "reverse_line_move",
+)
+
+
+def _context_columns() -> str:
+    value = lambda i, scale, name: f"case when (game_pk + {i}) % {5 + i % 4} = 0 then null else cast((game_pk * {101 + 2 * i}) % {scale} as double) / cast(1000 as double) end as {name}"
+    columns = []
+    for i, name in enumerate(PAIRED_FIELDS):
+        scale = 80000 if "pitches" in name else 2000
+        columns += [value(2 * i, scale, f"away_{name}"), value(2 * i + 1, scale, f"home_{name}")]
+    columns += [value(90 + i, 2000, name) for i, name in enumerate(GAME_FIELDS)]
+    return ", ".join(columns)
+
+
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 VIEWS: dict[str, str] = {
@@ -254,6 +278,22 @@ VIEWS: dict[str, str] = {
                  case when pitcher_id % 13 = 0 then '12.3' else cast(cast((sum(outs) - sum(outs) % 3) / 3 as bigint) as string) || '.' || cast(sum(outs) % 3 as string) end as innings_text
           from appearances group by pitcher_id) p
     """,
+    # pregame context: paired and game-level fields, weather text, venues and capture times
+    "contexts": f"""
+        select game_pk, game_date, away_team, home_team, start_ts, start_ts - interval '1' minute * cast(game_pk % 600 as int) as assessed_at,
+               priority in ('1-URGENT', '2-HIGH') as lineups_confirmed, feed_status <> 'O' as probable_pitchers_confirmed, feed_status = 'F' as roster_loaded,
+               case when game_pk % 4 = 0 then null else cast(game_pk % 60 + 45 as double) end as temperature_f,
+               case game_pk % 7 when 0 then '12 mph, Out To CF' when 1 then '8.5 MPH, In From LF' when 2 then '9 mph, Left To Right' when 3 then 'Calm' when 4 then '7 mph, Varies' when 5 then '' end as wind_description,
+               case game_pk % 11 when 0 then 'Roof Closed' when 1 then 'Dome' when 2 then 'Open' end as roof_status,
+               case game_pk % 5 when 0 then 'Rain Showers' when 1 then 'Partly Cloudy' when 2 then 'Overcast' when 3 then 'Sunny' end as weather_condition,
+               case when game_pk % 6 = 0 then null else game_pk % 30 end as venue_id,
+               case when game_pk % 9 = 0 then null else cast(25 + game_pk % 23 as double) end as venue_latitude, -cast(70 + game_pk % 53 as double) as venue_longitude,
+               cast(25 + (game_pk * 7) % 23 as double) as last_latitude, -cast(70 + (game_pk * 5) % 53 as double) as last_longitude,
+               case when game_pk % 10 = 0 then null else cast(-4 - game_pk % 5 as double) end as venue_offset, cast(-4 - (game_pk * 3) % 5 as double) as last_offset,
+               case when game_pk % 8 = 0 then null else cast(game_pk % 6 as double) end as rest_days, case when game_pk % 3 = 0 then null else cast(game_pk % 5 as double) end as games_last3,
+               {_context_columns()}
+        from schedule
+    """,
     "lineups": """
         select distinct l_orderkey as game_pk, case when l_linenumber % 2 = 1 then 'home' else 'away' end as side, l_partkey as player_id
         from {lineitem} join contests on game_pk = l_orderkey
