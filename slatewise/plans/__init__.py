@@ -4,7 +4,7 @@ from importlib import import_module
 
 from slatewise.plans.registry import REGISTRY, Query
 
-SUBJECTS = ("history_queries", "metric_queries", "market_queries", "ledger_queries", "identity_queries", "pitching_queries", "context_queries")
+SUBJECTS = ("history_queries", "metric_queries", "market_queries", "ledger_queries", "identity_queries", "pitching_queries", "context_queries", "source_queries", "learner_queries")
 
 
 def load_all() -> dict[str, Query]:

@@ -9,6 +9,7 @@ timestamp type, ``$SHA[...]SHA$`` a SHA-256 digest and ``$EACH(n)`` repeats ever
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -278,6 +279,20 @@ VIEWS: dict[str, str] = {
                  case when pitcher_id % 13 = 0 then '12.3' else cast(cast((sum(outs) - sum(outs) % 3) / 3 as bigint) as string) || '.' || cast(sum(outs) % 3 as string) end as innings_text
           from appearances group by pitcher_id) p
     """,
+    # immutable starter captures, some late, mislabelled or altered
+    "starter_captures": """
+        select a.game_pk, case when a.team = c.home_team then 'home' else 'away' end as side, a.pitcher_id, p.batters_faced, p.strikeouts,
+               case when a.pitcher_id % 29 = 0 then 'lineup' else 'starter_stats' end as kind,
+               cast(a.game_date as $TS) + interval '1' hour * cast(8 + a.pitcher_id % 12 as int) as captured_at, cast(a.game_date as $TS) + interval '1' hour * 18 as scheduled_start,
+               cast(a.game_pk as string) || ':' || case when a.pitcher_id % 31 = 0 then 'bench' when a.team = c.home_team then 'home' else 'away' end || ':' || cast(a.pitcher_id as string) as identity,
+               p.payload as raw_payload, case when a.game_pk % 37 = 0 then repeat('0', 64) else $SHA[p.payload]SHA$ end as raw_payload_sha256,
+               cast(100 * p.strikeouts as double) / p.batters_faced + case when a.pitcher_id % 23 = 0 then 1 else 0 end as starter_k_rate
+        from appearances a join contests c on c.game_pk = a.game_pk join pitcher_seasons p on p.pitcher_id = a.pitcher_id where a.is_starter = 1
+    """,
+    # the quote history as it arrives, with one book's rows delivered twice
+    "quote_feed": """
+        select * from quotes union all select * from quotes where sportsbook = 'B0'
+    """,
     # pregame context: paired and game-level fields, weather text, venues and capture times
     "contexts": f"""
         select game_pk, game_date, away_team, home_team, start_ts, start_ts - interval '1' minute * cast(game_pk % 600 as int) as assessed_at,
@@ -377,6 +392,15 @@ class Tables:
             _WRITTEN[key] = target
         return _WRITTEN[key]
 
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several jobs of one application train on, written on first use."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            target = work_path(self.spark, name)
+            build().write.parquet(target)
+            _WRITTEN[key] = target
+        return self.spark.read.parquet(_WRITTEN[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
