@@ -1,7 +1,7 @@
 """Metric, calibration, fold, bootstrap and gate queries over the matched predictions."""
 
-from slatewise.operators import metrics
-from slatewise.plans.history_queries import doubles
+from slatewise.operators import history, metrics, scoring
+from slatewise.plans.history_queries import SCORED, doubles
 from slatewise.plans.registry import query
 
 METRIC_COLUMNS = "n_total:i n:i " + doubles(metrics.METRICS[2:])
@@ -280,3 +280,24 @@ WINDOWS = (
 )
 def walk_forward_split(t):
     return metrics.walk_forward_split(t.contests, WINDOWS, 150)
+
+
+VALIDATION = (("1996_spring", "1996-03-01", "1996-05-31"), ("1998_summer", "1998-06-01", "1998-08-31"), ("2000_autumn", "2000-09-01", "2000-11-30"), ("2001_summer", "2001-06-01", "2001-08-31"))
+VALIDATED = "vw(wname, s, e) as (values " + ", ".join(f"('{n}', date '{s}', date '{e}')" for n, s, e in VALIDATION) + ")"
+SPLIT = "vr as (select wname, t.track, a_win, case when t.track = 'prior' then prior_probability else strength_probability end as p0 from scored join vw on game_date between s and e cross join (values ('prior'), ('strength')) t(track))"
+
+
+@query(
+    "matched_validation",
+    "window:s track:s n:i accuracy:d brier:d log_loss:d auc:d ece:d",
+    f"{SCORED}, {VALIDATED}, {SPLIT}, {metrics_sql('wname, track', 'vr', 10, 'a_win', 'p0', 'vm')} => select wname as \"window\", track, n, accuracy, brier, log_loss, auc, ece from vm",
+)
+def matched_validation(t):
+    """Leakage-safe features, closed-form scores of both tracks, metrics per window."""
+    from pyspark.sql import functions as F
+
+    scored = scoring.logit_scores(history.matchup_features(t.contests))
+    day = lambda d: F.lit(d).cast("date")
+    hits = F.array_compact(F.array(*[F.when(F.col("game_date").between(day(s), day(e)), F.lit(n)) for n, s, e in VALIDATION]))
+    rows = scored.select("a_win", "prior_probability", "strength_probability", F.explode(hits).alias("window"))
+    return metrics.track_metrics(rows, "a_win", {"prior": "prior_probability", "strength": "strength_probability"}, ["window"])

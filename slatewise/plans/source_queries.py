@@ -361,7 +361,7 @@ def neutral_sql(group: str) -> str:
     + ", ".join(f"median({c}) as m_{c}" for c in SENSITIVE)
     + f" from features), s as (select game_pk, {logit_sql(scoring.PRIOR_WEIGHTS)} as probability, "
     + ", ".join(neutral_sql(g) for g in GROUPS)
-    + " from features, md), l as (select game_pk, g, case when probability >= 0.5 then v else -v end as v from ("
+    + " from features, md), l as (select game_pk, g, o, round(case when probability >= 0.5 then v else -v end, 12) as v from ("
     + " union all ".join(f"select game_pk, probability, '{g}' as g, {features.GROUP_ORDER.index(g)} as o, sensitivity_{g} as v from s" for g in GROUPS)
     + ") x), b as (select game_pk, (list(g order by v desc, o) filter (where v > 0))[1] as top_supporting_group, (list(g order by v, o) filter (where v < 0))[1] as top_opposing_group from l group by game_pk) => select * from s join b using (game_pk)",
 )
