@@ -161,35 +161,41 @@ def score_cells(draws: DataFrame) -> DataFrame:
 
 
 def price_quotes_from_draws(quotes: DataFrame, draws: DataFrame, authoritative: DataFrame | None = None) -> DataFrame:
-    """Win and push probability of every quote that has draws.
+    """Win and push probability of every quote that has draws; see :func:`price_quotes`."""
+    return price_quotes(quotes, score_cells(draws), authoritative)
+
+
+def price_quotes(quotes: DataFrame, cells: DataFrame, authoritative: DataFrame | None = None) -> DataFrame:
+    """Win and push probability of every quote whose game has score cells.
 
     Each outcome is a linear margin of the two scores: the quote wins where it is positive and
-    pushes at zero.  Moneylines take ``authoritative`` (game_pk, home_win_probability) where
-    given, else wins plus half the ties.
+    pushes at zero.  Moneylines take ``authoritative`` (game_pk, home_win_probability) where given, else wins plus half the ties.
     """
-    side_home, is_over = F.col("selection") == F.col("home_team"), F.col("selection") == "OVER"
-    kind = F.col("market_type")
-    two_way = kind.isin("moneyline", "run_line")
-    away_weight = F.when(two_way, F.when(side_home, -1.0).otherwise(1.0)).when(kind == "game_total", 1.0).otherwise((F.col("team") == F.col("away_team")).cast("double"))
-    home_weight = F.when(two_way, F.when(side_home, 1.0).otherwise(-1.0)).when(kind == "game_total", 1.0).otherwise((F.col("team") == F.col("home_team")).cast("double"))
+    market_type, side_home, is_over = F.col("market_type"), F.col("selection") == F.col("home_team"), F.col("selection") == "OVER"
+    two_way, whole = market_type.isin("moneyline", "run_line"), market_type == "game_total"
+    team = lambda side: (F.col("team") == F.col(f"{side}_team")).cast("double")
+    away_weight = F.when(two_way, F.when(side_home, -1.0).otherwise(1.0)).when(whole, 1.0).otherwise(team("away"))
+    home_weight = F.when(two_way, F.when(side_home, 1.0).otherwise(-1.0)).when(whole, 1.0).otherwise(team("home"))
     sign = F.when(two_way | is_over, 1.0).otherwise(-1.0)
-    shift = F.when(kind == "moneyline", 0.0).when(kind == "run_line", F.col("line")).otherwise(-F.col("line"))
-    rows = quotes.withColumns({"_wa": away_weight * sign, "_wh": home_weight * sign, "_shift": shift * sign})
-    joined = rows.join(score_cells(draws), "game_pk")
-
-    def share(hit) -> Column:
-        margin = lambda c: F.col("_wa") * c["away_runs"] + F.col("_wh") * c["home_runs"] + F.col("_shift")
-        count = F.aggregate("cells", F.lit(0).cast("long"), lambda acc, c: acc + F.when(hit(margin(c)), c["n"]).otherwise(0))
-        return count / F.col("draws")
-
-    priced = joined.withColumns({"_win": share(lambda m: m > 0), "_push": share(lambda m: m == 0)})
-    win = F.when(kind == "moneyline", F.col("_win") + 0.5 * F.col("_push")).otherwise(F.col("_win"))
+    shift = F.when(market_type == "moneyline", 0.0).when(market_type == "run_line", F.col("line")).otherwise(-F.col("line"))
+    rows = quotes.withColumns({"_away": away_weight * sign, "_home": home_weight * sign, "_shift": shift * sign})
+    joined = rows.join(cells, "game_pk")
+
+    def add(acc: Column, cell: Column) -> Column:
+        margin = F.col("_away") * cell["away_runs"] + F.col("_home") * cell["home_runs"] + F.col("_shift")
+        return acc + F.when(margin > 0, 2 * cell["n"]).when(margin == 0, cell["n"]).otherwise(0)
+
+    zero = F.lit(0).cast("long")
+    margin_of = lambda c: F.col("_away") * c["away_runs"] + F.col("_home") * c["home_runs"] + F.col("_shift")
+    ties = F.aggregate("cells", zero, lambda acc, c: acc + F.when(margin_of(c) == 0, c["n"]).otherwise(0))
+    # a win counts twice and a push once, so one pass gives the moneyline share directly
+    priced = joined.withColumns({"_points": F.aggregate("cells", zero, add), "_ties": F.when(market_type != "moneyline", ties).otherwise(0)})
+    win = (F.col("_points") - F.col("_ties")) / (2.0 * F.col("draws"))
     if authoritative is not None:
         priced = priced.join(authoritative.select("game_pk", "home_win_probability"), "game_pk", "left")
         p = F.when(side_home, F.col("home_win_probability")).otherwise(1.0 - F.col("home_win_probability"))
-        win = F.when(kind == "moneyline", F.coalesce(p, win)).otherwise(win)
-    push = F.when(kind == "moneyline", 0.0).otherwise(F.col("_push"))
-    return priced.select(*quotes.columns, win.alias("win_probability"), push.alias("push_probability"))
+        win = F.when(market_type == "moneyline", F.coalesce(p, win)).otherwise(win)
+    return priced.select(*quotes.columns, win.alias("win_probability"), (F.col("_ties") / F.col("draws")).alias("push_probability"))
 
 
 def quote_snapshot_join(quotes: DataFrame, draws: DataFrame) -> DataFrame:
@@ -246,15 +252,26 @@ def line_frontier(draws: DataFrame, lines: Sequence[float], required_roi: float
 
 
 def score_summary(draws: DataFrame) -> DataFrame:
-    """Win, tie, shutout, blow-out and one-run rates with mean and median runs per game."""
+    """Win, tie, shutout, blow-out and one-run rates with mean and median runs per game.
+
+    Rates are one partial aggregation over the draws; medians come from the value counts.
+    """
     a, h = F.col("away_runs"), F.col("home_runs")
     rate = lambda c: F.avg(c.cast("int"))
-    return draws.groupBy("game_pk").agg(
-        rate(a > h).alias("away_win"), rate(h > a).alias("home_win"), rate(a == h).alias("tie"),
-        F.avg(a).alias("mean_away"), F.avg(h).alias("mean_home"), F.median(a).alias("median_away"), F.median(h).alias("median_home"),
+    rates = draws.groupBy("game_pk").agg(
+        rate(a > h).alias("away_win"), rate(h > a).alias("home_win"), rate(a == h).alias("tie"), F.avg(a).alias("mean_away"), F.avg(h).alias("mean_home"),
         rate((a == 0) | (h == 0)).alias("shutout"), rate((a >= 10) | (h >= 10)).alias("team_ten_plus"), rate(a + h >= 15).alias("fifteen_plus"),
         rate(F.abs(a - h) >= 5).alias("margin_five_plus"), rate(F.abs(a - h) == 1).alias("one_run"),
     )
+    sides = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_runs").alias("value")) for k in ("away", "home")])
+    counts = draws.select("game_pk", F.inline(sides)).groupBy("game_pk", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("game_pk", "kind")  # as many rows as a side has distinct scores
+    ranked = counts.withColumns({"upto": F.sum("n").over(one.orderBy("value")), "total": F.sum("n").over(one)})
+    covers = lambda place: (F.col("upto") - F.col("n") < place) & (F.col("upto") >= place)
+    middle = lambda kind, place: F.max(F.when((F.col("kind") == kind) & covers(place), F.col("value")))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    medians = ranked.groupBy("game_pk").agg(*[((middle(k, low) + middle(k, high)) / 2).alias(f"median_{k}") for k in ("away", "home")])
+    return rates.join(medians, "game_pk")
 
 
 def best_quote_per_market(rows: DataFrame, allowed_books: Sequence[str] = ()) -> DataFrame:

@@ -433,7 +433,8 @@ def stream_current_quotes(t):
     f"{PRICED}, {valued_sql('priced', 0.0)} => select * from valued union all select * from valued where sportsbook = 'B0'",
 )
 def stream_reprice(t):
-    return _stream(t, "reprice", streams.stream_reprice, t.draws)
+    cells = t.written("score_cells", lambda: market.score_cells(t.draws))
+    return _stream(t, "reprice", streams.stream_reprice, cells)
 
 
 @query(
