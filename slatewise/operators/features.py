@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewise.functions.names import LIVE_FEATURES, feature_group, feature_group_of, normalise_name
+from slatewise.functions.names import LIVE_FEATURES, TEAM_ALIASES, feature_group, feature_group_of, normalise_name
 from slatewise.operators.positions import running_before
 
 # Contract families and authority thresholds
@@ -161,6 +161,11 @@ def registry_check(components: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("games"), F.count_if(good).alias("complete"), F.sum("missing").alias("missing"), F.sum("unexpected").alias("unexpected"))
 
 
+def club_aliases(spark: SparkSession) -> DataFrame:
+    """The fixed club spellings as an alias table."""
+    return spark.createDataFrame(list(TEAM_ALIASES.items()), "alias string, code string")
+
+
 def team_name_normalise(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     """Club code of a typed name by alias, else by the code itself; NULL when neither is known.
 

@@ -122,3 +122,9 @@ def test_bullpen_usage_example(spark):
     got = pitching.bullpen_usage(recent, rows).first()
     assert (got.relief_pitches, got.relief_innings, got.closer_available) == (30.0, 2.0, 0.0)
     assert got.fatigue == pytest.approx(30 / 125) and math.isclose(got.appearances, 2.0)
+
+
+def test_club_names(spark):
+    rows = spark.createDataFrame([("St. Louis Cardinals",), (" nyy ",), ("N.Y. & Co",), ("ATHLETICS",)], "name string")
+    got = {r.name: r.team_code for r in features.team_name_normalise(rows, "name", features.club_aliases(spark)).collect()}
+    assert got == {"St. Louis Cardinals": "STL", " nyy ": "NYY", "N.Y. & Co": None, "ATHLETICS": "ATH"}
