@@ -13,8 +13,6 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # per-game arrays and percentiles stay small; hash them instead of sorting after 128 games
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     return spark
 
 
@@ -30,6 +28,8 @@ def local_session(cores: str = "8", app: str = "slatewise") -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.files.openCostInBytes", "262144")
         .config("spark.sql.session.timeZone", "UTC")
+        # per-game arrays and percentiles stay small; hash them instead of sorting after 128 games
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,11 +39,14 @@ def local_session(cores: str = "8", app: str = "slatewise") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local
-    tests) is a scratch folder made and recorded in the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may go without:
+    a scratch folder is then made and recorded in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -52,3 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(frame, label: str):
+    """Write a table to the shared folder and read it back: the lineage ends there, executors may be lost."""
+    spark = frame.sparkSession
+    path = work_path(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
