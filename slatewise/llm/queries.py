@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import line_crf
+from slatewise.llm import decontaminate, line_crf
 from slatewise.session import configure
 
 
@@ -25,6 +25,27 @@ def op3_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_crf.score(documents, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items contained in documents."""
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+DUCK_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+DUCK_SHINGLES = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
+
+OP5_SQL = f"""
+with items as (select distinct item_id, {DUCK_WORDS} as w from benchmark),
+texts as (select doc_id, {DUCK_WORDS} as w from documents),
+wanted as (select distinct item_id, unnest({DUCK_SHINGLES}) as s from items),
+sizes as (select item_id, count(*) as n from wanted group by item_id),
+held as (select distinct doc_id, unnest({DUCK_SHINGLES}) as s from texts)
+select doc_id, item_id, cast(n as bigint) as n_shingles, cast(count(*) as bigint) as n_found, count(*) / n as containment
+from held join wanted using (s) join sizes using (item_id)
+group by doc_id, item_id, n having 100 * count(*) >= 75 * n
+"""
+
+
 QUERIES = {
     "op3_line_crf_quality": (op3_line_crf_quality, None),
+    "op5_minhash_containment": (op5_minhash_containment, OP5_SQL),
 }
