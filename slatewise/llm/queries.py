@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import decontaminate, line_crf
+from slatewise.llm import decontaminate, line_crf, surrogates
 from slatewise.session import configure
 
 
@@ -45,7 +45,17 @@ group by doc_id, item_id, n having 100 * count(*) >= 75 * n
 """
 
 
+PII_KEY = b"replace in production"
+
+
+def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_pii(documents, PII_KEY).select("doc_id", "n_mentions", "text")
+
+
 QUERIES = {
     "op3_line_crf_quality": (op3_line_crf_quality, None),
     "op5_minhash_containment": (op5_minhash_containment, OP5_SQL),
+    "op8_surrogates": (op8_surrogates, None),
 }
