@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import decontaminate, line_crf, surrogates
+from slatewise.llm import decontaminate, line_crf, prefix_tree_join, surrogates
 from slatewise.session import configure
 
 
@@ -17,6 +17,11 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def op2_prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the component that its shingle links reach."""
+    return prefix_tree_join.link_documents(table(spark, folder, "documents"))
+
+
 def op3_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learnt from labels outside the held-out third."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -55,6 +60,7 @@ def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_prefix_tree_join": (op2_prefix_tree_join, None),
     "op3_line_crf_quality": (op3_line_crf_quality, None),
     "op5_minhash_containment": (op5_minhash_containment, OP5_SQL),
     "op8_surrogates": (op8_surrogates, None),

@@ -99,8 +99,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
         if n >= size:
             out.append(np.unique(joined[a : a + n - size + 1]))
         elif n:
-            whole = (hashes[a : a + n] * _PLACE[:n]).sum(dtype=np.uint64) + _PLACE[size + n - 1]
-            out.append(mix64(np.array([whole], np.uint64)))
+            parts = np.append(hashes[a : a + n] * _PLACE[:n], _PLACE[size + n - 1])
+            out.append(mix64(parts.sum(dtype=np.uint64, keepdims=True)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
