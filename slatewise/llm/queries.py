@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import decontaminate, line_crf, prefix_tree_join, surrogates
+from slatewise.llm import best_fit, decontaminate, line_crf, prefix_tree_join, surrogates
 from slatewise.session import configure
 
 
@@ -50,6 +50,11 @@ group by doc_id, item_id, n having 100 * count(*) >= 75 * n
 """
 
 
+def op6_conflict_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every document in training sequences."""
+    return best_fit.pack(table(spark, folder, "documents"))
+
+
 PII_KEY = b"replace in production"
 
 
@@ -63,5 +68,6 @@ QUERIES = {
     "op2_prefix_tree_join": (op2_prefix_tree_join, None),
     "op3_line_crf_quality": (op3_line_crf_quality, None),
     "op5_minhash_containment": (op5_minhash_containment, OP5_SQL),
+    "op6_conflict_best_fit": (op6_conflict_best_fit, None),
     "op8_surrogates": (op8_surrogates, None),
 }
