@@ -9,14 +9,13 @@ Two documents link when 100 * intersection >= threshold * union.  The join loses
    and each set keeps the rarest part of its window that still must meet every partner: with W = window,
    partners share at least L shingles inside the shorter window, so each may drop its L-1 most frequent ones.
    Passages that many documents share are dropped there, before any group forms.
-3. *Trees.*  Kept shingles group sets; groups with equal members are one.  A group's sets go into a prefix
-   tree: sets with a common beginning share its path.  A query walks the tree with its overlap so far, which
-   all sets below share, and leaves a subtree when the shingles that remain, on either side, cannot reach the
-   threshold, or when all of it is already connected to the query.  Groups larger than ``BLOCK`` are cut into
-   blocks; all pairs of blocks meet.
-4. *Rounds.*  First each set goes to one group only, then one set of each component to each group, and at
-   last whole groups, but only those that still span several components.  The last round makes it exact; the
-   first two leave it little to do, also where thousands of near copies share their shingles.
+3. *Families.*  Sets that share kept shingles, directly or in steps, form families; links lie inside them.
+4. *Trees.*  A family's sets go into a prefix tree: sets with a common beginning share its path.  A query
+   walks the tree with its overlap so far, which all sets below share, and leaves a subtree when the shingles
+   that remain, on either side, cannot reach the threshold, or when all of it is already connected to the query.
+5. *Large families* are cut into blocks of ``BLOCK`` sets: blocks are searched by themselves, then one set of each
+   component found meets the others, and at last every set outside the main component meets all others, block by
+   block, or the sets of each kept shingle meet, whichever is less work.  The last step makes it exact.
 
 Shuffles carry hashes as packed blobs, split by hash range into buckets whose number follows the data.  Texts
 are shuffled once, for candidate sets only.
@@ -33,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.components import components
@@ -41,7 +40,7 @@ from slatewise.llm.text import blocks, groups, mix64, shingle_sets
 from slatewise.session import stored
 
 THRESHOLD_PCT = 75
-BLOCK = 512  # sets of one tree
+BLOCK = 1024  # sets of one tree
 FLUSH = 3_000_000  # window shingles a task gathers before it writes blobs
 BUCKET = 1_500_000  # window shingles of one bucket, about
 
@@ -249,22 +248,48 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct_lists(members: DataFrame) -> DataFrame:
-    """(key, node, ...) without keys whose members equal another key's, and without keys of one member."""
+    """(key, node) without keys whose members equal another key's, and without keys of one member."""
     signed = members.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("t"), F.count("*").alias("m")).where("m > 1")
-    return members.join(signed.groupBy("s", "t", "m").agg(F.min("key").alias("key")).select("key", "m"), "key")
+    return members.join(signed.groupBy("s", "t", "m").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def _links(members: DataFrame, sets: DataFrame, all_blocks: bool) -> DataFrame:
-    """Links inside the groups (key, node, comp); with all_blocks also across the blocks of large groups."""
-    cut = _distinct_lists(members).withColumn("n_blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n_blocks")))
-    if all_blocks:
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    else:
-        cut = cut.withColumn("other", F.col("own"))
-    grouped = cut.select("node", "comp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.col("own").cast("int").alias("side"))
+def _blocks_of(size: Column) -> Column:
+    return F.ceil(size / BLOCK)
+
+
+def _block(salt: int, count: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count))
+
+
+def _links(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside the groups (group, node, comp, side)."""
     return grouped.join(sets, "node").select("group", "node", "comp", "side", "packed").repartition("group").sortWithinPartitions("group").mapInArrow(_linked, "u long, v long")
 
 
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """Groups in which all members of each key meet: one for each pair of the key's blocks."""
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("n_blocks", _blocks_of(F.col("m"))).withColumn("own", _block(7, "n_blocks"))
+    met = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    return met.select("node", "comp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.col("own").cast("int").alias("side"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Groups in which every member outside its family's largest component meets all members."""
+    comps = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    largest = comps.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("most")).select("key", "m", F.col("most.comp").alias("main"), (F.col("m") - F.col("most.n")).alias("rest")).where("rest > 0")
+    marked = members.join(largest, "key").withColumn("n_blocks", _blocks_of(F.col("m"))).withColumn("n_rest", _blocks_of(F.col("rest")))
+    held = marked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1))).select("key", "i", _block(7, "n_blocks").alias("j"), "node", "comp", F.lit(0).alias("side"))
+    asks = marked.where("comp <> main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select("key", _block(9, "n_rest").alias("i"), "j", "node", "comp", F.lit(1).alias("side"))
+    return held.union(asks).select(F.xxhash64("key", "i", "j").alias("group"), "node", "comp", "side")
+
+
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members with the component that the edges so far give their node."""
+    if edges.isEmpty():
+        return members.withColumn("comp", F.col("node"))
+    return members.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_text_hash"))
@@ -288,12 +313,10 @@ def _labels(texts: DataFrame, prints: DataFrame) -> DataFrame | None:
     nodes = full.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("_id", "_text_hash")).alias("_row"))
     ranked = survivors.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("entries")).join(nodes.select("node", "n"), "node").withColumn("left", F.size("entries") - may_drop(F.col("n")))
     kept = stored(ranked.where("`left` > 0").select("node", F.explode(F.slice("entries", F.lit(1), F.col("left"))).alias("entry")).select(F.col("entry.key").alias("key"), "node").distinct(), "kept")
-    # the first group of each node is that of the kept shingle with the least hash, which near copies mostly share
-    common = kept.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    posts = stored(kept.join(common.select("key"), "key"), "posts")
-    first = posts.groupBy("node").agg(F.min_by("key", F.xxhash64("key")).alias("key")).select("key", "node", F.col("node").alias("comp"))
-    lists = stored(_distinct_lists(posts).select("key", "node"), "lists")
-    wanted = nodes.join(lists.select("node").union(first.select("node")).distinct(), "node").select(F.col("_row._id").alias("r_id"), F.col("_row._text_hash").alias("r_hash"))
+    lists = stored(_distinct_lists(kept), "lists")
+    families = components(lists.join(lists.groupBy("key").agg(F.min("node").alias("u")), "key").select("u", F.col("node").alias("v")))
+    members = stored(families.select(F.col("comp").alias("key"), "node"), "families")
+    wanted = nodes.join(members.select("node"), "node").select(F.col("_row._id").alias("r_id"), F.col("_row._text_hash").alias("r_hash"))
     picked = texts.join(wanted, texts["_id"].eqNullSafe(F.col("r_id")) & (F.col("_text_hash") == F.col("r_hash")), "left_semi")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,18 +326,29 @@ def _labels(texts: DataFrame, prints: DataFrame) -> DataFrame | None:
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s, 11) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "packed"])
 
     sets = stored(picked.select("_text").mapInArrow(packed, "node long, packed binary"), "sets")
-    edges = stored(_links(first, sets, False), "links")
-    for last in (False, True):
-        labels = None if edges.isEmpty() else components(edges)
-        marked = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if labels is not None else lists.withColumn("comp", F.col("node"))
-        split = marked.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-        open_lists = stored(marked.join(split, "key"), "open")
-        if open_lists.isEmpty():
-            break
-        members = open_lists if last else open_lists.groupBy("key", "comp").agg(F.min("node").alias("node")).select("key", "node", "comp")
-        found = stored(_links(members, sets, last), "links")
-        if not found.isEmpty():
-            edges = edges.union(found)
+    return _rounds(lists, members, sets)
+
+
+def _rounds(lists: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, comp) of linked nodes: blocks of families, then joined blocks, then what is still apart."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+    blocked = members.join(sizes, "key").withColumn("n_blocks", _blocks_of(F.col("m")))
+    inside = blocked.select(F.xxhash64("key", _block(7, "n_blocks")).alias("group"), "node", F.col("node").alias("comp"), F.lit(0).alias("side"))
+    edges = stored(_links(inside, sets), "links")
+    large = stored(blocked.where("n_blocks > 1").select("key", "node"), "large")
+    if not large.isEmpty():
+        # one node of each component of several meets the others' of its family
+        joined = _labelled(large, edges).groupBy("key", "comp").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n > 1").select("key", "node", "comp")
+        edges = edges.union(stored(_links(_all_pairs(joined), sets), "links"))
+        apart = stored(_labelled(large, edges), "apart")
+        # the cheaper of two exact ways for each family: all against those outside the main component, or by kept shingle
+        comps = apart.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"))
+        by_list = lists.join(apart.select(F.col("key").alias("family"), "node", "comp"), "node")
+        listed = by_list.groupBy("family", "key").agg(F.count("*").alias("n")).groupBy(F.col("family").alias("key")).agg(F.sum(F.col("n") * _blocks_of(F.col("n"))).alias("listed"))
+        rest = F.col("m") - F.col("most")
+        choice = stored(comps.where(rest > 0).join(listed, "key").select("key", (F.col("m") * _blocks_of(rest) + rest * _blocks_of(F.col("m")) <= F.col("listed")).alias("whole")), "choice")
+        last = _across(apart.join(choice.where("whole").select("key"), "key")).unionByName(_all_pairs(by_list.join(choice.where("not whole").select(F.col("key").alias("family")), "family").select("key", "node", "comp")))
+        edges = edges.union(stored(_links(last, sets), "links"))
     return None if edges.isEmpty() else components(edges)
 
 
