@@ -1 +1,10 @@
-"""Operators of a training-data pipeline, one module per operator, and their queries."""
+"""Operators of a training-data pipeline, one module per operator, and their queries.
+
+Functions that run in tasks are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

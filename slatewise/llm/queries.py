@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import best_fit, decontaminate, line_crf, prefix_tree_join, surrogates
+from slatewise.llm import best_fit, chat_repair, decontaminate, license_align, line_crf, maxscore, prefix_tree_join, slot_sharding, surrogates
 from slatewise.session import configure
 
 
@@ -17,6 +17,11 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def op1_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn of every conversation, repaired and rendered."""
+    return chat_repair.repair(table(spark, folder, "conversations"))
+
+
 def op2_prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the component that its shingle links reach."""
     return prefix_tree_join.link_documents(table(spark, folder, "documents"))
@@ -35,6 +40,35 @@ def op5_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of every document by the slot map's first version."""
+    return slot_sharding.shard_records(spark, table(spark, folder, "documents"))
+
+
+def op7_patience_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document."""
+    return license_align.find_licenses(table(spark, folder, "documents"))
+
+
+def op9_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest rows by inner product of every vector whose id is divisible by 50."""
+    return maxscore.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP9_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from ranked where rank <= 5
+"""
+
+
 DUCK_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 DUCK_SHINGLES = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
 
@@ -65,9 +99,13 @@ def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_repair": (op1_chat_repair, None),
     "op2_prefix_tree_join": (op2_prefix_tree_join, None),
     "op3_line_crf_quality": (op3_line_crf_quality, None),
+    "op4_virtual_slots": (op4_virtual_slots, None),
     "op5_minhash_containment": (op5_minhash_containment, OP5_SQL),
     "op6_conflict_best_fit": (op6_conflict_best_fit, None),
+    "op7_patience_licenses": (op7_patience_licenses, None),
     "op8_surrogates": (op8_surrogates, None),
+    "op9_maxscore": (op9_maxscore, OP9_SQL),
 }
