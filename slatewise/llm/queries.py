@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import best_fit, chat_repair, decontaminate, license_align, line_crf, maxscore, prefix_tree_join, slot_sharding, surrogates
+from slatewise.llm import best_fit, chat_repair, decontaminate, license_align, line_crf, maxscore, prefix_tree_join, slot_sharding, suffix_dedup, surrogates
 from slatewise.session import configure
 
 
@@ -98,6 +98,11 @@ def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates.replace_pii(documents, PII_KEY).select("doc_id", "n_mentions", "text")
 
 
+def op10_induced_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start elsewhere too."""
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_chat_repair": (op1_chat_repair, None),
     "op2_prefix_tree_join": (op2_prefix_tree_join, None),
@@ -108,4 +113,5 @@ QUERIES = {
     "op7_patience_licenses": (op7_patience_licenses, None),
     "op8_surrogates": (op8_surrogates, None),
     "op9_maxscore": (op9_maxscore, OP9_SQL),
+    "op10_induced_suffix_dedup": (op10_induced_suffix_dedup, None),
 }
