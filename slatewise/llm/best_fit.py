@@ -8,7 +8,8 @@ spreads over all groups; each group, some ``GROUP_ROWS`` documents large at any
 itself in one task.  Pieces come in falling size.  Bins are kept in order of their residual; each carries a
 bitmap of its sources and one of its duplicate clusters.  The search starts at the least residual that holds
 the piece and goes on to the successor until a bin is compatible; levels whose bins all hold the source are
-passed over by a count.  Ties go to the older bin; without a compatible bin a new one opens.
+passed over by a count.  Of equal residuals the bin that reached it first wins; without a compatible bin a new one
+opens.
 
 Defined cases: documents without words (null or empty texts) are not packed: part 0, null bin.  A null source
 is a source.  Repeated rows are pieces of one duplicate cluster.  Ties in size go by id and part.  Extra columns are ignored.
@@ -35,7 +36,7 @@ class Bins:
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.levels: dict[int, dict[int, None]] = defaultdict(dict)  # residual -> bins, the oldest first
+        self.levels: dict[int, dict[int, None]] = defaultdict(dict)  # residual -> bins, in the order they reached it
         self.filled = 0  # bit r: some bin has residual r
         self.residual: list[int] = []
         self.sources: list[int] = []

@@ -78,9 +78,9 @@ texts as (select doc_id, {DUCK_WORDS} as w from documents),
 wanted as (select distinct item_id, unnest({DUCK_SHINGLES}) as s from items),
 sizes as (select item_id, count(*) as n from wanted group by item_id),
 held as (select distinct doc_id, unnest({DUCK_SHINGLES}) as s from texts)
-select doc_id, item_id, cast(n as bigint) as n_shingles, cast(count(*) as bigint) as n_found, count(*) / n as containment
-from held join wanted using (s) join sizes using (item_id)
-group by doc_id, item_id, n having 100 * count(*) >= 75 * n
+select doc_id, wanted.item_id, cast(n as bigint) as n_shingles, cast(count(*) as bigint) as n_found, count(*) / n as containment
+from held join wanted using (s) join sizes on wanted.item_id is not distinct from sizes.item_id
+group by doc_id, wanted.item_id, n having 100 * count(*) >= 75 * n
 """
 
 
