@@ -28,7 +28,7 @@ Two different shingles of one pair of documents are confused with probability 2^
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ THRESHOLD_PCT = 75
 BLOCK = 1024  # sets of one tree
 FLUSH = 3_000_000  # window shingles a task gathers before it writes blobs
 BUCKET = 1_500_000  # window shingles of one bucket, about
+WALK_CELLS = 4_000_000  # shingles times queries of one walk
 
 
 def window_size(n: int) -> int:
@@ -50,13 +51,14 @@ def window_size(n: int) -> int:
     return min(n, 2 * (n // 4) + 1)
 
 
-def may_drop(n):
+def may_drop(n: int) -> int:
     """How many of its most frequent window shingles a set of n may drop: L-1 for its smallest partner."""
-    return F.floor(F.ceil(n * THRESHOLD_PCT / 100) / 4).cast("int")
+    return -(-n * THRESHOLD_PCT // 100) // 4
 
 
 def node_of(values: np.ndarray, salt: int) -> int:
-    return int(mix64(values ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) if len(values) else 0
+    """A set's name, an even number; odd ones are left for shingles."""
+    return int(mix64(values ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) & ~1 if len(values) else 0
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,20 +74,21 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(n_buckets: int):
     """Blobs of window shingles by bucket: low halves of the hashes, and which of the listed nodes each belongs to."""
 
-    def packed(nodes: list[int], windows: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(nodes: list[tuple[int, int]], windows: list[np.ndarray]) -> pa.RecordBatch:
         tokens = np.concatenate(windows)
         owner = np.repeat(np.arange(len(nodes)), [len(w) for w in windows])
         bucket = ((tokens >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        low, owner, names = tokens[order].astype(np.uint32), owner[order], np.array(nodes, np.int64)
-        out: list[tuple[int, bytes, bytes, bytes]] = []
+        low, owner = tokens[order].astype(np.uint32), owner[order]
+        names, drops = np.array([n[0] for n in nodes], np.int64), np.minimum([n[1] for n in nodes], 65_535).astype(np.uint16)
+        out = []
         for k in range(n_buckets):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 listed, place = np.unique(owner[a:b], return_inverse=True)
-                out.append((k, low[a:b].tobytes(), place.astype(np.uint16).tobytes(), names[listed].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "tokens", "place", "nodes"])
+                out.append((k, low[a:b].tobytes(), place.astype(np.uint16).tobytes(), names[listed].tobytes(), drops[listed].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(1, 5))], names=["bucket", "tokens", "place", "nodes", "drops"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, windows, held, seen = [], [], 0, set()
@@ -95,7 +98,7 @@ def _windows(n_buckets: int):
                     node = node_of(values, 11)
                     if len(values) and node not in seen:
                         seen.add(node)
-                        nodes.append(node)
+                        nodes.append((node, may_drop(len(values))))
                         windows.append(values[: window_size(len(values))].copy())
                         held += len(windows[-1])
                 if held >= FLUSH or len(nodes) > 60_000:
@@ -106,42 +109,63 @@ def _windows(n_buckets: int):
     return run
 
 
-def _flush(nodes: list[int], windows: list[np.ndarray], packed) -> Iterator[pa.RecordBatch]:
+def _flush(nodes: list[tuple[int, int]], windows: list[np.ndarray], packed) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(nodes), 60_000):
         yield packed(nodes[a : a + 60_000], windows[a : a + 60_000])
 
 
-SURVIVORS = "node long, entries array<struct<df:int,key:long>>"
-
-
-def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one bucket, the shingles that two nodes or more hold, by node, with their number of nodes."""
-    bucket = key[0].as_py()
-    tokens, nodes = [], []
-    for part, place, listed in zip(table["tokens"].to_pylist(), table["place"].to_pylist(), table["nodes"].to_pylist(), strict=True):
-        tokens.append(np.frombuffer(part, np.uint32))
-        nodes.append(np.frombuffer(listed, np.int64)[np.frombuffer(place, np.uint16)])
-    # a node that several tasks met counts once: its first blob is kept
-    first = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
-    token, node = np.concatenate(tokens), np.concatenate(nodes)
-    del tokens, nodes
-    names, code = np.unique(node, return_inverse=True)
-    least = np.full(len(names), len(first), np.int64)
-    np.minimum.at(least, code, first)
-    keep = first == least[code]
-    token, code = token[keep], code[keep]
-    order = np.argsort(token, kind="stable")
-    token, code = token[order], code[order]
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
-    df = np.diff(np.append(starts, len(token)))
-    each = np.repeat(df, df)
-    pick = np.flatnonzero(each > 1)
-    pick = pick[np.argsort(code[pick], kind="stable")]
-    owner = code[pick]
-    cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
-    entries = pa.StructArray.from_arrays([pa.array(each[pick].astype(np.int32)), pa.array(token[pick].astype(np.int64) | np.int64(bucket << 32))], names=["df", "key"])
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(owner)).astype(np.int32)), entries)
-    return pa.table({"node": pa.array(names[owner[cuts]] if len(cuts) else np.zeros(0, np.int64)), "entries": lists})
+def _shared(n_parts: int):
+    """Of one bucket, the shingles that two nodes or more hold, as blobs by part of the nodes."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        tokens, nodes, drops = [], [], []
+        for part, place, listed, drop in zip(*(table[c].to_pylist() for c in ("tokens", "place", "nodes", "drops")), strict=True):
+            at = np.frombuffer(place, np.uint16)
+            tokens.append(np.frombuffer(part, np.uint32))
+            nodes.append(np.frombuffer(listed, np.int64)[at])
+            drops.append(np.frombuffer(drop, np.uint16)[at])
+        # a node that several tasks met counts once: its first blob is kept
+        first = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        token, node, drop = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(drops)
+        del tokens, nodes, drops
+        names, code = np.unique(node, return_inverse=True)
+        least = np.full(len(names), len(first), np.int64)
+        np.minimum.at(least, code, first)
+        keep = first == least[code]
+        token, node, drop = token[keep], node[keep], drop[keep]
+        order = np.argsort(token, kind="stable")
+        token, node, drop = token[order], node[order], drop[order]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
+        df = np.diff(np.append(starts, len(token)))
+        each = np.repeat(df, df)
+        pick = np.flatnonzero(each > 1)
+        part = (mix64(node[pick].view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        pick = pick[order := np.argsort(part, kind="stable")]
+        part = part[order]
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
+        ends = np.append(cuts[1:], len(part)) if len(part) else cuts
+        columns = (node[pick], drop[pick], each[pick].astype(np.uint32), token[pick])
+        blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for c in columns]
+        return pa.table([pa.array(part[cuts]), pa.array(np.full(len(cuts), bucket, np.int64)), *blobs], names=["part", "bucket", "nodes", "drops", "dfs", "tokens"])
+
+    return run
+
+
+def _kept(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """(key, node): of every node of one part the shared window shingles that it keeps, the rarest."""
+    columns = [np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("nodes", np.int64), ("drops", np.uint16), ("dfs", np.uint32), ("tokens", np.uint32))]
+    node, drop, df, token = columns
+    sizes = [len(x) // 4 for x in table["tokens"].to_pylist()]
+    token = token.astype(np.int64) | np.repeat(np.array(table["bucket"].to_pylist(), np.int64) << 32, sizes)
+    order = np.lexsort((token, df, node))
+    node, drop, token = node[order], drop[order], token[order]
+    starts = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, int)
+    count = np.diff(np.append(starts, len(node)))
+    place = np.arange(len(node)) - np.repeat(starts, count)
+    keep = place < np.repeat(count, count) - drop.astype(np.int64)
+    keep &= np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])) if len(node) else keep
+    return pa.table({"key": pa.array(token[keep]), "node": pa.array(node[keep])})
 
 
 class PrefixTree:
@@ -175,60 +199,78 @@ class PrefixTree:
                 todo += node[4]
         return root
 
-    def search(self, query: np.ndarray, end: int, skip, pct: int = THRESHOLD_PCT) -> Iterator[int]:
-        """Leaves below `end` whose set reaches the threshold with `query`; skip(first, end) leaves subtrees out."""
-        a = len(query)
-        if self.root is None or not a:
+    def search(self, queries: list[np.ndarray], leave: Callable[[int, int, np.ndarray], np.ndarray], pct: int = THRESHOLD_PCT) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, queries whose set reaches the threshold with it) in one walk for all queries.
+
+        A path carries the overlaps of the queries that are still with it.  leave(first, end, queries) says which of
+        them need not look at the leaves of a subtree.
+        """
+        sizes = np.array([len(q) for q in queries])
+        if self.root is None or not len(queries):
             return
-        todo = [(self.root, 0)]
+        listed = np.unique(np.concatenate(queries))
+        holds = np.zeros((len(listed) + 1, len(queries)), np.uint8)  # the last row: shingles that no query has
+        for i, q in enumerate(queries):
+            holds[np.searchsorted(listed, q), i] = 1
+        passed = np.zeros((len(listed) + 1, len(queries)), np.int32)  # shingles of a query among the first of the list
+        np.cumsum(holds[:-1], 0, dtype=np.int32, out=passed[1:])
+        todo = [(self.root, np.flatnonzero(sizes), np.zeros(int((sizes > 0).sum()), np.int64))]
         while todo:
-            node, overlap = todo.pop()
-            lo, hi, depth, below, children = node
-            if lo >= end or skip(lo, hi):
-                continue
+            (lo, hi, depth, below, children), live, overlap = todo.pop()
+            stay = ~leave(lo, hi, live)
+            live, overlap = live[stay], overlap[stay]
             least, most = int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max())
-            path, step, alive = self.sets[lo], 32, True
-            while alive and depth < below:
+            path, step = self.sets[lo], 32
+            while len(live) and depth < below:
                 part = path[depth : min(below, depth + step)]
-                at = np.searchsorted(query, part)
-                overlap += int((query[np.minimum(at, a - 1)] == part).sum())
+                at = np.searchsorted(listed, part)
+                known = at[listed[np.minimum(at, len(listed) - 1)] == part]
+                overlap = overlap + (holds[known][:, live] if len(live) > 16 else holds[np.ix_(known, live)]).sum(0, dtype=np.int64)
                 depth += len(part)
                 step *= 2
-                rest = a - int(np.searchsorted(query, part[-1], "right"))
-                size = min(max(rest + depth, least), most)  # the size below that has most room
-                alive = (100 + pct) * (overlap + min(size - depth, rest)) >= pct * (a + size)
-            if not alive:
+                a = sizes[live]
+                rest = a - passed[np.searchsorted(listed, part[-1], "right")][live]
+                size = np.clip(rest + depth, least, most)  # the size below that has most room
+                alive = (100 + pct) * (overlap + np.minimum(size - depth, rest)) >= pct * (a + size)
+                live, overlap = live[alive], overlap[alive]
+            if not len(live):
                 continue
             if hi - lo == 1:
-                if (100 + pct) * overlap >= pct * (a + len(path)):
-                    yield lo
+                reached = (100 + pct) * overlap >= pct * (sizes[live] + len(path))
+                if reached.any():
+                    yield lo, live[reached]
             else:
-                todo += [(child, overlap) for child in children]
+                todo += [(child, live, overlap) for child in children]
 
 
 def tree_links(nodes: list[int], sets: list[np.ndarray], comps: list[int], sides: list[int]) -> list[tuple[int, int]]:
     """A spanning star of every component found: all pairs of one side, or of two sides the pairs across."""
-    two = len(set(sides)) > 1
-    inside = [i for i, s in enumerate(sides) if not two or s == max(sides)]
-    tree = PrefixTree([sets[i] for i in inside])
-    leaf = [inside[i] for i in tree.order]
-    queries = [i for i, s in enumerate(sides) if two and s != max(sides)] or leaf
+    asking = [i for i, s in enumerate(sides) if s == max(sides)]
+    tree = PrefixTree([sets[i] for i in range(len(sets)) if len(set(sides)) == 1 or sides[i] != max(sides)])
+    held = [i for i in range(len(sets)) if len(set(sides)) == 1 or sides[i] != max(sides)]
+    leaves = np.array([held[i] for i in tree.order])
     comp = np.unique(np.array(comps, np.int64), return_inverse=True)[1]
     before = comp.copy()
-    leaves = np.array(leaf)
-    for turn, i in enumerate(queries):
-        end = len(leaf) if two else turn
-
-        def settled(lo: int, hi: int, i: int = i) -> bool:
-            return bool((comp[leaves[lo:hi]] == comp[i]).all())
-
-        for at in tree.search(sets[i], end, settled):
-            if comp[leaf[at]] != comp[i]:
-                comp[comp == comp[leaf[at]]] = comp[i]
+    start = 0
+    while start < len(asking):
+        # as many queries as keep the tables of one walk small
+        end, total = start, 0
+        while end < len(asking) and (end == start or (total + len(sets[asking[end]])) * (end + 1 - start) <= WALK_CELLS):
+            total += len(sets[asking[end]])
+            end += 1
+        mine = np.array(asking[start:end])
+        start = end
+
+        def settled(lo: int, hi: int, live: np.ndarray, mine: np.ndarray = mine) -> np.ndarray:
+            below = comp[leaves[lo:hi]]
+            return comp[mine[live]] == below[0] if (below == below[0]).all() else np.zeros(len(live), bool)
+
+        for leaf, found in tree.search([sets[i] for i in mine], settled):
+            joined = np.unique(np.append(comp[mine[found]], comp[leaves[leaf]]))
+            comp[np.isin(comp, joined[1:])] = joined[0]
     out = []
     for c in np.unique(comp[comp != before]):
-        members = np.flatnonzero(comp == c)
-        heads = {int(before[m]): nodes[m] for m in members.tolist()}  # one node of each earlier component is enough
+        heads = {int(before[m]): nodes[m] for m in np.flatnonzero(comp == c).tolist()}  # one node of each earlier component is enough
         least = min(heads.values())
         out += [(least, v) for v in heads.values() if v != least]
     return out
@@ -309,13 +351,14 @@ def _labels(texts: DataFrame, prints: DataFrame) -> DataFrame | None:
     full = prints.where("n > 0")
     total = full.agg(F.sum(F.least("n", 2 * F.floor(F.col("n") / 4) + 1))).first()[0] or 0
     n_buckets = max(1, -(-int(total) // BUCKET))
-    survivors = texts.select("_text").mapInArrow(_windows(n_buckets), "bucket long, tokens binary, place binary, nodes binary").groupBy("bucket").applyInArrow(_shared, SURVIVORS)
-    nodes = full.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("_id", "_text_hash")).alias("_row"))
-    ranked = survivors.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("entries")).join(nodes.select("node", "n"), "node").withColumn("left", F.size("entries") - may_drop(F.col("n")))
-    kept = stored(ranked.where("`left` > 0").select("node", F.explode(F.slice("entries", F.lit(1), F.col("left"))).alias("entry")).select(F.col("entry.key").alias("key"), "node").distinct(), "kept")
+    blobs = texts.select("_text").mapInArrow(_windows(n_buckets), "bucket long, tokens binary, place binary, nodes binary, drops binary")
+    shared = blobs.groupBy("bucket").applyInArrow(_shared(max(1, n_buckets // 4)), "part long, bucket long, nodes binary, drops binary, dfs binary, tokens binary")
+    kept = stored(shared.groupBy("part").applyInArrow(_kept, "key long, node long"), "kept")
+    nodes = full.groupBy("node").agg(F.min(F.struct("_id", "_text_hash")).alias("_row"))
     lists = stored(_distinct_lists(kept), "lists")
-    families = components(lists.join(lists.groupBy("key").agg(F.min("node").alias("u")), "key").select("u", F.col("node").alias("v")))
-    members = stored(families.select(F.col("comp").alias("key"), "node"), "families")
+    # sets and shingles are the nodes, even and odd, of one graph
+    families = components(lists.select(F.xxhash64("key").bitwiseOR(F.lit(1)).alias("u"), F.col("node").alias("v")))
+    members = stored(families.where("node % 2 = 0").select(F.col("comp").alias("key"), "node"), "families")
     wanted = nodes.join(members.select("node"), "node").select(F.col("_row._id").alias("r_id"), F.col("_row._text_hash").alias("r_hash"))
     picked = texts.join(wanted, texts["_id"].eqNullSafe(F.col("r_id")) & (F.col("_text_hash") == F.col("r_hash")), "left_semi")
 

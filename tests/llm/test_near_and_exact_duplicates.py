@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from slatewise.llm import prefix_tree_join, suffix_dedup
+from slatewise.llm import components, prefix_tree_join, suffix_dedup
 from slatewise.llm.prefix_tree_join import PrefixTree, link_documents, tree_links, window_size
 from slatewise.llm.suffix_dedup import LENGTH, remove_repeats, repeated_windows
 
@@ -88,14 +88,27 @@ def test_tree_search_finds_every_pair():
     sets = [np.unique(np.append(rng.choice(base, rng.integers(20, len(base)), replace=False), rng.integers(0, 9000, 20, dtype=np.uint64))) for _ in range(60)]
     sets += [sets[0][:-1], sets[0][:5], np.array([7], np.uint64)]
     tree = PrefixTree(sets)
-    for i, query in enumerate(tree.sets):
-        found = set(tree.search(query, i, lambda lo, hi: False))
-        assert found == {j for j in range(i) if 100 * len(np.intersect1d(query, tree.sets[j])) >= 75 * len(np.union1d(query, tree.sets[j]))}
+    found = {(i, leaf) for leaf, queries in tree.search(tree.sets, lambda lo, hi, live: np.zeros(len(live), bool)) for i in queries.tolist()}
+    assert found == {(i, j) for i, a in enumerate(tree.sets) for j, b in enumerate(tree.sets) if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))}
     nodes = list(range(len(sets)))
     assert tree_links(nodes[:1], sets[:1], [0], [0]) == []
     assert tree_links([5, 6], [sets[0], sets[0][:-1]], [5, 6], [0, 1]) == [(5, 6)]
 
 
+@pytest.mark.parametrize("task_edges", [1_000_000, 20])
+def test_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    rng = random.Random(1)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 260)]
+    top = {x: x for p in pairs for x in p}
+    for _ in top:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == top
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_windows_hold_the_prefix():
     for n in range(1, 400):
         assert min(n, n // 4 + 1) <= window_size(n) <= n
