@@ -50,6 +50,7 @@ BLOCK = 1 << 20  # text bytes hashed at once
 BUCKET = 1_000_000  # cores of a bucket, about
 FLUSH = 2_000_000  # cores a task gathers before it writes blobs
 SHARD = 60_000  # records of a shard, about
+HELD = 20_000  # records a task gathers before it sends them on
 MEMORY = 48 << 20
 SLICE = 1 << 16
 
@@ -176,18 +177,33 @@ def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 WIDTH = LENGTH + HALF  # bytes that the windows of one half may reach
 
 
-def _records(n_shards: int):
-    """Records of a text's repeated cores: shard, sample code, the bytes in reach and which of them exist."""
+RECORD = "shard long, text_key long, code long, first short, end short, content binary, a long, b long"
+
 
-    names = ("shard", "text_key", "code", "first", "end", "content")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
+def _records(n_shards: int):
+    """Records of texts' repeated cores: shard, sample code, the bytes in reach and which of them exist.
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
+    Equal records that meet in a task are repeated whole: their interval (a, b) is known at once and travels
+    without bytes, and one of them stands for all, so that a passage of many documents sends a few records a task.
+    """
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.int64(), pa.int64())
+
+    def packed(held: dict[tuple[int, bytes], list[tuple[int, int]]], clipped: list[tuple]) -> pa.RecordBatch:
+        rows, known = clipped, {}
+        for (shard, content), members in held.items():
+            rows.append((shard, *members[0], 0, WIDTH, content, None, None))
+            for key, code in members if len(members) > 1 else ():
+                a = (code >> 1) - HALVES[code & 1][1]
+                known.setdefault(key, []).append((a, a + WIDTH))
+        for key, spans in known.items():
+            for a, b in merged(spans):
+                rows.append((key % n_shards, key, 0, 0, 0, None, a, b))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held, clipped, count = {}, [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 key, data = batch.column(0)[i].as_py(), memoryview(batch.column(1)[i].as_buffer())
@@ -197,15 +213,31 @@ def _records(n_shards: int):
                     first, end = max(0, -lo), min(WIDTH, len(data) - lo)
                     content = bytes(first) + bytes(data[lo + first : lo + end]) + bytes(WIDTH - end)
                     core = hashlib.blake2b(data[sample - least : sample - most + LENGTH], digest_size=8).digest()
-                    rows.append((int.from_bytes(core, "big") % n_shards, key, code, first, end, content))
-                    if len(rows) >= 4096:
-                        yield packed(rows)
-                        rows = []
-        yield packed(rows)
+                    shard = int.from_bytes(core, "big") % n_shards
+                    if first or end < WIDTH:
+                        clipped.append((shard, key, code, first, end, content, None, None))
+                    else:
+                        held.setdefault((shard, content), []).append((key, code))
+                    count += 1
+                    if len(held) + len(clipped) >= HELD or count >= 16 * HELD:
+                        yield packed(held, clipped)
+                        held, clipped, count = {}, [], 0
+        yield packed(held, clipped)
 
     return run
 
 
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Intervals in order, overlapping and touching ones as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def roomy_array(kind: type, *shape: int) -> np.ndarray:
     """Zeros in memory, or in an unnamed local file where they would take more than MEMORY."""
     if np.dtype(kind).itemsize * int(np.prod(shape)) <= MEMORY:
@@ -303,8 +335,19 @@ def _runs(queue: Tuples, offset: int, first: np.ndarray, end: np.ndarray) -> Ite
 
 
 def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed intervals (text, from, to) found in each shard of a partition sorted by shard."""
-    for _, (spool, keys, codes, first, end) in _spooled(batches):
+    """Removed intervals (text, from, to): those that came known, then those found in each shard of the sorted partition."""
+    known: list[pa.RecordBatch] = []
+
+    def kept_aside() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ready = batch.filter(batch.column(5).is_null())
+            if ready.num_rows:
+                known.append(ready.select(["text_key", "a", "b"]))
+            yield batch
+
+    for _, (spool, keys, codes, first, end) in _spooled(kept_aside()):
+        yield from known
+        known.clear()
         found = roomy_array(bool, len(keys), HALF + 1)  # window starts by record
         for offset, records in repeated_windows(spool.bytes(), first, end):
             found[records, offset] = True
@@ -315,6 +358,7 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             record += at
             base = (codes[record] >> 1) - np.array([h[1] for h in HALVES])[codes[record] & 1]
             yield pa.RecordBatch.from_arrays([pa.array(keys[record]), pa.array(base + start), pa.array(base + stop - 1 + LENGTH)], names=["text_key", "a", "b"])
+    yield from known
 
 
 class Spool:
@@ -343,6 +387,7 @@ def _spooled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[Spo
         return shard, (spool, *(np.concatenate([p[i] for p in parts]) for i in range(4)))
 
     for batch in batches:
+        batch = batch.filter(batch.column(5).is_valid())
         codes = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -366,19 +411,13 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, str]] = []
         for i in range(batch.num_rows):
             data = memoryview(column[i].as_buffer()) if column[i].is_valid else memoryview(b"")
-            merged: list[list[int]] = []
-            if spans[i].is_valid:
-                for span in sorted((s["a"], s["b"]) for s in spans[i].as_py()):
-                    if merged and span[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], span[1])
-                    else:
-                        merged.append(list(span))
+            gone = merged([(s["a"], s["b"]) for s in spans[i].as_py()]) if spans[i].is_valid else []
             rest, at = hashlib.sha256(), 0
-            for a, b in merged:
+            for a, b in gone:
                 rest.update(data[at:a])
                 at = b
             rest.update(data[at:])
-            out.append((len(data), sum(b - a for a, b in merged), len(merged), rest.hexdigest()))
+            out.append((len(data), sum(b - a for a, b in gone), len(gone), rest.hexdigest()))
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -398,7 +437,7 @@ def repeated_spans(documents: DataFrame, *, text_col: str = "text") -> DataFrame
     # one row of each text; copies of it are left to adaptive splitting
     marked = documents.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text")).where(F.octet_length("_text") >= LENGTH)
     found = marked.join(wanted, "text_key").select("text_key", F.col("_text").cast("binary").alias("_text"), "codes")
-    records = found.mapInArrow(_fresh(_records(n_shards)), "shard long, text_key long, code long, first short, end short, content binary")
+    records = found.mapInArrow(_fresh(_records(n_shards)), RECORD)
     sorted_records = records.repartition("shard").sortWithinPartitions("shard")
     intervals = sorted_records.mapInArrow(_sorted_shard, "text_key long, a long, b long")
     whole = copies.where("n > 1").select("text_key", F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))
