@@ -241,7 +241,7 @@ def series_state(games: DataFrame) -> DataFrame:
     tail = games.join(day, key).join(others, key, "left").filter("opponent = last_opponent and (cut_pk is null or game_pk > cut_pk)")
     last_win = F.max(F.when(F.col("win") == 1, F.col("game_pk")))
     folded = tail.groupBy(*key, "last_opponent", "opponents").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("win").alias("wins"), F.sum("rf").alias("rf"), F.sum("ra").alias("ra"), F.sum("game_pk").alias("ids"),
+        F.count(F.lit(1)).alias("n"), F.sum("win").alias("wins"), F.sum("rf").alias("rf"), F.sum("ra").alias("ra"), F.sum(game_mark(0)).alias("ids"), F.sum(game_mark(1)).alias("ids2"),
         F.max_by(F.struct("game_pk", "win", "rf", "ra"), "game_pk").alias("latest"), last_win.alias("win_pk"),
     )
     after_win = tail.join(folded.select(*key, "win_pk"), key).groupBy(*key).agg(F.count_if(F.col("win_pk").isNull() | (F.col("game_pk") > F.col("win_pk"))).alias("losses"))
@@ -254,17 +254,22 @@ def series_state(games: DataFrame) -> DataFrame:
     run = Window.partitionBy("team", "island").orderBy("game_date").rowsBetween(Window.unboundedPreceding, 0)
     losing = Window.partitionBy("team", "island", "streak").orderBy("game_date").rowsBetween(Window.unboundedPreceding, 0)
     after = rows.select(
-        *key, F.struct(F.col("last_opponent").alias("opponent"), *[F.sum(c).over(run).alias(c) for c in ("n", "wins", "rf", "ra", "ids")],
+        *key, F.struct(F.col("last_opponent").alias("opponent"), *[F.sum(c).over(run).alias(c) for c in ("n", "wins", "rf", "ra", "ids", "ids2")],
                        F.col("latest"), F.sum("losses").over(losing).alias("losing")).alias("after"),
     )
     before = F.last("after", ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, -1))
     return after.select(*key, before.alias("state"))
 
 
+def game_mark(salt: int) -> Column:
+    """A game's share in the mark of a set of games: two such sums agree for equal sets only, but for chance."""
+    return F.pmod(F.xxhash64("game_pk", F.lit(salt)), F.lit(1 << 40))
+
+
 def series_islands(slate: DataFrame, games: DataFrame) -> DataFrame:
     """The current series of each slate game (game_pk, game_date, away_team, home_team).
 
-    Both clubs must have met last; else the game opens a series.  Both views must count the same
+    Both clubs must have met last; else the game opens a series.  Both views must hold the same
     games; where they do not the status is INCONSISTENT.
     """
     states = series_state(games)
@@ -272,7 +277,7 @@ def series_islands(slate: DataFrame, games: DataFrame) -> DataFrame:
     for side in ("away", "home"):
         rows = rows.join(states.select(F.col("team").alias(f"{side}_team"), "game_date", F.col("state").alias(side)), [f"{side}_team", "game_date"], "left")
     active = (F.col("away.opponent") == F.col("home_team")) & (F.col("home.opponent") == F.col("away_team"))
-    same = (F.col("away.n") == F.col("home.n")) & (F.col("away.ids") == F.col("home.ids"))
+    same = (F.col("away.n") == F.col("home.n")) & (F.col("away.ids") == F.col("home.ids")) & (F.col("away.ids2") == F.col("home.ids2"))
     status = F.when(F.coalesce(active, F.lit(False)), F.when(same, "COMPLETE").otherwise("INCONSISTENT")).otherwise("SERIES_OPENER")
     rows = rows.withColumn("status", status)
     on = F.col("status") == "COMPLETE"

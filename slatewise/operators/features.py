@@ -83,20 +83,20 @@ def feature_catalog(features: DataFrame, names: Sequence[str]) -> DataFrame:
 def feature_authority(rows: DataFrame, names: Sequence[str] = LIVE_FEATURES) -> DataFrame:
     """Which live inputs history supports, from live_/missing_ pairs.
 
-    Observed values collapse to (feature, value) counts before distinct counts and variance.
+    Observed values collapse to (feature, value) counts before distinct counts.
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"live_{n}").alias("value"), F.col(f"missing_{n}").alias("missing")) for n in names])
     long = rows.select(F.inline(pairs))
     values = long.groupBy("feature", F.when(F.col("missing") < 0.5, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     seen = F.col("value").isNotNull()
-    n, v = F.when(seen, F.col("n")).otherwise(0), F.coalesce("value", F.lit(0.0))
+    n = F.when(seen, F.col("n")).otherwise(0)
     stats = values.groupBy("feature").agg(
-        F.sum("n").alias("historical_rows"), F.sum(n).alias("observed_rows"), F.count_if(seen).alias("unique_values"), F.sum(n * v).alias("s1"), F.sum(n * v * v).alias("s2")
+        F.sum("n").alias("historical_rows"), F.sum(n).alias("observed_rows"), F.count_if(seen).alias("unique_values")
     )
-    mean = F.col("s1") / F.nullif(F.col("observed_rows"), F.lit(0))
-    variance = F.when(F.col("observed_rows") >= 2, F.greatest(F.lit(0.0), F.col("s2") / F.nullif(F.col("observed_rows"), F.lit(0)) - mean * mean))
-    out = stats.withColumns({"coverage": F.col("observed_rows") / F.col("historical_rows"), "variance": variance})
-    trained = (F.col("observed_rows") >= MINIMUM_OBSERVATIONS) & (F.col("unique_values") >= 2) & (F.coalesce("variance", F.lit(0.0)) > 1e-12)
+    # merged by count, mean and squared deviations, so large values cancel nothing
+    spread = long.groupBy("feature").agg(F.var_pop(F.when(F.col("missing") < 0.5, F.col("value"))).alias("spread"))
+    out = stats.join(spread, "feature").withColumns({"coverage": F.col("observed_rows") / F.col("historical_rows"), "variance": F.when(F.col("observed_rows") >= 2, F.col("spread"))})
+    trained = (F.col("observed_rows") >= MINIMUM_OBSERVATIONS) & (F.col("unique_values") >= 2) & (F.coalesce("variance", F.lit(0.0)) > 0)
     status = (
         F.when(trained, "ACTIVE_TRAINED")
         .when(F.col("feature").isin(*SCORE_PROXIES), "ACTIVE_DIRECT_PROXY")
@@ -105,7 +105,7 @@ def feature_authority(rows: DataFrame, names: Sequence[str] = LIVE_FEATURES) ->
     )
     out = out.withColumns({"feature_group": feature_group(F.concat(F.lit("live_"), F.col("feature"))), "status": status})
     same = Window.partitionBy("status")  # one row per live input
-    return out.withColumn("status_count", F.count(F.lit(1)).over(same)).drop("s1", "s2")
+    return out.withColumn("status_count", F.count(F.lit(1)).over(same)).drop("spread")
 
 
 def exact_medians(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -272,6 +272,7 @@ def row_fingerprint(rows: DataFrame, key: str) -> DataFrame:
 
 
 def table_fingerprint(fingerprints: DataFrame) -> DataFrame:
-    """One order-free fingerprint of a table: row count and digest sum, merged map-side."""
-    part = F.conv(F.substring("fingerprint", 1, 12), 16, 10).cast("decimal(38,0)")
-    return fingerprints.agg(F.count(F.lit(1)).alias("rows"), F.sum(part).alias("s")).select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.col("s").cast("string")), 256).alias("fingerprint"))
+    """One order-free fingerprint of a table: row count and the sums of the digests' six lanes, merged map-side."""
+    lanes = [F.sum(F.conv(F.substring("fingerprint", at, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in range(1, 64, 12)]
+    sums = fingerprints.agg(F.count(F.lit(1)).alias("rows"), *lanes)
+    return sums.select("rows", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in sums.columns]), 256).alias("fingerprint"))

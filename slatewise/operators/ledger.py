@@ -19,11 +19,18 @@ OUTCOME_KEYS = (
 REQUIRED_PROVENANCE = ("schedule", "live_feed", "pitcher_stats", "market_input")
 PLACEHOLDERS = ("", "missing", "none", "neutral", "neutral_placeholder", "unknown")
 SHA256_PATTERN = "^[0-9a-f]{64}$"
+SCHEMA_VERSION = 1
 MINIMUM_PROSPECTIVE_GAMES = 500
 AUDIT_MINIMUM_GRADED = 100
 AUDIT_MINIMUM_FILTERED = 30
 
 
+def latest_predictions(ledger: DataFrame) -> DataFrame:
+    """The last revision of every game's prediction, by one aggregation."""
+    rows = ledger.filter("event_type = 'prediction'")
+    return rows.groupBy("game_pk").agg(F.max_by(F.struct(*rows.columns), "revision").alias("last")).select("last.*")
+
+
 def latest_event_join(ledger: DataFrame) -> DataFrame:
     """Latest prediction, outcome and closing line per game in one aggregation.
 
@@ -174,29 +181,36 @@ def abstention_by_reason(ledger: DataFrame) -> DataFrame:
 
 
 def event_content() -> Column:
-    """The canonical text of an event that its digest covers, without the link to its predecessor."""
-    return F.concat_ws("|", F.col("sequence").cast("string"), "event_type", F.col("game_pk").cast("string"), "source", "payload")
+    """The canonical text of a whole event, which its digest covers, without the link to its predecessor."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
+    fields = ("schema_version", "sequence", "event_type", "game_pk", "recorded_at", "scheduled_start", "source", "snapshot_sha256", "provenance", "payload")
+    return F.concat_ws("|", *[known(c) for c in fields])
 
 
 def hash_chain_verify(events: DataFrame, content: Column | None = None) -> DataFrame:
     """Per ledger stream: is the chain intact, and where and how does it first break.
 
     Each event meets its predecessor by an equality join on (stream, sequence), so one long
-    ledger spreads over the cluster instead of being walked in order by a single task.
+    ledger spreads over the cluster instead of being walked in order by a single task.  A
+    sequence that occurs twice is a break, also at the end of the ledger (a fork).
     """
     content = event_content() if content is None else content
     digest = F.sha2(F.concat(content, F.lit("|"), F.coalesce("previous_event_sha256", F.lit(""))), 256)
-    rows = events.select("stream", "sequence", "event_type", "previous_event_sha256", "event_sha256", digest.alias("actual"))
-    before = events.select("stream", (F.col("sequence") + 1).alias("sequence"), F.col("event_sha256").alias("linked")).distinct()
+    rows = events.select("stream", "sequence", "event_type", "schema_version", "previous_event_sha256", "event_sha256", digest.alias("actual"))
+    places = events.groupBy("stream", "sequence").agg(F.count(F.lit(1)).alias("copies"), F.min("event_sha256").alias("linked"))
+    before = places.select("stream", (F.col("sequence") + 1).alias("sequence"), "linked")
     copies = events.groupBy("stream", "event_sha256").agg(F.min("sequence").alias("first_use"))
-    joined = rows.join(before, ["stream", "sequence"], "left").join(copies, ["stream", "event_sha256"])
+    repeats = places.select("stream", "sequence", "copies")
+    joined = rows.join(before, ["stream", "sequence"], "left").join(repeats, ["stream", "sequence"]).join(copies, ["stream", "event_sha256"])
     first = F.col("sequence") == 1
     problem = (
-        F.when(~first & F.col("linked").isNull(), "sequence_gap")
+        F.when(F.col("copies") > 1, "repeated_sequence")
+        .when(~first & F.col("linked").isNull(), "sequence_gap")
         .when(first & F.col("previous_event_sha256").isNotNull(), "broken_chain")
         .when(~first & ~F.col("previous_event_sha256").eqNullSafe(F.col("linked")), "broken_chain")
         .when(F.col("first_use") < F.col("sequence"), "duplicate_hash")
         .when(F.col("event_sha256") != F.col("actual"), "hash_mismatch")
+        .when(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), "unsupported_schema")
         .when(~F.col("event_type").isin(*EVENT_TYPES), "unknown_event_type")
     )
     marked = joined.withColumn("problem", problem)

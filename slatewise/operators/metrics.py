@@ -373,7 +373,7 @@ def paired_bootstrap(df: DataFrame, outcome: str, baseline: str, candidate: str,
 
 def resample_place(rep: Column, i: Column, n: int) -> Column:
     digest = F.md5(F.concat_ws(":", rep.cast("string"), i.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
 
 
 def _weighted_differences(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from slatewise.operators import context, history, pitching, scoring
+from slatewise.operators import context, history, ledger, pitching, scoring
 from slatewise.plans.history_queries import SCORED, doubles
 from slatewise.plans.market_queries import dec
 from slatewise.plans.pitching_queries import ROLES
@@ -293,7 +293,7 @@ def series_policy(t):
     return context.series_policy(context.selection_policy(_picks(t), TOP_N), context.series_summary(_series(t)), t.contexts, TOP_N)
 
 
-FIRST = "fl as (select game_pk, home_odds, away_odds from ledger where event_type = 'prediction' and revision = 0)"
+FIRST = "fl as (select game_pk, home_odds, away_odds from last_predictions where true)"
 SLATE_COLUMNS = "game_pk:i game_date:s pick:s pick_probability:d pick_odds:i no_vig_pick_probability:d break_even_probability:d edge_vs_no_vig:d fair_odds:i model_overlap:i confidence_score:d selection_reasons:s selection_status:s confidence_rank:i selection_rank:i is_top_pick:b"
 ODDS = "case when away_p >= 0.5 then away_odds else home_odds end"
 
@@ -313,7 +313,7 @@ ODDS = "case when away_p >= 0.5 then away_odds else home_odds end"
 def slate_evaluation(t):
     scored = scoring.logit_scores(history.matchup_features(t.contests))
     rows = scored.select("game_pk", "game_date", "team_a", "team_a_is_home", F.col("strength_probability").alias("model_probability"), F.col("prior_probability").alias("score_probability"))
-    prices = t.ledger.filter("event_type = 'prediction' and revision = 0").select("game_pk", "away_team", "home_team", "away_odds", "home_odds")
+    prices = ledger.latest_predictions(t.ledger).select("game_pk", "away_team", "home_team", "away_odds", "home_odds")
     runs = t.draws.groupBy("game_pk").agg(F.avg("away_runs").alias("simulated_away_runs"), F.avg("home_runs").alias("simulated_home_runs"))
     return context.slate_evaluation(rows.join(prices, "game_pk").join(runs, "game_pk"), _components(t), TOP_N)
 
@@ -321,11 +321,11 @@ def slate_evaluation(t):
 @query(
     "track_analysis_join",
     "game_pk:i away_probability:d shadow_away_probability:d shadow_delta:d projected_away_runs:d projected_home_runs:d away_votes:i model_overlap:i",
-    f"""{VOTES}, {RUNS}, pr as (select game_pk, 1 - production_home_probability as away_probability, case when priority <> '3-MEDIUM' then 1 - home_probability end as shadow_away_probability from ledger where event_type = 'prediction' and revision = 0)
+    f"""{VOTES}, {RUNS}, pr as (select game_pk, 1 - production_home_probability as away_probability, case when priority <> '3-MEDIUM' then 1 - home_probability end as shadow_away_probability from last_predictions where true)
     => select *, shadow_away_probability - away_probability as shadow_delta, simulated_away_runs as projected_away_runs, simulated_home_runs as projected_home_runs, greatest(away_votes, model_count - away_votes) as model_overlap from pr join votes using (game_pk) join runs using (game_pk)""",
 )
 def track_analysis_join(t):
-    first = t.ledger.filter("event_type = 'prediction' and revision = 0")
+    first = ledger.latest_predictions(t.ledger)
     production = first.select("game_pk", (1 - F.col("production_home_probability")).alias("away_probability"))
     shadow = first.filter("priority <> '3-MEDIUM'").select("game_pk", (1 - F.col("home_probability")).alias("away_probability"))
     return context.track_analysis_join(production, shadow, _components(t), t.draws)

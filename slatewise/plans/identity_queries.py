@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from slatewise.operators import identity
+from slatewise.operators import identity, ledger
 from slatewise.plans.registry import query
 
 
@@ -132,7 +132,7 @@ def nearest_event_match(t):
 
 def _track(t, column):
     p = F.col(column)
-    return t.ledger.filter("event_type = 'prediction' and revision = 0").select(
+    return ledger.latest_predictions(t.ledger).select(
         "game_pk", "away_team", "home_team", F.when(p >= 0.5, F.col("home_team")).otherwise(F.col("away_team")).alias("pick"), F.greatest(p, 1 - p).alias("pick_probability")
     )
 
@@ -141,7 +141,7 @@ def _track(t, column):
     "one_to_one_compare_join",
     "game_pk:i pick:s pick_probability:d shadow_pick:s shadow_pick_probability:d disagree:b shadow_advantage:d",
     """p as (select game_pk, case when production_home_probability >= 0.5 then home_team else away_team end as pick, greatest(production_home_probability, 1 - production_home_probability) as pick_probability,
-      case when home_probability >= 0.5 then home_team else away_team end as shadow_pick, greatest(home_probability, 1 - home_probability) as shadow_pick_probability from ledger where event_type = 'prediction' and revision = 0)
+      case when home_probability >= 0.5 then home_team else away_team end as shadow_pick, greatest(home_probability, 1 - home_probability) as shadow_pick_probability from last_predictions where true)
     => select *, pick <> shadow_pick as disagree, shadow_pick_probability - pick_probability as shadow_advantage from p""",
 )
 def one_to_one_compare_join(t):
@@ -218,11 +218,11 @@ def history_union(t):
 @query(
     "ready_blocked_union",
     "game_pk:i home_probability:d selection_status:s eligible_for_top_pick:b is_top_pick:b",
-    """=> select game_pk, home_probability, selection_status, selection_status = 'ELIGIBLE' as eligible_for_top_pick, selection_status = 'ELIGIBLE' and home_probability > 0.9 as is_top_pick from ledger where event_type = 'prediction' and revision = 0 and selection_status <> 'BLOCKED'
-    union all select game_pk, null, 'PASS', false, false from ledger where event_type = 'prediction' and revision = 0 and selection_status = 'BLOCKED'""",
+    """=> select game_pk, home_probability, selection_status, selection_status = 'ELIGIBLE' as eligible_for_top_pick, selection_status = 'ELIGIBLE' and home_probability > 0.9 as is_top_pick from last_predictions where true and selection_status <> 'BLOCKED'
+    union all select game_pk, null, 'PASS', false, false from last_predictions where true and selection_status = 'BLOCKED'""",
 )
 def ready_blocked_union(t):
-    first = t.ledger.filter("event_type = 'prediction' and revision = 0")
+    first = ledger.latest_predictions(t.ledger)
     ok = F.col("selection_status") == "ELIGIBLE"
     done = first.filter("selection_status <> 'BLOCKED'").select(
         "game_pk", "home_probability", "selection_status", ok.alias("eligible_for_top_pick"), (ok & (F.col("home_probability") > 0.9)).alias("is_top_pick")
@@ -296,6 +296,7 @@ def schedule_dedupe_merge(t):
 
 
 PRINT = """f as (select game_pk, sha256('game_pk=' || game_pk || '|a_runs=' || a_runs || '|a_starter=' || a_starter || '|b_runs=' || b_runs || '|b_starter=' || b_starter || '|team_a=' || team_a || '|team_b=' || team_b) as fingerprint from contests)"""
+LANES = ", ".join(f"sum(cast('0x' || substr(fingerprint, {12 * i + 1}, 12) as bigint)) as s{i}" for i in range(6))
 PRINTED = ["game_pk", "team_a", "team_b", "a_runs", "b_runs", "a_starter", "b_starter"]
 
 
@@ -307,7 +308,7 @@ def row_fingerprint(t):
 @query(
     "table_fingerprint",
     "rows:i fingerprint:s",
-    f"{PRINT}, s as (select count(*) as rows, sum(cast('0x' || substr(fingerprint, 1, 12) as bigint)) as s from f) => select rows, sha256(rows || ':' || s) as fingerprint from s",
+    f"{PRINT}, s as (select count(*) as rows, {LANES} from f) => select rows, sha256(concat_ws(':', rows, s0, s1, s2, s3, s4, s5)) as fingerprint from s",
 )
 def table_fingerprint(t):
     return identity.table_fingerprint(identity.row_fingerprint(t.contests.select(*PRINTED), "game_pk"))

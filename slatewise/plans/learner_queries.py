@@ -103,7 +103,7 @@ def experiment(t):
     for alpha in sorted({c[3] for c in CONTRACTS.values()}):
         rows = t.written(f"matchups_{alpha}", partial(with_decay, t, alpha))
         chosen = {n: features.contract_columns(COLUMNS, windows=w, momentum=m, last_game=last) for n, (w, m, last, a) in CONTRACTS.items() if a == alpha}
-        parts.append(learners.walk_forward(rows, WINDOWS[:1], chosen, MINIMUM_TRAIN))
+        parts.append(learners.walk_forward(rows, WINDOWS, chosen, MINIMUM_TRAIN))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -131,10 +131,12 @@ def abstention_by_reason(t):
 
 
 CHAIN = """
-lagged as (select *, lag(sequence) over (partition by stream order by sequence) as ps, lag(event_sha256) over (partition by stream order by sequence) as ph,
-   row_number() over (partition by stream, event_sha256 order by sequence) as nth from evidence),
-marked as (select *, case when sequence > 1 and (ps is null or ps <> sequence - 1) then 'sequence_gap' when previous_event_sha256 is distinct from ph then 'broken_chain' when nth > 1 then 'duplicate_hash'
-   when event_sha256 <> sha256(sequence || '|' || event_type || '|' || game_pk || '|' || source || '|' || payload || '|' || coalesce(previous_event_sha256, '')) then 'hash_mismatch' end as problem from lagged),
+placed as (select stream, sequence, count(*) as copies, min(event_sha256) as linked from evidence group by stream, sequence),
+lagged as (select e.*, b.linked as ph, p.copies, row_number() over (partition by e.stream, e.event_sha256 order by e.sequence) as nth
+   from evidence e join placed p using (stream, sequence) left join placed b on b.stream = e.stream and b.sequence = e.sequence - 1),
+marked as (select *, case when copies > 1 then 'repeated_sequence' when sequence > 1 and ph is null then 'sequence_gap' when previous_event_sha256 is distinct from ph then 'broken_chain' when nth > 1 then 'duplicate_hash'
+   when event_sha256 <> sha256(schema_version || '|' || sequence || '|' || event_type || '|' || game_pk || '|' || recorded_at || '|' || scheduled_start || '|' || source || '|' || coalesce(snapshot_sha256, '~') || '|' || provenance || '|' || payload || '|' || coalesce(previous_event_sha256, '')) then 'hash_mismatch'
+   when schema_version <> 1 then 'unsupported_schema' end as problem from lagged),
 chain as (select stream, count(*) as events, min(sequence) filter (where problem is not null) as first_break, arg_min(problem, sequence) filter (where problem is not null) as problem from marked group by stream)
 """
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from slatewise.functions import odds
-from slatewise.operators import market
+from slatewise.operators import ledger, market
 from slatewise.plans.registry import query
 
 DEC = "case when {o} > 0 then 1 + {o} / 100.0 else 1 + 100.0 / abs({o}) end"
@@ -221,9 +221,18 @@ def best_quote_per_market(t):
 @query(
     "rank_high_probability",
     "market_key:s sportsbook:s american_odds:i win_probability:d push_probability:d",
-    f"{PRICED}, {BEST.format(src='priced')} => select * from best order by win_probability desc, push_probability, game_pk desc, market_key desc limit 100",
+    f"{PRICED}, {BEST.format(src='priced')} => select * from best",
 )
 def rank_high_probability(t):
+    return market.rank_high_probability(market.price_quotes_from_draws(t.quotes, t.draws))
+
+
+@query(
+    "rank_high_probability_top",
+    "market_key:s sportsbook:s american_odds:i win_probability:d push_probability:d",
+    f"{PRICED}, {BEST.format(src='priced')} => select * from best order by win_probability desc, push_probability, game_pk desc, market_key desc limit 100",
+)
+def rank_high_probability_top(t):
     return market.rank_high_probability(market.price_quotes_from_draws(t.quotes, t.draws), 100)
 
 
@@ -254,7 +263,7 @@ TOP_PICKS = 4
     "parlay_pairs",
     "slate:s first_game:i second_game:i combined_odds:i joint_probability:d break_even_probability:d edge:d",
     f"""l as (select cast(game_date as varchar) as slate, game_pk, greatest(home_probability, 1 - home_probability) as p, case when home_probability >= 0.5 then home_odds else away_odds end as o,
-      row_number() over (partition by game_date order by greatest(home_probability, 1 - home_probability) desc, game_pk) as rank from ledger where event_type = 'prediction' and revision = 0),
+      row_number() over (partition by game_date order by greatest(home_probability, 1 - home_probability) desc, game_pk) as rank from last_predictions where true),
     j as (select a.slate, a.game_pk as first_game, b.game_pk as second_game, {to_american(f"({dec('a.o')} * {dec('b.o')})")} as combined_odds, a.p * b.p as joint_probability
       from l a join l b on a.slate = b.slate and a.rank < b.rank and b.rank <= {TOP_PICKS})
     => select *, 1 / {dec('combined_odds')} as break_even_probability, joint_probability - 1 / {dec('combined_odds')} as edge from j""",
@@ -262,7 +271,7 @@ TOP_PICKS = 4
 def parlay_pairs(t):
     from slatewise.operators.positions import position
 
-    first = t.ledger.filter("event_type = 'prediction' and revision = 0")
+    first = ledger.latest_predictions(t.ledger)
     p = F.greatest(F.col("home_probability"), 1 - F.col("home_probability"))
     picks = first.select(
         F.col("game_date").cast("string").alias("slate"), "game_pk", p.alias("pick_probability"),

@@ -207,7 +207,7 @@ RESAMPLES = 20
     "metric:s point:d low:d high:d bootstrap_samples:i",
     f"""placed as (select a_win as y, baseline_probability as b, candidate_probability as c, row_number() over (order by substr(md5(cast(game_pk as varchar)), 1, 3), game_pk) - 1 as place from predictions),
     size as (select count(*) as n from placed),
-    resample as (select r.rep, cast('0x' || substr(md5(r.rep || ':' || i.i), 1, 8) as bigint) % (select n from size) as place from range({RESAMPLES}) r(rep), (select unnest(range((select n from size))) as i) i
+    resample as (select r.rep, cast('0x' || substr(md5(r.rep || ':' || i.i), 1, 15) as bigint) % (select n from size) as place from range({RESAMPLES}) r(rep), (select unnest(range((select n from size))) as i) i
               union all select -1, place from placed),
     s as (select rep, y, b, c from resample join placed using (place)),
     ranks as (select *, rank() over (partition by rep order by b) + (count(*) over (partition by rep, b) - 1) / 2.0 as rb,

@@ -34,11 +34,15 @@ class Query:
         if self.sql is None:
             return None
         helpers, _, body = self.sql.rpartition("=>")
-        ctes = duckdb_ctes(self.sql) + ([helpers.strip()] if helpers.strip() else []) + [f"answer as ({body.strip()})"]
+        latest = [LATEST] if "last_predictions" in self.sql else []
+        ctes = duckdb_ctes(" ".join([self.sql, *latest])) + latest + ([helpers.strip()] if helpers.strip() else []) + [f"answer as ({body.strip()})"]
         out = ", ".join(_duck_column(f'"{name}"', kind) for name, kind in self.columns)
         return f"with recursive {', '.join(ctes)} select {out} from answer"
 
 
+#: The last revision of every game's prediction, for SQL texts that name it.
+LATEST = "last_predictions as (select * from ledger where event_type = 'prediction' qualify row_number() over (partition by game_pk order by revision desc) = 1)"
+
 REGISTRY: dict[str, Query] = {}
 
 

@@ -37,7 +37,7 @@ def scan_quotes_file(t):
     csv, document = work_path(t.spark, "entries-csv"), work_path(t.spark, "entries-json")
     rows.write.csv(csv, header=True)
     rows.select(F.array(F.struct(*columns)).alias("moneylines")).write.json(document)
-    read = [files.scan_quotes_file(t.spark, p, k).withColumn("source", F.lit(k)) for p, k in ((csv, "csv"), (document, "document"))]
+    read = [files.scan_quotes_file(t.spark, p, k, lines=True).withColumn("source", F.lit(k)) for p, k in ((csv, "csv"), (document, "document"))]
     tidy = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
     return read[0].unionByName(read[1]).select("source", *[tidy(c) for c in ("game_pk", "away_team", "home_team", "away_odds", "home_odds")])
 
@@ -64,7 +64,7 @@ def scan_snapshot_tree(t):
         "side", F.lit(1).alias("schema_version"), "kind", F.col("captured_at").cast("string").alias("captured_at"), F.lit("stats").alias("source"), "identity", F.col("raw_payload").alias("payload")
     )
     rows.write.partitionBy("side").json(root)
-    scanned = files.scan_snapshot_tree(t.spark, root, "starter_stats")
+    scanned = files.scan_snapshot_tree(t.spark, root, "starter_stats", lines=True)
     return scanned.withColumn("from_tree", F.contains("file_path", F.lit("side=")))
 
 
@@ -303,7 +303,7 @@ def missingness_pairs(t):
 
 
 def status_sql(name: str) -> str:
-    trained = f"count({name}) >= 100 and count(distinct {name}) >= 2 and var_pop({name}) > 1e-12"
+    trained = f"count({name}) >= 100 and count(distinct {name}) >= 2 and var_pop({name}) > 0"
     other = "ACTIVE_DIRECT_PROXY" if name in features.SCORE_PROXIES else "CAPTURED_PENDING_ADAPTIVE_AUTHORITY" if name in features.OVERLAY_RELATED else "CAPTURE_ONLY"
     return f"case when {trained} then 'ACTIVE_TRAINED' else '{other}' end"
 

@@ -197,8 +197,8 @@ VIEWS: dict[str, str] = {
     """,
     # ledger events with JSON payloads and per-contest hash chains, some of them broken
     "evidence": """
-        select stream, game_pk, event_type, recorded_at, scheduled_start, source, snapshot_sha256, provenance, payload,
-               case when feed_status = 'P' and priority = '4-NOT SPECIFIED' and n > 1 then n + 1 else n end as sequence,
+        select stream, schema_version, game_pk, event_type, recorded_at, scheduled_start, source, snapshot_sha256, provenance, payload,
+               case when feed_status = 'P' and priority = '4-NOT SPECIFIED' and n > 1 then n + 1 when feed_status = 'F' and priority = '1-URGENT' and n > 2 then n - 1 else n end as sequence,
                case when feed_status = 'O' and priority = '3-MEDIUM' and n > 1 then repeat('0', 64) when n > 1 then h1 end as previous_event_sha256,
                case when feed_status = 'F' and priority = '5-LOW' and n = 2 then repeat('f', 64)
                     else $SHA[c0 || '|' || h1]SHA$ end as event_sha256
@@ -209,8 +209,8 @@ VIEWS: dict[str, str] = {
                 select *, lag(c0, 1) over (partition by stream order by n) as l1, lag(c0, 2) over (partition by stream order by n) as l2,
                        lag(c0, 3) over (partition by stream order by n) as l3
                 from (
-                  select *, cast(n as string) || '|' || event_type || '|' || cast(game_pk as string) || '|' || source || '|' || payload as c0 from (
-                    select game_pk as stream, game_pk, event_type, feed_status, priority, scheduled_start, recorded_at, 'feed-' || lower(feed_status) as source,
+                  select *, cast(schema_version as string) || '|' || cast(case when feed_status = 'F' and priority = '1-URGENT' and n > 2 then n - 1 else n end as string) || '|' || event_type || '|' || cast(game_pk as string) || '|' || cast(recorded_at as string) || '|' || cast(scheduled_start as string) || '|' || source || '|' || coalesce(snapshot_sha256, '~') || '|' || provenance || '|' || payload as c0 from (
+                    select game_pk as stream, case when feed_status = 'O' and priority = '2-HIGH' and event_type = 'outcome' then 2 else 1 end as schema_version, game_pk, event_type, feed_status, priority, scheduled_start, recorded_at, 'feed-' || lower(feed_status) as source,
                            row_number() over (partition by game_pk order by sequence) as n,
                            case when event_type <> 'prediction' then null when priority = '3-MEDIUM' then 'abc' else md5(cast(game_pk as string)) || md5(cast(sequence as string)) end as snapshot_sha256,
                            case when event_type <> 'prediction' then '{}' else '{"schedule":"official","live_feed":"' || case when priority = '2-HIGH' then 'Neutral_Placeholder' else 'feed' end || '","pitcher_stats":"season"' ||

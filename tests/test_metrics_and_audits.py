@@ -65,29 +65,83 @@ def test_bootstrap_covers_the_point(spark):
     assert got["brier"].low <= got["brier"].point <= got["brier"].high
 
 
-EVENT = "stream long, sequence long, event_type string, game_pk long, source string, payload string, previous_event_sha256 string, event_sha256 string"
+EVENT = "stream long, schema_version int, sequence long, event_type string, game_pk long, recorded_at string, scheduled_start string, source string, snapshot_sha256 string, provenance string, payload string, previous_event_sha256 string, event_sha256 string"
 
 
-def chain(spark, n, tamper=None):
+def chain(spark, n, at=None, schema=1, **changes):
+    """A sound ledger of n events; `changes` are written over event `at` after its digest was taken."""
     import hashlib
 
+    names = [c.split()[0] for c in EVENT.split(", ")]
     rows, previous = [], None
     for i in range(1, n + 1):
-        payload = f'{{"n":{i}}}'
-        digest = hashlib.sha256(f"{i}|outcome|1|feed|{payload}|{previous or ''}".encode()).hexdigest()
-        rows.append([1, i, "outcome", 1, "feed", payload, previous, digest])
+        version = schema if i == at else 1
+        fields = [version, i, "outcome", 1, "2024-05-01 20:00", "2024-05-01 18:00", "feed", None, "{}", f'{{"n":{i}}}']
+        text = "|".join("~" if f is None else str(f) for f in fields)
+        digest = hashlib.sha256(f"{text}|{previous or ''}".encode()).hexdigest()
+        rows.append([1, *fields, previous, digest])
         previous = digest
-    if tamper:
-        rows[tamper - 1][5] = '{"n":99}'
+    for name, value in changes.items():
+        rows[at - 1][names.index(name)] = value
     return spark.createDataFrame(rows, EVENT)
 
 
 def test_hash_chain(spark):
-    assert ledger.hash_chain_verify(chain(spark, 20)).first().status == "PASS"
-    broken = ledger.hash_chain_verify(chain(spark, 20, tamper=7)).first()
-    assert (broken.first_break, broken.problem) == (7, "hash_mismatch")
-    gap = ledger.hash_chain_verify(chain(spark, 20).filter("sequence <> 5")).first()
-    assert (gap.first_break, gap.problem) == (6, "sequence_gap")
+    verdict = lambda frame: tuple(ledger.hash_chain_verify(frame).select("status", "first_break", "problem", "events").first())
+    assert verdict(chain(spark, 20)) == ("PASS", None, None, 20)
+    for field, value in (("payload", '{"n":99}'), ("recorded_at", "2024-05-10 20:00"), ("provenance", '{"feed":"forged"}'), ("snapshot_sha256", "0" * 64)):
+        assert verdict(chain(spark, 20, at=7, **{field: value})) == ("FAIL", 7, "hash_mismatch", 20)
+    assert verdict(chain(spark, 20).filter("sequence <> 5")) == ("FAIL", 6, "sequence_gap", 19)
+    assert verdict(chain(spark, 20, at=4, schema=2)) == ("FAIL", 4, "unsupported_schema", 20)
+
+
+def test_a_fork_is_a_break(spark):
+    fork = chain(spark, 3).filter("sequence = 3").withColumns({"payload": F.lit("{}"), "event_sha256": F.lit("f" * 64)})
+    got = ledger.hash_chain_verify(chain(spark, 3).unionByName(fork)).first()
+    assert (got.status, got.first_break, got.problem, got.events) == ("FAIL", 3, "repeated_sequence", 4)
+
+
+def test_large_values_do_not_cancel(spark):
+    names = ("home_bullpen_fatigue",)
+    rows = spark.createDataFrame([(1e9 + i % 2, 0.0) for i in range(200)], "live_home_bullpen_fatigue double, missing_home_bullpen_fatigue double")
+    assert features.feature_authority(rows, names).first().variance == pytest.approx(0.25)
+
+
+def test_shared_folder_must_be_named_off_local(spark):
+    from slatewise.session import shared_dir
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs://shared"
+    assert shared_dir(Session) == "hdfs://shared"
+
+
+def test_indented_json_is_read_and_other_layouts_fail(spark, tmp_path):
+    import json
+
+    from slatewise.sources import files
+
+    quote = {"game_pk": "1", "away_team": "A", "home_team": "H", "away_odds": "110", "home_odds": "-120"}
+    (tmp_path / "doc.json").write_text(json.dumps({"moneylines": [quote, quote]}, indent=2))
+    (tmp_path / "list.json").write_text(json.dumps([quote] * 3, indent=2))
+    assert files.scan_quotes_file(spark, str(tmp_path / "doc.json"), "document").count() == 2
+    assert files.scan_quotes_file(spark, str(tmp_path / "list.json"), "json").count() == 3
+    (tmp_path / "tree" / "a").mkdir(parents=True)
+    (tmp_path / "tree" / "a" / "x.json").write_text(json.dumps({"schema_version": 1, "kind": "k", "identity": "i", "payload": "p"}, indent=2))
+    assert files.scan_snapshot_tree(spark, str(tmp_path / "tree"), "k").count() == 1
+    for wrong in (lambda: files.scan_quotes_file(spark, str(tmp_path / "doc.json"), "document", lines=True), lambda: files.scan_quotes_file(spark, str(tmp_path / "list.json"), "document"), lambda: files.scan_snapshot_tree(spark, str(tmp_path / "tree"), lines=True)):
+        with pytest.raises(Exception):  # noqa: B017
+            wrong().collect()
 
 
 def test_forbidden_keys_at_any_depth(spark):
