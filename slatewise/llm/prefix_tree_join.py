@@ -5,9 +5,10 @@ Two documents link when 100 * intersection >= threshold * union.  The join loses
 
 1. *Sets.*  Documents with equal sets fold into one node.
 2. *Filter.*  A set of n shingles must share one of its first floor(n/4)+1 in any global order.  A window of
-   about twice that length is cut from the hash order, document frequencies are counted inside the windows,
+   half as many more is cut from the hash order, document frequencies are counted inside the windows,
    and each set keeps the rarest part of its window that still must meet every partner: with W = window,
-   partners share at least L shingles inside the shorter window, so each may drop its L-1 most frequent ones.
+   partners share at least L = floor(n/8)+1 shingles inside the shorter window, so each may drop its partners' least L, less one, of the most
+   frequent ones.
    Passages that many documents share are dropped there, before any group forms.
 3. *Families.*  Sets that share kept shingles, directly or in steps, form families; links lie inside them.
 4. *Trees.*  A family's sets go into a prefix tree: sets with a common beginning share its path.  A query
@@ -42,18 +43,18 @@ from slatewise.session import stored
 THRESHOLD_PCT = 75
 BLOCK = 1024  # sets of one tree
 FLUSH = 3_000_000  # window shingles a task gathers before it writes blobs
-BUCKET = 1_500_000  # window shingles of one bucket, about
+BUCKET = 2_000_000  # window shingles of one bucket, about
 WALK_CELLS = 4_000_000  # shingles times queries of one walk
 
 
 def window_size(n: int) -> int:
-    """Length of the window: prefix floor(n/4)+1 and as many more, less one."""
-    return min(n, 2 * (n // 4) + 1)
+    """Length of the window: prefix floor(n/4)+1 and half as many more."""
+    return n // 4 + n // 8 + 1
 
 
 def may_drop(n: int) -> int:
     """How many of its most frequent window shingles a set of n may drop: L-1 for its smallest partner."""
-    return -(-n * THRESHOLD_PCT // 100) // 4
+    return -(-n * THRESHOLD_PCT // 100) // 8
 
 
 def node_of(values: np.ndarray, salt: int) -> int:
@@ -349,7 +350,7 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 def _labels(texts: DataFrame, prints: DataFrame) -> DataFrame | None:
     """(node, comp) of linked nodes, None without links."""
     full = prints.where("n > 0")
-    total = full.agg(F.sum(F.least("n", 2 * F.floor(F.col("n") / 4) + 1))).first()[0] or 0
+    total = full.agg(F.sum(F.floor(F.col("n") / 4) + F.floor(F.col("n") / 8) + 1)).first()[0] or 0
     n_buckets = max(1, -(-int(total) // BUCKET))
     blobs = texts.select("_text").mapInArrow(_windows(n_buckets), "bucket long, tokens binary, place binary, nodes binary, drops binary")
     shared = blobs.groupBy("bucket").applyInArrow(_shared(max(1, n_buckets // 4)), "part long, bucket long, nodes binary, drops binary, dfs binary, tokens binary")
