@@ -24,7 +24,6 @@ HEADLINES = (
     "matched_validation",
     "probability_metrics",
     "subgroup_metrics",
-    "paired_bootstrap",
     "latest_per_key",
     "provider_snapshot_diff",
     "price_quotes_from_draws",

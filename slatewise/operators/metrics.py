@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -341,25 +342,23 @@ def paired_deltas(baseline: DataFrame, candidates: DataFrame, keys: Sequence[str
 
 
 def paired_bootstrap(df: DataFrame, outcome: str, baseline: str, candidate: str, key: str, iterations: int) -> DataFrame:
-    """Point differences and 2.5/97.5 percentiles over resamples of size n with replacement.
+    """Point differences and 2.5/97.5 percentiles over resamples with replacement.
 
-    Row ``i`` of resample ``r`` is the row at place ``hash(r:i) mod n``.  Places come from an even
-    hash slicing of ``key``; the draws collapse to (resample, place) counts before they meet the
-    rows, and then to counts per distinct probability pair, so no resample is held whole.
+    Each row enters each resample as often as its Poisson(1) weight says, a hash of key and resample, so weights
+    are drawn where the row lies: no places, no join, and no resample is held whole.  They fold to counts
+    per resample and distinct probability pair before the only shuffle.
     """
     ok = finite(F.col(outcome)) & finite(F.col(baseline)) & finite(F.col(candidate))
     rows = df.filter(ok).select(
-        key, F.col(outcome).cast("int").alias("y"), clipped(F.col(baseline)).alias("base"), clipped(F.col(candidate)).alias("cand")
+        F.col(key).cast("string").alias("key"), F.col(outcome).cast("int").alias("y"), clipped(F.col(baseline)).alias("base"), clipped(F.col(candidate)).alias("cand")
     )
-    placed = position(rows, [], md5_slice(key), [F.col(key)], "place").withColumn("place", F.col("place") - 1)
-    spark = df.sparkSession
-    n = rows.count()
-    if n == 0:
+    if rows.isEmpty():
         raise ValueError("the bootstrap needs at least one matched prediction")
-    draws = spark.range(0, iterations * n).select((F.col("id") % iterations).alias("rep"), F.floor(F.col("id") / iterations).alias("i"))
-    draws = draws.select("rep", resample_place(F.col("rep"), F.col("i"), n).alias("place"))
-    drawn = draws.groupBy("rep", "place").agg(F.count(F.lit(1)).alias("times"))
-    sampled = drawn.join(placed, "place").groupBy("rep", "y", "base", "cand").agg(F.sum("times").alias("times"))
+    drawn = rows.select("y", "base", "cand", "key", F.explode(F.sequence(F.lit(0), F.lit((iterations + 1) // 2 - 1))).alias("pair"))
+    digest = F.md5(F.concat_ws(":", "key", F.col("pair").cast("string")))
+    halves = F.array(*[F.struct((F.col("pair") * 2 + i).cast("long").alias("rep"), poisson_weight(F.substring("digest", 15 * i + 1, 15)).alias("times")) for i in (0, 1)])
+    drawn = drawn.withColumn("digest", digest).select("y", "base", "cand", F.inline(halves)).filter((F.col("times") > 0) & (F.col("rep") < iterations))
+    sampled = drawn.groupBy("rep", "y", "base", "cand").agg(F.sum("times").alias("times"))
     whole = rows.groupBy("y", "base", "cand").agg(F.count(F.lit(1)).alias("times")).withColumn("rep", F.lit(-1).cast("long"))
     deltas = _weighted_differences(sampled.unionByName(whole))
     long = deltas.select("rep", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "brier", "log_loss", "auc")])))
@@ -371,9 +370,19 @@ def paired_bootstrap(df: DataFrame, outcome: str, baseline: str, candidate: str,
     )
 
 
-def resample_place(rep: Column, i: Column, n: int) -> Column:
-    digest = F.md5(F.concat_ws(":", rep.cast("string"), i.cast("string")))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
+def poisson_thresholds() -> list[str]:
+    """The distribution function of Poisson(1) in 15 hex digits, up to its last step that 60 bits can hold."""
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(18):
+        total += term / math.factorial(k)
+        out.append(f"{min(int(total * 16**15), 16**15 - 1):015x}")
+    return sorted(set(out))
+
+
+def poisson_weight(digits: Column) -> Column:
+    """How often a row with these 15 hash digits is drawn; equal lengths make text order that of numbers."""
+    steps = [(digits >= t).cast("long") for t in poisson_thresholds()]
+    return sum(steps[1:], steps[0])
 
 
 def _weighted_differences(rows: DataFrame) -> DataFrame:

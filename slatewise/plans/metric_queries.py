@@ -199,23 +199,24 @@ def paired_deltas(t):
     return metrics.paired_deltas(rows.filter("candidate = 'elo_pyth'").drop("candidate"), rows, ["game_pk", "game_date"])
 
 
-RESAMPLES = 20
+RESAMPLES = 2000
+TIMES = " + ".join(f"(u >= '{t}')::bigint" for t in metrics.poisson_thresholds())
 
 
 @query(
     "paired_bootstrap",
     "metric:s point:d low:d high:d bootstrap_samples:i",
-    f"""placed as (select a_win as y, baseline_probability as b, candidate_probability as c, row_number() over (order by substr(md5(cast(game_pk as varchar)), 1, 3), game_pk) - 1 as place from predictions),
-    size as (select count(*) as n from placed),
-    resample as (select r.rep, cast('0x' || substr(md5(r.rep || ':' || i.i), 1, 15) as bigint) % (select n from size) as place from range({RESAMPLES}) r(rep), (select unnest(range((select n from size))) as i) i
-              union all select -1, place from placed),
-    s as (select rep, y, b, c from resample join placed using (place)),
-    ranks as (select *, rank() over (partition by rep order by b) + (count(*) over (partition by rep, b) - 1) / 2.0 as rb,
-                     rank() over (partition by rep order by c) + (count(*) over (partition by rep, c) - 1) / 2.0 as rc from s),
-    d as (select rep, avg(case when (c >= 0.5) = (y = 1) then 1.0 else 0.0 end) - avg(case when (b >= 0.5) = (y = 1) then 1.0 else 0.0 end) as accuracy,
-                 avg((c - y) * (c - y)) - avg((b - y) * (b - y)) as brier,
-                 avg(-(y * ln(c) + (1 - y) * ln(1 - c))) - avg(-(y * ln(b) + (1 - y) * ln(1 - b))) as log_loss,
-                 (sum(case when y = 1 then rc end) - sum(case when y = 1 then rb end)) / (cast(sum(y) as double) * sum(1 - y)) as auc from ranks group by rep),
+    f"""v as (select cast(game_pk as varchar) as k, a_win as y, baseline_probability as b, candidate_probability as c from predictions),
+    h as (select r.rep, y, b, c, substr(md5(k || ':' || (r.rep // 2)), 1 + 15 * (r.rep % 2), 15) as u from v cross join range({RESAMPLES}) r(rep)),
+    s as (select rep, y, b, c, sum({TIMES}) as w from h group by rep, y, b, c having sum({TIMES}) > 0 union all select -1, y, b, c, count(*) from v group by y, b, c),
+    fb as (select rep, b as p, sum(w) filter (where y = 1) as pos, coalesce(sum(w) filter (where y = 0), 0) as neg from s group by rep, b),
+    fc as (select rep, c as p, sum(w) filter (where y = 1) as pos, coalesce(sum(w) filter (where y = 0), 0) as neg from s group by rep, c),
+    ab as (select rep, sum(pos * (below + neg / 2.0)) / (cast(sum(pos) as double) * sum(neg)) as auc from (select *, sum(neg) over (partition by rep order by p) - neg as below from fb) group by rep),
+    ac as (select rep, sum(pos * (below + neg / 2.0)) / (cast(sum(pos) as double) * sum(neg)) as auc from (select *, sum(neg) over (partition by rep order by p) - neg as below from fc) group by rep),
+    d as (select rep, sum(w * (((c >= 0.5) = (y = 1))::int - ((b >= 0.5) = (y = 1))::int)) / sum(w) as accuracy,
+                 sum(w * ((c - y) * (c - y) - (b - y) * (b - y))) / sum(w) as brier,
+                 sum(w * ((y * ln(b) + (1 - y) * ln(1 - b)) - (y * ln(c) + (1 - y) * ln(1 - c)))) / sum(w) as log_loss,
+                 any_value(ac.auc) - any_value(ab.auc) as auc from s join ab using (rep) join ac using (rep) group by rep),
     l as (select rep, 'accuracy' as metric, accuracy as v from d union all select rep, 'brier', brier from d union all select rep, 'log_loss', log_loss from d union all select rep, 'auc', auc from d)
     => select metric, max(v) filter (where rep = -1) as point, quantile_cont(v, 0.025) filter (where rep >= 0) as low,
        quantile_cont(v, 0.975) filter (where rep >= 0) as high, count(v) filter (where rep >= 0) as bootstrap_samples from l group by metric""",
