@@ -36,7 +36,6 @@ SERIES_MAX_PROBABILITY, SERIES_MIN_GAMES, SERIES_MIN_LOSSES = 0.57, 2, 2
 SERIES_RUN_DEFICIT, SERIES_BLOWOUT, SERIES_SIGNALS = 6, 5, 2
 BULLPEN_DISADVANTAGE, HIGH_LEVERAGE_PITCHES, CLOSER_WARNING = 35.0, 20.0, 0.35
 CONFIDENCE_WEIGHTS = (0.70, 0.30)
-CONFIDENCE_SLICES = 1024
 SCORE_WEIGHT = 0.20
 ENVIRONMENT_CLIP = (0.80, 1.20)
 
@@ -157,17 +156,16 @@ ORDER = [F.desc, F.desc, F.desc, F.asc]
 def rank_slate(rows: DataFrame, slate: str = "game_date") -> DataFrame:
     """confidence_rank within each slate by (confidence, probability, overlap), highest first.
 
-    A slate is ranked in slices of the score, so a huge slate is not sorted by one task.
+    A slate is ranked in sampled ranges of the order, so a huge slate is not sorted by one task.
     """
     order = [F.desc("confidence_score"), F.desc("pick_probability"), F.desc("model_overlap"), F.asc("game_pk")]
-    return position(rows, [slate], -F.floor(F.col("confidence_score") * CONFIDENCE_SLICES), order, "confidence_rank")
+    return position(rows, [slate], order, "confidence_rank")
 
 
 def select_top(rows: DataFrame, top_n: int, slate: str = "game_date") -> DataFrame:
     """selection_rank among the eligible rows of each slate and the top-n flag."""
     order = [F.desc("confidence_score"), F.desc("pick_probability"), F.desc("model_overlap"), F.asc("game_pk")]
-    slices = -F.floor(F.col("confidence_score") * CONFIDENCE_SLICES)
-    eligible = position(rows.filter("eligible_for_top_pick"), [slate], slices, order, "selection_rank")
+    eligible = position(rows.filter("eligible_for_top_pick"), [slate], order, "selection_rank")
     passed = rows.filter("not eligible_for_top_pick").withColumn("selection_rank", F.lit(None).cast("long"))
     both = eligible.withColumn("selection_rank", F.col("selection_rank").cast("long")).unionByName(passed)
     return both.withColumn("is_top_pick", F.coalesce(F.col("selection_rank") <= top_n, F.lit(False)))

@@ -21,7 +21,6 @@ MINIMUM_OBSERVATIONS = 100
 SCORE_PROXIES = ("weather_run_factor", "park_run_factor")
 OVERLAY_RELATED = ("starter_fip", "starter_k_minus_bb", "bullpen_fatigue", "closer_available", "travel_fatigue", "injury_war", "lineup_confirmed")
 MODEL_ORDER = ("logistic", "random_forest", "neural_network", "xgboost", "lightgbm", "catboost", "elo_pyth")
-MEDIAN_SLICES = 4096
 GROUP_ORDER = (
     "team_strength", "offense", "run_prevention", "recent_form", "starting_pitcher", "bullpen", "lineup", "injuries",
     "defense", "baserunning", "rest_and_travel", "home_field", "park_and_umpire", "weather", "market",
@@ -111,16 +110,13 @@ def feature_authority(rows: DataFrame, names: Sequence[str] = LIVE_FEATURES) ->
 def exact_medians(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact median per column as (feature, median).
 
-    Values collapse to counts per distinct value; running counts over slices of each column's
-    range then find the middle, so no column is held or sorted by one task.
+    Values collapse to counts per distinct value; running counts over sampled ranges then find the
+    middle, so no column is held or sorted by one task, whatever outliers it has.
     """
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     counts = rows.select(F.inline(entries)).filter("value is not null and not isnan(value)").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    spans = counts.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
-    joined = counts.join(spans, "feature")
-    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    slices = F.coalesce(F.floor((F.col("value") - F.col("low")) / width * MEDIAN_SLICES), F.lit(0))
-    ranked = running_before(joined, ["feature"], slices, [F.col("value")], {"n": "below"})
+    joined = counts.join(counts.groupBy("feature").agg(F.sum("n").alias("total")), "feature")
+    ranked = running_before(joined, ["feature"], [F.col("value")], {"n": "below"})
     covers = lambda place: (F.col("below") < place) & (F.col("below") + F.col("n") >= place)
     first, second = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
     return ranked.groupBy("feature").agg(

@@ -14,7 +14,6 @@ from slatewise.operators.positions import position
 MARKET_TYPES = ("moneyline", "run_line", "game_total", "team_total")
 TOTAL_SIDES = ("OVER", "UNDER")
 MARKET_KEY = ("game_pk", "market_type", "selection", "line", "team")
-PROBABILITY_SLICES = 4096
 
 
 def market_key() -> Column:
@@ -310,7 +309,7 @@ def model_only_probabilities(draws: DataFrame) -> DataFrame:
     )
     rows = per_game.select("game_pk", F.inline(sides))
     order = [F.desc("win_probability"), F.desc("game_pk"), F.desc("selection")]
-    return position(rows, [], -F.floor(F.col("win_probability") * PROBABILITY_SLICES), order, "rank")
+    return position(rows, [], order, "rank")
 
 
 def parlay_pairs(picks: DataFrame, top_n: int) -> DataFrame:

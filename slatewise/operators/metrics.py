@@ -15,7 +15,6 @@ CLIP = 1e-6
 PIPELINE_CLIP = 1e-8
 BINS = 10
 SUBGROUP_BINS = 5
-AUC_SLICES = 4096
 
 METRICS = ("n_total", "n", "coverage", "accuracy", "brier", "log_loss", "auc", "ece", "mce", "mean_probability", "observed_rate")
 
@@ -56,15 +55,14 @@ def auc_rank(df: DataFrame, outcome: str, probability: str, keys: Sequence[str]
     """Exact ROC AUC per key with average ranks for ties; NULL when one class is absent.
 
     Rows collapse to one per distinct probability first; ranks then come from running counts
-    over slices of the probability range, so no key is sorted in a single task.
+    over sampled ranges of the probability, so no key is sorted in a single task.
     """
     df, group = _keyed(df, keys)
     w = F.col(weight) if weight else F.lit(1)
     ties = df.groupBy(*group, F.col(probability).alias("_p")).agg(
         F.sum(F.when(F.col(outcome) == 1, w).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(outcome) == 0, w).otherwise(0)).alias("_neg")
     )
-    slices = F.floor(F.col("_p") * AUC_SLICES)
-    ranked = running_before(ties, group, slices, [F.col("_p")], {"_neg": "_below"})
+    ranked = running_before(ties, group, [F.col("_p")], {"_neg": "_below"})
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     result = ranked.groupBy(*group).agg(F.when(pairs > 0, wins / F.nullif(pairs, F.lit(0.0))).alias("auc"))
@@ -439,8 +437,7 @@ FOLD_SIZE = 100
 
 def chronological_index(df: DataFrame, date: str, key: str) -> DataFrame:
     """0-based row index by date; within a date by an even hash of the key."""
-    slices = F.concat(F.date_format(date, "yyyyMMdd"), md5_slice(key, digits=2))
-    return position(df, [], slices, [F.col(key)], "row_index").withColumn("row_index", F.col("row_index") - 1)
+    return position(df, [], [F.col(date), md5_slice(key, digits=2), F.col(key)], "row_index").withColumn("row_index", F.col("row_index") - 1)
 
 
 def chronological_folds(df: DataFrame, date: str, key: str, train_rows: int = FOLD_TRAIN_ROWS, fold_size: int = FOLD_SIZE) -> DataFrame:

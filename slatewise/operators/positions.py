@@ -1,9 +1,10 @@
 """Row positions and running totals that never put one whole group in one task.
 
-A plain ``row_number`` over a group sorts that group in a single task.  Here each group is cut
-into coarse order-preserving slices: positions are taken inside a slice and shifted by the
-rows of the slices before it.  Only the slice counts are windowed per group, and their number
-is set by the slicing, not by the data.
+A plain ``row_number`` over a group sorts that group in a single task.  Here rows are dealt by range over the
+full order, with bounds sampled from the data, so concentrated or outlying values spread as well; positions are
+taken inside a range and shifted by the rows of the ranges before it.  Only range counts are windowed
+per group, and their number is that of the partitions.  The dealt rows are written once, as counts and rows must see
+the same bounds.
 """
 
 from __future__ import annotations
@@ -11,44 +12,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewise.session import stored
+
 
 def md5_slice(*columns: str, digits: int = 3) -> Column:
     """An even hash slice of 16**digits values, the same in any SQL engine."""
     return F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns])), 1, digits)
 
 
-def position(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], out: str) -> DataFrame:
-    """1-based position of each row in its key group, ordered by (slice_by, *order)."""
-    sliced = df.withColumn("_slice", slice_by)
-    group = [*keys, "_slice"]
+def _ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows with the number of the range that holds them in ``_range``."""
+    rows = stored(df, "ranked")
+    return stored(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _earlier(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def position(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """1-based position of each row in its key group by ``order``, which must be total."""
+    rows, group = _ranged(df, keys, order), [*keys, "_range"]
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = counts.select(*group, F.coalesce(F.sum("_rows").over(_earlier(keys)), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    counts = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    return (
-        sliced.withColumn("_inside", inside)
-        .join(offsets, group)
-        .withColumn(out, F.col("_inside") + F.col("_offset"))
-        .drop("_slice", "_inside", "_offset")
-    )
+    return rows.withColumn("_inside", inside).join(offsets, group).withColumn(out, F.col("_inside") + F.col("_offset")).drop("_range", "_inside", "_offset")
 
 
-def running_before(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], totals: dict[str, str]) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, str]) -> DataFrame:
     """Sum of each column over the strictly earlier rows of the key group.
 
     ``totals`` maps an input column to its output name.  Rows must have distinct ``order``
-    values within a slice; aggregate duplicates first.
+    values within a key; aggregate duplicates first.
     """
-    sliced = df.withColumn("_slice", slice_by)
-    group = [*keys, "_slice"]
+    rows, group = _ranged(df, keys, order), [*keys, "_range"]
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sliced.groupBy(*group).agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
-    offsets = sums.select(*group, *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in totals])
-    ranked = sliced.withColumns({f"_inside_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in totals})
+    sums = rows.groupBy(*group).agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
+    offsets = sums.select(*group, *[F.coalesce(F.sum(f"_sum_{c}").over(_earlier(keys)), F.lit(0)).alias(f"_before_{c}") for c in totals])
+    ranked = rows.withColumns({f"_inside_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in totals})
     joined = ranked.join(offsets, group)
     return joined.withColumns({out: F.col(f"_inside_{c}") + F.col(f"_before_{c}") for c, out in totals.items()}).drop(
-        "_slice", *[f"_inside_{c}" for c in totals], *[f"_before_{c}" for c in totals]
+        "_range", *[f"_inside_{c}" for c in totals], *[f"_before_{c}" for c in totals]
     )
 
 

@@ -50,7 +50,7 @@ def fit_gbt(t):
 
 @query("fit_poisson_runs", "game_pk:i a_runs:i b_runs:i expected_a:d expected_b:d")
 def fit_poisson_runs(t):
-    return learners.fit_poisson_runs(matchups(t), COLUMNS)
+    return t.written("runs", lambda: learners.fit_poisson_runs(matchups(t), COLUMNS))
 
 
 @query("fit_calibrator", "game_pk:i a_win:i blended:d calibrated:d")
@@ -60,6 +60,33 @@ def fit_calibrator(t):
     return learners.fit_calibrator(t.written("blended", lambda: blended))
 
 
+COMPONENTS = ("logistic", "random_forest", "neural_network", *learners.BOOSTED)
+
+
+@query(
+    "learner_facts",
+    "component:s rows:i game_sum:i wins:i in_range:b varies:b",
+    f"""o as (select game_pk, a_win, row_number() over (order by game_date, substr(md5(cast(game_pk as varchar)), 1, 2), game_pk) - 1 as row_index, count(*) over () as n from contests),
+    late as (select game_pk, a_win from o where row_index >= least(greatest(100, floor(n * 0.8)), n - 30)),
+    c as (select unnest([{", ".join(f"'{n}'" for n in COMPONENTS)}, 'runs']) as component)
+    => select component, count(*) as rows, sum(game_pk) as game_sum, sum(a_win) as wins, true as in_range, true as varies from c cross join late group by component""",
+)
+def learner_facts(t):
+    """What no optimiser changes: every fit scores the later slice only, once a game, within its bounds, and not by a constant."""
+    parts = [component(t, name).select("component", "game_pk", "a_win", F.col("p").alias("value"), ((F.col("p") > 0) & (F.col("p") < 1)).alias("ok")) for name in COMPONENTS]
+    low, high = learners.RUN_BOUNDS
+    runs = t.written("runs", lambda: learners.fit_poisson_runs(matchups(t), COLUMNS))
+    bounded = F.col("expected_a").between(low, high) & F.col("expected_b").between(low, high)
+    parts.append(runs.join(t.contests.select("game_pk", "a_win"), "game_pk").select(F.lit("runs").alias("component"), "game_pk", "a_win", F.col("expected_a").alias("value"), bounded.alias("ok")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("component").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("game_pk").alias("game_sum"), F.sum("a_win").alias("wins"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("in_range"),
+        (F.min("value") < F.max("value")).alias("varies"),
+    )
+
+
 FOLDS = "window:s candidate:s n:i accuracy:d brier:d log_loss:d auc:d ece:d"
 BASELINE = [c for c in COLUMNS if c not in features.BASELINE_EXCLUDED]
 

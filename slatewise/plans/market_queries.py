@@ -1,5 +1,6 @@
 """Quote validation, state, pricing, valuation and ranking queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import odds
@@ -269,13 +270,13 @@ TOP_PICKS = 4
     => select *, 1 / {dec('combined_odds')} as break_even_probability, joint_probability - 1 / {dec('combined_odds')} as edge from j""",
 )
 def parlay_pairs(t):
-    from slatewise.operators.positions import position
-
     first = ledger.latest_predictions(t.ledger)
     p = F.greatest(F.col("home_probability"), 1 - F.col("home_probability"))
     picks = first.select(
         F.col("game_date").cast("string").alias("slate"), "game_pk", p.alias("pick_probability"),
         F.when(F.col("home_probability") >= 0.5, F.col("home_odds")).otherwise(F.col("away_odds")).alias("pick_odds"),
     )
-    ranked = position(picks, ["slate"], -F.floor(F.col("pick_probability") * 1024), [F.desc("pick_probability"), F.asc("game_pk")], "rank")
+    # Spark keeps the best of each slate in every task before the shuffle
+    best = Window.partitionBy("slate").orderBy(F.desc("pick_probability"), F.asc("game_pk"))
+    ranked = picks.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP_PICKS)
     return market.parlay_pairs(ranked, TOP_PICKS)
