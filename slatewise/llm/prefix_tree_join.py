@@ -43,6 +43,7 @@ from slatewise.session import stored
 THRESHOLD_PCT = 75
 BLOCK = 1024  # sets of one tree
 FLUSH = 3_000_000  # window shingles a task gathers before it writes blobs
+ROWS_A_SET = 16  # rows that a set of a large family may send before the ways to search it are compared
 BUCKET = 2_000_000  # window shingles of one bucket, about
 WALK_CELLS = 4_000_000  # shingles times queries of one walk
 
@@ -385,13 +386,18 @@ def _rounds(lists: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
         joined = _labelled(large, edges).groupBy("key", "comp").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n > 1").select("key", "node", "comp")
         edges = edges.union(stored(_links(_all_pairs(joined), sets), "links"))
         apart = stored(_labelled(large, edges), "apart")
-        # the cheaper of two exact ways for each family: all against those outside the main component, or by kept shingle
+        # two exact ways for each family: all against those outside the main component, or by kept shingle where that is less
         comps = apart.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"))
-        by_list = lists.join(apart.select(F.col("key").alias("family"), "node", "comp"), "node")
-        listed = by_list.groupBy("family", "key").agg(F.count("*").alias("n")).groupBy(F.col("family").alias("key")).agg(F.sum(F.col("n") * _blocks_of(F.col("n"))).alias("listed"))
         rest = F.col("m") - F.col("most")
-        choice = stored(comps.where(rest > 0).join(listed, "key").select("key", (F.col("m") * _blocks_of(rest) + rest * _blocks_of(F.col("m")) <= F.col("listed")).alias("whole")), "choice")
-        last = _across(apart.join(choice.where("whole").select("key"), "key")).unionByName(_all_pairs(by_list.join(choice.where("not whole").select(F.col("key").alias("family")), "family").select("key", "node", "comp")))
+        costs = stored(comps.where(rest > 0).select("key", "m", (F.col("m") * _blocks_of(rest) + rest * _blocks_of(F.col("m"))).alias("cost")), "costs")
+        last = _across(apart.join(costs.where(F.col("cost") <= ROWS_A_SET * F.col("m")).select("key"), "key"))
+        dear = costs.where(F.col("cost") > ROWS_A_SET * F.col("m"))
+        if not dear.isEmpty():
+            by_list = lists.join(apart.join(dear.select("key"), "key").select(F.col("key").alias("family"), "node", "comp"), "node")
+            listed = by_list.groupBy("family", "key").agg(F.count("*").alias("n")).groupBy(F.col("family").alias("key")).agg(F.sum(F.col("n") * _blocks_of(F.col("n"))).alias("listed"))
+            choice = stored(dear.join(listed, "key").select("key", (F.col("cost") <= F.col("listed")).alias("whole")), "choice")
+            last = last.unionByName(_across(apart.join(choice.where("whole").select("key"), "key")))
+            last = last.unionByName(_all_pairs(by_list.join(choice.where("not whole").select(F.col("key").alias("family")), "family").select("key", "node", "comp")))
         edges = edges.union(stored(_links(last, sets), "links"))
     return None if edges.isEmpty() else components(edges)
 

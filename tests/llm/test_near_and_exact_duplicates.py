@@ -59,10 +59,11 @@ def corpus(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_components_equal_brute_force(spark, monkeypatch, block):
-    """Small blocks run the steps for large families; both must be exact."""
+@pytest.mark.parametrize(("block", "rows_a_set"), [(1024, 16), (4, 16), (4, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, block, rows_a_set):
+    """Small blocks run the steps for large families, no rows a set the comparison of ways; all must be exact."""
     monkeypatch.setattr(prefix_tree_join, "BLOCK", block)
+    monkeypatch.setattr(prefix_tree_join, "ROWS_A_SET", rows_a_set)
     rows = corpus()
     frame = spark.createDataFrame([(a, b, "x", 1, 2) for a, b in rows], SCHEMA)
     got = sorted((tuple(r) for r in link_documents(frame).collect()), key=repr)
