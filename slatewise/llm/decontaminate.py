@@ -7,9 +7,9 @@ class, so a document that contains the item must contain at least (signature siz
 loses nothing, whatever the length of the document.  Documents that reach that count are candidates; their
 whole text is then compared with the item shingle by shingle, as strings.
 
-Only DataFrame functions are used.  Documents are scanned once for candidates; their text is shuffled only
-for verification, joined by document id.  Signatures are broadcast while they number at most
-``BROADCAST_HASHES``; beyond that Spark shuffles both sides.
+Only DataFrame functions are used.  Documents are scanned once for candidates and once for the texts of
+those found.  Signatures and candidate ids are broadcast while they number at most ``BROADCAST_HASHES`` and
+``joins.BROADCAST_IDS``, which is counted; beyond that Spark shuffles both sides.
 
 Defined cases: words are runs of non-space bytes with A-Z lower-cased; an item of fewer than five words is
 one shingle, found only in documents of exactly those words; items without words match nothing.  Null
@@ -24,6 +24,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.llm.joins import small
+from slatewise.session import stored
+
 SHINGLE = 5
 THRESHOLD_PCT = 75
 SPARE = 4
@@ -71,14 +74,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     few = signed.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = texts.select("_id", word_list(F.col("_text")).alias("_list")).select("_id", F.explode(shingle_hashes(F.col("_list"))).alias("_hash"))
-    candidates = (
+    candidates = stored(
         found.join(F.broadcast(signed) if few else signed, "_hash")
         .groupBy("_id", "_item", "_words")
         .agg(F.count_distinct("_hash").alias("_hits"), F.first("_need").alias("_need"))
         .where(F.col("_hits") >= F.col("_need"))
-        .select("_id", "_item", shingle_texts(F.col("_words")).alias("_texts"))
+        .select("_id", "_item", shingle_texts(F.col("_words")).alias("_texts")),
+        "candidates",
     )
-    pairs = candidates.alias("c").join(texts.alias("t"), F.col("c._id").eqNullSafe(F.col("t._id")))
+    ids = stored(candidates.select(F.col("_id").alias("_wanted")).distinct(), "candidate-ids")
+    likely = texts.join(small(ids), texts["_id"].eqNullSafe(F.col("_wanted")), "left_semi")
+    pairs = candidates.alias("c").join(likely.alias("t"), F.col("c._id").eqNullSafe(F.col("t._id")))
     checked = pairs.select(F.col("c._id").alias("_id"), "_item", "_texts", word_list(F.col("_text")).alias("_list")).select(
         "_id", "_item", F.size("_texts").alias("_n"), F.size(F.array_intersect("_texts", shingle_texts(F.col("_list")))).alias("_found")
     )
@@ -91,5 +97,5 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that hold no benchmark item, all columns kept."""
-    leaks = find_leaks(documents, benchmark, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return documents.join(leaks, documents[id_col].eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = stored(find_leaks(documents, benchmark, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
+    return documents.join(small(leaks), documents[id_col].eqNullSafe(F.col("_leak")), "left_anti")
