@@ -19,7 +19,8 @@ Two documents link when 100 * intersection >= threshold * union.  The join loses
    block, or the sets of each kept shingle meet, whichever is less work.  The last step makes it exact.
 
 Shuffles carry hashes as packed blobs, split by hash range into buckets whose number follows the data.  Texts
-are shuffled once, for candidate sets only.
+of candidate sets are fetched by a second scan, filtered by ids that are broadcast while they are few, which is
+counted; beyond that texts are shuffled once.
 
 Defined cases: null texts and texts without words have empty sets, link with nothing and are their own
 component; texts of fewer than five words have one shingle.  Repeated rows are equal documents.  A null id is never
@@ -37,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.components import components
+from slatewise.llm.joins import small
 from slatewise.llm.text import blocks, groups, mix64, shingle_sets
 from slatewise.session import stored
 
@@ -361,8 +363,8 @@ def _labels(texts: DataFrame, prints: DataFrame) -> DataFrame | None:
     # sets and shingles are the nodes, even and odd, of one graph
     families = components(lists.select(F.xxhash64("key").bitwiseOR(F.lit(1)).alias("u"), F.col("node").alias("v")))
     members = stored(families.where("node % 2 = 0").select(F.col("comp").alias("key"), "node"), "families")
-    wanted = nodes.join(members.select("node"), "node").select(F.col("_row._id").alias("r_id"), F.col("_row._text_hash").alias("r_hash"))
-    picked = texts.join(wanted, texts["_id"].eqNullSafe(F.col("r_id")) & (F.col("_text_hash") == F.col("r_hash")), "left_semi")
+    wanted = stored(nodes.join(members.select("node"), "node").select(F.col("_row._id").alias("r_id"), F.col("_row._text_hash").alias("r_hash")), "wanted")
+    picked = texts.join(small(wanted), texts["_id"].eqNullSafe(F.col("r_id")) & (F.col("_text_hash") == F.col("r_hash")), "left_semi")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,7 +410,7 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Rows of one id and one text are one document; rows without an id stay.
     """
     linked = stored(link_documents(documents, id_col=id_col, text_col=text_col), "linked")
-    gone = linked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = documents.join(gone, documents[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(linked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    kept = documents.join(small(gone), documents[id_col].cast("long") == F.col("_gone"), "left_anti")
     repeated = linked.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("`count` > 1")
     return kept if repeated.isEmpty() else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
