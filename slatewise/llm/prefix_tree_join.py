@@ -320,12 +320,15 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Groups in which every member outside its family's largest component meets all members."""
+    """Groups in which every member outside its family's largest component meets all members of other blocks.
+
+    Those of its own block it met in the first round; asking there too, it would be in one group on both sides.
+    """
     comps = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = comps.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("most")).select("key", "m", F.col("most.comp").alias("main"), (F.col("m") - F.col("most.n")).alias("rest")).where("rest > 0")
     marked = members.join(largest, "key").withColumn("n_blocks", _blocks_of(F.col("m"))).withColumn("n_rest", _blocks_of(F.col("rest")))
     held = marked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1))).select("key", "i", _block(7, "n_blocks").alias("j"), "node", "comp", F.lit(0).alias("side"))
-    asks = marked.where("comp <> main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select("key", _block(9, "n_rest").alias("i"), "j", "node", "comp", F.lit(1).alias("side"))
+    asks = marked.where("comp <> main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).where(F.col("j") != _block(7, "n_blocks")).select("key", _block(9, "n_rest").alias("i"), "j", "node", "comp", F.lit(1).alias("side"))
     return held.union(asks).select(F.xxhash64("key", "i", "j").alias("group"), "node", "comp", "side")
 
 

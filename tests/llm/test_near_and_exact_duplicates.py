@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slatewise.llm import components, prefix_tree_join, suffix_dedup
 from slatewise.llm.prefix_tree_join import PrefixTree, link_documents, tree_links, window_size
@@ -70,6 +71,30 @@ def test_components_equal_brute_force(spark, monkeypatch, block, rows_a_set):
     assert got == brute_components(rows)
 
 
+def test_a_large_family_of_separate_pairs(spark):
+    """More than BLOCK sets that share a passage and link in pairs only: nearly all are outside the main component."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    own = [" ".join(f"w{pair}x{i}" for i in range(15)) for pair in range(1300)]
+    rows = [(2 * pair + side, f"{passage} {own[pair]}" + " end" * side) for pair in range(len(own)) for side in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows) > 2 * prefix_tree_join.BLOCK and got == {doc: doc - doc % 2 for doc, _ in rows}
+
+
+def test_no_set_is_on_both_sides_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(prefix_tree_join, "BLOCK", 8)
+    members = spark.range(0, 120, 2).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("comp"))
+    grouped = prefix_tree_join._across(members).collect()
+    assert len(grouped) == len({(r["group"], r["node"]) for r in grouped})
+    block = {r["node"]: r["b"] for r in members.withColumn("n", F.lit(8).cast("long")).select("node", prefix_tree_join._block(7, "n").alias("b")).collect()}
+    held, asks = ({(r["group"], r["node"]) for r in grouped if r["side"] == side} for side in (0, 1))
+    by_group = {}
+    for group, node in held:
+        by_group.setdefault(group, set()).add(node)
+    met = {(a, b) for group, a in asks for b in by_group.get(group, ())}
+    main = max(block)
+    assert all((a, b) in met for a in block for b in block if a != main and block[a] != block[b])
+
+
 def test_keep_one_keeps_the_smallest_and_all_columns(spark):
     rows = [(5, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (9, "other words stand in this one"), (None, "a b c d e f"), (7, None), (8, "")]
     kept = prefix_tree_join.keep_one(spark.createDataFrame([(a, b, "x", 1, 2) for a, b in rows], SCHEMA))
