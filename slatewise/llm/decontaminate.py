@@ -13,7 +13,7 @@ those found.  Signatures and candidate ids are broadcast while they number at mo
 
 Defined cases: words are runs of non-space bytes with A-Z lower-cased; an item of fewer than five words is
 one shingle, found only in documents of exactly those words; items without words match nothing.  Null
-texts are empty.  Rows of one document id count as parts of one document for the search and are verified one by one,
+texts are empty.  Rows of one document id are searched and verified one by one,
 the best row counting; a null id is an id like any other.  Repeated items are one item.  Extra columns are ignored.
 """
 
@@ -69,33 +69,37 @@ def signatures(items: DataFrame) -> DataFrame:
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, n_shingles, n_found, containment) for items of which a document holds three quarters or more."""
+    best = _checked(documents, benchmark, id_col, text_col, item_col, item_text_col).groupBy("_id", "_item").agg(F.max(F.struct(F.col("_found") / F.col("_n"), F.col("_n"), F.col("_found"))).alias("_best"))
+    n, hits = F.col("_best")["_n"], F.col("_best")["_found"]
+    return best.where(hits * 100 >= n * THRESHOLD_PCT).select(
+        F.col("_id").alias(id_col), F.col("_item").alias(item_col), n.cast("long").alias("n_shingles"), hits.cast("long").alias("n_found"), (hits / n).alias("containment")
+    )
+
+
+def _checked(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(_id, _text_hash, _item, _n, _found) of every candidate: an id with its text, and an item."""
     items = items_of(benchmark, item_col, item_text_col)
     signed = signatures(items)
     few = signed.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
-    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = texts.select("_id", word_list(F.col("_text")).alias("_list")).select("_id", F.explode(shingle_hashes(F.col("_list"))).alias("_hash"))
+    texts = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).alias("_text"))
+    found = texts.select("_id", "_text_hash", word_list(F.col("_text")).alias("_list")).select("_id", "_text_hash", F.explode(shingle_hashes(F.col("_list"))).alias("_hash"))
     candidates = stored(
         found.join(F.broadcast(signed) if few else signed, "_hash")
-        .groupBy("_id", "_item", "_words")
+        .groupBy("_id", "_text_hash", "_item", "_words")
         .agg(F.count_distinct("_hash").alias("_hits"), F.first("_need").alias("_need"))
         .where(F.col("_hits") >= F.col("_need"))
-        .select("_id", "_item", shingle_texts(F.col("_words")).alias("_texts")),
+        .select(F.col("_id").alias("_wanted"), F.col("_text_hash").alias("_wanted_hash"), "_item", shingle_texts(F.col("_words")).alias("_texts")),
         "candidates",
     )
-    ids = stored(candidates.select(F.col("_id").alias("_wanted")).distinct(), "candidate-ids")
-    likely = texts.join(small(ids), texts["_id"].eqNullSafe(F.col("_wanted")), "left_semi")
-    pairs = candidates.alias("c").join(likely.alias("t"), F.col("c._id").eqNullSafe(F.col("t._id")))
-    checked = pairs.select(F.col("c._id").alias("_id"), "_item", "_texts", word_list(F.col("_text")).alias("_list")).select(
-        "_id", "_item", F.size("_texts").alias("_n"), F.size(F.array_intersect("_texts", shingle_texts(F.col("_list")))).alias("_found")
-    )
-    best = checked.groupBy("_id", "_item").agg(F.max(F.struct(F.col("_found") / F.col("_n"), F.col("_n"), F.col("_found"))).alias("_best"))
-    n, hits = F.col("_best")["_n"], F.col("_best")["_found"]
-    return best.where(hits * 100 >= n * THRESHOLD_PCT).select(
-        F.col("_id").alias(id_col), F.col("_item").alias(item_col), n.cast("long").alias("n_shingles"), hits.cast("long").alias("n_found"), (hits / n).alias("containment")
-    )
+    ids = stored(candidates.select("_wanted", "_wanted_hash").distinct(), "candidate-ids")
+    same = F.col("_id").eqNullSafe(F.col("_wanted")) & (F.col("_text_hash") == F.col("_wanted_hash"))
+    likely = texts.join(small(ids), same, "left_semi")
+    pairs = candidates.join(likely, same).select("_id", "_text_hash", "_item", "_texts", word_list(F.col("_text")).alias("_list"))
+    return pairs.select("_id", "_text_hash", "_item", F.size("_texts").alias("_n"), F.size(F.array_intersect("_texts", shingle_texts(F.col("_list")))).alias("_found"))
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that hold no benchmark item, all columns kept."""
-    leaks = stored(find_leaks(documents, benchmark, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
-    return documents.join(small(leaks), documents[id_col].eqNullSafe(F.col("_leak")), "left_anti")
+    """Documents that hold no benchmark item, all columns kept; rows of one id are decided each by its own text."""
+    leaking = _checked(documents, benchmark, id_col, text_col, "item_id", "text").where(F.col("_found") * 100 >= F.col("_n") * THRESHOLD_PCT)
+    leaks = stored(leaking.select(F.col("_id").alias("_leak"), F.col("_text_hash").alias("_leak_hash")).distinct(), "leaks")
+    return documents.join(small(leaks), documents[id_col].eqNullSafe(F.col("_leak")) & (F.xxhash64(text_col) == F.col("_leak_hash")), "left_anti")

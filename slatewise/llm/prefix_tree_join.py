@@ -341,16 +341,22 @@ def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
+    named = _named(documents, id_col, text_col)
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("component_id"))
+    full = named.join(least, "comp").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    empty = named.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
+    return full.union(empty)
+
+
+def _named(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text_hash, n, comp) of every row; comp names the component, null for an empty set."""
     texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_text_hash"))
     prints = stored(texts.mapInArrow(_prints, "_id long, _text_hash long, n long, node long, check long"), "prints")
     labels = _labels(texts, prints)
-    named = prints.where("n > 0")
-    named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if labels is not None else named.withColumn("comp", F.col("node"))
-    named = stored(named.select("_id", "n", "comp"), "named")
-    least = named.groupBy("comp").agg(F.min("_id").alias("component_id"))
-    full = named.join(least, "comp").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    empty = prints.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
-    return full.union(empty)
+    full = prints.where("n > 0")
+    full = full.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if labels is not None else full.withColumn("comp", F.col("node"))
+    empty = prints.where("n = 0").withColumn("comp", F.lit(None).cast("long"))
+    return stored(full.select("_id", "_text_hash", "n", "comp").union(empty.select("_id", "_text_hash", "n", "comp")), "named")
 
 
 def _labels(texts: DataFrame, prints: DataFrame) -> DataFrame | None:
@@ -408,12 +414,24 @@ def _rounds(lists: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without those that link, directly or in steps, to one of a smaller id; all columns kept.
+    """Documents without those that link, directly or in steps, to another that stays; all columns kept.
 
-    Rows of one id and one text are one document; rows without an id stay.
+    Of each component the row of the smallest id stays, of several texts of that id one, and besides it one row
+    of those without an id.  Decisions hold for an id with its text, so other texts of the same id are untouched.
+    Rows of one id and one text are one document; rows without an id and without words all stay.
     """
-    linked = stored(link_documents(documents, id_col=id_col, text_col=text_col), "linked")
-    gone = stored(linked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    kept = documents.join(small(gone), documents[id_col].cast("long") == F.col("_gone"), "left_anti")
-    repeated = linked.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("`count` > 1")
-    return kept if repeated.isEmpty() else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+    named = _named(documents, id_col, text_col)
+    same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash"))
+    document = F.struct("_id", "_text_hash")
+    full = named.where("comp is not null").withColumn("nameless", F.col("_id").isNull())
+    stays = full.groupBy("comp", "nameless").agg(F.min(document).alias("stays"))
+    linked = full.join(stays, ["comp", "nameless"]).where(~document.eqNullSafe(F.col("stays")))
+    gone = stored(linked.select(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash")).distinct(), "gone")
+    counted = named.where("_id is not null or n > 0").groupBy("_id", "_text_hash").count().where("`count` > 1")
+    repeated = stored(counted.join(small(gone), same, "left_anti").select(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash")), "repeated")
+    marked = documents.withColumns({"_id": F.col(id_col).cast("long"), "_text_hash": F.xxhash64(text_col)})
+    kept = marked.join(small(gone), same, "left_anti")
+    if not repeated.isEmpty():
+        listed = small(repeated)
+        kept = kept.join(listed, same, "left_anti").union(marked.join(listed, same, "left_semi").dropDuplicates(["_id", "_text_hash"]))
+    return kept.select(*documents.columns)

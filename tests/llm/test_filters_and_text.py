@@ -90,6 +90,15 @@ def test_leaks_equal_sql(spark):
     assert decontaminate.drop_leaks(documents, benchmark.limit(0)).count() == documents.count() and decontaminate.find_leaks(documents.limit(0), benchmark).count() == 0
 
 
+def test_drop_leaks_decides_by_id_and_text(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, f"before {item} after"), (None, "clean without an id"), (None, None), (1, item), (1, "clean text of a leaking id"), (2, item[:20])]
+    documents = spark.createDataFrame([(i, t, "s", "a", "b") for i, t in rows], SCHEMA)
+    kept = decontaminate.drop_leaks(documents, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == documents.columns
+    assert sorted(map(repr, (tuple(r)[:2] for r in kept.collect()))) == sorted(map(repr, [rows[1], rows[2], rows[4], rows[5]]))
+
+
 MENTIONS = "Mr. John Smith wrote to john.Smith@mail.example.com; JOHN.SMITH@mail.example.com or +1 (743) 555-3824, 1-743-555-3824; from 10.1.2.3 and 233.233.171.252, card 4111 1111 1111 1111, 123-45-6789, 24be64439e3e49cf46b2d7c90f3602a3d0b907ff. Frau Anna Weiß. Mr Smith."
 
 

@@ -102,6 +102,19 @@ def test_keep_one_keeps_the_smallest_and_all_columns(spark):
     assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == [(False, 2), (False, 7), (False, 8), (False, 9), (True, 0)]
 
 
+def test_keep_one_decides_by_id_and_text(spark):
+    """Texts of one id are decided each by itself; of rows without an id one of each component stays."""
+    base = [f"w{i}" for i in range(40)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(1, "one text of the id"), (1, "quite another text of it"), (1, "one text of the id"), (2, " ".join(base)), (3, near), (3, "a clean text beside the linked one"), (4, " ".join(base)), (4, near)]
+    rows += [(None, "nobody owns these six words"), (None, "nobody owns these six words"), (None, "a text of its own without id"), (None, None), (None, None), (6, ""), (6, ""), (7, near + " x"), (7, near + " y")]
+    kept = prefix_tree_join.keep_one(spark.createDataFrame([(a, b, "x", 1, 2) for a, b in rows], SCHEMA))
+    want = [(1, "one text of the id"), (1, "quite another text of it"), (2, " ".join(base)), (3, "a clean text beside the linked one"), (None, "nobody owns these six words"), (None, "a text of its own without id"), (None, None), (None, None), (6, "")]
+    assert sorted(map(repr, (tuple(r)[:2] for r in kept.collect()))) == sorted(map(repr, want))
+    two = prefix_tree_join.keep_one(spark.createDataFrame([(5, " ".join(base), "x", 1, 2), (5, near, "x", 1, 2)], SCHEMA))
+    assert two.count() == 1
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert link_documents(empty).collect() == [] and prefix_tree_join.keep_one(empty).collect() == []
