@@ -7,13 +7,13 @@ whatever the case or the separators of a mention; the mention's own case and sep
 A surrogate is a keyed permutation of all strings of the entity's shape: letters stay letters of
 their script, digits stay digits, a card keeps its check digit's validity, a private address stays private,
 a given name moves inside the list of its gender and script.  A permutation maps distinct entities to
-distinct surrogates; what remains possible is that a surrogate equals another entity of the corpus.
+distinct surrogates and none to itself; what remains possible is that a surrogate equals another entity of the corpus.
 ``resolve`` finds those over the whole corpus, gives them the next permutation, and repeats until no
 surrogate is shared and none is an entity; the few changed entities travel to their documents by a join.
 
 Defined cases: null texts stay null, texts without entities stay as they are byte for byte, repeated rows get
 equal results, extra columns pass through (one named like an output is replaced), a null id is allowed.
-Detection reads whole texts.  Letters of scripts without a table here are kept.
+Detection reads whole texts.  Letters of scripts without a table here are kept; digits of every script are replaced.
 """
 
 from __future__ import annotations
@@ -87,17 +87,24 @@ class Keyed:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def permute(self, value: int, size: int, tweak: str) -> int:
-        """A permutation of range(size): a balanced Feistel network, walked until it falls into the range."""
+        """A permutation of range(size) in one cycle, so that from two values on none maps to itself.
+
+        Another permutation, a balanced Feistel network walked until it falls into the range, gives the cycle's order.
+        """
         if size < 2:
             return value
+        return self._walk((self._walk(value, size, tweak, range(8)) + 1) % size, size, tweak, range(7, -1, -1))
+
+    def _walk(self, value: int, size: int, tweak: str, turns: range) -> int:
+        """The network's permutation of range(size), or with the turns in reverse its inverse."""
         half = max(1, (size - 1).bit_length() + 1 >> 1)
         mask = (1 << half) - 1
         while True:
-            left, right = value >> half, value & mask
-            for turn in range(8):
+            left, right = (value >> half, value & mask) if turns.step > 0 else (value & mask, value >> half)
+            for turn in turns:
                 mixed = hashlib.blake2b(f"{tweak}|{turn}|{half}|{right}".encode(), key=self.key, digest_size=max(8, half // 8 + 1)).digest()
                 left, right = right, left ^ (int.from_bytes(mixed, "big") & mask)
-            value = left << half | right
+            value = left << half | right if turns.step > 0 else right << half | left
             if value < size:
                 return value
 
@@ -130,6 +137,8 @@ def _class(c: str, alphabets: tuple[str, ...]) -> str | range | None:
     for letters in alphabets:
         if c in letters:
             return letters
+    if c.isdecimal():
+        return range(ord(c) - int(c), ord(c) - int(c) + 10)
     return next((range(a, b + 1) for a, b in RANGES if a <= ord(c) <= b), None)
 
 
@@ -172,7 +181,8 @@ def surrogate(keyed: Keyed, kind: str, entity: str, turn: int = 0) -> str:
     if kind == "card":
         body = entity[0] + keyed.shaped(entity[1:-1], f"{tweak}|{entity[0]}")
         off = luhn_offset(entity)
-        return next(body + d for d in "0123456789" if luhn_offset(body + d) == off)
+        zero = ord(entity[-1]) - int(entity[-1])
+        return next(body + chr(zero + d) for d in range(10) if luhn_offset(body + chr(zero + d)) == off)
     if kind in ("phone", "ssn"):
         kept, rest = ("1", entity[1:]) if kind == "phone" and len(entity) == 11 and entity[0] == "1" else (entity[:2], entity[2:]) if len(entity) > 11 else ("", entity)
         return kept + keyed.shaped(rest, f"{tweak}|{kept}", ("01", "23456789"))

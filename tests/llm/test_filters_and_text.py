@@ -130,6 +130,23 @@ def test_shapes_are_permuted():
         assert len(set(made)) == 300 and all(len(a) == len(b) or kind == "ip" for a, b in zip(made, entities, strict=True))
 
 
+def test_no_entity_is_its_own_surrogate(spark):
+    few = [("name", x) for x in "abcdefghijklmnopqrstuvwxyz"] + [("name", a + b) for a in "aeiouy" for b in "bcdfghjkl"] + [("email", f"{c}@b.de") for c in "abcdef"] + [("ip", f"192.168.0.{i}") for i in range(256)] + [("phone", "٠١٢٣٤٥٦٧٨٩")]
+    given = [(f"given {g}", x) for g in "mf" for names in surrogates.GIVEN[g] for x in names]
+    for key in range(20):
+        keyed = surrogates.Keyed(b"%d" % key)
+        for size in (2, 3, 12, 36):
+            made = [keyed.permute(i, size, "t") for i in range(size)]
+            assert sorted(made) == list(range(size)) and all(i != x for i, x in enumerate(made))
+        for turn in (0, 1):
+            assert [x for x in few + given if surrogates.surrogate(keyed, *x, turn) == x[1]] == []
+    text = "; ".join(f"{'Mr.' if g == 'm' else 'Mrs.'} {x.capitalize()} Weber" for g in "mf" for names in surrogates.GIVEN[g] for x in names)
+    documents = spark.createDataFrame([(1, text, "s", "a", "b")], SCHEMA)
+    after = surrogates.mentions(surrogates.replace_pii(documents, b"key").first()["text"])
+    pairs = list(zip(surrogates.mentions(text), after, strict=True))
+    assert len(pairs) == 192 and all(a[2] == b[2] and a[3] != b[3] for a, b in pairs)
+
+
 def test_collisions_with_entities_take_another_turn(spark, monkeypatch):
     """A made-up maker sends two entities to one surrogate and a third to a real entity."""
 
