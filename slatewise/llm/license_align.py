@@ -19,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,48 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W_]+")
 COVERAGE = 0.75
 
-# The notices that are looked for.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-    "BSD-2-Clause text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+_FSF = "under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+_WORK = "This work is licensed under {}"
+
+# The notices that are looked for, and the words that tell each from the others.
+NOTICES = {
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "apache 2"),
+    "MIT": ("Released under the MIT License", "mit"),
+    "BSD": ("Released under the BSD License", "bsd"),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License", "bsd 2"),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License", "bsd 3"),
+    "ISC": ("Released under the ISC License", "isc"),
+    "GPL-2.0": (_WORK.format("the GNU General Public License, version 2"), "general 2"),
+    "GPL-3.0": (_WORK.format("the GNU General Public License, version 3"), "general 3"),
+    "LGPL-2.1": (_WORK.format("the GNU Lesser General Public License, version 2.1"), "lesser 2 1"),
+    "LGPL-3.0": (_WORK.format("the GNU Lesser General Public License, version 3"), "lesser 3"),
+    "AGPL-3.0": (_WORK.format("the GNU Affero General Public License, version 3"), "affero 3"),
+    "GPL-2.0 or later": (_FSF.format("General Public License", 2), "general 2"),
+    "GPL-3.0 or later": (_FSF.format("General Public License", 3), "general 3"),
+    "LGPL-2.1 or later": (_FSF.format("Lesser General Public License", 2.1), "lesser 2 1"),
+    "LGPL-3.0 or later": (_FSF.format("Lesser General Public License", 3), "lesser 3"),
+    "AGPL-3.0 or later": (_FSF.format("Affero General Public License", 3), "affero 3"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2"),
+    "CC-BY-4.0": (_WORK.format("a Creative Commons Attribution 4.0 International License"), "attribution 4"),
+    "CC-BY-SA-4.0": (_WORK.format("a Creative Commons Attribution-ShareAlike 4.0 International License"), "sharealike 4"),
+    "CC-BY-NC-4.0 long": (_WORK.format("a Creative Commons Attribution-NonCommercial 4.0 International License"), "noncommercial 4"),
+    "CC-BY-ND-4.0": (_WORK.format("a Creative Commons Attribution-NoDerivatives 4.0 International License"), "noderivatives 4"),
+    "CC-BY-NC-SA-4.0": (_WORK.format("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"), "noncommercial sharealike 4"),
+    "CC-BY-NC-ND-4.0": (_WORK.format("a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"), "noncommercial noderivatives 4"),
+    "CC-BY-4.0 short": ("Licensed under CC BY 4.0", "cc by 4"),
+    "CC-BY-SA-4.0 short": ("Licensed under CC BY-SA 4.0", "cc sa 4"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "cc nc 4"),
+    "CC-BY-ND-4.0 short": ("Licensed under CC BY-ND 4.0", "cc nd 4"),
+    "CC-BY-NC-SA-4.0 short": ("Licensed under CC BY-NC-SA 4.0", "cc nc sa 4"),
+    "CC-BY-NC-ND-4.0 short": ("Licensed under CC BY-NC-ND 4.0", "cc nc nd 4"),
+    "CC0-1.0": ("Released under CC0 1.0", "cc0"),
+    "CC0-1.0 waiver": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived"),
+    "All rights reserved": ("All rights reserved", "all rights reserved"),
 }
+# Whole license texts, read where the plan is made.
+TEXTS = {f"{path.stem} text": path.read_text() for path in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+TEMPLATES = {name: text for name, (text, _) in NOTICES.items()} | TEXTS
+MARKS = {name: tuple(marks.split()) for name, (_, marks) in NOTICES.items()}
 
 
 def split_words(text: str) -> list[str]:
@@ -106,54 +138,96 @@ def _regions(places: list[int], span: int) -> list[tuple[int, int]]:
     return [(a, b + 1) for a, b in out]
 
 
-def best_alignment(text: list[str], template: list[str], coverage: float = COVERAGE) -> tuple[float, int, int] | None:
-    """(coverage, first word, end word) of the template's best place in the text, None below `coverage`.
+def alignments(text: list[str], template: list[str], coverage: float = COVERAGE, marks: tuple[str, ...] = ()) -> list[tuple[float, int, int]]:
+    """(coverage, first word, end word) of the template's places in the text, apart from one another.
 
     The text is cut where more words than the template has hold none of its words: such a gap
-    separates places rather than lying inside one.
+    separates places rather than lying inside one.  What is left beside a region's best place is searched again.
     """
     vocabulary = Counter(template)
-    places = [i for i, w in enumerate(text) if w in vocabulary]
-    best = None
-    for a, b in _regions(places, len(template)):
+    needed = {j for j, w in enumerate(template) if w in marks}
+    todo = _regions([i for i, w in enumerate(text) if w in vocabulary], len(template))
+    out = []
+    while todo:
+        a, b = todo.pop()
         bag = Counter(text[a:b])
         if sum(min(n, bag[w]) for w, n in vocabulary.items()) < coverage * len(template):
             continue
-        for lo, hi in ((a, b), *_windows(text, a, b, template)):
-            pairs = align(text[lo:hi], template)
+        best = None
+        for lo, hi in ((a, b), *_windows(text, a, b, template, marks)):
+            pairs = _without_strays(align(text[lo:hi], template), max(3, len(template) // 4))
             share = len(pairs) / len(template)
-            if pairs and share >= coverage and (best is None or share > best[0]):
-                best = (share, lo + pairs[0][0], lo + pairs[-1][0] + 1)
-    return best
+            if pairs and share >= coverage and needed <= {j for _, j in pairs}:
+                place = (share, lo + pairs[0][0], lo + pairs[-1][0] + 1)
+                best = max(best or place, place, key=lambda x: (x[0], x[1] - x[2], -x[1]))
+        if best:
+            out.append(best)
+            todo += [(a, best[1]), (best[2], b)]
+    return sorted(out, key=lambda x: x[1])
+
+
+def _without_strays(pairs: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
+    """Pairs without those at either end that lie further off in the text than in the template."""
+    a, b = 0, len(pairs)
+    while b - a > 1 and pairs[b - 1][0] - pairs[b - 2][0] > pairs[b - 1][1] - pairs[b - 2][1] + slack:
+        b -= 1
+    while b - a > 1 and pairs[a + 1][0] - pairs[a][0] > pairs[a + 1][1] - pairs[a][1] + slack:
+        a += 1
+    return pairs[a:b]
+
+
+def _windows(text: list[str], a: int, b: int, template: list[str], marks: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Windows of a region, where common words or another copy would hide anchors.
+
+    With marks they lie around each place of the mark that is rarest there, which no place can do without;
+    otherwise they overlap, of twice the template and of once and a half.
+    """
+    n = len(template)
+    if marks:
+        mark = min(marks, key=text[a:b].count)
+        for i in range(a, b):
+            if text[i] == mark:
+                for at in (j for j, w in enumerate(template) if w == mark):
+                    for slack in (0, max(2, n // 4), n):
+                        yield max(a, i - at - slack), min(b, i - at + n + slack)
+    elif b - a > n + n // 4:
+        for width in (2 * n, n + n // 2):
+            for lo in range(a, b, max(1, n // 4)):
+                yield lo, min(b, lo + width)
 
 
-def _windows(text: list[str], a: int, b: int, template: list[str]) -> Iterator[tuple[int, int]]:
-    """Overlapping windows of twice the template inside a long region, where common words would hide anchors."""
-    n = len(template)
-    if b - a > 2 * n:
-        for lo in range(a, b, max(1, n // 2)):
-            yield lo, min(b, lo + 2 * n)
+def best_places(found: list[tuple[str, int, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, end word): of overlapping places the one with most words aligned beyond those missed."""
+    out: list[tuple[str, float, int, int]] = []
+    for name, n, share, lo, hi in sorted(found, key=lambda x: (-(2 * x[2] - 1) * x[1], x[0])):
+        if all(hi <= a or b <= lo for _, _, a, b in out):
+            out.append((name, share, lo, hi))
+    return sorted(out, key=lambda x: x[2:])
+
 
+def find_licenses(documents: DataFrame, *, templates: dict[str, str] = TEMPLATES, marks: dict[str, tuple[str, ...]] = MARKS, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, license, coverage, first_word, end_word, n_words) of every place of every document that holds a template.
 
-def find_licenses(documents: DataFrame, *, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, license, coverage, first_word, end_word, n_words) of every template found in every document."""
+    ``marks`` names the words without which a template is not found; of templates on one place the best is given.
+    """
     compiled = {name: split_words(text) for name, text in templates.items() if split_words(text)}
     vocabulary = {name: Counter(words) for name, words in compiled.items()}
     kind = documents.schema[id_col].dataType.simpleString()
-    rare = {name: sorted(vocabulary[name], key=lambda w: (-len(w), w)) for name in compiled}
+    shortest = {name: sum(sorted(map(len, words))[: int(coverage * len(words))]) for name, words in compiled.items()}
+    rare = {name: sorted(vocabulary[name], key=lambda w: (-vocabulary[name][w] * (len(w) > 4), -len(w), w)) for name in compiled}
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"at": [], "license": [], "coverage": [], "first_word": [], "end_word": [], "n_words": []}
             for i, text in enumerate(batch.column(1).to_pylist()):
                 low = text.lower() if text else ""
-                likely = [name for name in compiled if _may_hold(low, rare[name], vocabulary[name], coverage)]
+                known: dict[str, bool] = {}  # whether a word is in this text, asked once for all templates
+                likely = [name for name in compiled if len(low) >= shortest[name] and _may_hold(low, known, rare[name], vocabulary[name], coverage, marks.get(name, ()))]
                 words = WORD.findall(low) if likely else []
-                for name in likely:
-                    found = best_alignment(words, compiled[name], coverage)
-                    if found:
-                        for key, value in zip(out, (i, name, *found, len(words)), strict=True):
-                            out[key].append(value)
+                found = [(name, len(compiled[name]), *place) for name in likely for place in alignments(words, compiled[name], coverage, marks.get(name, ()))]
+                for place in best_places(found):
+                    for key, value in zip(out, (i, *place, len(words)), strict=True):
+                        out[key].append(value)
             ids = batch.column(0).take(pa.array(out["at"], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(out["license"], pa.string()), pa.array(out["coverage"], pa.float64()), *(pa.array(np.array(out[c], np.int64)) for c in ("first_word", "end_word", "n_words"))],
@@ -164,12 +238,15 @@ def find_licenses(documents: DataFrame, *, templates: dict[str, str] = TEMPLATES
     return documents.select(F.col(id_col).alias("_id"), text_col).mapInArrow(scanned, schema).withColumnRenamed("_id", id_col)
 
 
-def _may_hold(low: str, words: list[str], counts: Counter, coverage: float) -> bool:
+def _may_hold(low: str, known: dict[str, bool], words: list[str], counts: Counter, coverage: float, marks: tuple[str, ...]) -> bool:
     """Whether enough of the template's words occur in the text at all, even inside other words."""
-    spare = (1 - coverage) * sum(counts.values())
-    for word in words:
-        if word not in low:
+    spare = (1 - coverage) * sum(counts.values()) + 1e-9
+    for word in (*marks, *words):
+        held = known.get(word)
+        if held is None:
+            held = known[word] = word in low
+        if not held:
             spare -= counts[word]
-            if spare < -1e-9:
+            if spare < 0 or word in marks:
                 return False
     return True

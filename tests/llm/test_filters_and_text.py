@@ -174,6 +174,33 @@ def test_license_alignment(spark):
     assert license_align.find_licenses(documents.limit(0)).collect() == []
 
 
+def test_licenses_are_told_apart_and_every_place_counts(spark):
+    whole, filler = license_align.TEXTS, " ".join(f"w{i}" for i in range(12))
+    mit = "Released under the MIT License."
+    rows = {
+        1: ("Released under the BSD License.", ["BSD"]),
+        2: ("Licensed under CC BY 4.0.", ["CC-BY-4.0 short"]),
+        3: ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        4: ("Licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+        5: ("Copyright 2020. All rights reserved.", ["All rights reserved"]),
+        6: (f"{mit} {mit} {filler} {mit}", ["MIT"] * 3),
+        7: ("Released under the Foo License. Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0 short"]),
+        8: (f"{filler} {mit} Licensed under CC BY-NC 4.0. {filler}", ["MIT", "CC-BY-NC-4.0"]),
+        9: (whole["BSD-2-Clause text"], ["BSD-2-Clause text"]),
+        10: (f"{filler} {whole['BSD-3-Clause text']}", ["BSD-3-Clause text"]),
+        11: (whole["ISC text"] + filler + whole["MIT text"], ["ISC text", "MIT text"]),
+        12: (whole["GPL-2.0 text"], ["GPL-2.0 text"]),
+        13: (whole["Apache-2.0 text"] + filler, ["Apache-2.0 text"]),
+        14: (f"{whole['MIT text']} {whole['MIT text']}", ["MIT text"] * 2),
+        15: ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["AGPL-3.0 or later"]),
+    }
+    documents = spark.createDataFrame([(i, t, "s", "a", "b") for i, (t, _) in rows.items()] + EDGES, SCHEMA)
+    got = defaultdict(list)
+    for r in sorted(license_align.find_licenses(documents).collect(), key=lambda r: (r["doc_id"], r["first_word"])):
+        got[r["doc_id"]].append(r["license"])
+    assert got == {i: names for i, (_, names) in rows.items()}
+
+
 def test_alignment_rises_and_agrees():
     rng = random.Random(6)
     for _ in range(200):
