@@ -71,13 +71,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     """(id, item, n_shingles, n_found, containment) for items of which a document holds three quarters or more."""
     best = _checked(documents, benchmark, id_col, text_col, item_col, item_text_col).groupBy("_id", "_item").agg(F.max(F.struct(F.col("_found") / F.col("_n"), F.col("_n"), F.col("_found"))).alias("_best"))
     n, hits = F.col("_best")["_n"], F.col("_best")["_found"]
-    return best.where(hits * 100 >= n * THRESHOLD_PCT).select(
-        F.col("_id").alias(id_col), F.col("_item").alias(item_col), n.cast("long").alias("n_shingles"), hits.cast("long").alias("n_found"), (hits / n).alias("containment")
-    )
+    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), n.cast("long").alias("n_shingles"), hits.cast("long").alias("n_found"), (hits / n).alias("containment"))
 
 
 def _checked(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """(_id, _text_hash, _item, _n, _found) of every candidate: an id with its text, and an item."""
+    """(_id, _text_hash, _item, _n, _found) of every candidate that holds enough: an id with its text, and an item.
+
+    The shingles of the candidates' texts and of the items meet in a join on the shingle itself.  Whole arrays never
+    travel with a pair, and no filter can move below the step that splits a text, which runs once for each text.
+    """
     items = items_of(benchmark, item_col, item_text_col)
     signed = signatures(items)
     few = signed.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
@@ -88,18 +90,26 @@ def _checked(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col:
         .groupBy("_id", "_text_hash", "_item", "_words")
         .agg(F.count_distinct("_hash").alias("_hits"), F.first("_need").alias("_need"))
         .where(F.col("_hits") >= F.col("_need"))
-        .select(F.col("_id").alias("_wanted"), F.col("_text_hash").alias("_wanted_hash"), "_item", shingle_texts(F.col("_words")).alias("_texts")),
+        .select(F.col("_id").alias("_wanted"), F.col("_text_hash").alias("_wanted_hash"), F.col("_item").alias("_wanted_item"), F.xxhash64("_words").alias("_wanted_words")),
         "candidates",
     )
     ids = stored(candidates.select("_wanted", "_wanted_hash").distinct(), "candidate-ids")
     same = F.col("_id").eqNullSafe(F.col("_wanted")) & (F.col("_text_hash") == F.col("_wanted_hash"))
-    likely = texts.join(small(ids), same, "left_semi")
-    pairs = candidates.join(likely, same).select("_id", "_text_hash", "_item", "_texts", word_list(F.col("_text")).alias("_list"))
-    return pairs.select("_id", "_text_hash", "_item", F.size("_texts").alias("_n"), F.size(F.array_intersect("_texts", shingle_texts(F.col("_list")))).alias("_found"))
+    lists = texts.join(small(ids), same, "left_semi").select("_id", "_text_hash", word_list(F.col("_text")).alias("_list"))
+    held = lists.select("_id", "_text_hash", F.explode(shingle_texts(F.col("_list"))).alias("_shingle"))
+    wanted = stored(items.select("_item", F.xxhash64("_words").alias("_item_words"), F.size("_texts").alias("_n"), F.explode("_texts").alias("_shingle")), "item-shingles")
+    counted = held.join(small(wanted, BROADCAST_HASHES), "_shingle").groupBy("_id", "_text_hash", "_item", "_item_words", "_n").agg(F.count_distinct("_shingle").cast("int").alias("_found"))
+    enough = stored(counted.where(F.col("_found") * 100 >= F.col("_n") * THRESHOLD_PCT), "contained")
+    pair = same & F.col("_item").eqNullSafe(F.col("_wanted_item")) & (F.col("_item_words") == F.col("_wanted_words"))
+    return enough.join(candidates, pair, "left_semi").select("_id", "_text_hash", "_item", "_n", "_found")
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that hold no benchmark item, all columns kept; rows of one id are decided each by its own text."""
-    leaking = _checked(documents, benchmark, id_col, text_col, "item_id", "text").where(F.col("_found") * 100 >= F.col("_n") * THRESHOLD_PCT)
-    leaks = stored(leaking.select(F.col("_id").alias("_leak"), F.col("_text_hash").alias("_leak_hash")).distinct(), "leaks")
-    return documents.join(small(leaks), documents[id_col].eqNullSafe(F.col("_leak")) & (F.xxhash64(text_col) == F.col("_leak_hash")), "left_anti")
+    """Documents that hold no benchmark item, all columns kept; rows of one id are decided each by its own text.
+
+    The documents' columns may have any names: they travel as one struct.
+    """
+    leaks = stored(_checked(documents, benchmark, id_col, text_col, "item_id", "text").select(F.col("_id").alias("_leak"), F.col("_text_hash").alias("_leak_hash")).distinct(), "leaks")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    held = F.col("_row")[id_col].eqNullSafe(F.col("_leak")) & (F.xxhash64(F.col("_row")[text_col]) == F.col("_leak_hash"))
+    return rows.join(small(leaks), held, "left_anti").select("_row.*")

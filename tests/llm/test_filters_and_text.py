@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -250,3 +251,15 @@ def test_packing_places_whole_texts(spark):
     ends = placed.sort_values(["bin_id", "start"])
     assert (ends["start"] == ends.groupby("bin_id")["size"].cumsum() - ends["size"]).mean() > 0.9  # 93 and null ids lie between
     assert set(got[got.bin_id.isna()].doc_id.dropna()) == {90, 91, 92} and best_fit.pack(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_very_long_text_is_split_once(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    item = " ".join(words[9_000:9_040])
+    documents = spark.createDataFrame([(1, " ".join(words), 7, 8), (2, "short and clean", 7, 8)], "doc_id long, text string, _leak int, _row int")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    start = time.time()
+    kept = decontaminate.drop_leaks(documents, benchmark).collect()
+    assert [tuple(r) for r in kept] == [(2, "short and clean", 7, 8)]
+    assert time.time() - start < 30
