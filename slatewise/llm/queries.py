@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import best_fit, chat_repair, decontaminate, license_align, line_crf, maxscore, prefix_tree_join, slot_sharding, suffix_dedup, surrogates
+from slatewise.llm import best_fit, chat_repair, collocations, decontaminate, hard_negatives, license_align, line_crf, maxscore, prefix_tree_join, slot_sharding, suffix_dedup, suffix_tree_lm, surrogates
 from slatewise.session import configure
 
 
@@ -103,6 +103,72 @@ def op10_induced_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 collocations of two or three words of every language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+), total as (
+  select lang, sum(len(w)) as n from words group by lang
+), runs as (
+  select lang, 1 as words, unnest(w) as phrase from words
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from words
+), counts as (
+  select lang, words, phrase, count(*) as f from runs group by lang, words, phrase having count(*) >= 10
+), parts as (
+  select *, string_split(phrase, ' ') as w from counts where words > 1
+), cuts as (
+  select lang, words, phrase, f, k, array_to_string(w[1:k], ' ') as left_part, array_to_string(w[k + 1:], ' ') as right_part from (select *, unnest(range(1, words)) as k from parts)
+), scored as (
+  select c.lang, c.words, c.phrase, c.f, k, x.f as l, y.f as r, (1000000::hugeint * c.f * c.f) // (x.f::hugeint * y.f) as score
+  from cuts c join counts x on x.lang = c.lang and x.phrase = left_part join counts y on y.lang = c.lang and y.phrase = right_part
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), around as (
+  select lang, phrase, max(f) as around from (
+    select lang, w[1] || ' ' || w[2] as phrase, f from parts where words = 3 union all select lang, w[2] || ' ' || w[3], f from parts where words = 3
+  ) group by lang, phrase
+), ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, f desc, b.phrase) as rank
+  from best b left join around a on a.lang = b.lang and a.phrase = b.phrase where a.around is null or 100 * a.around < 50 * b.f
+)
+select lang, cast(rank as integer) as rank, phrase, f as a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked join total using (lang) where rank <= 2000
+"""
+
+
+def op12_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """The log probability of every document under a suffix tree learnt from six sevenths of them."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return suffix_tree_lm.score(table(spark, folder, "documents"), held)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Negatives just below each positive's score, for every vector whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP13_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q, row_number() over () as r
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.r as anchor, a.vec_id as anchor_id, a.label = b.label as same, b.r, b.vec_id, cast(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) as bigint) as score
+  from v a join v b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 100 = 0
+), positives as (
+  select anchor, anchor_id, r as positive, vec_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor order by score desc, vec_id, r) <= 5
+)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor, positive order by s.score desc, s.vec_id, s.r) as integer) as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from positives p join scored s on s.anchor = p.anchor and not s.same and 100 * s.score between 80 * positive_score and 100 * positive_score
+qualify rank <= 5
+"""
+
 QUERIES = {
     "op1_chat_repair": (op1_chat_repair, None),
     "op2_prefix_tree_join": (op2_prefix_tree_join, None),
@@ -114,4 +180,7 @@ QUERIES = {
     "op8_surrogates": (op8_surrogates, None),
     "op9_maxscore": (op9_maxscore, OP9_SQL),
     "op10_induced_suffix_dedup": (op10_induced_suffix_dedup, None),
+    "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_suffix_tree_lm": (op12_suffix_tree_lm, None),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
