@@ -1,14 +1,16 @@
 """Hard negatives by rotated one-bit codes whose stored alignment gives certain score intervals.
 
 Vectors become integers, floor(256 x).  A fixed random rotation turns each into signs, one bit a dimension; with the
-code are stored the vector's length and its alignment, the cosine between the rotated vector and its sign vector.
-For an anchor q and a vector o of length |o|, code direction s and alignment a, the inner product is
+code is stored the alignment, the inner product of the vector with its unit sign direction.  What the code leaves, the
+residual, is orthogonal to that direction and coded again under another rotation, ``STAGES`` times in all; each code takes
+about two thirds of what was left.  With alignments a_j and directions s_j an anchor q has
 
-    |o| (a <q, s> + <q, rest>),   |rest|^2 = 1 - a^2,  rest orthogonal to s,
+    <q, o> = a_1 <q, s_1> + ... + a_j <q, s_j> + <q, rest>,   rest orthogonal to s_j,
 
-so Cauchy-Schwarz bounds it by |o| (a <q, s> -+ sqrt(1 - a^2) sqrt(|q|^2 - <q, s>^2)): a certain interval, not a likely
-one.  <q, s> comes from popcounts of the code against the bit planes of the rotated anchor, rounded to ``PLANES`` bits;
-the length of what rounding lost widens the interval, again by Cauchy-Schwarz, and so does a slack for floating point.
+so Cauchy-Schwarz bounds the last term by |rest| sqrt(|q|^2 - <q, s_j>^2): a certain interval, not a likely one.
+<q, s_j> comes from popcounts of the code against the bit planes of the rotated anchor, rounded to ``PLANES`` bits; the
+length of what rounding lost widens the interval, again by Cauchy-Schwarz, and so does a slack for floating point.
+After each code the vectors whose interval rules them out are left; later codes are read for the others only.
 
 A block of anchors meets a shard of vectors in one task.  For positives, vectors of the anchor's label whose upper end
 reaches the k-th best lower end survive; for negatives, vectors of another label whose interval meets the band of a
@@ -25,7 +27,7 @@ give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -36,61 +38,89 @@ from pyspark.sql import functions as F
 from slatewise.session import stored
 
 SHARD, ANCHOR_BLOCK = 32768, 512
+STAGES = 6
 PLANES = 8  # bits of a rotated anchor's component
 SEED = 20_240_501
 SLACK = 1e-9  # of |q||o|, for floating point
 EXACT = 1 << 62
 
-CODED = "_row long, _id long, _label int, _dims int, _ints array<double>, _code binary, _length double, _align double"
-CODED_ARROW = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("_label", pa.int32()), ("_dims", pa.int32()), ("_ints", pa.list_(pa.float64())), ("_code", pa.binary()), ("_length", pa.float64()), ("_align", pa.float64())])
+CODED = "_row long, _id long, _label int, _dims int, _ints array<double>, _codes array<binary>, _aligns array<double>, _rests array<double>"
+CODED_ARROW = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("_label", pa.int32()), ("_dims", pa.int32()), ("_ints", pa.list_(pa.float64())), ("_codes", pa.list_(pa.binary())), ("_aligns", pa.list_(pa.float64())), ("_rests", pa.list_(pa.float64()))])
 
 
 @cache
-def rotation(dims: int) -> np.ndarray:
+def rotation(dims: int, stage: int) -> np.ndarray:
     """A fixed random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED + dims).normal(size=(dims, dims)))
+    q, r = np.linalg.qr(np.random.default_rng([SEED, stage, dims]).normal(size=(dims, dims)))
     return q * np.sign(np.diag(r))
 
 
-def codes(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sign bits in 64-bit words, lengths, alignments) of the rows of a matrix."""
-    n, dims = ints.shape
-    scale = np.maximum(np.abs(ints).max(1, initial=0.0), 1.0)
-    unit = ints / scale[:, None]  # no overflow for huge components
-    turned = unit @ rotation(dims)
-    length = np.sqrt((unit * unit).sum(1))
+def bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as 64-bit words."""
+    n, dims = flags.shape
     padded = np.zeros((n, -(-max(dims, 1) // 64) * 64), np.uint8)
-    padded[:, :dims] = turned > 0
-    words = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        align = np.where(length > 0, np.abs(turned).sum(1) / (length * np.sqrt(max(dims, 1))), 1.0)
-    return words, length * scale, np.minimum(align, 1.0)
-
-
-def interval(anchor: np.ndarray, words: np.ndarray, lengths: np.ndarray, aligns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Certain lower and upper ends of the anchor's inner products with coded vectors."""
-    dims = len(anchor)
-    scale = max(float(np.abs(anchor).max(initial=0.0)), 1.0)
-    turned = (anchor / scale) @ rotation(dims)
-    low, high = float(turned.min(initial=0.0)), float(turned.max(initial=0.0))
-    step = (high - low) / ((1 << PLANES) - 1) or 1.0
-    levels = np.rint((turned - low) / step).astype(np.int64)
-    lost = float(np.linalg.norm(turned - (low + step * levels)))
-    ones = np.bitwise_count(words).sum(1).astype(np.int64)
-    total = np.zeros(len(words), np.int64)  # sum of the levels where the sign bit is set
-    padded = np.zeros(words.shape[1] * 64, np.uint8)
-    for bit in range(PLANES):
-        padded[:dims] = levels >> bit & 1
-        plane = np.packbits(padded, bitorder="little").view(np.uint64)
-        total += np.bitwise_count(words & plane).sum(1).astype(np.int64) << bit
-    along = (low * (2 * ones - dims) + step * (2 * total - int(levels.sum()))) / np.sqrt(max(dims, 1))
-    size = float(np.sqrt((turned * turned).sum()))
-    least = np.maximum(np.abs(along) - lost, 0.0)  # of |<q, s>|
-    apart = np.sqrt(np.maximum(size * size - least * least, 0.0))
-    middle = aligns * along
-    half = aligns * lost + np.sqrt(np.maximum(1.0 - aligns * aligns, 0.0)) * apart + SLACK * (size + 1.0)
-    reach = lengths * scale
-    return reach * (middle - half), reach * (middle + half)
+    padded[:, :dims] = flags
+    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
+
+
+def codes(ints: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(sign words of each stage, alignments, lengths of the residual before and after each stage) of the rows of a matrix."""
+    n, dims = ints.shape
+    scale = np.maximum(np.abs(ints).max(1, initial=0.0), 1.0)[:, None]
+    rest = ints / scale  # no overflow for huge components
+    words, aligns, rests = [], np.zeros((n, STAGES)), np.zeros((n, STAGES + 1))
+    rests[:, 0] = np.sqrt((rest * rest).sum(1))
+    for stage in range(STAGES):
+        turned = rest @ rotation(dims, stage)
+        signs = np.where(turned > 0, 1.0, -1.0) / np.sqrt(max(dims, 1))
+        words.append(bits(turned > 0))
+        aligns[:, stage] = (turned * signs).sum(1)
+        rest = rest - (aligns[:, stage, None] * signs) @ rotation(dims, stage).T
+        rests[:, stage + 1] = np.sqrt((rest * rest).sum(1))
+    return words, aligns * scale, rests * scale
+
+
+class Probe:
+    """An anchor, rotated and cut into bit planes for every stage."""
+
+    def __init__(self, anchor: np.ndarray):
+        self.dims = len(anchor)
+        self.scale = max(float(np.abs(anchor).max(initial=0.0)), 1.0)
+        self.stages = []
+        for stage in range(STAGES):
+            turned = (anchor / self.scale) @ rotation(self.dims, stage)
+            low, high = float(turned.min(initial=0.0)), float(turned.max(initial=0.0))
+            step = (high - low) / ((1 << PLANES) - 1) or 1.0
+            levels = np.rint((turned - low) / step).astype(np.int64)
+            planes = [bits((levels >> bit & 1)[None, :])[0] for bit in range(PLANES)]
+            self.stages.append((low, step, int(levels.sum()), planes, float(np.linalg.norm(turned - (low + step * levels)))))
+        self.size = float(np.sqrt((turned * turned).sum()))
+
+    def along(self, stage: int, words: np.ndarray) -> np.ndarray:
+        """The anchor's inner products with unit sign directions, but for what rounding lost."""
+        low, step, total, planes, _ = self.stages[stage]
+        ones = np.bitwise_count(words).sum(1).astype(np.int64)
+        where = sum(np.bitwise_count(words & plane).sum(1).astype(np.int64) << bit for bit, plane in enumerate(planes))
+        return (low * (2 * ones - self.dims) + step * (2 * where - total)) / np.sqrt(max(self.dims, 1))
+
+    def lost(self, stage: int) -> float:
+        return self.stages[stage][4]
+
+
+def narrowed(probe: Probe, words: list[np.ndarray], aligns: np.ndarray, rests: np.ndarray, at: np.ndarray, useful: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, lower ends, upper ends) of the vectors at ``at`` that no stage's intervals rule out."""
+    sure, unsure = np.zeros(len(at)), np.zeros(len(at))
+    low = high = sure
+    for stage in range(STAGES):
+        along = probe.along(stage, words[stage][at])
+        sure, unsure = sure + aligns[at, stage] * along, unsure + aligns[at, stage] * probe.lost(stage)
+        least = np.maximum(np.abs(along) - probe.lost(stage), 0.0)
+        apart = np.sqrt(np.maximum(probe.size * probe.size - least * least, 0.0))
+        half = unsure + rests[at, stage + 1] * apart + SLACK * rests[at, 0] * (probe.size + 1.0)
+        low, high = probe.scale * (sure - half), probe.scale * (sure + half)
+        keep = useful(low, high)
+        at, sure, unsure, low, high = at[keep], sure[keep], unsure[keep], low[keep], high[keep]
+    return at, low, high
 
 
 def scores(ints: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -113,32 +143,42 @@ class Shard:
 
     def __init__(self, table: pa.Table):
         self.rows, self.ids, self.labels = (table[c].to_numpy() for c in ("_row", "_id", "_label"))
-        dims = table["_dims"][0].as_py()
-        self.ints = table["_ints"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-        self.words = np.frombuffer(b"".join(table["_code"].to_pylist()), np.uint64).reshape(len(self.rows), -1)
-        self.lengths, self.aligns = table["_length"].to_numpy(), table["_align"].to_numpy()
+        n, dims = table.num_rows, table["_dims"][0].as_py()
+        flat = lambda c: table[c].combine_chunks().flatten()
+        self.ints = flat("_ints").to_numpy(zero_copy_only=False).reshape(n, dims)
+        code = np.frombuffer(b"".join(flat("_codes").to_pylist()), np.uint64).reshape(n, STAGES, -1)
+        self.words = [np.ascontiguousarray(code[:, stage]) for stage in range(STAGES)]
+        self.aligns, self.rests = (flat(c).to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("_aligns", "_rests"))
 
     def positives(self, row: int, label: int, anchor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of the k best other rows of the anchor's label."""
         same = np.flatnonzero((self.labels == label) & (self.rows != row))
-        low, high = interval(anchor, self.words[same], self.lengths[same], self.aligns[same])
-        left = same[high >= kth_largest(low, k)]
+        left, _, _ = narrowed(Probe(anchor), self.words, self.aligns, self.rests, same, lambda low, high: high >= kth_largest(low, k))
         exact = scores(self.ints[left], anchor)
         best = np.lexsort((self.ids[left], ~exact))[:k]
         return left[best], exact[best]
 
     def negatives(self, label: int, anchor: np.ndarray, bands: list[tuple[int, int]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, scores) of the k best rows of other labels within each band of scores."""
-        other = np.flatnonzero(self.labels != label)
-        low, high = interval(anchor, self.words[other], self.lengths[other], self.aligns[other])
-        for floor, ceiling in bands:
+
+        def within(low: np.ndarray, high: np.ndarray, floor: int, ceiling: int) -> np.ndarray:
             sure = low[(low >= floor) & (high <= ceiling)]
-            left = other[(high >= max(floor, kth_largest(sure, k))) & (low <= ceiling)]
-            exact = scores(self.ints[left], anchor)
+            return (high >= max(floor, kth_largest(sure, k))) & (low <= ceiling)
+
+        def useful(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            keep = np.zeros(len(low), bool)
+            for band in bands:
+                keep |= within(low, high, *band)
+            return keep
+
+        left, low, high = narrowed(Probe(anchor), self.words, self.aligns, self.rests, np.flatnonzero(self.labels != label), useful)
+        for floor, ceiling in bands:
+            some = left[within(low, high, floor, ceiling)]
+            exact = scores(self.ints[some], anchor)
             inside = (exact >= floor) & (exact <= ceiling)
-            left, exact = left[inside], exact[inside]
-            best = np.lexsort((self.ids[left], ~exact))[:k]
-            yield left[best], exact[best]
+            some, exact = some[inside], exact[inside]
+            best = np.lexsort((self.ids[some], ~exact))[:k]
+            yield some[best], exact[best]
 
 
 def quantised(vector: Column) -> Column:
@@ -151,7 +191,7 @@ def quantised(vector: Column) -> Column:
 
 
 def coded(vectors: DataFrame, label: Column, id_col: str, vector_col: str) -> DataFrame:
-    """The written table of codes: row number, id, label, integers, sign bits, length and alignment."""
+    """The written table of codes: row number, id, label, integers, and each stage's sign bits, alignment and residual length."""
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), label.cast("int").alias("_label"), quantised(F.col(vector_col)).alias("_ints"))
     rows = rows.where("_id is not null and _label is not null and _ints is not null").select(F.monotonically_increasing_id().alias("_row"), "_id", "_label", F.size("_ints").alias("_dims"), "_ints")
 
@@ -161,8 +201,9 @@ def coded(vectors: DataFrame, label: Column, id_col: str, vector_col: str) -> Da
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
                 ints = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d)
-                words, lengths, aligns = codes(ints)
-                yield pa.record_batch([*part.columns[:4], part.column(4).cast(pa.list_(pa.float64())), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(lengths), pa.array(aligns)], schema=CODED_ARROW)
+                words, aligns, rests = codes(ints)
+                packed = [[stage[i].tobytes() for stage in words] for i in range(len(ints))]
+                yield pa.record_batch([*part.columns[:4], part.column(4).cast(pa.list_(pa.float64())), pa.array(packed, CODED_ARROW.field("_codes").type), pa.array(aligns.tolist()), pa.array(rests.tolist())], schema=CODED_ARROW)
 
     return stored(rows.mapInArrow(code, CODED), "codes")
 

@@ -170,14 +170,16 @@ def test_hard_negatives_equal_all_scores(spark, monkeypatch, dims):
 
 def test_intervals_hold_and_leave_vectors_out():
     rng = np.random.default_rng(8)
-    ints = np.floor(256 * np.concatenate([rng.normal(size=(200, 64)), 0.05 * rng.normal(size=(200, 64)) + rng.normal(size=64), np.zeros((1, 64)), 1e12 * rng.normal(size=(5, 64))]))
-    words, lengths, aligns = hard_negatives.codes(ints)
-    for anchor in (ints[0], ints[300], ints[400], ints[404]):
-        low, high = hard_negatives.interval(anchor, words, lengths, aligns)
+    ints = np.floor(256 * np.concatenate([rng.normal(size=(400, 64)), 0.5 * rng.normal(size=(30, 64)) + rng.normal(size=64), np.zeros((1, 64)), 1e12 * rng.normal(size=(5, 64))]))
+    coded = hard_negatives.codes(ints)
+    for anchor in (ints[0], ints[410], ints[430], ints[434]):
+        seen = []
+        everything = lambda low, high, seen=seen: seen.append((low, high)) or np.ones(len(low), bool)
+        hard_negatives.narrowed(hard_negatives.Probe(anchor), *coded, np.arange(len(ints)), everything)
         exact = ints @ anchor
-        assert (low <= exact).all() and (exact <= high).all()
-    low, high = hard_negatives.interval(ints[300], words[:400], lengths[:400], aligns[:400])
-    assert (high >= hard_negatives.kth_largest(low, 5)).sum() < 300
+        assert len(seen) == hard_negatives.STAGES and all((low <= exact).all() and (exact <= high).all() for low, high in seen)
+    left, _, _ = hard_negatives.narrowed(hard_negatives.Probe(ints[410]), *coded, np.arange(430), lambda low, high: high >= hard_negatives.kth_largest(low, 5))
+    assert len(left) < 40 and set(np.argsort(-(ints[:430] @ ints[410]))[:5]) <= set(left)
 
 
 def test_components_of_any_size():
