@@ -407,24 +407,44 @@ def _stream(t, name, run, *args, **kwargs):
     return run(t.spark, feed, *args, work_path(t.spark, name), work_path(t.spark, f"{name}-checkpoint"), **kwargs)
 
 
+def _delivered(t, name, run):
+    """The result of a stream after every delivery; its state and watermark last from one to the next."""
+    feed, out, checkpoint = work_path(t.spark, f"{name}-feed"), work_path(t.spark, name), work_path(t.spark, f"{name}-checkpoint")
+    rows = None
+    for delivery in range(t.quote_deliveries.agg(F.max("delivery")).first()[0] + 1):
+        t.quote_deliveries.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(feed)
+        rows = run(t.spark, streams.read_feed(t.spark, feed, files_per_batch=None), out, checkpoint)
+    return rows
+
+
 @query(
     "stream_quote_history",
     "game_pk:i sportsbook:s market_type:s selection:s line:d american_odds:i captured_second:i",
-    f"d as (select distinct {QKEY} as qk, * from quote_feed) => select *, epoch(captured_at) as captured_second from d",
+    f"d as (select distinct {QKEY} as qk, * exclude (delivery) from quote_deliveries) => select *, epoch(captured_at) as captured_second from d",
 )
 def stream_quote_history(t):
-    rows = _stream(t, "quote-history", streams.stream_quote_history)
+    rows = _delivered(t, "quote-history", streams.stream_quote_history)
     return rows.withColumn("captured_second", F.unix_timestamp(F.col("captured_at").cast("timestamp")))
 
 
+# what a delivery finds: the watermark, a week behind the newest time of the earlier ones
+WATERMARKS = """lateness as (select interval 7 day as late),
+    marks as (select delivery, max(max({at})) over (order by delivery rows between unbounded preceding and 1 preceding) - any_value(late) as mark from {rows}, lateness group by delivery),
+    final as (select max({at}) - any_value(late) as mark from {rows}, lateness)"""
+
+
 @query(
     "stream_current_quotes",
-    "quote_key:s american_odds:i captured_second:i",
-    f"q as (select distinct * from quote_feed) => select {QKEY} as quote_key, american_odds, epoch(captured_at) as captured_second from q qualify row_number() over (partition by {QKEY} order by captured_at desc, american_odds desc) = 1",
+    "quote_key:s american_odds:i captured_second:i is_open:b",
+    f"""d as (select {QKEY} as quote_key, *, cast(event_date as timestamp) + interval 1 day as closes from quote_deliveries where captured_at <= cast(event_date as timestamp) + interval 1 day),
+    {WATERMARKS.format(at="closes", rows="d")},
+    kept as (select d.* from d join marks using (delivery) where marks.mark is null or closes > marks.mark)
+    => select quote_key, american_odds, epoch(captured_at) as captured_second, closes > final.mark as is_open from kept cross join final
+       qualify row_number() over (partition by quote_key order by captured_at desc, american_odds desc) = 1""",
 )
 def stream_current_quotes(t):
-    rows = _stream(t, "current-quotes", streams.stream_current_quotes)
-    return rows.withColumn("captured_second", F.unix_timestamp(F.col("captured_at").cast("timestamp")))
+    rows = _delivered(t, "current-quotes", streams.stream_current_quotes)
+    return rows.withColumn("captured_second", F.unix_timestamp("captured_at"))
 
 
 @query(
@@ -440,11 +460,12 @@ def stream_reprice(t):
 @query(
     "stream_line_moves",
     "quote_key:s day:s open_odds:i close_odds:i low_odds:i high_odds:i quotes:i",
-    f"""k as (select {QKEY} as quote_key, captured_at, american_odds from quote_feed)
-    => select quote_key, strftime(captured_at, '%Y-%m-%d') as day, min(american_odds) as open_odds, max(american_odds) as close_odds, min(american_odds) as low_odds, max(american_odds) as high_odds, count(*) as quotes from k group by quote_key, captured_at""",
+    f"""d as (select {QKEY} as quote_key, captured_at, american_odds, delivery, date_trunc('day', captured_at) + interval 1 day as day_end from quote_deliveries where captured_at is not null),
+    {WATERMARKS.format(at="captured_at", rows="d")},
+    kept as (select d.* from d join marks using (delivery) where marks.mark is null or day_end > marks.mark)
+    => select quote_key, strftime(day_end - interval 1 day, '%Y-%m-%d') as day, arg_min(american_odds, row(captured_at, american_odds)) as open_odds, arg_max(american_odds, row(captured_at, american_odds)) as close_odds,
+       min(american_odds) as low_odds, max(american_odds) as high_odds, count(*) as quotes from kept cross join final where day_end <= final.mark group by quote_key, day_end""",
 )
 def stream_line_moves(t):
-    rows = _stream(t, "line-moves", streams.stream_line_moves, lateness="36500 days")
+    rows = _delivered(t, "line-moves", streams.stream_line_moves)
     return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-
-

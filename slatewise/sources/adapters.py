@@ -293,6 +293,19 @@ VIEWS: dict[str, str] = {
     "quote_feed": """
         select * from quotes union all select * from quotes where sportsbook = 'B0'
     """,
+    # quotes as they arrive over some deliveries: seen in the weeks before a game and after its start, some without a
+    # time, those of every eleventh game one delivery late, and one book's again in the next delivery
+    "quote_deliveries": """
+        with seen as (
+            select game_pk, sportsbook, market_type, selection, team, line, american_odds, event_date,
+                   case when (game_pk + abs(american_odds)) % 19 = 0 then null
+                        else cast(event_date as $TS) + interval '1' hour * cast((game_pk * 31 + abs(american_odds) * 17) % 401 - 360 as int) end as captured_at,
+                   cast(floor((extract(year from event_date) - 1995) / 2) as int) + case when game_pk % 11 = 0 then 1 else 0 end as delivery
+            from quotes)
+        select * from seen
+        union all
+        select game_pk, sportsbook, market_type, selection, team, line, american_odds, event_date, captured_at, delivery + 1 from seen where sportsbook = 'B0'
+    """,
     # pregame context: paired and game-level fields, weather text, venues and capture times
     "contexts": f"""
         select game_pk, game_date, away_team, home_team, start_ts, start_ts - interval '1' minute * cast(game_pk % 600 as int) as assessed_at,
