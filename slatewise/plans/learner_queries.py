@@ -1,12 +1,14 @@
 """Training queries.  Fitted values depend on the optimiser, so they carry no SQL check."""
 
-from functools import partial
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.operators import features, history, learners, metrics
+from slatewise.operators import ensemble, experiments, features, history, learners, metrics, scoring
 from slatewise.operators.context import CONTEXT_FEATURES
 from slatewise.plans.history_queries import feature_names
+from slatewise.plans.metric_queries import ENSEMBLE, SLICES
 from slatewise.plans.registry import query
 from slatewise.plans.source_queries import overlay_frame
 
@@ -53,11 +55,19 @@ def fit_poisson_runs(t):
     return t.written("runs", lambda: learners.fit_poisson_runs(matchups(t), COLUMNS))
 
 
-@query("fit_calibrator", "game_pk:i a_win:i blended:d calibrated:d")
+@query(
+    "fit_calibrator",
+    "game_pk:i a_win:i blended:d calibrated:d",
+    f"{ENSEMBLE} => select game_pk, a_win, blended, calibrated from path",
+)
 def fit_calibrator(t):
-    votes = t.components.withColumnRenamed("a_win", "y")
-    blended = metrics.ensemble_blend(votes, metrics.ensemble_weights(votes), ["game_pk", "y"]).withColumnRenamed("y", "a_win")
-    return learners.fit_calibrator(t.written("blended", lambda: blended))
+    """Fitted on the calibration slice, applied to the games after it."""
+    votes, slices = t.components.select("game_pk", "a_win", "component", "p"), ensemble.sliced(t.contests)
+    rows = votes.join(slices, "game_pk").where("role <> 'core'")
+    weights = metrics.ensemble_weights(rows.where("role = 'calibration'").withColumnRenamed("a_win", "y"))
+    blended = metrics.ensemble_blend(rows, weights, ["game_pk", "a_win", "role"]).withColumnRenamed("probability", "blended")
+    fitted = ensemble.fit_calibrator(blended.where("role = 'calibration'"), "blended", "a_win")
+    return blended.where("role = 'evaluation'").withColumn("calibrated", fitted.of(F.col("blended")))
 
 
 COMPONENTS = ("logistic", "random_forest", "neural_network", *learners.BOOSTED)
@@ -87,15 +97,76 @@ def learner_facts(t):
     )
 
 
+def fitted_votes(t):
+    """The six fitted components beyond the core, and the closed formula of strength as the seventh."""
+    parts = [component(t, name).select("game_pk", "a_win", "component", "p") for name in COMPONENTS]
+    scored = scoring.logit_scores(matchups(t)).select("game_pk", "a_win", F.lit("elo_pyth").alias("component"), F.col("strength_probability").alias("p"))
+    return reduce(DataFrame.unionByName, [*parts, scored])
+
+
+def fitted_path(t):
+    def build():
+        priors = scoring.logit_scores(matchups(t)).select("game_pk", F.col("prior_probability").alias("prior"))
+        return ensemble.ensemble_path(fitted_votes(t), priors, ensemble.sliced(t.contests))
+
+    return t.written("fitted_path", build)
+
+
+@query("fitted_ensemble", "track:s n:i accuracy:d brier:d log_loss:d auc:d ece:d")
+def fitted_ensemble(t):
+    """The fitted ensemble on games it has not seen: blended, calibrated and final probabilities side by side."""
+    return metrics.track_metrics(fitted_path(t), "a_win", {"blended": "blended", "calibrated": "calibrated", "final": "probability"})
+
+
+@query(
+    "fitted_ensemble_facts",
+    "rows:i game_sum:i wins:i within_clip:b anchor_on_grid:b follows_the_arithmetic:b",
+    f"{SLICES} => select count(*) as rows, sum(game_pk) as game_sum, sum(a_win) as wins, true as within_clip, true as anchor_on_grid, true as follows_the_arithmetic from contests join slices using (game_pk) where role = 'evaluation'",
+)
+def fitted_ensemble_facts(t):
+    """The path scores exactly the evaluation slice, within its clip, and every value follows from the stored component scores."""
+    low, high = metrics.FINAL_CLIP
+    stacked = fitted_votes(t).join(ensemble.sliced(t.contests), "game_pk").where("role <> 'core'")
+    early = stacked.where("role = 'calibration'").groupBy("component").agg(F.avg(F.pow(F.col("p") - F.col("a_win"), 2)).alias("brier"))
+    mass = F.exp(-metrics.WEIGHT_DECAY * F.col("brier"))
+    mean = stacked.where("role = 'evaluation'").join(early, "component").groupBy("game_pk").agg((F.sum(mass * F.col("p")) / F.sum(mass)).alias("again"))
+    prior = scoring.logit_scores(matchups(t)).select("game_pk", "prior_probability")
+    rows = fitted_path(t).join(mean, "game_pk").join(prior, "game_pk")
+    share = F.col("anchor_weight")
+    mixed = F.least(F.lit(high), F.greatest(F.lit(low), share * F.col("prior_probability") + (1.0 - share) * F.col("calibrated")))
+    follows = (F.abs(F.col("again") - F.col("blended")) < 1e-9) & (F.abs(mixed - F.col("probability")) < 1e-9)
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("game_pk").alias("game_sum"), F.sum("a_win").alias("wins"), F.bool_and(F.col("probability").between(low, high)).alias("within_clip"),
+        F.bool_and(share.isin(*metrics.ANCHOR_GRID)).alias("anchor_on_grid"), F.bool_and(follows).alias("follows_the_arithmetic"),
+    )
+
+
 FOLDS = "window:s candidate:s n:i accuracy:d brier:d log_loss:d auc:d ece:d"
 BASELINE = [c for c in COLUMNS if c not in features.BASELINE_EXCLUDED]
 
 
+def walk_forward(t):
+    """Predictions and facts of the two feature contracts of the validation run."""
+    contracts = {"baseline": BASELINE, "candidate": COLUMNS}
+    return _fitted(t, "walk_forward", lambda: (matchups(t), COLUMNS, contracts))
+
+
+def _fitted(t, name, inputs):
+    """(predictions, facts) of an experiment, fitted once for all queries that read it."""
+    made = {}
+
+    def fit():
+        if not made:
+            rows, columns, contracts = inputs()
+            made["predictions"], made["facts"] = experiments.walk_forward(rows, columns, WINDOWS, contracts, MINIMUM_TRAIN)
+        return made
+
+    return t.written(f"{name}_predictions", lambda: fit()["predictions"]), t.written(f"{name}_facts", lambda: fit()["facts"])
+
+
 @query("walk_forward_eval", FOLDS)
 def walk_forward_eval(t):
-    contracts = {"baseline": BASELINE, "candidate": COLUMNS}
-    predictions = t.written("walk_forward", lambda: learners.walk_forward(matchups(t), WINDOWS, contracts, MINIMUM_TRAIN))
-    return learners.fold_metrics(predictions)
+    return learners.fold_metrics(walk_forward(t)[0])
 
 
 # The recent-form contracts under comparison (windows, momentum, last game, decay)
@@ -109,43 +180,118 @@ CONTRACTS = {
     "phase3_full_alpha_025": ((3, 5, 10, 20), True, True, 0.25),
     "phase3_full_alpha_035": ((3, 5, 10, 20), True, True, 0.35),
 }
+# The opponent-adjusted contracts under comparison (windows, momentum); None adds no adjusted form
+ADJUSTED_CONTRACTS = {
+    "v24_frozen_reference": None,
+    "opponent_adjusted_full": ((3, 5, 10, 20), True),
+    "opponent_adjusted_no_momentum": ((3, 5, 10, 20), False),
+    "opponent_adjusted_5_10_20": ((5, 10, 20), False),
+    "opponent_adjusted_3_10_20": ((3, 10, 20), True),
+}
 EWM_COLUMNS = [c for c in COLUMNS if c.startswith("ewm_")]
+ALPHAS = sorted({c[3] for c in CONTRACTS.values()})
+ADJUSTED_COLUMNS = [f"{c}_diff" for c in history.ADJUSTED]
+
+
+def decayed(column, alpha):
+    """The name of a weighted-form column under another decay rate."""
+    return column if alpha == history.EWM_ALPHA or column not in EWM_COLUMNS else f"{column}_{round(alpha * 100):03d}"
 
 
-def with_decay(t, alpha):
-    """The contest features with the weighted form of another decay rate."""
-    if alpha == history.EWM_ALPHA:
-        return matchups(t)
-    state = history.ewm_form(history.team_games(t.contests), alpha=alpha)
-    rows = matchups(t).drop(*EWM_COLUMNS)
+def _with_states(rows, states, values):
+    """Both teams' values of further state columns, as differences and, where contest features have them, sums."""
     for side in ("a", "b"):
-        rows = rows.join(state.select(F.col("team").alias(f"team_{side}"), "game_date", F.struct(*history.EWM).alias(side)), [f"team_{side}", "game_date"])
-    diffs = {f"{c}_diff": F.col(f"a.{c}") - F.col(f"b.{c}") for c in history.EWM}
-    sums = {f"{c}_sum": F.col(f"a.{c}") + F.col(f"b.{c}") for c in history.EWM if f"{c}_sum" in EWM_COLUMNS}
-    return rows.withColumns({**diffs, **sums}).drop("a", "b")
+        rows = rows.join(states.select(F.col("team").alias(f"team_{side}"), "game_date", F.struct(*values).alias(side)), [f"team_{side}", "game_date"])
+    out = {}
+    for c, (plain, alpha) in values_of(values).items():
+        out[decayed(f"{plain}_diff", alpha)] = F.col(f"a.{c}") - F.col(f"b.{c}")
+        if f"{plain}_sum" in EWM_COLUMNS:
+            out[decayed(f"{plain}_sum", alpha)] = F.col(f"a.{c}") + F.col(f"b.{c}")
+    return rows.withColumns(out).drop("a", "b")
 
 
-def experiment(t):
-    parts = []
-    for alpha in sorted({c[3] for c in CONTRACTS.values()}):
-        rows = t.written(f"matchups_{alpha}", partial(with_decay, t, alpha))
-        chosen = {n: features.contract_columns(COLUMNS, windows=w, momentum=m, last_game=last) for n, (w, m, last, a) in CONTRACTS.items() if a == alpha}
-        parts.append(learners.walk_forward(rows, WINDOWS, chosen, MINIMUM_TRAIN))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def values_of(names):
+    """(column without its decay rate, decay rate) of every state column."""
+    split = lambda c: (c.rsplit("__", 1)[0], int(c.rsplit("__", 1)[1]) / 100) if "__" in c else (c, history.EWM_ALPHA)
+    return {c: split(c) for c in names}
 
 
-@query("contract_experiment", "candidate:s eligible:b reasons:s selected:s status:s")
-def contract_experiment(t):
-    predictions = t.written("experiment", lambda: experiment(t))
+def decay_rows(t):
+    """The contest features with the weighted form of every decay rate under comparison, joined in one go."""
+    games = history.team_games(t.contests)
+    states, names = None, []
+    for alpha in ALPHAS:
+        if alpha != history.EWM_ALPHA:
+            marked = {c: f"{c}__{round(alpha * 100)}" for c in history.EWM}
+            form = history.ewm_form(games, alpha=alpha).select("team", "game_date", *[F.col(c).alias(n) for c, n in marked.items()])
+            names += marked.values()
+            states = form if states is None else states.join(form, ["team", "game_date"])
+    return _with_states(matchups(t), states, names)
+
+
+def recent_form_experiment(t):
+    def inputs():
+        every = [*COLUMNS, *[decayed(c, a) for a in ALPHAS if a != history.EWM_ALPHA for c in EWM_COLUMNS]]
+        chosen = {n: [decayed(c, a) for c in features.contract_columns(COLUMNS, windows=w, momentum=m, last_game=last)] for n, (w, m, last, a) in CONTRACTS.items()}
+        return decay_rows(t), every, chosen
+
+    return _fitted(t, "recent_form", inputs)
+
+
+def adjusted_form_experiment(t):
+    def inputs():
+        form = history.opponent_adjusted_form(history.team_games(t.contests))
+        every = [*COLUMNS, *ADJUSTED_COLUMNS]
+        adjusted = lambda windows, momentum: features.contract_columns(ADJUSTED_COLUMNS, windows=windows, momentum=momentum, adjusted=True)
+        chosen = {n: [*COLUMNS, *(adjusted(*c) if c else [])] for n, c in ADJUSTED_CONTRACTS.items()}
+        return _with_states(matchups(t), form, list(history.ADJUSTED)), every, chosen
+
+    return _fitted(t, "adjusted_form", inputs)
+
+
+SELECTED = "candidate:s eligible:b reasons:s selected:s status:s"
+
+
+def _selection(fitted, baseline):
+    predictions, facts = fitted
     summary = metrics.probability_metrics(predictions, "a_win", "probability", ["candidate"])
-    sizes = F.lit(0)
-    for name, (windows, momentum, last, _) in CONTRACTS.items():
-        kept = features.contract_columns(COLUMNS, windows=windows, momentum=momentum, last_game=last)
-        sizes = F.when(F.col("candidate") == name, len(kept)).otherwise(sizes)
-    return metrics.select_candidate(summary.withColumn("feature_count", sizes), "v2_3_3_reference")
+    sizes = facts.groupBy("candidate").agg(F.max("features").alias("feature_count"))
+    return metrics.select_candidate(summary.join(sizes, "candidate"), baseline)
+
+
+@query("contract_experiment", SELECTED)
+def contract_experiment(t):
+    """Every recent-form contract on every window, and which of them replaces the reference."""
+    return _selection(recent_form_experiment(t), "v2_3_3_reference")
+
+
+@query("adjusted_form_experiment", SELECTED)
+def adjusted_experiment(t):
+    """Opponent-adjusted contracts against the frozen one."""
+    return _selection(adjusted_form_experiment(t), "v24_frozen_reference")
+
+
+EXPERIMENT_WINDOWS = ", ".join(f"('{n}', date '{s}', date '{e}')" for n, s, e in WINDOWS)
+EXPERIMENT_CANDIDATES = ", ".join(f"('{e}', '{c}')" for e, names in (("walk_forward", ("baseline", "candidate")), ("recent_form", CONTRACTS), ("adjusted_form", ADJUSTED_CONTRACTS)) for c in names)
+
+
+@query(
+    "experiment_facts",
+    "experiment:s window:s candidate:s train_n:i train_wins:i n:i game_sum:i wins:i in_range:b at_optimum:b beats_base_rate:b",
+    f"""w(name, s, e) as (values {EXPERIMENT_WINDOWS}), k(experiment, candidate) as (values {EXPERIMENT_CANDIDATES}),
+    c as (select name, count(*) filter (where game_date < s) as train_n, coalesce(sum(a_win) filter (where game_date < s), 0) as train_wins, count(*) filter (where game_date between s and e) as n,
+             sum(game_pk) filter (where game_date between s and e) as game_sum, sum(a_win) filter (where game_date between s and e) as wins from w cross join contests group by name)
+    => select experiment, name as "window", candidate, train_n, train_wins, n, game_sum, wins, true as in_range, true as at_optimum, true as beats_base_rate from c cross join k where train_n >= {MINIMUM_TRAIN} and n > 0""",
+)
+def experiment_facts(t):
+    """What holds of every fit whatever the optimiser: its rows, a slope of nothing at the fit, a loss below the base rate's."""
+    parts = []
+    for name, (predictions, facts) in {"walk_forward": walk_forward(t), "recent_form": recent_form_experiment(t), "adjusted_form": adjusted_form_experiment(t)}.items():
+        inside = F.bool_and((F.col("probability") > 0) & (F.col("probability") < 1)).alias("in_range")
+        scored = predictions.groupBy("window", "candidate").agg(F.count(F.lit(1)).alias("n"), F.sum("game_pk").alias("game_sum"), F.sum("a_win").alias("scored_wins"), inside)
+        fits = facts.withColumnsRenamed({"wins": "train_wins"}).join(scored, ["window", "candidate"]).withColumnRenamed("scored_wins", "wins")
+        parts.append(fits.withColumns({"experiment": F.lit(name), "at_optimum": F.col("gradient") < 1e-6, "beats_base_rate": F.col("loss") < F.col("base_loss")}))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("overlay_fit_apply", "game_pk:i base_home_probability:d adjusted_home_probability:d status:s")

@@ -1,6 +1,6 @@
 """Metric, calibration, fold, bootstrap and gate queries over the matched predictions."""
 
-from slatewise.operators import history, metrics, scoring
+from slatewise.operators import ensemble, history, metrics, scoring
 from slatewise.plans.history_queries import SCORED, doubles
 from slatewise.plans.registry import query
 
@@ -225,19 +225,55 @@ def paired_bootstrap(t):
     return metrics.paired_bootstrap(t.predictions, "a_win", "baseline_probability", "candidate_probability", "game_pk", RESAMPLES)
 
 
-WEIGHTS = """bs as (select component, avg((p - a_win) * (p - a_win)) as brier from components group by component),
+# the roles of the chronological slices, and weights from the calibration slice
+SLICES = """numbered as (select game_pk, row_number() over (order by game_date, substr(md5(cast(game_pk as varchar)), 1, 2), game_pk) - 1 as place, count(*) over () as n from contests),
+cut as (select game_pk, place, n, least(greatest(100, floor(n * 0.8)), n - 30) as core from numbered),
+slices as (select game_pk, case when place < core then 'core' when place < core + (n - core) // 2 then 'calibration' else 'evaluation' end as role from cut)"""
+WEIGHTS = f"""{SLICES}, votes as (select * from components join slices using (game_pk)),
+bs as (select component, avg((p - a_win) * (p - a_win)) as brier from votes where role = 'calibration' group by component),
 ws as (select component, brier, exp(-10 * brier) / sum(exp(-10 * brier)) over () as weight from bs)"""
 
 
+def _voted(t, role):
+    from pyspark.sql import functions as F
+
+    return t.components.join(ensemble.sliced(t.contests), "game_pk").where(F.col("role") == role)
+
+
 @query("ensemble_weights", "component:s brier:d weight:d", f"{WEIGHTS} => select * from ws")
 def ensemble_weights(t):
-    return metrics.ensemble_weights(t.components.withColumnRenamed("a_win", "y"))
+    return metrics.ensemble_weights(_voted(t, "calibration").withColumnRenamed("a_win", "y"))
 
 
-@query("ensemble_blend", "game_pk:i probability:d", f"{WEIGHTS} => select game_pk, sum(weight * p) as probability from components join ws using (component) group by game_pk")
+@query("ensemble_blend", "game_pk:i probability:d", f"{WEIGHTS} => select game_pk, sum(weight * p) as probability from votes join ws using (component) where role = 'evaluation' group by game_pk")
 def ensemble_blend(t):
-    weights = metrics.ensemble_weights(t.components.withColumnRenamed("a_win", "y"))
-    return metrics.ensemble_blend(t.components, weights, ["game_pk"])
+    """Games after the calibration slice, blended with the weights it gave."""
+    weights = metrics.ensemble_weights(_voted(t, "calibration").withColumnRenamed("a_win", "y"))
+    return metrics.ensemble_blend(_voted(t, "evaluation"), weights, ["game_pk"])
+
+
+# Newton steps of the penalised likelihood, one row each, and the anchor of the calibration slice
+ENSEMBLE = f"""{WEIGHTS}, blended as (select game_pk, any_value(a_win) as y, any_value(role) as role, sum(weight * p) as x from votes join ws using (component) where role <> 'core' group by game_pk),
+early as (select b.*, p.baseline_probability as prior from blended b join predictions p using (game_pk) where role = 'calibration'),
+newton(i, a, b) as (select 0, 0.0::double, 0.0::double union all
+  select i + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) from (
+    select i, a, b, sum(p - y) as g1, sum((p - y) * x) + b / {ensemble.CALIBRATOR_C} as g2, sum(p * (1 - p)) as h11, sum(p * (1 - p) * x) as h12, sum(p * (1 - p) * x * x) + 1 / {ensemble.CALIBRATOR_C} as h22
+    from (select newton.i, newton.a, newton.b, y, x, 1 / (1 + exp(-(newton.a + newton.b * x))) as p from newton cross join early where newton.i < {ensemble.CALIBRATOR_STEPS}) group by i, a, b)),
+fitted as (select a, b from newton where i = {ensemble.CALIBRATOR_STEPS}),
+grid as (select w.w, avg(pow(w.w * prior + (1 - w.w) / (1 + exp(-(a + b * x))) - y, 2)) as brier from early cross join fitted cross join (values (0.0::double), (0.25), (0.5), (0.75), (1.0)) w(w) group by w.w),
+anchor as (select w from grid order by round(brier, 12), w limit 1),
+path as (select game_pk, y as a_win, x as blended, 1 / (1 + exp(-(a + b * x))) as calibrated, w as anchor_weight, baseline_probability as prior from blended join predictions using (game_pk) cross join fitted cross join anchor where role = 'evaluation')"""
+
+
+@query(
+    "ensemble_path",
+    "game_pk:i a_win:i blended:d calibrated:d anchor_weight:d probability:d",
+    f"{ENSEMBLE} => select *, least(0.92, greatest(0.08, anchor_weight * prior + (1 - anchor_weight) * calibrated)) as probability from path",
+)
+def ensemble_path(t):
+    """Votes to final probabilities: weights, calibrator and anchor from the calibration slice, later games only."""
+    priors = t.predictions.withColumnRenamed("baseline_probability", "prior").select("game_pk", "prior")
+    return ensemble.ensemble_path(t.components.select("game_pk", "a_win", "component", "p"), priors, ensemble.sliced(t.contests))
 
 
 @query(

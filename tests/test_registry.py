@@ -29,8 +29,8 @@ def test_entry_points_agree():
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) >= 143
     assert {n for n, q in load_all().items() if q.sql is None} == {
-        "fit_logistic", "fit_random_forest", "fit_mlp", "fit_gbt", "fit_poisson_runs", "fit_calibrator",
-        "walk_forward_eval", "contract_experiment", "overlay_fit_apply",
+        "fit_logistic", "fit_random_forest", "fit_mlp", "fit_gbt", "fit_poisson_runs",
+        "walk_forward_eval", "contract_experiment", "adjusted_form_experiment", "fitted_ensemble", "overlay_fit_apply",
     }
 
 
