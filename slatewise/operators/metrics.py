@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -339,66 +338,6 @@ def paired_deltas(baseline: DataFrame, candidates: DataFrame, keys: Sequence[str
     )
 
 
-def paired_bootstrap(df: DataFrame, outcome: str, baseline: str, candidate: str, key: str, iterations: int) -> DataFrame:
-    """Point differences and 2.5/97.5 percentiles over resamples with replacement.
-
-    Each row enters each resample as often as its Poisson(1) weight says, a hash of key and resample, so weights
-    are drawn where the row lies: no places, no join, and no resample is held whole.  They fold to counts
-    per resample and distinct probability pair before the only shuffle.
-    """
-    ok = finite(F.col(outcome)) & finite(F.col(baseline)) & finite(F.col(candidate))
-    rows = df.filter(ok).select(
-        F.col(key).cast("string").alias("key"), F.col(outcome).cast("int").alias("y"), clipped(F.col(baseline)).alias("base"), clipped(F.col(candidate)).alias("cand")
-    )
-    if rows.isEmpty():
-        raise ValueError("the bootstrap needs at least one matched prediction")
-    drawn = rows.select("y", "base", "cand", "key", F.explode(F.sequence(F.lit(0), F.lit((iterations + 1) // 2 - 1))).alias("pair"))
-    digest = F.md5(F.concat_ws(":", "key", F.col("pair").cast("string")))
-    halves = F.array(*[F.struct((F.col("pair") * 2 + i).cast("long").alias("rep"), poisson_weight(F.substring("digest", 15 * i + 1, 15)).alias("times")) for i in (0, 1)])
-    drawn = drawn.withColumn("digest", digest).select("y", "base", "cand", F.inline(halves)).filter((F.col("times") > 0) & (F.col("rep") < iterations))
-    sampled = drawn.groupBy("rep", "y", "base", "cand").agg(F.sum("times").alias("times"))
-    whole = rows.groupBy("y", "base", "cand").agg(F.count(F.lit(1)).alias("times")).withColumn("rep", F.lit(-1).cast("long"))
-    deltas = _weighted_differences(sampled.unionByName(whole))
-    long = deltas.select("rep", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "brier", "log_loss", "auc")])))
-    drawn_value = F.when((F.col("rep") >= 0) & finite(F.col("value")), F.col("value"))
-    return long.groupBy("metric").agg(
-        F.max(F.when(F.col("rep") == -1, F.col("value"))).alias("point"),
-        F.percentile(drawn_value, 0.025).alias("low"), F.percentile(drawn_value, 0.975).alias("high"),
-        F.count(drawn_value).alias("bootstrap_samples"),
-    )
-
-
-def poisson_thresholds() -> list[str]:
-    """The distribution function of Poisson(1) in 15 hex digits, up to its last step that 60 bits can hold."""
-    out, total, term = [], 0.0, math.exp(-1)
-    for k in range(18):
-        total += term / math.factorial(k)
-        out.append(f"{min(int(total * 16**15), 16**15 - 1):015x}")
-    return sorted(set(out))
-
-
-def poisson_weight(digits: Column) -> Column:
-    """How often a row with these 15 hash digits is drawn; equal lengths make text order that of numbers."""
-    steps = [(digits >= t).cast("long") for t in poisson_thresholds()]
-    return sum(steps[1:], steps[0])
-
-
-def _weighted_differences(rows: DataFrame) -> DataFrame:
-    """Candidate-minus-baseline metrics per ``rep`` from rows weighted by ``times``."""
-    tracks = F.array(*[F.struct(F.lit(t).alias("track"), F.col(t).alias("p")) for t in ("base", "cand")])
-    long = rows.select("rep", "y", "times", F.inline(tracks))
-    n = F.sum("times")
-    hit = ((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")
-    sums = long.groupBy("rep", "track").agg(
-        (F.sum(hit * F.col("times")) / n).alias("accuracy"),
-        (F.sum(F.pow(F.col("p") - F.col("y"), 2) * F.col("times")) / n).alias("brier"),
-        (F.sum(log_loss(F.col("y"), F.col("p")) * F.col("times")) / n).alias("log_loss"),
-    )
-    measured = sums.join(auc_rank(long, "y", "p", ["rep", "track"], "times"), ["rep", "track"])
-    sign = F.when(F.col("track") == "cand", 1.0).otherwise(-1.0)
-    return measured.groupBy("rep").agg(*[F.sum(F.col(m) * sign).alias(m) for m in ("accuracy", "brier", "log_loss", "auc")])
-
-
 # Decay of the ensemble weights and the anchor grid
 WEIGHT_DECAY = 10.0
 ANCHOR_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)

@@ -1,6 +1,6 @@
 """Metric, calibration, fold, bootstrap and gate queries over the matched predictions."""
 
-from slatewise.operators import ensemble, history, metrics, scoring
+from slatewise.operators import ensemble, history, metrics, resampling, scoring
 from slatewise.plans.history_queries import SCORED, doubles
 from slatewise.plans.registry import query
 
@@ -200,17 +200,28 @@ def paired_deltas(t):
 
 
 RESAMPLES = 2000
-TIMES = " + ".join(f"(u >= '{t}')::bigint" for t in metrics.poisson_thresholds())
+MASK = 0xFFFFFFFF
+TIMES = " + ".join(f"(u >= {t})::bigint" for t in resampling.poisson_thresholds())
+
+
+def mixed_sql(z: str, source: str, kept: str) -> str:
+    """Subqueries that finalise the 32-bit value z, one step each, and keep further columns."""
+    first = f"(select {kept}, (xor(z, z >> 16) * {resampling.MIX_1}::ubigint) & {MASK} as z from (select {kept}, {z} as z from {source}))"
+    return f"(select {kept}, xor(z, z >> 16) as z from (select {kept}, (xor(z, z >> 13) * {resampling.MIX_2}::ubigint) & {MASK} as z from {first}))"
+
+
+LOW = f"(('0x' || substr(md5(k), 9, 8))::ubigint + ((rep + 1)::ubigint * {resampling.GOLDEN}::ubigint & {MASK})) & {MASK}"
+DRAWN = mixed_sql("xor(z, ('0x' || substr(md5(k), 1, 8))::ubigint)", mixed_sql(LOW, f"(select v.*, r.rep from v cross join range({RESAMPLES}) r(rep))", "k, y, b, c, rep"), "k, y, b, c, rep")
 
 
 @query(
     "paired_bootstrap",
     "metric:s point:d low:d high:d bootstrap_samples:i",
     f"""v as (select cast(game_pk as varchar) as k, a_win as y, baseline_probability as b, candidate_probability as c from predictions),
-    h as (select r.rep, y, b, c, substr(md5(k || ':' || (r.rep // 2)), 1 + 15 * (r.rep % 2), 15) as u from v cross join range({RESAMPLES}) r(rep)),
+    h as (select rep, y, b, c, z as u from {DRAWN}),
     s as (select rep, y, b, c, sum({TIMES}) as w from h group by rep, y, b, c having sum({TIMES}) > 0 union all select -1, y, b, c, count(*) from v group by y, b, c),
-    fb as (select rep, b as p, sum(w) filter (where y = 1) as pos, coalesce(sum(w) filter (where y = 0), 0) as neg from s group by rep, b),
-    fc as (select rep, c as p, sum(w) filter (where y = 1) as pos, coalesce(sum(w) filter (where y = 0), 0) as neg from s group by rep, c),
+    fb as (select rep, b as p, coalesce(sum(w) filter (where y = 1), 0) as pos, coalesce(sum(w) filter (where y = 0), 0) as neg from s group by rep, b),
+    fc as (select rep, c as p, coalesce(sum(w) filter (where y = 1), 0) as pos, coalesce(sum(w) filter (where y = 0), 0) as neg from s group by rep, c),
     ab as (select rep, sum(pos * (below + neg / 2.0)) / (cast(sum(pos) as double) * sum(neg)) as auc from (select *, sum(neg) over (partition by rep order by p) - neg as below from fb) group by rep),
     ac as (select rep, sum(pos * (below + neg / 2.0)) / (cast(sum(pos) as double) * sum(neg)) as auc from (select *, sum(neg) over (partition by rep order by p) - neg as below from fc) group by rep),
     d as (select rep, sum(w * (((c >= 0.5) = (y = 1))::int - ((b >= 0.5) = (y = 1))::int)) / sum(w) as accuracy,
@@ -222,7 +233,7 @@ TIMES = " + ".join(f"(u >= '{t}')::bigint" for t in metrics.poisson_thresholds()
        quantile_cont(v, 0.975) filter (where rep >= 0) as high, count(v) filter (where rep >= 0) as bootstrap_samples from l group by metric""",
 )
 def paired_bootstrap(t):
-    return metrics.paired_bootstrap(t.predictions, "a_win", "baseline_probability", "candidate_probability", "game_pk", RESAMPLES)
+    return resampling.paired_bootstrap(t.predictions, "a_win", "baseline_probability", "candidate_probability", "game_pk", RESAMPLES)
 
 
 # the roles of the chronological slices, and weights from the calibration slice

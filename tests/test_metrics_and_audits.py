@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slatewise.functions.season_lines import innings
-from slatewise.operators import features, ledger, metrics, pitching
+from slatewise.operators import features, ledger, metrics, pitching, resampling
 from slatewise.operators.positions import position
 
 
@@ -75,7 +75,7 @@ def test_ties_and_outliers_spread(spark):
 
 def test_bootstrap_covers_the_point(spark):
     rows = spark.createDataFrame([(i, i % 2, 0.4 + 0.2 * (i % 2), 0.3 + 0.4 * (i % 2)) for i in range(200)], "pk long, y int, b double, c double")
-    got = {r.metric: r for r in metrics.paired_bootstrap(rows, "y", "b", "c", "pk", 10).collect()}
+    got = {r.metric: r for r in resampling.paired_bootstrap(rows, "y", "b", "c", "pk", 10).collect()}
     assert got["brier"].point == pytest.approx(0.09 - 0.16) and got["brier"].bootstrap_samples == 10
     assert got["brier"].low <= got["brier"].point <= got["brier"].high
 
