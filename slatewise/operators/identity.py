@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions.status import exclusion_reason, final_status, status_rank, was_played
+from slatewise.operators.positions import neighbours
 
 # How far apart a provider event and a contest may start
 MATCH_SECONDS = 8 * 3600
@@ -126,19 +127,26 @@ def nearest_event_match(events: DataFrame, contexts: DataFrame, tolerance: int =
     """The contest of the same teams that starts nearest to each provider event.
 
     Events: event_id, away_team, home_team, commence (epoch seconds or NULL).  Contexts: game_pk,
-    away_team, home_team, start (epoch seconds or NULL).  Time is cut into slots of the tolerance,
-    so an event meets only the contests of its own and the neighbouring slots, and contests
-    starting together count once.  A tie at the least distance stays unmatched; a pair with one
+    away_team, home_team, start (epoch seconds or NULL).  Starts and events of a pair are merged in time order
+    and an event sees the last start before it and the next one after it, so it meets two starts however many the
+    pair has; contests starting together count once.  A tie at the least distance stays unmatched; a pair with one
     contest in all is accepted when either time is unknown.
     """
     teams = ["away_team", "home_team"]
     times = contexts.filter("start is not null").groupBy(*teams, "start").agg(F.count(F.lit(1)).alias("same"), F.min("game_pk").alias("pk"))
-    times = times.withColumn("slot", F.floor(F.col("start") / tolerance))
-    slot = F.floor(F.col("commence") / tolerance)
-    looked = events.filter("commence is not null").withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    near = looked.join(times, [*teams, "slot"]).withColumn("gap", F.abs(F.col("start") - F.col("commence"))).filter(F.col("gap") <= tolerance)
-    best = near.groupBy("event_id", "gap").agg(F.sum("same").alias("ties"), F.min("pk").alias("pk"))
-    best = best.groupBy("event_id").agg(F.min_by(F.struct("gap", "ties", "pk"), "gap").alias("b"))
+    starts = times.select(*teams, F.col("start").alias("time"), F.struct("start", "same", "pk").alias("begins"))
+    asked = events.filter("commence is not null").select(*teams, F.col("commence").alias("time"), "event_id")
+    merged = starts.unionByName(asked, allowMissingColumns=True)
+    # a start comes before the events of its time
+    order = [F.col("time"), F.col("event_id").isNotNull(), F.col("event_id")]
+    seen = neighbours(merged, teams, order, F.col("begins")).filter("event_id is not null")
+    gap = lambda side: F.abs(F.col(f"{side}.start") - F.col("time"))
+    nearest = F.least(gap("_last"), gap("_next"))
+    here = lambda side: F.coalesce(gap(side) == nearest, F.lit(False))
+    ties = F.when(here("_last"), F.col("_last.same")).otherwise(0) + F.when(here("_next"), F.col("_next.same")).otherwise(0)
+    pk = F.when(here("_last"), F.col("_last.pk")).otherwise(F.col("_next.pk"))
+    best = seen.filter(nearest <= tolerance).select("event_id", F.struct(nearest.alias("gap"), ties.alias("ties"), pk.alias("pk")).alias("b"))
+    best = best.groupBy("event_id").agg(F.min_by("b", "b.gap").alias("b"))
     only = contexts.groupBy(*teams).agg(F.count(F.lit(1)).alias("all"), F.min("game_pk").alias("only_pk"), F.max("start").alias("only_start"))
     rows = events.join(best, "event_id", "left").join(only, teams, "left")
     unknown_time = F.col("commence").isNull() | F.col("only_start").isNull()
@@ -276,3 +284,46 @@ def table_fingerprint(fingerprints: DataFrame) -> DataFrame:
     lanes = [F.sum(F.conv(F.substring("fingerprint", at, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in range(1, 64, 12)]
     sums = fingerprints.agg(F.count(F.lit(1)).alias("rows"), *lanes)
     return sums.select("rows", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in sums.columns]), 256).alias("fingerprint"))
+
+
+def _lanes(digest: Column, sign: Column | int = 1) -> list[Column]:
+    """Order-free sums of a digest's six lanes: a set of rows has the same sums in any order."""
+    return [F.sum(sign * F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in range(1, 64, 12)]
+
+
+LANES = [f"s{at}" for at in range(1, 64, 12)]
+
+
+def _line_digest(fields: Sequence[Column]) -> Column:
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in fields]), 256)
+
+
+def context_fingerprint(games: DataFrame, rosters: DataFrame, transactions: DataFrame, stable: Sequence[str]) -> DataFrame:
+    """(game_pk, fingerprint): what the rosters and transactions of a game's two teams and its stable fields say.
+
+    Games: game_pk, home_team, away_team and the fields of ``stable``.  Rosters: team, captured_at, file_path and
+    players, an array of structs; the latest capture of a team counts, whatever the order of its players.
+    Transactions: transaction_id, from_team, to_team and payload, a struct; repeated deliveries count once.  Capture times
+    and paths take no part, so an unchanged capture keeps the fingerprint.  Teams' sums are joined, never their
+    lists: a game holds both teams' transactions less those between them, which both have.
+    """
+    players = rosters.groupBy("team").agg(F.max_by("players", F.struct("captured_at", "file_path")).alias("players"))
+    one = F.transform("players", lambda p: F.sha2(F.to_json(p), 256))
+    roster = players.select("team", F.sha2(F.array_join(F.array_sort(one), ","), 256).alias("roster"))
+
+    moves = transactions.select("transaction_id", "from_team", "to_team", _line_digest([F.col("transaction_id"), F.col("from_team"), F.col("to_team"), F.to_json("payload")]).alias("digest"))
+    moves = moves.dropDuplicates(["digest"])
+    sides = moves.select(F.explode(F.array_distinct(F.array_compact(F.array("from_team", "to_team")))).alias("team"), "digest")
+    by_team = sides.groupBy("team").agg(*_lanes(F.col("digest")), F.count(F.lit(1)).alias("moves"))
+    inner = moves.where("from_team <> to_team").groupBy(F.least("from_team", "to_team").alias("low"), F.greatest("from_team", "to_team").alias("high"))
+    between = inner.agg(*_lanes(F.col("digest")), F.count(F.lit(1)).alias("moves"))
+
+    team = roster.join(by_team, "team", "full")
+    rows = games.withColumns({"low": F.least("home_team", "away_team"), "high": F.greatest("home_team", "away_team")})
+    for side in ("low", "high"):
+        rows = rows.join(team.select(F.col("team").alias(side), F.struct("roster", *LANES, "moves").alias(f"of_{side}")), side, "left")
+    rows = rows.join(between.select("low", "high", F.struct(*LANES, "moves").alias("of_both")), ["low", "high"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    total = lambda name: zero(F.col(f"of_low.{name}")) + zero(F.col(f"of_high.{name}")) - zero(F.col(f"of_both.{name}"))
+    parts = [F.col(c) for c in sorted(stable)] + [F.col("low"), F.col("of_low.roster"), F.col("high"), F.col("of_high.roster"), *[total(c) for c in (*LANES, "moves")]]
+    return rows.select("game_pk", _line_digest(parts).alias("fingerprint"))

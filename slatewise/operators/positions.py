@@ -56,6 +56,29 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], totals:
     )
 
 
+def neighbours(df: DataFrame, keys: list[str], order: list[Column], value: Column) -> DataFrame:
+    """The nearest non-null ``value`` of an earlier and of a later row of the key group, in ``_last`` and ``_next``.
+
+    ``order`` must be total.  A range looks among its own rows first; what lies beyond comes from the first and last
+    value of the other ranges, one row each.
+    """
+    rows, group = _ranged(df.withColumn("_value", value), keys, order), [*keys, "_range"]
+    inside = Window.partitionBy(*group).orderBy(*order)
+    near = rows.withColumns({
+        "_inner_last": F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
+        "_inner_next": F.first("_value", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    place = F.struct(*order)
+    edges = rows.groupBy(*group).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), place)).alias("_end"), F.min_by("_value", F.when(F.col("_value").isNotNull(), place)).alias("_start"))
+    beyond = Window.partitionBy(*keys).orderBy("_range")
+    edges = edges.select(
+        *group, F.last("_end", ignorenulls=True).over(beyond.rowsBetween(Window.unboundedPreceding, -1)).alias("_outer_last"),
+        F.first("_start", ignorenulls=True).over(beyond.rowsBetween(1, Window.unboundedFollowing)).alias("_outer_next"),
+    )
+    joined = near.join(edges, group).withColumns({"_last": F.coalesce("_inner_last", "_outer_last"), "_next": F.coalesce("_inner_next", "_outer_next")})
+    return joined.drop("_range", "_value", "_inner_last", "_inner_next", "_outer_last", "_outer_next")
+
+
 def last_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The last ``n`` rows of each key group with their place from the end in ``from_end``.
 

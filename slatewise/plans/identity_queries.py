@@ -312,3 +312,30 @@ def row_fingerprint(t):
 )
 def table_fingerprint(t):
     return identity.table_fingerprint(identity.row_fingerprint(t.contests.select(*PRINTED), "game_pk"))
+
+
+MOVE_LANES = ", ".join(f"sum(cast('0x' || substr(d, {12 * i + 1}, 12) as hugeint)) as s{i}" for i in range(6))
+MOVE_TOTALS = ", ".join([f"coalesce(a.s{i}, 0) + coalesce(b.s{i}, 0) - coalesce(x.s{i}, 0)" for i in range(6)] + ["coalesce(a.moves, 0) + coalesce(b.moves, 0) - coalesce(x.moves, 0)"])
+
+
+@query(
+    "context_fingerprint",
+    "game_pk:i fingerprint:s",
+    f"""p as (select distinct team, player_id, status from roster_lines where capture = 2),
+    r as (select team, sha256(string_agg(sha256('{{"player_id":' || player_id || ',"status":"' || status || '"}}'), ',' order by sha256('{{"player_id":' || player_id || ',"status":"' || status || '"}}'))) as roster from p group by team),
+    m as (select distinct from_team, to_team, sha256(transaction_id || '|' || coalesce(from_team, '~') || '|' || to_team || '|{{"kind":"' || kind || '","major":' || major || '}}') as d from roster_moves),
+    s as (select from_team as team, d from m where from_team is not null union select to_team, d from m),
+    tl as (select team, {MOVE_LANES}, count(*) as moves from s group by team),
+    t as (select coalesce(r.team, tl.team) as team, roster, tl.* exclude (team) from r full join tl on r.team = tl.team),
+    x as (select least(from_team, to_team) as low, greatest(from_team, to_team) as high, {MOVE_LANES}, count(*) as moves from m where from_team <> to_team group by 1, 2),
+    g as (select game_pk, feed_status, least(home_team, away_team) as low, greatest(home_team, away_team) as high from schedule)
+    => select game_pk, sha256(concat_ws('|', feed_status, g.low, coalesce(a.roster, '~'), g.high, coalesce(b.roster, '~'), {MOVE_TOTALS})) as fingerprint
+       from g left join t a on a.team = g.low left join t b on b.team = g.high left join x on x.low = g.low and x.high = g.high""",
+)
+def context_fingerprint(t):
+    """Games whose clubs' rosters and moves are as they were keep their digest, whenever and wherever captured."""
+    player = F.struct("player_id", "status")
+    rosters = t.roster_lines.groupBy("team", F.col("capture").alias("captured_at")).agg(F.min("file_path").alias("file_path"), F.collect_list(player).alias("players"))
+    moves = t.roster_moves.select("transaction_id", "from_team", "to_team", F.struct("kind", "major").alias("payload"))
+    games = t.schedule.select("game_pk", "home_team", "away_team", "feed_status")
+    return identity.context_fingerprint(games, rosters, moves, ["feed_status"])

@@ -306,6 +306,20 @@ VIEWS: dict[str, str] = {
         union all
         select game_pk, sportsbook, market_type, selection, team, line, american_odds, event_date, captured_at, delivery + 1 from seen where sportsbook = 'B0'
     """,
+    # a club's players as two captures name them, in different orders, and moves of players between clubs
+    "roster_lines": """
+        select 'T' || lpad(cast(c_nationkey as string), 2, '0') as team, c_custkey as player_id, c_mktsegment as status, capture,
+               'capture-' || cast(capture as string) || '-' || cast(c_custkey % 7 as string) as file_path
+        from {customer} cross join (select 1 as capture union all select 2) k
+    """,
+    "roster_moves": """
+        select l_orderkey * 10 + l_linenumber as transaction_id, case when l_linenumber <> 5 then 'T' || lpad(cast(l_suppkey % 25 as string), 2, '0') end as from_team,
+               'T' || lpad(cast(l_partkey % 25 as string), 2, '0') as to_team, l_linestatus as kind, l_extendedprice > 30000 as major
+        from {lineitem} where l_returnflag = 'R'
+        union all
+        select l_orderkey * 10 + l_linenumber, case when l_linenumber <> 5 then 'T' || lpad(cast(l_suppkey % 25 as string), 2, '0') end, 'T' || lpad(cast(l_partkey % 25 as string), 2, '0'), l_linestatus, l_extendedprice > 30000
+        from {lineitem} where l_returnflag = 'R' and l_linenumber = 2
+    """,
     # pregame context: paired and game-level fields, weather text, venues and capture times
     "contexts": f"""
         select game_pk, game_date, away_team, home_team, start_ts, start_ts - interval '1' minute * cast(game_pk % 600 as int) as assessed_at,

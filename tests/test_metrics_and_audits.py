@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slatewise.functions.season_lines import innings
-from slatewise.operators import features, ledger, metrics, pitching, resampling
+from slatewise.operators import ensemble, experiments, features, identity, ledger, metrics, pitching, resampling
 from slatewise.operators.positions import position
 
 
@@ -197,3 +197,108 @@ def test_club_names(spark):
     rows = spark.createDataFrame([("St. Louis Cardinals",), (" nyy ",), ("N.Y. & Co",), ("ATHLETICS",)], "name string")
     got = {r.name: r.team_code for r in features.team_name_normalise(rows, "name", features.club_aliases(spark)).collect()}
     assert got == {"St. Louis Cardinals": "STL", " nyy ": "NYY", "N.Y. & Co": None, "ATHLETICS": "ATH"}
+
+
+def test_a_hot_pair_meets_two_starts_an_event(spark):
+    import random
+
+    rng = random.Random(3)
+    starts = [(k, "A", "B", rng.randrange(3_000_000)) for k in range(10_000)] + [(20_000, "A", "B", None), (30_000, "C", "D", None)]
+    events = [(k, "A", "B", rng.randrange(-50_000, 3_100_000)) for k in range(500)] + [(900, "A", "B", None), (901, "C", "D", 5), (902, "X", "Y", 5)]
+    contexts = spark.createDataFrame(starts, "game_pk long, away_team string, home_team string, start long")
+    frame = spark.createDataFrame(events, "event_id long, away_team string, home_team string, commence long")
+    got = {r["event_id"]: (r["game_pk"], r["gap"]) for r in identity.nearest_event_match(frame, contexts, 28_800).collect()}
+    times = [(s, pk) for pk, a, _, s in starts if a == "A" and s is not None]
+    for event, team, _, commence in events[:500]:
+        gap = min(abs(s - commence) for s, _ in times)
+        near = [pk for s, pk in times if abs(s - commence) == gap]
+        assert got[event] == ((near[0] if len(near) == 1 else None, gap) if gap <= 28_800 else (None, None)), (event, team)
+    assert got[900] == (None, None) and got[901][0] == 30_000 and got[902] == (None, None) and len(got) == len(events)
+
+
+def test_context_digest_ignores_capture_and_order(spark):
+    player = "array<struct<player_id: long, status: string>>"
+    games = spark.createDataFrame([(1, "A", "B", "S"), (2, "C", "D", "S")], "game_pk long, home_team string, away_team string, feed_status string")
+    moves = "transaction_id long, from_team string, to_team string, payload struct<kind: string>"
+
+    def digests(rosters, transactions):
+        rows = identity.context_fingerprint(games, spark.createDataFrame(rosters, f"team string, captured_at long, file_path string, players {player}"), spark.createDataFrame(transactions, moves), ["feed_status"])
+        return {r["game_pk"]: r["fingerprint"] for r in rows.collect()}
+
+    first = digests([("A", 1, "x", [(1, "ok"), (2, "il")]), ("C", 1, "x", [(9, "ok")])], [(7, "A", "B", ("trade",)), (8, "A", None, ("cut",))])
+    again = digests([("A", 1, "x", [(3, "ok")]), ("A", 5, "y", [(2, "il"), (1, "ok")]), ("C", 9, "z", [(9, "ok")])], [(8, "A", None, ("cut",)), (7, "A", "B", ("trade",)), (7, "A", "B", ("trade",))])
+    assert first == again
+    moved = digests([("A", 1, "x", [(1, "ok"), (2, "ok")]), ("C", 1, "x", [(9, "ok")])], [(7, "A", "B", ("trade",)), (8, "A", None, ("cut",))])
+    assert moved[1] != first[1] and moved[2] == first[2]
+    traded = digests([("A", 1, "x", [(1, "ok"), (2, "il")]), ("C", 1, "x", [(9, "ok")])], [(7, "A", "C", ("trade",)), (8, "A", None, ("cut",))])
+    assert traded[1] != first[1] and traded[2] != first[2]
+
+
+def test_contracts_fitted_together_reach_the_optimum(spark):
+    """Beside plain Newton steps in numpy, with a gap filled by the median and a constant feature."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3)) * [1.0, 30.0, 0.1] + [5.0, 0.0, 1.0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 5)))).astype(int)
+    rows = [(i, f"2024-{1 + i // 100:02d}-01", int(y[i]), *map(float, x[i]), 1.0) for i in range(400)]
+    rows[7] = (*rows[7][:4], None, *rows[7][5:])
+    frame = spark.createDataFrame(rows, "game_pk long, day string, a_win int, f0 double, f1 double, f2 double, f3 double").selectExpr("*", "cast(day as date) as game_date")
+    contracts = {"all": ["f0", "f1", "f2", "f3"], "one": ["f1"]}
+    predictions, facts = experiments.walk_forward(frame, ["f0", "f1", "f2", "f3"], [("w", "2024-04-01", "2024-04-30"), ("late", "2025-01-01", "2025-02-01")], contracts, 50)
+    assert {(r["window"], r["candidate"], r["train_n"], r["features"]) for r in facts.collect()} == {("w", "all", 300, 4), ("w", "one", 300, 1)}
+    got = {(r["candidate"], r["game_pk"]): r["probability"] for r in predictions.collect()}
+    assert len(got) == 200
+    z = np.column_stack([x, np.ones(400)])
+    z[7, 1] = np.median(np.delete(x[:300, 1], 7))
+    spread = z[:300].std(0)
+    z = (z - z[:300].mean(0)) / np.where(spread > 0, spread, 1.0)
+    for name, own in (("all", [0, 1, 2, 3]), ("one", [1])):
+        design, beta = np.column_stack([np.ones(400), z[:, own]]), np.zeros(1 + len(own))
+        penalty = np.diag([0.0] + [1 / 0.35] * len(own))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-design[:300] @ beta))
+            beta -= np.linalg.solve((design[:300].T * (p * (1 - p))) @ design[:300] + penalty, design[:300].T @ (p - y[:300]) + penalty @ beta)
+        want = 1 / (1 + np.exp(-design[300:] @ beta))
+        assert max(abs(got[name, i] - want[i - 300]) for i in range(300, 400)) < 1e-6
+    with pytest.raises(ValueError):
+        experiments.walk_forward(frame, ["f0"], [("late", "2025-01-01", "2025-02-01")], {"one": ["f0"]}, 50)
+
+
+def test_calibrator_is_the_penalised_fit(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    p = rng.random(300)
+    y = (rng.random(300) < p).astype(int)
+    fitted = ensemble.fit_calibrator(spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "x double, y int"), "x", "y", 0.2)
+    q = 1 / (1 + np.exp(-(fitted.intercept + fitted.slope * p)))
+    assert abs((q - y).sum()) < 1e-6 and abs(((q - y) * p).sum() + fitted.slope / 0.2) < 1e-6
+
+
+def test_bootstrap_equals_resamples_drawn_one_by_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base, cand, y = np.round(rng.random(400), 2), np.round(rng.random(400), 2), rng.integers(0, 2, 400)
+    frame = spark.createDataFrame([(i, int(y[i]), float(base[i]), float(cand[i])) for i in range(400)], "pk long, y int, b double, c double").repartition(5)
+    seeds = {r["pk"]: r["s"] for r in frame.select("pk", resampling.seed("pk").alias("s")).collect()}
+    w = resampling.weights(np.array([seeds[i] for i in range(400)], np.int64).view(np.uint64), 50)
+    assert abs(w[:, 1:].mean() - 1) < 0.05 and abs(w[:, 1:].var() - 1) < 0.1
+
+    def auc(p, w):
+        above = (p[:, None] > p[None, :]) + 0.5 * (p[:, None] == p[None, :])
+        won, lost = w * (y == 1), w * (y == 0)
+        return (won @ above @ lost) / (won.sum() * lost.sum())
+
+    clip = lambda p: np.clip(p, 1e-6, 1 - 1e-6)
+    deltas = {"brier": [], "auc": [], "accuracy": []}
+    for k in range(51):
+        v = w[:, k]
+        deltas["brier"].append((v * ((clip(cand) - y) ** 2 - (clip(base) - y) ** 2)).sum() / v.sum())
+        deltas["accuracy"].append((v * (((cand >= 0.5) == y).astype(int) - ((base >= 0.5) == y).astype(int))).sum() / v.sum())
+        deltas["auc"].append(auc(cand, v) - auc(base, v))
+    got = {r["metric"]: r for r in resampling.paired_bootstrap(frame, "y", "b", "c", "pk", 50).collect()}
+    for name, values in deltas.items():
+        assert got[name]["point"] == pytest.approx(values[0]) and got[name]["bootstrap_samples"] == 50
+        assert got[name]["low"] == pytest.approx(np.quantile(values[1:], 0.025)) and got[name]["high"] == pytest.approx(np.quantile(values[1:], 0.975))
