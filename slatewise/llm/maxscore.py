@@ -1,21 +1,23 @@
 """Exact top-k search by MaxScore over integer vectors.
 
 A query's terms are its dimensions; the posting of a term holds the component of every vector of a shard.
-A component times the query's weight is the term's contribution, bounded above in the shard by the larger of
-weight x greatest and weight x least component.  Terms are taken in falling spread of their contributions.  The
-first, essential ones are traversed over whole postings; the rest are non-essential: their bounds together say
-how much a vector can still gain, so they are probed only for vectors that still reach the query's k-th
-best score, the threshold, and each probe drops more.  What remains has its full score.  A shard keeps k per
-query; shards merge by (score, smaller id).
+A component times the query's weight is the term's contribution; less the least contribution in the shard it is an
+impact, never negative, and the term's spread is the greatest impact.  Against the query's threshold, the k-th best score
+found so far, terms are split: the non-essential ones, of least spread, cannot together lift a vector to the threshold,
+so only vectors in a posting of an essential term (an impact above 0 there) can be among the best.  Their essential
+impacts are added up over the postings; the others are probed term by term, widest first, for the vectors that can
+still reach the threshold, and each probe drops more.  What remains has its full score.
 
 Vectors are dealt into shards of about ``SHARD`` by a hash, queries into blocks of ``QUERY_BLOCK``; each shard
-meets each block in one task of bounded size, and only its k best per query leave it.
+meets each block in one task of bounded size, goes through its vectors in runs that raise the threshold, and only its k
+best per query leave it.  The first shard is searched before the others, which begin with the thresholds it gave.
+Shards merge by (score, smaller id).
 
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part, neither as
-queries nor as candidates; nor do null ids.  Vectors of different length are searched apart.  Equal scores go
-to the smaller id.  A query's own row is the row of its id; repeated rows of an id count once each as
-candidates, and once together as a query.  Components times 256 must stay within 2^26 in magnitude for exact sums;
-larger ones raise an error.  Extra columns are ignored.
+Defined cases: vectors that are null or hold null or non-finite components take no part, neither as queries nor as
+candidates; nor do null ids.  Vectors of different length are searched apart; empty ones score 0 with each other.  Equal
+scores go to the smaller id.  A query's own row is that row alone: repeated rows of an id are candidates of each other,
+and each query row is answered, so an id of two query rows has two lists.  Ids are cast to long.  Components of
+any size are summed exactly; a score that passes 64 bits raises an error.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,71 +27,103 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewise.llm.hard_negatives import EXACT, quantised, scores
+from slatewise.session import stored
+
 SHARD = 32768
 QUERY_BLOCK = 2048
-STEP = 8  # terms probed between two looks at the threshold
-LIMIT = 1 << 26
-
-
-def quantised(vector: Column) -> Column:
-    """floor(256 x) of every component, null for vectors that take no part."""
-    values = F.transform(vector, lambda x: x.cast("double"))
-    usable = (F.size(vector) > 0) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    ints = F.transform(values, lambda x: F.when(F.abs(x * 256) > LIMIT, F.raise_error(F.lit("a component is too large for exact integer scores")).cast("int")).otherwise(F.floor(x * 256).cast("int")))
-    return F.when(F.coalesce(usable, F.lit(False)), ints)
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the k best of one shard for every query of one block."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    least, most = vectors.min(0), vectors.max(0)
-    postings = np.ascontiguousarray(vectors.T)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for query_id, query in zip(query_ids, queries, strict=True):
-        top, low = np.maximum(query * least, query * most), np.minimum(query * least, query * most)
-        terms = np.argsort(low - top, kind="stable")
-        above = np.append(np.cumsum(top[terms][::-1])[::-1], 0)  # most that terms from here on can add
-        below = np.append(np.cumsum(low[terms][::-1])[::-1], 0)
-        alive = np.flatnonzero(ids != query_id)
-        score = np.zeros(len(alive), np.int64)
-        for a in range(0, len(terms), STEP):
-            for term in terms[a : a + STEP]:
-                score += query[term] * postings[term][alive]
-            b = min(a + STEP, len(terms))
-            if len(alive) > k:
-                threshold = np.partition(score, len(score) - k)[len(score) - k] + below[b]
-                keep = score + above[b] >= threshold
-                alive, score = alive[keep], score[keep]
-        best = np.lexsort((ids[alive], -score))[:k]
-        out.append((np.full(len(best), query_id), ids[alive][best], score[best]))
-    return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
+RUN = 4096  # vectors between two looks at the best so far
+STEP = 4  # terms probed between two looks at the threshold
+
+
+def _best(ids: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((ids, ~found))[:k]
+
+
+class Shard:
+    """Vectors of one shard and length with their postings, in runs."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.rows, self.ids, self.vectors = rows[order], ids[order], vectors[order]
+        self.least, self.most = vectors.min(0), vectors.max(0)
+        self.probes = 0  # components read, for tests
+
+    def search(self, row: int, query: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best other rows that reach the threshold a query came with."""
+        if float(np.abs(self.vectors).max(initial=0.0)) * float(np.abs(query).max(initial=0.0)) * max(len(query), 1) >= EXACT:
+            found = scores(self.vectors, query)
+            at = np.flatnonzero(self.rows != row)
+            at = at[_best(self.ids[at], found[at], k)]
+            return at, found[at]
+        weights = query.astype(np.int64)
+        low = np.minimum(weights * self.least.astype(np.int64), weights * self.most.astype(np.int64))
+        spread = np.maximum(weights * self.least.astype(np.int64), weights * self.most.astype(np.int64)) - low
+        terms = np.argsort(-spread, kind="stable")
+        left = np.append(np.cumsum(spread[terms][::-1])[::-1], 0)  # most that terms from here on can add
+        base = int(low.sum())
+        at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a in range(0, len(self.ids), RUN):
+            some, found = self._run(a, weights, low, terms, left, base, threshold, row)
+            at, best = np.append(at, some), np.append(best, found)
+            pick = _best(self.ids[at], best, k)
+            at, best = at[pick], best[pick]
+            if len(at) == k:
+                threshold = max(threshold, int(best[-1]))
+        return at, best
+
+    def _run(self, a: int, weights: np.ndarray, low: np.ndarray, terms: np.ndarray, left: np.ndarray, base: int, threshold: float, row: int) -> tuple[np.ndarray, np.ndarray]:
+        part = self.vectors[a : a + RUN]
+        alive = np.flatnonzero(self.rows[a : a + RUN] != row)
+        essential = int(np.searchsorted(-left, -(threshold - base), "right")) if np.isfinite(threshold) else len(terms)  # from there on, all together stay below the threshold
+        score, listed = np.zeros(len(alive), np.int64), np.zeros(len(alive), bool)
+        for term in terms[:essential]:
+            impact = weights[term] * part[alive, term].astype(np.int64) - low[term]
+            score += impact
+            listed |= impact > 0
+        self.probes += essential * len(alive)
+        if essential < len(terms):
+            alive, score = alive[listed], score[listed]
+        for b in range(essential, len(terms), STEP):
+            keep = score + base + left[b] >= threshold
+            alive, score = alive[keep], score[keep]
+            for term in terms[b : b + STEP]:
+                score += weights[term] * part[alive, term].astype(np.int64) - low[term]
+            self.probes += len(alive) * len(terms[b : b + STEP])
+        keep = score + base >= threshold
+        return a + alive[keep], score[keep] + base
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k highest inner products of every query row with the other rows."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), quantised(F.col(vector_col)).alias("_v"), is_query.alias("_q")).where(F.col("_id").isNotNull() & F.col("_v").isNotNull())
-    counted = rows.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("_q"), F.lit(False)).cast("long")).alias("q")).first()
-    n_shards, n_blocks = max(1, -(-counted["n"] // SHARD)), max(1, -(-(counted["q"] or 0) // QUERY_BLOCK))
-    shard = F.pmod(F.xxhash64("_id", "_v"), F.lit(n_shards))
-    held = rows.select("_id", "_v", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(False).alias("asks"))
-    asked = rows.where("_q").groupBy("_id").agg(F.first("_v").alias("_v")).select("_id", "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(True).alias("asks"))
-
-    def searched(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy(zero_copy_only=False)
-        ids = table["_id"].to_numpy()
-        column = table["_v"].combine_chunks()
-        flat, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
-        width = np.diff(offsets)
-        found = []
-        for d in np.unique(width):
-            pick = {mark: np.flatnonzero((width == d) & (asks == mark)) for mark in (False, True)}
-            if len(pick[False]) and len(pick[True]):
-                of = {mark: np.stack([flat[offsets[i] : offsets[i] + d] for i in at]) for mark, at in pick.items()}
-                found.append(search_block(ids[pick[False]], of[False], ids[pick[True]], of[True], k))
-        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table({name: pa.array(c.astype(np.int64)) for name, c in zip(("query_id", "_id", "score"), columns, strict=True)})
-
-    partial = held.unionByName(asked).groupBy("shard", "block").applyInArrow(searched, "query_id long, _id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_id"))
-    return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(id_col), "score")
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), quantised(F.col(vector_col)).alias("_ints"), F.coalesce(is_query, F.lit(False)).alias("_asks"))
+    rows = stored(rows.where("_id is not null and _ints is not null").select(F.monotonically_increasing_id().alias("_row"), "_id", F.size("_ints").alias("_dims"), "_ints", "_asks"), "vectors")
+    counted = rows.agg(F.count("*").alias("n"), F.count_if("_asks").alias("q")).first()
+    n_shards, n_blocks = max(1, -(-counted["n"] // SHARD)), max(1, -(-counted["q"] // QUERY_BLOCK))
+    dealt = lambda row, n: F.pmod(F.xxhash64(row), F.lit(n)).cast("int")
+    held = rows.select("_row", "_id", "_dims", "_ints", dealt("_row", n_shards).alias("shard")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    asked = rows.where("_asks").select(F.col("_row").alias("row"), F.col("_id").alias("id"), F.col("_dims").alias("dims"), F.col("_ints").alias("ints"), dealt("_row", n_blocks).alias("block"))
+
+    def searched(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            dims = left["_dims"][0].as_py()
+            matrix = left["_ints"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, dims)
+            shard = Shard(left["_row"].to_numpy(), left["_id"].to_numpy(), matrix)
+            for row, own, ints, threshold in zip(*(right[c].to_pylist() for c in ("row", "id", "ints", "threshold")), strict=True):
+                at, found = shard.search(row, np.array(ints, np.float64), -np.inf if threshold is None else threshold, k)
+                out += [(row, own, int(shard.rows[i]), int(shard.ids[i]), int(s)) for i, s in zip(at, found, strict=True)]
+        return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["row", "query_id", "found_row", "found", "score"])
+
+    def search(shards: Column, queries: DataFrame) -> DataFrame:
+        right = queries.groupBy("shard", "block", "dims")
+        return held.where(shards).groupBy("shard", "block", "_dims").cogroup(right).applyInArrow(searched, "row long, query_id long, found_row long, found long, score long")
+
+    first = stored(search(F.col("shard") == 0, asked.withColumns({"shard": F.lit(0), "threshold": F.lit(None).cast("long")})), "first-shard")
+    partial = first
+    if n_shards > 1:
+        reached = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("threshold"))
+        seeded = asked.join(reached, "row", "left").select("*", F.explode(F.sequence(F.lit(1), F.lit(n_shards - 1))).alias("shard"))
+        partial = first.unionByName(search(F.col("shard") > 0, seeded))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "found", "found_row"))
+    return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("found").alias(id_col), "score")

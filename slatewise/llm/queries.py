@@ -57,13 +57,13 @@ def op9_maxscore(spark: SparkSession, folder: str) -> DataFrame:
 
 OP9_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q, row_number() over () as r from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select a.vec_id as query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as score
-  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0
+  select a.r as asks, a.vec_id as query_id, b.r, b.vec_id, coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) as score
+  from v a join v b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 50 = 0
 ), ranked as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+  select *, row_number() over (partition by asks order by score desc, vec_id, r) as rank from scored
 )
 select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from ranked where rank <= 5
 """

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 import __spark_entry__ as entry
@@ -121,6 +122,7 @@ def test_top_k_equals_sql(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [round(rng.uniform(-1, 1), 2) for _ in range(6)], "x") for i in range(400)]
     rows += [(450, rows[50][1], "x"), (451, rows[50][1], "x"), (500, None, "x"), (550, [None] * 6, "x"), (600, [float("nan")] * 6, "x"), (650, [float("inf")] * 6, "x"), (700, [], "x"), (None, [0.1] * 6, "x"), (750, [0.5] * 3, "x"), (751, [0.25] * 3, "x")]
+    rows += [(50, rows[60][1], "x"), (50, rows[60][1], "x"), (800, [], "x"), (801, [3e5] * 6, "x"), (850, [-2e5] * 6, "x")]  # ids of several query rows, large components
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     frame.createOrReplaceTempView("unused")
     got = sorted(tuple(r) for r in maxscore.top_k(frame, frame.vec_id % 50 == 0).collect())
@@ -131,6 +133,24 @@ def test_top_k_equals_sql(spark, monkeypatch):
     assert maxscore.top_k(frame.limit(0), frame.vec_id % 50 == 0).collect() == []
 
 
+def test_top_k_reads_fewer_components_than_there_are():
+    """Terms of little spread are probed for vectors that still matter only; a threshold from elsewhere saves more."""
+    rng = np.random.default_rng(9)
+    vectors = np.floor(256 * rng.normal(size=(20_000, 64)) * 0.8 ** np.arange(64))
+    seen = {}
+    for name, seeded in (("alone", False), ("seeded", True)):
+        shard = maxscore.Shard(np.arange(20_000), np.arange(20_000), vectors)
+        for row in range(5):
+            exact = vectors @ vectors[row]
+            exact[row] = -np.inf
+            want = np.lexsort((np.arange(20_000), -exact))[:5]
+            at, found = shard.search(row, vectors[row], exact[want[-1]] if seeded else -np.inf, 5)
+            assert at.tolist() == want.tolist() and found.tolist() == exact[want].astype(int).tolist()
+        seen[name] = shard.probes
+    whole = 5 * 20_000 * 64
+    assert seen["seeded"] < seen["alone"] < 0.6 * whole and seen["seeded"] < 0.3 * whole
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
