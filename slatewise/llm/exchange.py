@@ -89,39 +89,67 @@ def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield batch(held, schema)
 
 
-def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray], summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(unit, prints, amounts): the totals of those of a unit's fingerprints that ``reply(totals, own)`` marks.
+def _added(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units, their lists, own values, totals of the listed ones, distinct fingerprints, their totals) of one range."""
+    units = table["unit"].to_numpy()
+    lists = [unpack(b, ordered=True) for b in table["prints"].to_pylist()]
+    own = np.concatenate([unpack(b) for b in table["amounts"].to_pylist()]).view(np.int64)
+    prints = np.concatenate(lists)
+    order = np.argsort(prints, kind="stable")
+    ordered = prints[order]
+    opens = np.append(True, ordered[1:] != ordered[:-1])
+    first = np.flatnonzero(opens)
+    sums = np.add.reduceat(own[order], first)
+    totals = np.empty(len(prints), np.int64)
+    totals[order] = sums[np.cumsum(opens) - 1]
+    return units, lists, own, totals, ordered[first], sums
 
-    ``summary(prints, totals)`` gives integers on a range as a whole; they come as amounts of a row of unit -1.
-    """
+
+def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(unit, prints, amounts): the totals of those of a unit's fingerprints that ``reply(totals, own)`` marks."""
 
     def answered(table: pa.Table) -> pa.Table:
-        units = table["unit"].to_numpy()
-        lists = [unpack(b, ordered=True) for b in table["prints"].to_pylist()]
-        own = np.concatenate([unpack(b) for b in table["amounts"].to_pylist()]).view(np.int64)
-        sizes = [len(x) for x in lists]
-        prints = np.concatenate(lists)
-        order = np.argsort(prints, kind="stable")
-        ordered = prints[order]
-        opens = np.append(True, ordered[1:] != ordered[:-1])
-        first = np.flatnonzero(opens)
-        sums = np.add.reduceat(own[order], first)
-        totals = np.empty(len(prints), np.int64)
-        totals[order] = sums[np.cumsum(opens) - 1]
+        units, lists, own, totals, _, _ = _added(table)
         marked = reply(totals, own)
         out, a = [], 0
-        for unit, n in zip(units.tolist(), sizes, strict=True):
-            pick = np.flatnonzero(marked[a : a + n]) + a
+        for unit, prints in zip(units.tolist(), lists, strict=True):
+            pick = np.flatnonzero(marked[a : a + len(prints)])
             if len(pick):
-                out.append((unit, pack(prints[pick], ordered=True), pack(totals[pick])))
-            a += n
-        if summary is not None:
-            out.append((-1, pack(np.zeros(0, np.uint64)), pack(summary(ordered[first], sums).astype(np.int64))))
+                out.append((unit, pack(prints[pick], ordered=True), pack(totals[a + pick])))
+            a += len(prints)
         return pa.Table.from_batches([batch(out, ANSWER_ARROW)])
 
     return sent.groupBy("range").applyInArrow(answered, ANSWER)
 
 
+MORE = "range long, unit long, amounts binary"
+MORE_ARROW = pa.schema([("range", pa.int64()), ("unit", pa.int64()), ("amounts", pa.binary())])
+
+
+def others(sent: DataFrame, summary: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(range, unit, amounts): what other units add to each fingerprint of a unit, in the order it sent them.
+
+    The fingerprints need not travel back, and most amounts are 0.  ``summary(prints, totals)`` gives integers on a
+    range as a whole; they come as amounts of a row of unit -1.
+    """
+
+    def answered(table: pa.Table) -> pa.Table:
+        units, lists, own, totals, prints, sums = _added(table)
+        number = table["range"][0].as_py()
+        cuts = np.cumsum([0] + [len(x) for x in lists])
+        out = [(number, unit, pack((totals - own)[a:b])) for unit, a, b in zip(units.tolist(), cuts, cuts[1:], strict=False)]
+        return pa.Table.from_batches([batch([*out, (number, -1, pack(summary(prints, sums).astype(np.int64)))], MORE_ARROW)])
+
+    return sent.groupBy("range").applyInArrow(answered, MORE)
+
+
+def in_order(table: pa.Table) -> np.ndarray:
+    """All of ``others``' amounts for one unit, in the order of its fingerprints."""
+    table = table.sort_by("range")
+    amounts = [unpack(b).view(np.int64) for b in table["amounts"].to_pylist()]
+    return np.concatenate(amounts) if amounts else np.zeros(0, np.int64)
+
+
 def joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All answers to one unit as (sorted fingerprints, totals)."""
     lists = [unpack(b, ordered=True) for b in table["prints"].to_pylist()]

@@ -10,16 +10,17 @@ A token is scored by the longest retained context that precedes it in its docume
 the parent's, P(w | s) = (c(s w) + MU P(w | parent)) / (c(s) + MU), down to the empty context's (c(w) + 1) / (N + V + 1),
 which leaves one share for all unseen words: every distribution sums to one.
 
-Documents lie in units of a written table, as numbers into the unit's vocabulary of 64-bit word fingerprints.  Counts
-of words, pairs and triples come from an exchange (``exchange.py``) in which a unit sends its distinct fingerprints and gets
-back the totals that differ from its own; pairs and triples are sent only below candidate contexts, found by a bit map
-of fixed size whose false positives cost work, not results.  Test sums travel the same way, as whole numbers, so that
-neither the layout of units nor the order of tasks changes the tree.  No list of the whole corpus meets in one place.
+Documents lie in units of a written table, as numbers into the unit's vocabulary of 64-bit word fingerprints, dealt into
+buckets by unit, so that the later passes over them shuffle nothing of them.  Counts of words, pairs and triples come
+from an exchange (``exchange.py``) in which a unit sends its distinct fingerprints and gets back what other units add, in the
+same order.  Test sums travel the same way, as whole numbers, so that neither the layout of units nor the order of tasks
+changes the tree.  No list of the whole corpus meets in one place.
 
 Defined cases: null or blank texts are an end token alone; rows with a null id are training rows; repeated rows count
 again and are scored each; ids keep their type.  Without training rows every token is unknown and N and V are 0.  An empty
 table gives no rows.  Extra columns are ignored.  A context never reaches into another document.  Fingerprints of 64
-bits stand for words and phrases; at n distinct ones some two collide with a chance of about n^2 / 2^65.
+bits stand for words; longer runs keep as many bits as their number asks for, so that a run shares its counts with
+another by a chance of at most 2^-``SHARING_BITS``.
 """
 
 from __future__ import annotations
@@ -29,57 +30,69 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm import exchange
 from slatewise.llm import text as T
-from slatewise.session import stored
+from slatewise.session import stored, work_path
 
 DEPTH = 2
 MIN_CONTEXT = 16
 MU = 100.0
 GAIN = 12.0  # natural-log units a context must win on its own training tokens
 UNIT_TOKENS = 2 << 20
-MAP_BITS = 24  # of the candidate contexts' bit map: 2 MB
-FINE = 1 << 20  # test sums are counted in these parts of a unit
+SHARING_BITS = 14
+FINE = 1 << 12  # test sums are counted in these parts of a unit
 END = T.mix64(np.array([0x656E64], np.uint64))
 _JOIN = T._PLACE
 
-UNITS = "unit long, rows array<long>, held array<boolean>, sizes array<int>, n long, words binary, tokens binary"
-UNITS_ARROW = pa.schema([("unit", pa.int64()), ("rows", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary())])
+def _units_arrow(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("unit", pa.int64()), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary())])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token numbers of about ``UNIT_TOKENS`` tokens a row; each document ends with the end token."""
     made = TaskContext.get().partitionId() << 32
-    held: list[tuple[np.ndarray, np.ndarray, list, list]] = []
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
 
     def flush() -> pa.RecordBatch:
         nonlocal made
         prints, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         words, tokens = np.unique(prints, return_inverse=True)
-        row = (made, sum((h[2] for h in held), []), sum((h[3] for h in held), []), sizes.tolist(), len(prints), exchange.pack(words, ordered=True), exchange.pack(tokens))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        ids, marks = (pa.concat_arrays([h[i] for h in held]) for i in (2, 3))
+        row = [pa.array([made]), one(ids), one(marks), one(pa.array(sizes.astype(np.int32))), pa.array([len(prints)]), pa.array([exchange.pack(words, ordered=True)], pa.binary()), pa.array([exchange.pack(tokens)], pa.binary())]
         made += 1
         held.clear()
-        return exchange.batch([row], UNITS_ARROW)
+        return pa.record_batch(row, schema=_units_arrow(ids.type))
 
     for batch in batches:
         for a, b, data, offsets in T.blocks(batch.column(2)):
             prints, bounds = T.words(data, offsets)
-            sizes = np.diff(bounds) + 1
-            held.append((np.insert(prints, bounds[1:], END[0]), sizes, batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist()))
+            held.append((np.insert(prints, bounds[1:], END[0]), np.diff(bounds) + 1, batch.column(0)[a:b], batch.column(1)[a:b]))
             if sum(len(h[0]) for h in held) >= UNIT_TOKENS:
                 yield flush()
     if held:
         yield flush()
 
 
+def _bucketed(units: DataFrame) -> DataFrame:
+    """The units as a written table dealt into buckets by unit: joins on the unit leave it where it lies."""
+    spark = units.sparkSession
+    path = work_path(spark, "token-units")
+    name = f"token_units_{path[-32:]}"
+    units.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 class Unit:
     """A unit's tokens: fingerprints of the runs that end at each, with the documents they lie in."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
+        self.keep = np.uint64((1 << 64) - (1 << (64 - bits)))
         words = exchange.unpack(row["words"], ordered=True)
         self.sizes = np.array(row["sizes"], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -92,7 +105,7 @@ class Unit:
         while len(self.runs) < n:
             k = len(self.runs)
             longer = np.zeros(len(self.runs[0]), np.uint64)
-            longer[k:] = T.mix64(self.runs[-1][:-1] * _JOIN[1] + self.runs[0][1:] * _JOIN[0] + np.uint64(k))[k - 1 :]
+            longer[k:] = T.mix64(self.runs[-1][:-1] * _JOIN[1] + self.runs[0][1:] * _JOIN[0] + np.uint64(k))[k - 1 :] & self.keep
             self.runs.append(longer)
         return self.runs[n - 1]
 
@@ -101,76 +114,47 @@ class Unit:
         return np.append(np.zeros(1, np.uint64), self.run(n)[:-1])
 
 
-class Counts:
-    """Training totals of the unit's runs: its own counts, but where the exchange answered another."""
-
-    def __init__(self, answered: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.answered = answered
-
-    def of(self, n: int, prints: np.ndarray, trains: np.ndarray) -> np.ndarray:
-        known, place = np.unique(prints, return_inverse=True)
-        own = np.bincount(place[trains], minlength=len(known)).astype(np.int64)
-        if n in self.answered:
-            at, there = exchange.lookup(self.answered[n][0], known)
-            own[there] = self.answered[n][1][at[there]]
-        return own[place]
-
-
-def _likely(contexts: np.ndarray, bit_map: np.ndarray) -> np.ndarray:
-    at = (contexts >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return bit_map[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-
-
-def _bit_map(summaries: list[bytes]) -> np.ndarray:
-    bits = np.zeros(1 << MAP_BITS, np.uint8)
-    for blob in summaries:
-        bits[exchange.unpack(blob).view(np.int64)[1:]] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-def _counted(units: DataFrame, n: int, bit_map: np.ndarray | None, min_context: int) -> DataFrame:
-    """Answers with the totals of runs of n words, and a summary of each range: how many were trained, candidate contexts."""
-    n_ranges = exchange.ranges_for(exchange.count_of(units, "n"))
+def _counted(units: DataFrame, n: int, bits: int, n_ranges: int) -> DataFrame:
+    """What other units add to runs of n words, and how many distinct ones of each range were trained."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                unit = Unit(row)
-                asked = unit.place >= n - 1
-                if bit_map is not None:
-                    asked &= _likely(unit.context(n - 1), bit_map)
-                prints, amounts = exchange.tally(unit.run(n)[asked], unit.trains[asked].astype(np.int64))
+                unit = Unit(row, bits)
+                long = unit.place >= n - 1
+                prints, amounts = exchange.tally(unit.run(n)[long], unit.trains[long].astype(np.int64))
                 yield from exchange.batches(exchange.sending(row["unit"], prints, amounts, n_ranges), exchange.SENT_ARROW)
 
-    def summary(prints: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        candidates = prints[totals >= min_context] >> np.uint64(64 - MAP_BITS)
-        return np.append([(totals > 0).sum()], np.unique(candidates).astype(np.int64))
-
-    sent = units.mapInArrow(send, exchange.SENT)
-    return stored(exchange.answers(sent, lambda totals, own: totals != own, summary).withColumn("words", F.lit(n)), f"runs-of-{n}")
+    sent = units.select("unit", "held", "sizes", "n", "words", "tokens").mapInArrow(send, exchange.SENT)
+    return stored(exchange.others(sent, lambda prints, totals: np.array([(totals > 0).sum()])).withColumn("words", F.lit(n)), f"runs-of-{n}")
 
 
 class Model:
     """Counts and retained contexts as one unit needs them."""
 
-    def __init__(self, unit: Unit, answers: pa.Table, n_train: int, n_words: int, depth: int, mu: float, min_context: int):
-        part = lambda n: exchange.joined(answers.filter(pa.compute.equal(answers["words"], n)))
-        counts = Counts({n: part(n) for n in range(1, depth + 2)})
-        self.kept = part(0)[0]
-        self.unit, self.depth, self.mu = unit, depth, mu
-        self.c = counts.of(1, unit.run(1), unit.trains)
+    def __init__(self, unit: Unit, answers: pa.Table, kept: np.ndarray, depth: int, n_train: int, n_words: int, mu: float, min_context: int):
+        self.unit, self.kept, self.depth, self.mu = unit, kept, depth, mu
+
+        def counts(n: int) -> np.ndarray:
+            """Training totals of the runs of n words that end at each token; 0 where the document is shorter."""
+            asked = unit.place >= n - 1
+            known, place = np.unique(unit.run(n)[asked], return_inverse=True)
+            own = np.bincount(place[unit.trains[asked]], minlength=len(known)).astype(np.int64)
+            out = np.zeros(len(asked), np.int64)
+            out[asked] = (own + exchange.in_order(answers.filter(pa.compute.equal(answers["words"], n))))[place]
+            return out
+
+        self.c = counts(1)
         self.root = (self.c + 1) / (n_train + n_words + 1)
         self.seen, self.runs, self.usable = [], [], []  # of the context of each depth, of context and token, whether a candidate
         usable, seen = np.ones(len(self.c), bool), self.c
-        for d in range(1, depth + 1):
+        for d in range(1, self.depth + 1):
             before = np.append(0, seen[:-1])  # the run of d words that ends before the token
             usable = usable & (unit.place >= d) & (before >= min_context)
-            here = np.zeros(len(self.c), np.int64)
-            here[usable] = counts.of(d + 1, unit.run(d + 1)[usable], unit.trains[usable])
+            seen = counts(d + 1)
             self.seen.append(before)
-            self.runs.append(here)
+            self.runs.append(seen)
             self.usable.append(usable)
-            seen = here
 
     def gains(self) -> tuple[np.ndarray, np.ndarray]:
         """(contexts, whole-number sums): the test of every candidate on the unit's training tokens; 0 where only asked for."""
@@ -200,43 +184,41 @@ def score(
     documents: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_context: int = MIN_CONTEXT, mu: float = MU, gain: float = GAIN
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; a null ``held_out`` trains."""
-    rows = documents.select(F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("_held"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    numbered = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "_held", "_text", "_id"), "numbered")
-    units = stored(numbered.select("_row", "_held", "_text").mapInArrow(_units, UNITS), "token-units")
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    units = _bucketed(rows.mapInArrow(_units, f"unit long, ids array<{id_type}>, held array<boolean>, sizes array<int>, n long, words binary, tokens binary"))
     n_train = units.select(F.explode(F.arrays_zip("held", "sizes")).alias("d")).where("not d.held").agg(F.coalesce(F.sum("d.sizes"), F.lit(0)).alias("n")).first()["n"]
 
-    levels: list[DataFrame] = []
-    bit_map, n_words = None, 0
-    for n in range(1, depth + 2):
-        levels.append(_counted(units, n, bit_map, min_context))
-        summaries = [bytes(r["amounts"]) for r in levels[-1].where("unit = -1").select("amounts").collect()]  # places in a map of fixed size
-        if n == 1:
-            n_words = sum(int(exchange.unpack(b).view(np.int64)[0]) for b in summaries)
-        bit_map = _bit_map(summaries)
-    answers = reduce(DataFrame.unionByName, levels).where("unit >= 0")
+    n_tokens = exchange.count_of(units, "n")
+    n_ranges, bits = exchange.ranges_for(n_tokens), min(64, SHARING_BITS + ((depth + 1) * n_tokens).bit_length())
+    levels = [_counted(units, n, bits, n_ranges) for n in range(1, depth + 2)]
+    n_words = sum(int(exchange.unpack(bytes(r["amounts"])).view(np.int64)[0]) for r in levels[0].where("unit = -1").select("amounts").collect())  # one number a range
+    answers = reduce(DataFrame.unionByName, levels).where("unit >= 0").select("unit", "range", "words", "amounts", F.lit(None).cast("binary").alias("prints"))
     least = int(gain * FINE)
-    made = lambda unit, answered: Model(unit, answered, n_train, n_words, depth, mu, min_context)
-    n_ranges = exchange.ranges_for(exchange.count_of(units, "n"))
+
+    def made(unit: Unit, answered: pa.Table) -> Model:
+        kept = exchange.joined(answered.filter(pa.compute.equal(answered["words"], 0)))[0]
+        return Model(unit, answered, kept, depth, n_train, n_words, mu, min_context)
 
     def test(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            out += exchange.sending(row["unit"], *made(Unit(row), right).gains(), n_ranges)
+            out += exchange.sending(row["unit"], *made(Unit(row, bits), right).gains(), n_ranges)
         return pa.Table.from_batches([exchange.batch(out, exchange.SENT_ARROW)])
 
-    tested = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(test, exchange.SENT)
-    kept = stored(exchange.answers(tested, lambda totals, own: totals >= least).withColumn("words", F.lit(0)), "contexts")
+    numbers = units.select("unit", "held", "sizes", "words", "tokens")
+    tested = numbers.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(test, exchange.SENT)
+    kept = stored(exchange.answers(tested, lambda totals, own: totals >= least), "contexts").select("unit", F.lit(0).cast("long").alias("range"), F.lit(0).alias("words"), "amounts", "prints")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
-        for row in left.to_pylist():
-            unit = Unit(row)
+        for i, row in enumerate(left.select(["unit", "held", "sizes", "words", "tokens"]).to_pylist()):
+            unit = Unit(row, bits)
             model = made(unit, right)
-            add = lambda values: np.add.reduceat(values, unit.first)
-            parts.append(
-                pa.table([pa.array(row["rows"]), pa.array(unit.sizes), pa.array(add((model.c > 0).astype(np.int64))), pa.array(add(np.log10(model.root))), pa.array(add(np.log10(model.probabilities())))], names=["_row", "n_tokens", "n_known", "base_score", "score"])
-            )
-        return pa.concat_tables(parts) if parts else pa.table({"_row": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-    scores = units.groupBy("unit").cogroup(answers.unionByName(kept).groupBy("unit")).applyInArrow(scored, "_row long, n_tokens long, n_known long, base_score double, score double")
-    return numbered.select("_row", "_id", "_held").join(scores, "_row").select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+            add = lambda values, unit=unit: np.add.reduceat(values, unit.first)
+            columns = [left["ids"][i].values, pa.array(row["held"], pa.bool_()), pa.array(unit.sizes), pa.array(add((model.c > 0).astype(np.int64))), pa.array(np.full(len(unit.sizes), n_train)), pa.array(add(np.log10(model.root))), pa.array(add(np.log10(model.probabilities())))]
+            parts.append(pa.table(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.concat_tables(parts)
+
+    out = f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return units.select("unit", "ids", "held", "sizes", "words", "tokens").groupBy("unit").cogroup(answers.unionByName(kept).groupBy("unit")).applyInArrow(scored, out)

@@ -121,7 +121,7 @@ def test_suffix_tree_scores_equal_plain_dictionaries(spark, monkeypatch, depth):
     for i in range(60):  # words that follow each other
         rows.append((300 + i, " ".join(rng.choice(["green tea leaf", "black tea pot", "tea"]) for _ in range(rng.randrange(1, 30))), "en", "u", "p", 1, 2, 3))
     monkeypatch.setattr(suffix_tree_lm, "UNIT_TOKENS", 300)
-    monkeypatch.setattr(suffix_tree_lm, "MAP_BITS", 6)  # the map lets much through: no result changes
+    monkeypatch.setattr(suffix_tree_lm, "SHARING_BITS", 30)
     monkeypatch.setattr(exchange, "RANGE_ENTRIES", 1000)
     got = suffix_tree_lm.score(spark.createDataFrame(rows, TEXTS).repartition(3), held(), depth=depth, min_context=5, mu=4.0, gain=2.0).collect()
     want, retained = plain_tree(rows, depth, 5, 4.0, 2.0)
