@@ -39,6 +39,7 @@ UNIT_BYTES = 16 << 20
 SEGMENT_BYTES = 1 << 20
 KEPT_BITS = 56  # of a fingerprint
 SCALE = 1_000_000
+SHARES = 64  # of a language's phrases, ranked apart first
 
 _TIDY = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else int(LOWER[b]) for b in range(256))
 _SPACES, _BREAKS = re.compile(rb"  +"), re.compile(rb" *\n[ \n]*")
@@ -238,8 +239,11 @@ def collocations(documents: DataFrame, *, text_col: str = "text", lang_col: str
     inner = counts.where("words > 2").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("words") - 1))).withColumn("start", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)))
     around = inner.select("lang", run(F.col("start"), F.col("size")).alias("phrase"), F.col("f").alias("around")).groupBy("lang", "phrase").agg(F.max("around").alias("around"))
     kept = scored.join(around, ["lang", "phrase"], "left").where(F.coalesce(F.col("around") * 100 < F.col("f") * CONTAINED_PCT, F.lit(True)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = kept.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score").withColumn("rank", rank)
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    found = kept.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
+    if first is not None:  # the first of each share of a language, so that no language meets whole in one task
+        found = found.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("place", place("lang", "share")).where(F.col("place") <= first)
+    ranked = found.withColumn("rank", place("lang"))
     if first is not None:
         ranked = ranked.where(F.col("rank") <= first)
     return ranked.join(F.broadcast(words_of) if words_of.limit(10_001).count() <= 10_000 else words_of, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
