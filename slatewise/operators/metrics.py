@@ -200,6 +200,27 @@ def overall_status(status: Column) -> Column:
     return F.when(rank == 2, "FAIL").when(rank == 1, "PENDING").otherwise("PASS")
 
 
+# The audit's gate behind each release gate
+AUDITED = {
+    "minimum_prospective_games": "prospective_games",
+    "closing_line_value_tracking_required": "closing_line_value_tracking",
+    "no_schedule_integrity_errors": "schedule_integrity_passed",
+    "no_target_leakage": "target_leakage_tests_passed",
+    "point_in_time_provenance_required": "point_in_time_provenance",
+}
+
+
+def audited_gates(compared: DataFrame, audit: DataFrame) -> DataFrame:
+    """Release gates whose evidence is what an audit (gate, status, observed) found; what it does not know is PENDING."""
+    found = audit.select(F.col("gate").alias("audit_gate"), F.col("status").alias("audit_status"), F.col("observed").cast("double").alias("audit_observed"))
+    behind = F.lit(None).cast("string")
+    for name, source in AUDITED.items():
+        behind = F.when(F.col("gate") == name, source).otherwise(behind)
+    gates = promotion_gates(compared).drop("overall_status").withColumn("audit_gate", behind).join(found, "audit_gate", "left")
+    merged = gates.select("gate", F.coalesce("audit_status", "status").alias("status"), F.coalesce("audit_observed", "observed").alias("observed"))
+    return merged.withColumn("overall_status", overall_status_over())
+
+
 def promotion_gates(compared: DataFrame, evidence: dict[str, bool | int | None] | None = None) -> DataFrame:
     """One row per release gate from a :func:`compare_tracks` row; missing evidence is PENDING."""
     evidence = evidence or {}

@@ -189,16 +189,16 @@ def evidence_issues(t):
     return ledger.evidence_issues(t.evidence)
 
 
-@query(
-    "evidence_audit",
-    "gate:s status:s observed:i",
-    f"""{ISSUES}, {CHAIN}, g as (select game_pk, max(case when event_type = 'prediction' then 1 else 0 end) as p, max(case when event_type = 'outcome' then 1 else 0 end) as o, max(case when event_type = 'closing_line' then 1 else 0 end) as c from evidence group by game_pk),
-    s as (select sum(p * o) as graded, sum(p * o * c) as closed, (select count(*) from chain where first_break is not null) as broken from g)
-    => select 'prospective_games' as gate, case when broken > 0 then 'FAIL' when graded >= 500 then 'PASS' else 'PENDING' end as status, graded as observed from s
-       union all select 'closing_line_value_tracking', case when broken > 0 or closed <> graded then 'FAIL' else 'PASS' end, closed from s
-       union all select 'schedule_integrity_passed', case when broken > 0 or n > 0 then 'FAIL' else 'PASS' end, n from s, (select count(*) as n from issues where category = 'schedule_integrity')
-       union all select 'target_leakage_tests_passed', case when broken > 0 or n > 0 then 'FAIL' else 'PASS' end, n from s, (select count(*) as n from issues where category = 'target_leakage')
-       union all select 'point_in_time_provenance', case when broken > 0 or n > 0 then 'FAIL' else 'PASS' end, n from s, (select count(*) as n from issues where category = 'provenance')""",
-)
+#: The audit's gates, behind ISSUES and CHAIN.
+AUDIT = """g as (select game_pk, max(case when event_type = 'prediction' then 1 else 0 end) as p, max(case when event_type = 'outcome' then 1 else 0 end) as o, max(case when event_type = 'closing_line' then 1 else 0 end) as c from evidence group by game_pk),
+seen as (select sum(p * o) as graded, sum(p * o * c) as closed, (select count(*) from chain where first_break is not null) as broken from g),
+audit as (select 'prospective_games' as gate, case when broken > 0 then 'FAIL' when graded >= 500 then 'PASS' else 'PENDING' end as status, graded as observed from seen
+       union all select 'closing_line_value_tracking', case when broken > 0 or closed <> graded then 'FAIL' else 'PASS' end, closed from seen
+       union all select 'schedule_integrity_passed', case when broken > 0 or n > 0 then 'FAIL' else 'PASS' end, n from seen, (select count(*) as n from issues where category = 'schedule_integrity')
+       union all select 'target_leakage_tests_passed', case when broken > 0 or n > 0 then 'FAIL' else 'PASS' end, n from seen, (select count(*) as n from issues where category = 'target_leakage')
+       union all select 'point_in_time_provenance', case when broken > 0 or n > 0 then 'FAIL' else 'PASS' end, n from seen, (select count(*) as n from issues where category = 'provenance'))"""
+
+
+@query("evidence_audit", "gate:s status:s observed:i", f"{ISSUES}, {CHAIN}, {AUDIT} => select * from audit")
 def evidence_audit(t):
     return ledger.evidence_audit(t.evidence)

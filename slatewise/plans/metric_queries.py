@@ -1,7 +1,8 @@
 """Metric, calibration, fold, bootstrap and gate queries over the matched predictions."""
 
-from slatewise.operators import ensemble, history, metrics, resampling, scoring
+from slatewise.operators import ensemble, history, ledger, metrics, resampling, scoring
 from slatewise.plans.history_queries import SCORED, doubles
+from slatewise.plans.ledger_queries import AUDIT, CHAIN, ISSUES
 from slatewise.plans.registry import query
 
 METRIC_COLUMNS = "n_total:i n:i " + doubles(metrics.METRICS[2:])
@@ -123,24 +124,20 @@ g as (
   union all select 'accuracy_regression_limit', case when mc.accuracy - mb.accuracy >= -0.01 then 'PASS' else 'FAIL' end, mc.accuracy - mb.accuracy from mb, mc
   union all select 'calibration_regression_limit', case when mc.ece - mb.ece <= 0.01 then 'PASS' else 'FAIL' end, mc.ece - mb.ece from mb, mc
   union all select 'coverage_regression_limit', 'PASS', 0.0
-  union all select 'minimum_prospective_games', 'PENDING', null
   union all select 'final_holdout_required', 'PENDING', null
-  union all select 'closing_line_value_tracking_required', 'PASS', 1.0
-  union all select 'no_schedule_integrity_errors', 'PASS', 1.0
-  union all select 'no_target_leakage', 'PASS', 1.0
-  union all select 'point_in_time_provenance_required', 'PENDING', null)
+  union all select case gate when 'prospective_games' then 'minimum_prospective_games' when 'closing_line_value_tracking' then 'closing_line_value_tracking_required' when 'schedule_integrity_passed' then 'no_schedule_integrity_errors'
+    when 'target_leakage_tests_passed' then 'no_target_leakage' else 'point_in_time_provenance_required' end, status, observed from audit)
 """
 
 
 @query(
     "promotion_gates",
     "gate:s status:s observed:d overall_status:s",
-    f"{BASE}, {CAND}, {GATES} => select *, case when max(case when status = 'FAIL' then 2 when status = 'PENDING' then 1 else 0 end) over () = 2 then 'FAIL' when max(case when status = 'FAIL' then 2 when status = 'PENDING' then 1 else 0 end) over () = 1 then 'PENDING' else 'PASS' end as overall_status from g",
+    f"{BASE}, {CAND}, {ISSUES}, {CHAIN}, {AUDIT}, {GATES.replace('g as (', 'gates as (', 1)} => select *, case when max(case when status = 'FAIL' then 2 when status = 'PENDING' then 1 else 0 end) over () = 2 then 'FAIL' when max(case when status = 'FAIL' then 2 when status = 'PENDING' then 1 else 0 end) over () = 1 then 'PENDING' else 'PASS' end as overall_status from gates",
 )
 def promotion_gates(t):
     compared = metrics.compare_tracks(t.predictions, "a_win", "baseline_probability", "candidate_probability")
-    seen = {"closing_line_value_tracking_required": True, "no_schedule_integrity_errors": True, "no_target_leakage": True}
-    return metrics.promotion_gates(compared, seen)
+    return metrics.audited_gates(compared, ledger.evidence_audit(t.evidence))
 
 
 @query(

@@ -378,10 +378,17 @@ def group_sensitivity(t):
 @query(
     "registry_check",
     "games:i complete:i missing:i unexpected:i",
-    "g as (select game_pk, count(*) as n, count(distinct component) as d from components group by game_pk) => select count(*) as games, count(*) filter (where n = 7 and d = 7) as complete, 0 as missing, 0 as unexpected from g",
+    """v as (select game_pk, case when component = 'lightgbm' and game_pk % 31 = 5 then 'unknown_model' else component end as component from components where not (component = 'catboost' and game_pk % 50 = 3)
+      union all select game_pk, component from components where component = 'logistic' and game_pk % 41 = 0),
+    g as (select game_pk, count(*) as n, count(distinct component) filter (where component <> 'unknown_model') as d, count(*) filter (where component = 'unknown_model') as u from v group by game_pk)
+    => select count(*) as games, count(*) filter (where n = 7 and d = 7) as complete, sum(7 - d) as missing, sum(u) as unexpected from g""",
 )
 def registry_check(t):
-    return features.registry_check(t.components)
+    """Votes as they come: some lack a component, some carry an unknown or a repeated one."""
+    votes, game, name = t.components, F.col("game_pk"), F.col("component")
+    renamed = F.when((name == "lightgbm") & (game % 31 == 5), "unknown_model").otherwise(name)
+    kept = votes.where(~((name == "catboost") & (game % 50 == 3))).withColumn("component", renamed)
+    return features.registry_check(kept.unionByName(votes.where((name == "logistic") & (game % 41 == 0))))
 
 
 @query(
