@@ -24,6 +24,7 @@ HEADLINES = (
     "matched_validation",
     "probability_metrics",
     "subgroup_metrics",
+    "paired_bootstrap",
     "latest_per_key",
     "provider_snapshot_diff",
     "price_quotes_from_draws",
@@ -54,14 +55,14 @@ def main() -> None:
     start = time.time()
     for view in VIEWS:
         tables.path(view)
-    setup = round(time.time() - start, 3)  # writing the domain tables, shared by all queries
+    setup = round(time.time() - start, 3)  # writing the domain tables, shared by all queries and part of the total
     timings = {}
     for name in names:
         start = time.time()
         registry[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - start, 3)
         print(f"{name}: {timings[name]}s", file=sys.stderr, flush=True)
-    total = round(sum(timings.values()), 3)
+    total = round(setup + sum(timings.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": timings, "domain_tables_sec": setup, "sf": os.path.basename(folder.rstrip("/"))}))
     spark.stop()
 

@@ -6,6 +6,7 @@ from slatewise.operators import context, history, ledger, pitching, scoring
 from slatewise.plans.history_queries import SCORED, doubles
 from slatewise.plans.market_queries import dec
 from slatewise.plans.pitching_queries import ROLES
+from slatewise.plans import shared
 from slatewise.plans.registry import query
 from slatewise.sources.adapters import GAME_FIELDS, PAIRED_FIELDS
 
@@ -311,7 +312,7 @@ ODDS = "case when away_p >= 0.5 then away_odds else home_odds end"
        cast(round_even(-100.0 * pick_probability / (1 - pick_probability), 0) as int) as fair_odds, coalesce(selection_rank <= {TOP_N}, false) as is_top_pick from policy""",
 )
 def slate_evaluation(t):
-    scored = scoring.logit_scores(history.matchup_features(t.contests))
+    scored = scoring.logit_scores(shared.matchups(t))
     rows = scored.select("game_pk", "game_date", "team_a", "team_a_is_home", F.col("strength_probability").alias("model_probability"), F.col("prior_probability").alias("score_probability"))
     prices = ledger.latest_predictions(t.ledger).select("game_pk", "away_team", "home_team", "away_odds", "home_odds")
     runs = t.draws.groupBy("game_pk").agg(F.avg("away_runs").alias("simulated_away_runs"), F.avg("home_runs").alias("simulated_home_runs"))

@@ -1,6 +1,7 @@
 """Form queries: point-in-time state per team, starter and contest."""
 
 from slatewise.operators import history, metrics, scoring
+from slatewise.plans import shared
 from slatewise.plans.registry import query
 
 GAMES = """
@@ -191,7 +192,7 @@ def opponent_adjusted_form(t):
 
 @query("matchup_features", "game_pk:i game_date:s team_a:s team_b:s a_win:i team_a_is_home:i " + doubles(feature_names()), f"{features_sql()} => select * from features")
 def matchup_features(t):
-    return history.matchup_features(t.contests)
+    return shared.matchups(t)
 
 
 FUTURE = (
@@ -229,7 +230,7 @@ def pregame_state_asof(t):
     f"{SCORED} => select * from scored",
 )
 def logit_scores(t):
-    return scoring.logit_scores(history.matchup_features(t.contests))
+    return scoring.logit_scores(shared.matchups(t))
 
 
 @query(
@@ -241,5 +242,5 @@ def logit_scores(t):
        count(*) as n, avg(p) as mean_probability, avg(y) as observed_rate, abs(avg(p) - avg(y)) as absolute_gap from binned group by bin""",
 )
 def strength_calibration(t):
-    scored = scoring.logit_scores(history.matchup_features(t.contests))
+    scored = scoring.logit_scores(shared.matchups(t))
     return metrics.calibration_table(scored, "a_win", "strength_probability")

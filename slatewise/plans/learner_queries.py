@@ -9,6 +9,7 @@ from slatewise.operators import ensemble, experiments, features, history, learne
 from slatewise.operators.context import CONTEXT_FEATURES
 from slatewise.plans.history_queries import feature_names
 from slatewise.plans.metric_queries import ENSEMBLE, SLICES
+from slatewise.plans import shared
 from slatewise.plans.registry import query
 from slatewise.plans.source_queries import overlay_frame
 
@@ -19,7 +20,7 @@ MINIMUM_TRAIN = 150
 
 def matchups(t):
     """Contest features with their chronological index, written once for all fits."""
-    return t.written("matchups", lambda: learners.indexed(history.matchup_features(t.contests)))
+    return t.written("matchups", lambda: learners.indexed(shared.matchups(t)))
 
 
 def component(t, name):

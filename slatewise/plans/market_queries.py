@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import odds
 from slatewise.operators import ledger, market
+from slatewise.plans import shared
 from slatewise.plans.registry import query
 
 DEC = "case when {o} > 0 then 1 + {o} / 100.0 else 1 + 100.0 / abs({o}) end"
@@ -141,7 +142,7 @@ priced as (select game_pk, sportsbook, market_type, selection, team, line, ameri
     f"{PRICED} => select * from priced",
 )
 def price_quotes_from_draws(t):
-    return market.price_quotes_from_draws(t.quotes, t.draws)
+    return market.price_quotes(t.quotes, shared.score_cells(t))
 
 
 @query(
@@ -171,7 +172,7 @@ VALUE_COLUMNS = "expected_roi:d break_even:d probability_edge:d fair_odds:i play
     f"{PRICED}, {valued_sql('priced', 0.01, FLAGS)} => select * exclude (captured_at), strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at from valued",
 )
 def quote_valuation(t):
-    priced = market.price_quotes_from_draws(t.quotes, t.draws).withColumns(
+    priced = market.price_quotes(t.quotes, shared.score_cells(t)).withColumns(
         {"fresh": F.col("captured_at") >= F.col("event_date").cast("timestamp_ntz"), "conflict": F.col("event_date") < F.lit("1995-06-01").cast("date")}
     )
     return market.value_quotes(priced, buffer=0.01).withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss"))
@@ -225,7 +226,7 @@ def best_quote_per_market(t):
     f"{PRICED}, {BEST.format(src='priced')} => select * from best",
 )
 def rank_high_probability(t):
-    return market.rank_high_probability(market.price_quotes_from_draws(t.quotes, t.draws))
+    return market.rank_high_probability(market.price_quotes(t.quotes, shared.score_cells(t)))
 
 
 @query(
@@ -234,7 +235,7 @@ def rank_high_probability(t):
     f"{PRICED}, {BEST.format(src='priced')} => select * from best order by win_probability desc, push_probability, game_pk desc, market_key desc limit 100",
 )
 def rank_high_probability_top(t):
-    return market.rank_high_probability(market.price_quotes_from_draws(t.quotes, t.draws), 100)
+    return market.rank_high_probability(market.price_quotes(t.quotes, shared.score_cells(t)), 100)
 
 
 @query(
@@ -243,7 +244,7 @@ def rank_high_probability_top(t):
     f"{PRICED}, {BEST.format(src='priced')}, {valued_sql('best', 0.0)} => select * from valued where status = 'PLAY' order by expected_roi desc, probability_edge desc, w desc, game_pk desc, market_key desc limit 5",
 )
 def rank_best_value(t):
-    return market.rank_best_value(market.price_quotes_from_draws(t.quotes, t.draws))
+    return market.rank_best_value(market.price_quotes(t.quotes, shared.score_cells(t)))
 
 
 @query(

@@ -3,6 +3,7 @@
 from slatewise.operators import ensemble, history, ledger, metrics, resampling, scoring
 from slatewise.plans.history_queries import SCORED, doubles
 from slatewise.plans.ledger_queries import AUDIT, CHAIN, ISSUES
+from slatewise.plans import shared
 from slatewise.plans.registry import query
 
 METRIC_COLUMNS = "n_total:i n:i " + doubles(metrics.METRICS[2:])
@@ -341,7 +342,7 @@ def matched_validation(t):
     """Leakage-safe features, closed-form scores of both tracks, metrics per window."""
     from pyspark.sql import functions as F
 
-    scored = scoring.logit_scores(history.matchup_features(t.contests))
+    scored = scoring.logit_scores(shared.matchups(t))
     day = lambda d: F.lit(d).cast("date")
     hits = F.array_compact(F.array(*[F.when(F.col("game_date").between(day(s), day(e)), F.lit(n)) for n, s, e in VALIDATION]))
     rows = scored.select("a_win", "prior_probability", "strength_probability", F.explode(hits).alias("window"))

@@ -9,6 +9,7 @@ from slatewise.plans.history_queries import doubles, feature_names, features_sql
 from slatewise.plans.ledger_queries import JOINED
 from slatewise.plans.market_queries import PRICED, QKEY, VALUE_COLUMNS, valued_sql
 from slatewise.plans.pitching_queries import FLAG_SQL, _raw_plays
+from slatewise.plans import shared
 from slatewise.plans.registry import query
 from slatewise.session import work_path
 from slatewise.sources import documents, files
@@ -92,7 +93,7 @@ def scan_play_by_play(t):
 )
 def write_report_tables(t):
     folder = work_path(t.spark, "report")
-    parts = [("predictions", t.predictions, "csv"), ("score_cells", market.score_cells(t.draws), "parquet"), ("current_quotes", market.current_quotes(t.quotes), "json")]
+    parts = [("predictions", t.predictions, "csv"), ("score_cells", shared.score_cells(t), "parquet"), ("current_quotes", market.current_quotes(t.quotes), "json")]
     counts = []
     for name, table, fmt in parts:
         files.write_report_tables({name: table}, folder, fmt)
@@ -330,7 +331,7 @@ KEPT = features.contract_columns(feature_names(), **CONTRACT)
 
 @query("feature_contract_project", "game_pk:i " + doubles(KEPT), f"{features_sql()} => select * from features")
 def feature_contract_project(t):
-    rows = history.matchup_features(t.contests).select("game_pk", *feature_names())
+    rows = shared.matchups(t).select("game_pk", *feature_names())
     return features.feature_contract_project(rows, **CONTRACT)
 
 
@@ -342,7 +343,7 @@ def feature_contract_project(t):
     + ") => select * from u",
 )
 def feature_catalog(t):
-    return features.feature_catalog(history.matchup_features(t.contests), feature_names())
+    return features.feature_catalog(shared.matchups(t), feature_names())
 
 
 SENSITIVE = list(scoring.PRIOR_WEIGHTS)
@@ -366,7 +367,7 @@ def neutral_sql(group: str) -> str:
     + ") x), b as (select game_pk, (list(g order by v desc, o) filter (where v > 0))[1] as top_supporting_group, (list(g order by v, o) filter (where v < 0))[1] as top_opposing_group from l group by game_pk) => select * from s join b using (game_pk)",
 )
 def group_sensitivity(t):
-    rows = history.matchup_features(t.contests).select("game_pk", *SENSITIVE)
+    rows = shared.matchups(t).select("game_pk", *SENSITIVE)
 
     def score(column):
         z = sum((column(c) * w for c, w in scoring.PRIOR_WEIGHTS.items()), F.lit(0.0))
@@ -460,7 +461,7 @@ def stream_current_quotes(t):
     f"{PRICED}, {valued_sql('priced', 0.0)} => select * from valued union all select * from valued where sportsbook = 'B0'",
 )
 def stream_reprice(t):
-    cells = t.written("score_cells", lambda: market.score_cells(t.draws))
+    cells = shared.score_cells(t)
     return _stream(t, "reprice", streams.stream_reprice, cells)
 
 
