@@ -6,13 +6,12 @@ to the lightest shard.  Rebalancing edits the last version of the map, moving no
 writes the next version; records never move between slots, so a new version moves whole slots only.
 
 A record's slot comes from the hash of id, text checksum and size, so that an id that many different records
-share spreads as well.  Only slot totals, ``SLOTS`` rows at any input size, reach the driver.  A record's place in
+share spreads as well; of repeated rows, which no hash of theirs tells apart, also from their place in a written table.  Only slot totals, ``SLOTS`` rows at any input size, reach the driver.  A record's place in
 its shard is the number of records in the shard's earlier virtual slots plus its rank in its own.  Texts
 are never shuffled.
 
 Defined cases: a null text has no bytes and size 1, with the checksum of an empty text; null ids and repeated
-rows are records like others, repeated rows share a virtual slot and take places next to each other.  Extra
-columns are ignored.  An empty table gives an empty result.
+rows are records like others; which of equal rows has which place is of no account.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +21,8 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewise.session import work_path
+from slatewise.llm.joins import small
+from slatewise.session import stored, work_path
 
 SLOTS = 8192
 SHARDS = 16
@@ -102,10 +102,16 @@ class SlotMap:
 
 
 def records_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(id, size, text_crc32, virtual_slot) of every record."""
+    """(id, size, text_crc32, virtual_slot) of every record; repeated rows spread over the slots by their place in a written table."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     measured = documents.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return measured.withColumn("virtual_slot", F.pmod(F.xxhash64("_id", "text_crc32", "size"), F.lit(slots)))
+    rows = stored(measured.withColumn("_row", F.monotonically_increasing_id()), "records")
+    twice = rows.groupBy("_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    twice = stored(twice.select(F.col("_id").alias("_same_id"), F.col("size").alias("_same_size"), F.col("text_crc32").alias("_same_crc32")), "repeated")
+    same = F.col("_id").eqNullSafe(F.col("_same_id")) & (F.col("size") == F.col("_same_size")) & (F.col("text_crc32") == F.col("_same_crc32"))
+    marked = rows.join(small(twice), same, "left")
+    copy = F.when(F.col("_same_size").isNotNull(), F.col("_row"))  # a null leaves the hash as it is
+    return marked.select("_id", "size", "text_crc32", F.pmod(F.xxhash64("_id", "text_crc32", "size", copy), F.lit(slots)).alias("virtual_slot"))
 
 
 def slot_totals(records: DataFrame) -> dict[int, tuple[int, int]]:
@@ -118,7 +124,7 @@ def shard_records(spark: SparkSession, documents: DataFrame, *, shards: int = SH
 
     `slot` is the place in the shard, without gaps from 0.
     """
-    records = records_of(documents, id_col=id_col, text_col=text_col, slots=slots)
+    records = stored(records_of(documents, id_col=id_col, text_col=text_col, slots=slots), "placed")
     mapping = SlotMap(spark, map_path or work_path(spark, "slot-map")).create(records, shards)
     # one row per virtual slot: what lies before it in its shard
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -101,6 +101,16 @@ def test_shards_hold_all_rows_in_near_equal_bytes(spark):
     assert slot_sharding.shard_records(spark, spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_repeated_rows_keep_the_law(spark):
+    rows = [(i, f"text {i} " * (i % 9), "x", "y") for i in range(4000)] + [(7, "the same row " * 20, "x", "y")] * 2000 + [(None, "no id", "x", "y")] * 300
+    got = slot_sharding.shard_records(spark, spark.createDataFrame(rows, DOCS).repartition(3)).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and load.max() < 1.02 * load.mean() and len(load) == 16
+    assert got.groupby("virtual_slot").size().max() < 20
+    for _, shard in got.groupby("shard"):
+        assert sorted(shard.slot) == list(range(len(shard)))
+
+
 def test_map_versions_move_few_slots(spark, tmp_path):
     records = slot_sharding.records_of(spark.createDataFrame([(i, "word " * (i % 50), "x", "y") for i in range(5000)], DOCS), slots=512)
     slots = slot_sharding.SlotMap(spark, str(tmp_path / "map"))
