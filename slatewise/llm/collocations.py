@@ -200,7 +200,7 @@ def phrase_counts(units: DataFrame, min_count: int, max_words: int, bits: int =
     frequent = exchange.answers(units.mapInArrow(send, exchange.SENT), lambda totals, own: totals >= min_count)
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = exchange.joined(right)[0]
+        wanted = exchange.joined(right)
         parts = []
         for row in left.to_pylist() if len(wanted) else []:
             data = _opened(row)

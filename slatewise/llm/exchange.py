@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 RANGE_ENTRIES = 4 << 20  # entries of one range before units merge theirs; sizes the number of ranges
 SENT = "range long, unit long, prints binary, amounts binary"
-ANSWER = "unit long, prints binary, amounts binary"
+ANSWER = "unit long, prints binary"
 
 
 def pack(values: np.ndarray, ordered: bool = False) -> bytes:
@@ -74,7 +74,7 @@ def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 SENT_ARROW = pa.schema([("range", pa.int64()), ("unit", pa.int64()), ("prints", pa.binary()), ("amounts", pa.binary())])
-ANSWER_ARROW = pa.schema(list(SENT_ARROW)[1:])
+ANSWER_ARROW = pa.schema([("unit", pa.int64()), ("prints", pa.binary())])
 BATCH_ROWS = 64
 
 
@@ -106,7 +106,7 @@ def _added(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, n
 
 
 def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(unit, prints, amounts): the totals of those of a unit's fingerprints that ``reply(totals, own)`` marks."""
+    """(unit, prints): those of a unit's fingerprints that ``reply(totals, own)`` marks."""
 
     def answered(table: pa.Table) -> pa.Table:
         units, lists, own, totals, _, _ = _added(table)
@@ -115,7 +115,7 @@ def answers(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarra
         for unit, prints in zip(units.tolist(), lists, strict=True):
             pick = np.flatnonzero(marked[a : a + len(prints)])
             if len(pick):
-                out.append((unit, pack(prints[pick], ordered=True), pack(totals[a + pick])))
+                out.append((unit, pack(prints[pick], ordered=True)))
             a += len(prints)
         return pa.Table.from_batches([batch(out, ANSWER_ARROW)])
 
@@ -150,15 +150,9 @@ def in_order(table: pa.Table) -> np.ndarray:
     return np.concatenate(amounts) if amounts else np.zeros(0, np.int64)
 
 
-def joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All answers to one unit as (sorted fingerprints, totals)."""
-    lists = [unpack(b, ordered=True) for b in table["prints"].to_pylist()]
-    totals = [unpack(b).view(np.int64) for b in table["amounts"].to_pylist()]
-    if not lists:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    prints, amounts = np.concatenate(lists), np.concatenate(totals)
-    order = np.argsort(prints, kind="stable")
-    return prints[order], amounts[order]
+def joined(table: pa.Table) -> np.ndarray:
+    """The fingerprints of all answers to one unit, sorted."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpack(b, ordered=True) for b in table["prints"].to_pylist()]]))
 
 
 def count_of(frame: DataFrame, column: str) -> int:

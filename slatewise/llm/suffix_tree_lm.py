@@ -19,8 +19,8 @@ changes the tree.  No list of the whole corpus meets in one place.
 Defined cases: null or blank texts are an end token alone; rows with a null id are training rows; repeated rows count
 again and are scored each; ids keep their type.  Without training rows every token is unknown and N and V are 0.  An empty
 table gives no rows.  Extra columns are ignored.  A context never reaches into another document.  Fingerprints of 64
-bits stand for words; longer runs keep as many bits as their number asks for, so that a run shares its counts with
-another by a chance of at most 2^-``SHARING_BITS``.
+bits stand for words; longer runs and contexts keep as many bits as their number asks for, so that one shares its counts
+with another by a chance of at most 2^-``SHARING_BITS``.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ MU = 100.0
 GAIN = 12.0  # natural-log units a context must win on its own training tokens
 UNIT_TOKENS = 2 << 20
 SHARING_BITS = 14
-FINE = 1 << 12  # test sums are counted in these parts of a unit
+FINE = 1 << 6  # test sums are counted in these parts of a unit
 END = T.mix64(np.array([0x656E64], np.uint64))
 _JOIN = T._PLACE
 
@@ -111,7 +111,7 @@ class Unit:
 
     def context(self, n: int) -> np.ndarray:
         """Fingerprints of the n words before each token."""
-        return np.append(np.zeros(1, np.uint64), self.run(n)[:-1])
+        return np.append(np.zeros(1, np.uint64), self.run(n)[:-1] & self.keep)
 
 
 def _counted(units: DataFrame, n: int, bits: int, n_ranges: int) -> DataFrame:
@@ -197,7 +197,7 @@ def score(
     least = int(gain * FINE)
 
     def made(unit: Unit, answered: pa.Table) -> Model:
-        kept = exchange.joined(answered.filter(pa.compute.equal(answered["words"], 0)))[0]
+        kept = exchange.joined(answered.filter(pa.compute.equal(answered["words"], 0)))
         return Model(unit, answered, kept, depth, n_train, n_words, mu, min_context)
 
     def test(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -208,7 +208,7 @@ def score(
 
     numbers = units.select("unit", "held", "sizes", "words", "tokens")
     tested = numbers.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(test, exchange.SENT)
-    kept = stored(exchange.answers(tested, lambda totals, own: totals >= least), "contexts").select("unit", F.lit(0).cast("long").alias("range"), F.lit(0).alias("words"), "amounts", "prints")
+    kept = stored(exchange.answers(tested, lambda totals, own: totals >= least), "contexts").select("unit", F.lit(0).cast("long").alias("range"), F.lit(0).alias("words"), F.lit(None).cast("binary").alias("amounts"), "prints")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
