@@ -171,8 +171,8 @@ def select_top(rows: DataFrame, top_n: int, slate: str = "game_date") -> DataFra
     return both.withColumn("is_top_pick", F.coalesce(F.col("selection_rank") <= top_n, F.lit(False)))
 
 
-def selection_policy(rows: DataFrame, top_n: int, score_veto: bool = True) -> DataFrame:
-    """Conflict annotations and eligibility.
+def selection_policy(rows: DataFrame, top_n: int | None, score_veto: bool = True) -> DataFrame:
+    """Conflict annotations and eligibility; without a top_n no ranks, for a later policy that gives them.
 
     Rows: away_team, home_team, pick, pick_probability, model_overlap, away_votes, model_count,
     simulated_away_runs, simulated_home_runs, confidence_score.  Tied votes go home, tied scores away.
@@ -199,7 +199,7 @@ def selection_policy(rows: DataFrame, top_n: int, score_veto: bool = True) -> Da
     out = out.withColumns({"ensemble_score_conflict": score_conflict, "reasons": why})
     out = out.withColumns({"selection_reasons": F.array_join("reasons", ";"), "eligible_for_top_pick": F.size("reasons") == 0}).drop("reasons")
     out = out.withColumn("selection_status", F.when(F.col("eligible_for_top_pick"), "ELIGIBLE").otherwise("PASS"))
-    return select_top(out, top_n)
+    return out if top_n is None else select_top(out, top_n)
 
 
 def append_reasons(existing: Column, extra: Column) -> Column:

@@ -235,7 +235,7 @@ def rerank_sql(source: str) -> str:
     ranked as ({rerank_sql('gated')}) => select *, coalesce(selection_rank <= {TOP_N}, false) as is_top_pick from ranked""",
 )
 def live_context_policy(t):
-    return context.live_context_policy(context.selection_policy(_picks(t), TOP_N), context.live_context_assess(t.contexts), TOP_N)
+    return context.live_context_policy(context.selection_policy(_picks(t), None), context.live_context_assess(t.contexts), TOP_N)
 
 
 SERIES = """
@@ -291,7 +291,7 @@ def series_summary(t):
     ranked as ({rerank_sql('gated')}) => select *, coalesce(selection_rank <= {TOP_N}, false) as is_top_pick from ranked""",
 )
 def series_policy(t):
-    return context.series_policy(context.selection_policy(_picks(t), TOP_N), context.series_summary(_series(t)), t.contexts, TOP_N)
+    return context.series_policy(context.selection_policy(_picks(t), None), context.series_summary(_series(t)), t.contexts, TOP_N)
 
 
 FIRST = "fl as (select game_pk, home_odds, away_odds from last_predictions where true)"

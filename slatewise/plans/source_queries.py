@@ -103,6 +103,7 @@ def write_report_tables(t):
 
 
 SNAPPED = ["game_pk", "side", "pitcher_id", "raw_payload"]
+GAMES_A_SLICE = 100_000
 
 
 @query(
@@ -112,9 +113,10 @@ SNAPPED = ["game_pk", "side", "pitcher_id", "raw_payload"]
 )
 def snapshot_append(t):
     path = work_path(t.spark, "starter-snapshots")
+    span = F.floor(F.col("game_pk") / GAMES_A_SLICE)
     for side in ("side = 'away'", "true", "side = 'home'"):  # overlapping deliveries add nothing twice
-        files.snapshot_append(t.spark, path, t.starter_captures.filter(side), SNAPPED)
-    return t.spark.read.parquet(path)
+        files.snapshot_append(t.spark, path, t.starter_captures.filter(side), SNAPPED, by=span)
+    return files.read_snapshots(t.spark, path)
 
 
 @query(
