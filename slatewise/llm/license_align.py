@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -142,10 +142,12 @@ def alignments(text: list[str], template: list[str], coverage: float = COVERAGE,
     """(coverage, first word, end word) of the template's places in the text, apart from one another.
 
     The text is cut where more words than the template has hold none of its words: such a gap
-    separates places rather than lying inside one.  What is left beside a region's best place is searched again.
+    separates places rather than lying inside one.  One search of a region takes
+    all its good places, however many copies it holds; what is left between them is searched again.
     """
     vocabulary = Counter(template)
     needed = {j for j, w in enumerate(template) if w in marks}
+    slack = max(3, len(template) // 4)
     todo = _regions([i for i, w in enumerate(text) if w in vocabulary], len(template))
     out = []
     while todo:
@@ -153,19 +155,37 @@ def alignments(text: list[str], template: list[str], coverage: float = COVERAGE,
         bag = Counter(text[a:b])
         if sum(min(n, bag[w]) for w, n in vocabulary.items()) < coverage * len(template):
             continue
-        best = None
+        places = set()
         for lo, hi in ((a, b), *_windows(text, a, b, template, marks)):
-            pairs = _without_strays(align(text[lo:hi], template), max(3, len(template) // 4))
+            pairs = _without_strays(align(text[lo:hi], template), slack)
             share = len(pairs) / len(template)
             if pairs and share >= coverage and needed <= {j for _, j in pairs}:
-                place = (share, lo + pairs[0][0], lo + pairs[-1][0] + 1)
-                best = max(best or place, place, key=lambda x: (x[0], x[1] - x[2], -x[1]))
-        if best:
-            out.append(best)
-            todo += [(a, best[1]), (best[2], b)]
+                lo, hi = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                places.add((2 * len(pairs) - (hi - lo), share, lo, hi))
+        if not places:
+            continue
+        # a place loses by words that do not belong to it: what is pieced together from several copies comes last;
+        # all places about as good as the best are taken at once, so a repeated notice needs no search of its own
+        ranked = sorted(places, key=lambda x: (-x[0], x[2]))
+        taken = [p[1:] for p in apart([p for p in ranked if p[0] >= min(ranked[0][0], len(template) // 2)], lambda p: p[2:])]
+        out += taken
+        edges = [a, *(x for p in taken for x in p[1:]), b]
+        todo += [(lo, hi) for lo, hi in zip(edges[::2], edges[1::2], strict=True) if lo < hi]
     return sorted(out, key=lambda x: x[1])
 
 
+def apart(ranked: list, span: Callable[[tuple], tuple[int, int]]) -> list:
+    """Of ranked items those whose span meets none of an earlier one that stays, in the order of their places."""
+    starts, kept = [], []
+    for item in ranked:
+        lo, hi = span(item)
+        at = bisect_left(starts, lo)
+        if (at == len(starts) or hi <= starts[at]) and (at == 0 or span(kept[at - 1])[1] <= lo):
+            starts.insert(at, lo)
+            kept.insert(at, item)
+    return kept
+
+
 def _without_strays(pairs: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
     """Pairs without those at either end that lie further off in the text than in the template."""
     a, b = 0, len(pairs)
@@ -180,7 +200,7 @@ def _windows(text: list[str], a: int, b: int, template: list[str], marks: tuple[
     """Windows of a region, where common words or another copy would hide anchors.
 
     With marks they lie around each place of the mark that is rarest there, which no place can do without;
-    otherwise they overlap, of twice the template and of once and a half.
+    otherwise they overlap, of twice the template, once and a half, and once and a quarter.
     """
     n = len(template)
     if marks:
@@ -191,18 +211,15 @@ def _windows(text: list[str], a: int, b: int, template: list[str], marks: tuple[
                     for slack in (0, max(2, n // 4), n):
                         yield max(a, i - at - slack), min(b, i - at + n + slack)
     elif b - a > n + n // 4:
-        for width in (2 * n, n + n // 2):
+        for width in (2 * n, n + n // 2, n + n // 4):
             for lo in range(a, b, max(1, n // 4)):
                 yield lo, min(b, lo + width)
 
 
 def best_places(found: list[tuple[str, int, float, int, int]]) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, end word): of overlapping places the one with most words aligned beyond those missed."""
-    out: list[tuple[str, float, int, int]] = []
-    for name, n, share, lo, hi in sorted(found, key=lambda x: (-(2 * x[2] - 1) * x[1], x[0])):
-        if all(hi <= a or b <= lo for _, _, a, b in out):
-            out.append((name, share, lo, hi))
-    return sorted(out, key=lambda x: x[2:])
+    ranked = sorted(found, key=lambda x: (-(2 * x[2] - 1) * x[1], x[0]))
+    return [(name, share, lo, hi) for name, _, share, lo, hi in apart(ranked, lambda x: x[3:])]
 
 
 def find_licenses(documents: DataFrame, *, templates: dict[str, str] = TEMPLATES, marks: dict[str, tuple[str, ...]] = MARKS, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
