@@ -189,7 +189,10 @@ def training_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     )
     texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     # the chosen side has at most sample_docs rows of two numbers
-    sampled = texts.where(F.octet_length("_text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "_id")
+    rows = texts.where(F.octet_length("_text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "_id")
+    # an id may hold a third of all rows: each map task keeps one text of it before anything is shuffled or measured
+    first = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_row"))
+    sampled = first.select("_id", F.col("_row._text").alias("_text"), "_label")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +209,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> dict:
     """Fit the field on the bounded sample; a model is its weights and the share of good documents."""
     rows = training_sample(documents, labels, id_col, text_col, label_col, sample_docs).toPandas()
-    rows = rows.drop_duplicates("_id").sort_values("_id") if len(rows) else rows
+    rows = rows.sort_values("_id") if len(rows) else rows
     marks = rows["_label"].to_numpy(int) if len(rows) else np.zeros(0, int)
     cells = [np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)) for x in rows["x"]] if len(rows) else []
     counts = np.array([len(x) for x in cells], int)
