@@ -419,6 +419,7 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Of each component the row of the smallest id stays, of several texts of that id one, and besides it one row
     of those without an id.  Decisions hold for an id with its text, so other texts of the same id are untouched.
     Rows of one id and one text are one document; rows without an id and without words all stay.
+    The documents' columns may have any names: they travel as one struct.
     """
     named = _named(documents, id_col, text_col)
     same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash"))
@@ -429,9 +430,10 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     gone = stored(linked.select(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash")).distinct(), "gone")
     counted = named.where("_id is not null or n > 0").groupBy("_id", "_text_hash").count().where("`count` > 1")
     repeated = stored(counted.join(small(gone), same, "left_anti").select(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash")), "repeated")
-    marked = documents.withColumns({"_id": F.col(id_col).cast("long"), "_text_hash": F.xxhash64(text_col)})
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    marked = whole.withColumns({"_id": F.col("_row")[id_col].cast("long"), "_text_hash": F.xxhash64(F.col("_row")[text_col])})
     kept = marked.join(small(gone), same, "left_anti")
     if not repeated.isEmpty():
         listed = small(repeated)
         kept = kept.join(listed, same, "left_anti").union(marked.join(listed, same, "left_semi").dropDuplicates(["_id", "_text_hash"]))
-    return kept.select(*documents.columns)
+    return kept.select("_row.*")
