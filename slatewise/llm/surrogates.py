@@ -1,8 +1,9 @@
 """PII surrogates: detected entities are replaced by keyed, type-consistent stand-ins.
 
-Detection covers e-mail addresses, phone numbers, IPv4 addresses, card numbers, social security numbers,
-secret tokens and names after a title.  The same entity always gets the same surrogate (coreference),
-whatever the case or the separators of a mention; the mention's own case and separators are put back.
+Detection covers e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card numbers, IBANs, social security numbers,
+secret tokens and names after a title or "my name is".  Such a name is carried over its whole text, to mentions without a
+title before and behind; a name that the text also writes in lower case is not, as it may be a common word.
+The same entity always gets the same surrogate (coreference), whatever the case or the separators of a mention; the mention's own case and separators are put back.
 
 A surrogate is a keyed permutation of all strings of the entity's shape: letters stay letters of
 their script, digits stay digits, a card keeps its check digit's validity, a private address stays private,
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from ipaddress import IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from slatewise.llm.joins import BROADCAST_IDS
 from slatewise.llm.text import blocks
 from slatewise.session import stored
 
@@ -71,13 +75,18 @@ ENTITY = re.compile(
     r"|(?<![A-Za-z0-9_])(?:"
     r"(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9\-_]{16,})"
     rf"|(?P<ip>(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d))"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
+    r"|(?P<ssn>\d{3}-\d{2}-\d{4}|(?<!\d )(?!000|666|9)\d{3} (?!00)\d{2} (?!0000)\d{4}(?! \d))"
     r"|(?P<card>(?<![.,\-+])\d(?:[ \-]?\d){12,18})"
     r"|(?P<phone>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\+\d{8,15}|(?:\+\d{1,3}[ .\-])(?:\d{2,4}[ .\-]?){3,5})"
     r")(?![A-Za-z0-9_])"
 )
-MARKS = tuple(TITLES)
-ROOMY = 10**8
+IBAN = re.compile(r"(?<![A-Za-z0-9_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
+NAMED = re.compile(rf"(?<!\w)[Mm]y name is ({_NAME}(?: {_NAME}){{0,2}})")
+WORD = re.compile(r"[^\W\d_]+")
+CAPITAL = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+MARKS = (*TITLES, "y name is")
+SPARE = 4  # a shape is checked against the corpus while a quarter of its strings are taken at most
 
 
 class Keyed:
@@ -178,6 +187,11 @@ def surrogate(keyed: Keyed, kind: str, entity: str, turn: int = 0) -> str:
             made = kept + ".".join(map(str, value.to_bytes(len(free), "big")))
             if private(made) == kept:
                 return made
+    if kind == "ip6":
+        return _address(keyed, entity, tweak)
+    if kind == "iban":
+        body = keyed.shaped(entity[4:], f"{tweak}|{entity[:2]}")
+        return f"{entity[:2]}{98 - _mod97(body + entity[:2] + '00'):02}{body}"
     if kind == "card":
         body = entity[0] + keyed.shaped(entity[1:-1], f"{tweak}|{entity[0]}")
         off = luhn_offset(entity)
@@ -196,15 +210,53 @@ def surrogate(keyed: Keyed, kind: str, entity: str, turn: int = 0) -> str:
     return keyed.shaped(entity, tweak, (VOWELS, CONSONANTS, *ALPHABETS), lambda x: not any(x in names for lists in GIVEN.values() for names in lists))
 
 
-def roomy(kind: str, entity: str) -> bool:
-    """Whether the entity's shape has so many strings that real entities stay rare among them."""
+def shape(kind: str, entity: str) -> tuple[str, int]:
+    """What the surrogates of an entity have in common with it, and how many strings share that."""
+    if kind.startswith("given "):
+        names = next(x for x in GIVEN[kind[-1]] if entity in x)
+        return names[0], len(names)
     if kind == "ip":
-        return not private(entity)
-    size = 1
-    for c in entity if not kind.startswith("given") else "":
-        letters = _class(c, ALPHABETS)
-        size *= min(len(letters), 20 if kind == "name" else 36) if letters else 1
-    return size >= ROOMY
+        kept = private(entity)
+        return kept, 256 ** (4 - kept.count("."))
+    if kind == "ip6":
+        groups = entity.split(":")
+        return ":".join("0" if int(g, 16) == 0 else "x" for g in groups), 65535 ** max(1, sum(int(g, 16) > 0 for g in groups) - 1)
+    alphabets = (VOWELS, CONSONANTS, *ALPHABETS) if kind == "name" else ("0123456789abcdef", *ALPHABETS) if kind == "secret" else ("01", "23456789") if kind in ("phone", "ssn") else ALPHABETS
+    if kind == "iban":
+        entity = f"{entity[:2]}00{entity[4:]}"
+    fixed = {"card": (0, -1), "iban": (0, 1, 2, 3)}.get(kind, ())
+    out, size = [], 1
+    for i, c in enumerate(entity):
+        letters = _class(c, alphabets) if i not in fixed and i - len(entity) not in fixed else None
+        out.append(str(letters[0]) if letters else c)
+        size *= len(letters) if letters else 1
+    return "".join(out), size
+
+
+def _mod97(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def _local(group: int) -> bool:
+    """Whether a first group of 16 bits makes an address link-local or unique local."""
+    return group >> 6 == 0xFE80 >> 6 or group >> 9 == 0xFC00 >> 9
+
+
+def _address(keyed: Keyed, entity: str, tweak: str) -> str:
+    """Groups of zeros stay, as does the first group of a local address; the others are permuted together."""
+    groups = [int(g, 16) for g in entity.split(":")]
+    free = [i for i, g in enumerate(groups) if g and not (i == 0 and _local(g))]
+    value = 0
+    for i in free:
+        value = value * 65535 + groups[i] - 1
+    tweak = f"{tweak}|{''.join('x' if i in free else f'{g:04x}' for i, g in enumerate(groups))}"
+    while True:
+        value = rest = keyed.permute(value, 65535 ** len(free), tweak)
+        for i in reversed(free):
+            rest, low = divmod(rest, 65535)
+            groups[i] = low + 1
+        if 0 not in free or not _local(groups[0]):
+            return ":".join(f"{g:04x}" for g in groups)
 
 
 def _low(text: str) -> str:
@@ -213,11 +265,21 @@ def _low(text: str) -> str:
 
 def canonical(kind: str, mention: str) -> str:
     """What mentions of one entity share: digits of numbers, lower case of the rest."""
+    if kind == "ip6":
+        return IPv6Address(mention).exploded
+    if kind == "iban":
+        return mention.replace(" ", "").lower()
     return "".join(c for c in mention if c.isdecimal()) if kind in ("phone", "card", "ssn") else _low(mention)
 
 
 def dressed(kind: str, mention: str, made: str) -> str:
     """A surrogate in the separators and the case of a mention."""
+    if kind == "ip6":
+        made = made if len(mention) == 39 else str(IPv6Address(made))
+        return made.upper() if mention.isupper() else made
+    if kind == "iban":
+        letters = iter(made.upper())
+        return "".join(next(letters) if c != " " else c for c in mention)
     if kind in ("phone", "card", "ssn"):
         digits = iter(made)
         return "".join(next(digits) if c.isdecimal() else c for c in mention)
@@ -227,23 +289,86 @@ def dressed(kind: str, mention: str, made: str) -> str:
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical entity) of every mention, in order and without overlaps."""
+    """(start, end, kind, canonical entity) of every mention, in order and without overlaps.
+
+    A name found after a title counts wherever it stands in the text with a capital, alone or behind a listed given name,
+    unless the text also has it in lower case: then it is taken for a common word.
+    """
     found = [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])) for m in ENTITY.finditer(text)]
-    for m in PERSON.finditer(text):
-        gender, at = TITLES[m[1]], m.start(2)
-        for i, word in enumerate(m[2].split(" ")):
-            low = _low(word)
-            listed = next((g for g in ("m", "f") if g in (gender or "mf") and any(low in names for names in GIVEN[g])), None)
-            found.append((at, at + len(word), f"given {listed}" if listed and i == 0 else "name", low))
-            at += len(word) + 1
+    found += [(m.start(), m.end(), "iban", canonical("iban", m[0])) for m in IBAN.finditer(text) if _is_iban(m[0])]
+    found += [(m.start(), m.end(), "ip6", canonical("ip6", m[0])) for m in IPV6.finditer(text) if _is_ip6(m[0])]
+    persons = []
+    for pattern, group in ((PERSON, 2), (NAMED, 1)):
+        for m in pattern.finditer(text):
+            gender, at = TITLES.get(m[1]) if group == 2 else None, m.start(group)
+            for i, word in enumerate(m[group].split(" ")):
+                low = _low(_bare(word))
+                listed = next((g for g in ("m", "f") if g in (gender or "mf") and any(low in names for names in GIVEN[g])), None)
+                persons.append((at, at + len(_bare(word)), f"given {listed}" if listed and i == 0 else "name", low))
+                at += len(word) + 1
+    out = _without_overlaps(found + persons)
+    return sorted(out + _later(text, out, persons)) if persons else out
+
+
+def _without_overlaps(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     out, last = [], 0
-    for item in sorted(found):
+    for item in sorted(set(found), key=lambda x: (x[0], -x[1], x)):
         if item[0] >= last:
             out.append(item)
             last = item[1]
     return out
 
 
+def _later(text: str, out: list[tuple[int, int, str, str]], persons: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further mentions of the names of a text, outside the mentions it has already."""
+    kinds: dict[str, str] = {}
+    for _, _, kind, low in sorted(persons):
+        kinds.setdefault(low, kind)
+    rest, last = [], 0
+    for start, end, _, _ in out:
+        rest.append(text[last:start])
+        last = end
+    common = {w for part in (*rest, text[last:]) for w in WORD.findall(part) if w[0].islower()}
+    known = {low: kind for low, kind in kinds.items() if low not in common and len(low) > 1}
+    starts = [start for start, _, _, _ in out]
+
+    def untouched(start: int, end: int) -> bool:
+        at = bisect_left(starts, end)
+        return at == 0 or out[at - 1][1] <= start
+
+    more, before = [], None
+    for m in CAPITAL.finditer(text):
+        word = _bare(m[0])
+        low = _low(word)
+        if low in known and untouched(m.start(), m.start() + len(word)):
+            more.append((m.start(), m.start() + len(word), known[low], low))
+            if known[low] == "name" and before and before[1] + 1 == m.start() and text[before[1]] == " ":
+                given = next((g for g in "mf" if any(before[2] in names for names in GIVEN[g])), None)
+                if given and before[2] not in known and untouched(*before[:2]):
+                    more.append((before[0], before[1], f"given {given}", before[2]))
+        before = (m.start(), m.end(), low)
+    return more
+
+
+def _bare(word: str) -> str:
+    """A name without the ending of its possessive."""
+    return word[:-2] if len(word) > 3 and word[-2] in "'’" and word[-1] in "sS" else word
+
+
+def _is_iban(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and _mod97(plain[4:] + plain[:4]) == 1
+
+
+def _is_ip6(text: str) -> bool:
+    """A valid address of three groups and a digit at least, or a short one of a well-known beginning."""
+    try:
+        IPv6Address(text)
+    except ValueError:
+        return False
+    return any(c.isdecimal() for c in text) and (sum(map(bool, text.split(":"))) > 2 or text[:4].lower() in ("fe80", "2001"))
+
+
 def suspects(column: pa.Array) -> np.ndarray:
     """Rows that may hold a mention: a digit, an at sign, a secret's prefix or a title somewhere in the text."""
     out = np.zeros(len(column), bool)
@@ -282,8 +407,9 @@ def entities_of(documents: DataFrame, text_col: str) -> DataFrame:
 def resolve(entities: DataFrame, key: bytes) -> DataFrame | None:
     """(kind, entity, turn) of entities that must not use their first surrogate; None if there are none.
 
-    Of entities that share a surrogate the first keeps it.  Given names and other shapes with few strings
-    may all occur in the corpus, so for them only sharing counts, which permutations rule out.
+    Of entities that share a surrogate the first keeps it, unless it is an entity itself.  Where the corpus holds more
+    than a quarter of a shape's strings, as it does with given names, too few are left that nobody bears: there only
+    sharing counts, which permutations rule out.
     """
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +419,17 @@ def resolve(entities: DataFrame, key: bytes) -> DataFrame | None:
             out = [made(k, e, t) for k, e, t in zip(rows["kind"], rows["entity"], rows["turn"], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "entity", "turn")), pa.array(out, pa.string())], names=["kind", "entity", "turn", "made"])
 
-    schema = "kind string, entity string, turn int, made string"
-    def spacious(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([roomy(*x) for x in zip(rows["kind"], rows["entity"], strict=True)], pa.bool_())], names=["kind", "entity", "real"])
+            shapes = [shape(*x) for x in zip(rows["kind"], rows["entity"], strict=True)]
+            cells = [pa.array([x[0] for x in shapes], pa.string()), pa.array([min(x[1], 2**62) for x in shapes], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=["kind", "entity", "shape", "size"])
 
-    known = stored(entities.mapInArrow(spacious, "kind string, entity string, real boolean"), "entities")
+    schema = "kind string, entity string, turn int, made string"
+    listed = stored(entities.mapInArrow(shaped, "kind string, entity string, shape string, size long"), "entities")
+    taken = listed.groupBy("kind", "shape", "size").agg(F.count("*").alias("n"))
+    known = stored(listed.join(taken, ["kind", "shape", "size"]).select("kind", "entity", (F.col("n") * SPARE <= F.col("size")).alias("real")), "known-entities")
     state = stored(known.select("kind", "entity", F.lit(0).alias("turn")).mapInArrow(drawn, schema), "surrogates")
     changed = False
     while True:
@@ -316,7 +446,7 @@ def replace_pii(documents: DataFrame, key: bytes, *, text_col: str = "text", cou
     """All columns of `documents` with surrogates in the text, and the number of mentions replaced."""
     documents = documents.drop(count_col)
     turns = resolve(entities_of(documents, text_col), key)
-    turn_col = "_surrogate_turns"
+    turn_col = _free("_surrogate_turns", documents)
     if turns is None:
         frame = documents.withColumn(turn_col, F.lit(None).cast("map<string,int>"))
     else:
@@ -363,5 +493,16 @@ def _with_turns(documents: DataFrame, turns: DataFrame, text_col: str, turn_col:
             yield pa.RecordBatch.from_arrays([pa.array(out["_a"], pa.int64()), pa.array(out["_b"], pa.int64()), pa.array(out["kind"], pa.string()), pa.array(out["entity"], pa.string())], names=list(out))
 
     pairs = documents.select(marks[0].alias("_a"), marks[1].alias("_b"), text_col).mapInArrow(listed, "_a long, _b long, kind string, entity string").distinct()
-    by_text = pairs.join(turns, ["kind", "entity"]).groupBy("_a", "_b").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "kind", "entity"), "turn"))).alias(turn_col))
-    return documents.join(by_text, (marks[0] == F.col("_a")) & (marks[1] == F.col("_b")), "left").drop("_a", "_b")
+    changed = stored(pairs.join(turns, ["kind", "entity"]), "changed-mentions")
+    a, b = _free("_a", documents), _free("_b", documents)
+    by_text = changed.groupBy(F.col("_a").alias(a), F.col("_b").alias(b)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "kind", "entity"), "turn"))).alias(turn_col))
+    few = changed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(by_text) if few else by_text, (marks[0] == F.col(a)) & (marks[1] == F.col(b)), "left").drop(a, b)
+
+
+def _free(name: str, frame: DataFrame) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
