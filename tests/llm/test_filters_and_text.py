@@ -62,6 +62,15 @@ def test_quality_on_held_out_labels(spark):
     assert (held.predicted == held.quality).mean() > 0.95
 
 
+def test_one_row_of_a_sampled_id_is_measured(spark):
+    """A hot id of the sample gives one text, the same whatever the order or the partitions."""
+    rows = [(7, f"text number {i} of the id\nsecond line", "s", "a", "b") for i in range(3000)] + [(8, "another text", "s", "a", "b"), (8, "another text", "s", "a", "b"), (9, None, "s", "a", "b")]
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id long, quality int")
+    sample = lambda rows, parts: sorted(tuple(r) for r in line_crf.training_sample(spark.createDataFrame(rows, SCHEMA).repartition(parts), labels, "doc_id", "text", "quality", 10).collect())
+    first = sample(rows, 3)
+    assert [r[0] for r in first] == [7, 8] and first == sample(rows[::-1], 7)
+
+
 def test_quality_edges(spark):
     documents = spark.createDataFrame([(1, "Good words.\nMore of them.", "s", "a", "b"), (2, "BAD!! BAD!!\nBAD!!", "s", "a", "b"), *EDGES], SCHEMA)
     model = line_crf.train(documents, spark.createDataFrame([(1, 1), (2, 0), (None, 1), (90, None)], "doc_id long, quality int"))
@@ -155,7 +164,6 @@ def test_collisions_with_entities_take_another_turn(spark, monkeypatch):
         return lambda kind, entity, turn: f"{entity}~{turn}" if turn else {"5551230001": "x", "5551230002": "x", "5551230003": "5551230001"}[entity]
 
     monkeypatch.setattr(surrogates, "_maker", maker)
-    monkeypatch.setattr(surrogates, "roomy", lambda kind, entity: True)
     entities = spark.createDataFrame([("phone", f"555123000{i}") for i in (1, 2, 3)], "kind string, entity string")
     assert sorted(tuple(r) for r in surrogates.resolve(entities, b"k").collect()) == [("phone", "5551230002", 1), ("phone", "5551230003", 1)]
     documents = spark.createDataFrame([(1, "call 555-123-0002 or 555-123-0001", "s", "a", "b"), (2, "nothing", "s", "a", "b")], SCHEMA)
@@ -164,6 +172,52 @@ def test_collisions_with_entities_take_another_turn(spark, monkeypatch):
     assert rows == {1: {"phone\t5551230002": 1}, 2: None}
 
 
+def test_names_are_carried_over_the_whole_text(spark):
+    rows = [
+        (1, "Smith came. Mr. Smith called. Later Smith left and John Smith wrote; Smith's car, SMITH."),
+        (2, "My name is John Smith. John went, the smithy stayed."),
+        (3, "Mr. Brown likes brown bread. Brown bread sells."),
+        (4, "Smith and John without any title"),
+    ]
+    documents = spark.createDataFrame([(i, t, "s", "a", "b") for i, t in rows], SCHEMA)
+    out = {r["doc_id"]: (r["n_mentions"], r["text"]) for r in surrogates.replace_pii(documents, b"key").collect()}
+    assert [out[i][0] for i in (1, 2, 3, 4)] == [7, 3, 1, 0] and out[4][1] == rows[3][1]
+    assert "smith" not in out[1][1].lower() and "John" not in out[1][1] + out[2][1] and out[3][1].endswith("likes brown bread. Brown bread sells.")
+    surname = out[1][1].split()[0]
+    assert out[1][1].count(surname) == 5 and surname.upper() in out[1][1] and f"{surname}'s car" in out[1][1] and out[2][1].count(surname) == 1
+
+
+def test_bank_numbers_and_long_addresses(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00, DE89370400440532013000, DE88 3704 0044 0532 0130 00x; 123 45 6789 and 1 123 45 6789 2; fe80::1, 2001:0db8:0000:0000:0000:0000:0000:0001, 2001:db8::1 at 12:30:45, std::x"
+    found = surrogates.mentions(text)
+    assert [m[2] for m in found if m[2] not in ("card", "phone")] == ["iban", "iban", "ssn", "ip6", "ip6", "ip6"]
+    documents = spark.createDataFrame([(1, text, "s", "a", "b")], SCHEMA)
+    new = surrogates.replace_pii(documents, b"key").first()["text"]
+    after = [m for m in surrogates.mentions(new) if m[2] in ("iban", "ip6")]
+    assert len(after) == 5 and after[0][3] == after[1][3] != found[0][3] and after[3][3] == after[4][3] and after[2][3].startswith("fe80:0000:")
+    assert new.startswith("IBAN DE") and "12:30:45, std::x" in new and "1 123 45 6789 2" in new
+
+
+def test_no_surrogate_is_an_entity_while_the_shape_has_room(spark):
+    names = [("name", a + b + c + d) for a in "bcdfg" for b in "aeiou" for c in "bcdfgh" for d in "aeiou"]
+    hosts = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(4000)]
+    full = [("ip", f"10.0.{i // 256}.{i % 256}") for i in range(100)] + [(f"given {g}", x) for g in "mf" for names in surrogates.GIVEN[g] for x in names]
+    entities = spark.createDataFrame(names + hosts + full, "kind string, entity string")
+    bumped = {(r["kind"], r["entity"]): r["turn"] for r in surrogates.resolve(entities, b"k").collect()}
+    keyed = surrogates.Keyed(b"k")
+    made = {x: surrogates.surrogate(keyed, *x, bumped.get(x, 0)) for x in names + hosts + full}
+    assert len({(kind.split()[0], m) for (kind, _), m in made.items()}) == len(made)
+    assert not {(kind, made[kind, e]) for kind, e in names + hosts} & set(names + hosts) and bumped
+
+
+def test_columns_of_any_name_pass_surrogates(spark):
+    frame = spark.createDataFrame([(1, "call 555-123-0002", 5, 6, 7)], "doc_id long, text string, _a int, _b int, _surrogate_turns int")
+    turns = spark.createDataFrame([("phone", "5551230002", 1)], "kind string, entity string, turn int")
+    assert surrogates._with_turns(frame, turns, "text", "t").drop("t").first()[2:] == (5, 6, 7)
+    out = surrogates.replace_pii(frame, b"key")
+    assert out.columns == ["doc_id", "text", "_a", "_b", "_surrogate_turns", "n_mentions"] and out.first()[2:] == (5, 6, 7, 1)
+
+
 def test_license_alignment(spark):
     notice = license_align.TEMPLATES["MIT text"]
     long = " ".join(f"w{i}" for i in range(500))
@@ -202,6 +256,30 @@ def test_licenses_are_told_apart_and_every_place_counts(spark):
     assert got == {i: names for i, (_, names) in rows.items()}
 
 
+def test_repeated_notices_take_linear_time():
+    notice = license_align.split_words(license_align.TEMPLATES["MIT text"])
+    started = time.process_time()
+    places = license_align.alignments(notice * 2000, notice)
+    assert time.process_time() - started < 30
+    assert [(a, b) for _, a, b in places] == [(i * len(notice), (i + 1) * len(notice)) for i in range(2000)]
+    short = license_align.split_words(license_align.TEMPLATES["MIT"])
+    found = [("MIT", 5, *p) for p in license_align.alignments(short * 20_000, short, marks=license_align.MARKS["MIT"])]
+    assert len(license_align.best_places(found)) == 20_000 and time.process_time() - started < 60
+
+
+def test_changed_copies_between_noise_are_each_found():
+    rng = random.Random(5)
+    notice = license_align.split_words(license_align.TEMPLATES["MIT text"])
+    text, want = [], []
+    for _ in range(30):
+        text += [f"n{rng.randrange(50)}" for _ in range(rng.randrange(0, 60))]
+        copy = [w if i in (0, len(notice) - 1) or rng.random() > 0.08 else "changed" for i, w in enumerate(notice)]
+        want.append((len(text), len(text) + len(copy)))
+        text += copy
+    got = [(a, b) for _, a, b in license_align.alignments(text, notice)]
+    assert len(got) == 30 and all(abs(a - c) + abs(b - d) < len(notice) // 8 for (a, b), (c, d) in zip(got, want, strict=True))
+
+
 def test_alignment_rises_and_agrees():
     rng = random.Random(6)
     for _ in range(200):

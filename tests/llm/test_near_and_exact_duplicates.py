@@ -115,6 +115,13 @@ def test_keep_one_decides_by_id_and_text(spark):
     assert two.count() == 1
 
 
+def test_keep_one_carries_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 77, 5, 6, 7), (2, "a b c d e f", 78, 5, 6, 7), (3, "g h i j k l", 79, 5, 6, 7), (3, "g h i j k l", 79, 5, 6, 7)]
+    kept = prefix_tree_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id int, _text_hash int, `_gone_id` int, `a.b` int"))
+    assert kept.columns == ["doc_id", "text", "_id", "_text_hash", "_gone_id", "a.b"]
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert link_documents(empty).collect() == [] and prefix_tree_join.keep_one(empty).collect() == []
