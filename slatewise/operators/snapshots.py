@@ -60,8 +60,9 @@ def overlay_training_frame(ledger: DataFrame, payloads: DataFrame) -> DataFrame:
     ``payloads``: game_pk and the JSON object of home-oriented features; absent ones are zero.
     """
     rows = latest_event_join(ledger).select("game_pk", "game_date", F.col("home_probability").alias("base_home_probability"), "home_won")
-    rows = rows.filter("base_home_probability > 0 and base_home_probability < 1").join(payloads, "game_pk")
+    # numbers are joined, not texts, and never broadcast: Spark plans a text at 20 bytes, a payload takes some 500
     values = F.from_json("context_features", "map<string,double>")
-    p = clipped(F.col("base_home_probability"), CLIP)
     features = [F.coalesce(F.try_element_at(values, F.lit(c)), F.lit(0.0)).alias(c) for c in CONTEXT_FEATURES]
-    return rows.select("game_pk", "game_date", "base_home_probability", "home_won", F.log(p / (1.0 - p)).alias("base_home_logit"), *features)
+    rows = rows.filter("base_home_probability > 0 and base_home_probability < 1").join(payloads.select("game_pk", *features).hint("merge"), "game_pk")
+    p = clipped(F.col("base_home_probability"), CLIP)
+    return rows.select("game_pk", "game_date", "base_home_probability", "home_won", F.log(p / (1.0 - p)).alias("base_home_logit"), *CONTEXT_FEATURES)
