@@ -1,32 +1,30 @@
-"""Feature contracts over walk-forward windows from one table of vectors.
-
-The rows become one written table of feature arrays.  One pass over it gives the mean and spread of every feature in
-every window's training rows; exact medians are taken only of features that have gaps.  A window scales the whole array
-once.  All its contracts are then fitted together: each pass over the training rows gives every contract's slope of the
-penalised likelihood, and a step solves for it with the bound of the curvature that the features' correlations give,
-which is taken once.  As long as chances lie near one half that bound is nearly the curvature itself, so a few passes
-fit any number of contracts, and a step never overshoots.  The last pass proves each fit: its slope, and its loss beside that
-of the base rate.  One more pass scores the window's later rows with all contracts.
+"""Feature contracts over walk-forward windows, all fitted together in passes over one table of plain columns.
+
+A pass turns every batch of rows into a matrix and leaves one row of sums per task.  The first gives the mean of every
+feature in every window's training rows, the second the products of what is left, so spreads and correlations; exact
+medians are taken only of features that have gaps.  All contracts of all windows are then fitted together: each pass
+gives every contract's slope of the penalised likelihood, and a step solves for it with the bound of the curvature that
+the correlations give, which is taken once.  As long as chances lie near one half that bound is nearly the curvature
+itself, so a few passes fit any number of contracts, and a step never overshoots.  The last pass proves each fit: its
+slope, and its loss beside that of the base rate.  One more pass scores the windows' later rows with all contracts.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.operators.features import exact_medians
 from slatewise.operators.learners import LOGISTIC_C
-from slatewise.operators.metrics import CLIP, clipped, log_loss
-from slatewise.session import stored
+from slatewise.operators.metrics import CLIP
 
 STEPS, FLAT = 60, 1e-8  # passes at most, and the slope that ends them
 FACTS = "window string, candidate string, train_n long, wins long, features int, gradient double, loss double, base_loss double"
@@ -41,9 +39,10 @@ class Scale:
     end: str
     rows: int
     wins: int
-    fills: list[float]
-    means: list[float]
-    spreads: list[float]
+    fills: np.ndarray
+    means: np.ndarray
+    spreads: np.ndarray
+    products: np.ndarray  # correlations; a constant feature has none
 
     def training(self) -> Column:
         return F.col("game_date") < F.lit(self.start).cast("date")
@@ -51,112 +50,152 @@ class Scale:
     def validation(self) -> Column:
         return F.col("game_date").between(F.lit(self.start).cast("date"), F.lit(self.end).cast("date"))
 
-    def scaled(self) -> Column:
-        numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
-        known = F.zip_with("x", numbers(self.fills), lambda v, fill: F.coalesce(v, fill))
-        centred = F.zip_with(known, numbers(self.means), lambda v, mean: v - mean)
-        return F.zip_with(centred, numbers(self.spreads), lambda v, spread: v / spread)
 
+@dataclass
+class Fit:
+    """A contract's coefficients over the whole scaled row, 0 outside the contract, and what the last pass said of them."""
+
+    weights: np.ndarray
+    intercept: float
+    slope: float = math.inf
+    loss: float = math.inf
 
-def vector_table(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(game_pk, game_date, a_win, x): the features as one array; unknown and non-finite numbers are null."""
+
+def plain(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(game_pk, game_date, a_win, features): doubles, unknown numbers as null."""
     value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    return stored(rows.select("game_pk", "game_date", "a_win", F.array(*[value(c) for c in columns]).alias("x")), "vectors")
+    return rows.select(F.col("game_pk").cast("long"), "game_date", F.col("a_win").cast("int"), *[value(c).alias(c) for c in columns])
+
+
+def _summed(rows: DataFrame, columns: Sequence[str], starts: Sequence[str], of: Callable[[int, np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """The sum of ``of(window, matrix, outcomes)`` over each window's training rows: one vector per window."""
+    names, days = list(columns), [np.datetime64(s) for s in starts]
+    schema = pa.schema([("sums", pa.list_(pa.float64()))])
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(days), width))
+        for batch in batches:
+            day, y = batch.column("game_date").to_numpy(zero_copy_only=False).astype("datetime64[D]"), batch.column("a_win").to_numpy(zero_copy_only=False).astype(float)
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            for w, start in enumerate(days):
+                early = day < start
+                if early.any():
+                    total[w] += of(w, x if early.all() else x[early], y[early])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], schema=schema)
 
-def window_scales(vectors: DataFrame, columns: Sequence[str], windows: Sequence[tuple[str, str, str]], minimum_train: int) -> list[Scale]:
+    latest = F.col("game_date") < F.lit(max(starts)).cast("date")
+    found = rows.where(latest).mapInArrow(sums, "sums array<double>").agg(Summarizer.sum(array_to_vector("sums"))).first()[0]
+    return found.toArray().reshape(len(days), width)
+
+
+def window_scales(rows: DataFrame, columns: Sequence[str], windows: Sequence[tuple[str, str, str]], minimum_train: int) -> list[Scale]:
     """Scales of the windows that hold enough training rows and any validation row."""
-    bare = [Scale(*w, 0, 0, [0.0] * len(columns), [0.0] * len(columns), [1.0] * len(columns)) for w in windows]
-    holes = array_to_vector(F.transform("x", lambda v: F.when(v.isNull(), 1.0).otherwise(0.0)))
-    counted = vectors.agg(
+    nothing = np.zeros(0)
+    bare = [Scale(*w, 0, 0, nothing, nothing, nothing, nothing) for w in windows]
+    counted = rows.agg(
         *[F.count_if(w.training()).alias(f"n{i}") for i, w in enumerate(bare)], *[F.count_if(w.training() & (F.col("a_win") == 1)).alias(f"w{i}") for i, w in enumerate(bare)],
-        *[F.count_if(w.validation()).alias(f"v{i}") for i, w in enumerate(bare)], Summarizer.sum(holes).alias("holes"),
+        *[F.count_if(w.validation()).alias(f"v{i}") for i, w in enumerate(bare)], *[F.count_if(F.col(c).isNull()).alias(f"holes{i}") for i, c in enumerate(columns)],
     ).first()
-    gaps = [i for i, n in enumerate(counted["holes"].toArray()) if n] if counted["holes"] is not None else []
-    used = []
-    for i, w in enumerate(bare):
-        if counted[f"n{i}"] >= minimum_train and counted[f"v{i}"]:
-            fills = list(w.fills)
-            if gaps:
-                named = vectors.where(w.training()).select(*[F.col("x")[g].alias(str(g)) for g in gaps])
-                for row in exact_medians(named, [str(g) for g in gaps]).collect():  # one median a feature
-                    fills[int(row["feature"])] = row["median"]
-            used.append(Scale(w.name, w.start, w.end, counted[f"n{i}"], counted[f"w{i}"], fills, w.means, w.spreads))
+    gaps = [i for i, _ in enumerate(columns) if counted[f"holes{i}"]]
+    used = [(i, w) for i, w in enumerate(bare) if counted[f"n{i}"] >= minimum_train and counted[f"v{i}"]]
     if not used:
         raise ValueError("no window holds enough rows")
-    measured = vectors.agg(*[Summarizer.metrics("mean", "std").summary(array_to_vector(w.scaled()), w.training().cast("double")).alias(f"s{i}") for i, w in enumerate(used)]).first()
+    fills = np.zeros((len(used), len(columns)))
+    for k, (_, w) in enumerate(used):
+        if gaps:
+            named = rows.where(w.training()).select(*[F.col(columns[g]).alias(str(g)) for g in gaps])
+            for row in exact_medians(named, [str(g) for g in gaps]).collect():  # one median a feature
+                fills[k, int(row["feature"])] = row["median"]
+    starts, width = [w.start for _, w in used], len(columns)
+    n = np.array([counted[f"n{i}"] for i, _ in used], float)
+    means = _summed(rows, columns, starts, lambda w, x, y: np.where(np.isnan(x), fills[w], x).sum(0), width) / n[:, None]
+
+    def products(w: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        centred = np.where(np.isnan(x), fills[w], x) - means[w]
+        return (centred.T @ centred).ravel()
+
+    mean_products = _summed(rows, columns, starts, products, width * width).reshape(len(used), width, width) / n[:, None, None]
     out = []
-    for i, w in enumerate(used):
-        population = ((w.rows - 1) / w.rows) ** 0.5
-        spreads = [s * population or 1.0 for s in measured[f"s{i}"]["std"].toArray().tolist()]
-        out.append(Scale(w.name, w.start, w.end, w.rows, w.wins, w.fills, measured[f"s{i}"]["mean"].toArray().tolist(), spreads))
+    for k, (i, w) in enumerate(used):
+        spreads = np.sqrt(np.diag(mean_products[k]))
+        spreads = np.where(spreads > 1e-12 * np.maximum(1.0, np.abs(means[k])), spreads, 1.0)  # a constant leaves rounding only
+        out.append(Scale(w.name, w.start, w.end, counted[f"n{i}"], counted[f"w{i}"], fills[k], means[k], spreads, mean_products[k] / np.outer(spreads, spreads)))
     return out
 
 
-@dataclass
-class Fit:
-    """A contract's coefficients over the whole scaled array, 0 outside the contract, and what the last pass said of them."""
-
-    weights: np.ndarray
-    intercept: float
-    slope: float = math.inf
-    loss: float = math.inf
+def _weights(fits: Sequence[Fit]) -> tuple[np.ndarray, np.ndarray]:
+    return np.column_stack([f.weights for f in fits]), np.array([f.intercept for f in fits])
 
 
-def _chances(fits: Sequence[Fit]) -> Column:
-    """Every fit's probability of a row with the scaled array ``z``, as an array."""
-    given = json.dumps([{"w": f.weights.tolist(), "a": f.intercept} for f in fits])
-    models = F.from_json(F.lit(given), "array<struct<w: array<double>, a: double>>")
-    z = lambda m: F.aggregate(F.zip_with("z", m["w"], lambda v, w: v * w), m["a"], lambda total, v: total + v)
-    return F.transform(models, lambda m: 1.0 / (1.0 + F.exp(-z(m))))
-
-
-def fit_together(train: DataFrame, scale: Scale, contracts: dict[str, Sequence[int]]) -> dict[str, Fit]:
-    """L2 logistic fits of every contract (places in ``z``) on rows (z, y) whose features are centred and scaled."""
-    width, penalty = len(scale.means), 1.0 / (LOGISTIC_C * scale.rows)
-    rate = min(max(scale.wins / scale.rows, CLIP), 1.0 - CLIP)
-    fits = {name: Fit(np.zeros(width), math.log(rate / (1.0 - rate))) for name in contracts}
-    # centred and scaled, so the correlations are the mean products; a constant feature has none
-    products = np.nan_to_num(Correlation.corr(train.select(array_to_vector("z").alias("v")), "v").first()[0].toArray())
-    bounds = {name: 0.25 * products[np.ix_(own, own)] + penalty * np.eye(len(own)) for name, own in contracts.items()}
+def fit_together(rows: DataFrame, columns: Sequence[str], scales: Sequence[Scale], contracts: dict[str, Sequence[int]]) -> list[dict[str, Fit]]:
+    """L2 logistic fits of every contract (places in ``columns``) on every window's training rows, one pass a step."""
+    width, count, low = len(columns), len(contracts), CLIP
+    penalties = [1.0 / (LOGISTIC_C * s.rows) for s in scales]
+    shape = [(s.fills, s.means, s.spreads) for s in scales]
+    fits = []
+    for s in scales:
+        rate = min(max(s.wins / s.rows, CLIP), 1.0 - CLIP)
+        fits.append({name: Fit(np.zeros(width), math.log(rate / (1.0 - rate))) for name in contracts})
+    bounds = [{name: 0.25 * s.products[np.ix_(own, own)] + penalties[k] * np.eye(len(own)) for name, own in contracts.items()} for k, s in enumerate(scales)]
     for step in range(STEPS):
-        errors = train.select("z", "y", _chances(list(fits.values())).alias("p")).select("z", F.transform("p", lambda q: q - F.col("y")).alias("r"), F.transform("p", lambda q: log_loss(F.col("y"), clipped(q))).alias("l"))
-        sums = errors.agg(
-            Summarizer.mean(array_to_vector(F.flatten(F.transform("r", lambda e: F.transform("z", lambda v: v * e))))).alias("slopes"),
-            Summarizer.mean(array_to_vector("r")).alias("off"), Summarizer.mean(array_to_vector("l")).alias("loss"),
-        ).first()
-        slopes = sums["slopes"].toArray().reshape(len(fits), width)
-        for i, (name, own) in enumerate(contracts.items()):
-            fit, down = fits[name], slopes[i][own] + penalty * fits[name].weights[own]
-            fit.slope, fit.loss = float(max(np.abs(down).max(initial=0.0), abs(sums["off"][i]))), float(sums["loss"][i])
-            if step < STEPS - 1 and fit.slope > FLAT:
-                fit.weights[own] -= np.linalg.solve(bounds[name], down)
-                fit.intercept -= 4.0 * float(sums["off"][i])
-        if all(fit.slope <= FLAT for fit in fits.values()):
+        given = [_weights(list(f.values())) for f in fits]
+
+        def slopes(w: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            fill, mean, spread = shape[w]
+            z = (np.where(np.isnan(x), fill, x) - mean) / spread
+            p = 1.0 / (1.0 + np.exp(-(z @ given[w][0] + given[w][1])))
+            r, q = p - y[:, None], np.clip(p, low, 1.0 - low)
+            losses = -np.log(np.where(y[:, None] == 1, q, 1.0 - q))
+            return np.concatenate([(z.T @ r).ravel(), r.sum(0), losses.sum(0)])
+
+        sums = _summed(rows, columns, [s.start for s in scales], slopes, (width + 2) * count)
+        for k, s in enumerate(scales):
+            found = sums[k].reshape(width + 2, count) / s.rows
+            for i, (name, own) in enumerate(contracts.items()):
+                fit, down, off = fits[k][name], found[:width, i][own] + penalties[k] * fits[k][name].weights[own], float(found[width, i])
+                fit.slope, fit.loss = float(max(np.abs(down).max(initial=0.0), abs(off))), float(found[width + 1, i])
+                if step < STEPS - 1 and fit.slope > FLAT:
+                    fit.weights[own] -= np.linalg.solve(bounds[k][name], down)
+                    fit.intercept -= 4.0 * off
+        if all(fit.slope <= FLAT for window in fits for fit in window.values()):
             break
     return fits
 
 
+def _scored(rows: DataFrame, columns: Sequence[str], scale: Scale, fits: dict[str, Fit]) -> DataFrame:
+    """The window's validation rows with every contract's probability, one row a contract."""
+    names, candidates = list(columns), list(fits)
+    fill, mean, spread = scale.fills, scale.means, scale.spreads
+    weights, intercepts = _weights(list(fits.values()))
+    schema = pa.schema([("game_pk", pa.int64()), ("game_date", pa.date32()), ("a_win", pa.int32()), ("probability", pa.list_(pa.float64()))])
+
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            p = 1.0 / (1.0 + np.exp(-((np.where(np.isnan(x), fill, x) - mean) / spread @ weights + intercepts)))
+            ends = pa.array(np.arange(0, p.size + 1, len(candidates)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("game_pk"), batch.column("game_date"), batch.column("a_win"), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], schema=schema)
+
+    scored = rows.where(scale.validation()).mapInArrow(chances, "game_pk long, game_date date, a_win int, probability array<double>")
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in candidates]).alias("candidate"), F.col("probability"))
+    return scored.select("game_pk", "game_date", "a_win", F.lit(scale.name).alias("window"), F.inline(named).alias("candidate", "probability"))
+
+
 def walk_forward(rows: DataFrame, columns: Sequence[str], windows: Sequence[tuple[str, str, str]], contracts: dict[str, Sequence[str]], minimum_train: int) -> tuple[DataFrame, DataFrame]:
     """Out-of-window predictions of every contract, and the facts of every fit.
 
     Predictions: window, candidate, game_pk, game_date, a_win, probability.  Windows and contracts are settings; each
-    window is fitted on its earlier dates.
+    window is fitted on its earlier dates.  ``rows`` should be a written table: every pass scans it.
     """
     place = {c: i for i, c in enumerate(columns)}
     chosen = {name: [place[c] for c in own] for name, own in contracts.items()}
-    vectors = vector_table(rows, columns)
-    predictions, facts = [], []
-    for scale in window_scales(vectors, columns, windows, minimum_train):
-        train = vectors.where(scale.training()).select(F.col("a_win").cast("double").alias("y"), scale.scaled().alias("z")).persist()
-        try:
-            fits = fit_together(train, scale, chosen)
-        finally:
-            train.unpersist()
-        late = vectors.where(scale.validation()).select("game_pk", "game_date", "a_win", scale.scaled().alias("z"))
-        named = F.arrays_zip(F.array(*[F.lit(n) for n in fits]).alias("candidate"), _chances(list(fits.values())).alias("probability"))
-        predictions.append(stored(late.select("game_pk", "game_date", "a_win", F.lit(scale.name).alias("window"), F.inline(named).alias("candidate", "probability")), "window-predictions"))
+    table = plain(rows, columns)
+    scales = window_scales(table, columns, windows, minimum_train)
+    predictions, facts = None, []
+    for scale, fits in zip(scales, fit_together(table, columns, scales, chosen), strict=True):
+        scored = _scored(table, columns, scale, fits)
+        predictions = scored if predictions is None else predictions.unionByName(scored)
         rate = min(max(scale.wins / scale.rows, CLIP), 1.0 - CLIP)
         base = -(rate * math.log(rate) + (1.0 - rate) * math.log(1.0 - rate))
         facts += [(scale.name, name, scale.rows, scale.wins, len(contracts[name]), fit.slope, fit.loss, base) for name, fit in fits.items()]
-    return reduce(DataFrame.unionByName, predictions), rows.sparkSession.createDataFrame(facts, FACTS)
+    return predictions, rows.sparkSession.createDataFrame(facts, FACTS)
