@@ -63,18 +63,13 @@ def neighbours(df: DataFrame, keys: list[str], order: list[Column], value: Colum
     value of the other ranges, one row each.
     """
     rows, group = _ranged(df.withColumn("_value", value), keys, order), [*keys, "_range"]
-    inside = Window.partitionBy(*group).orderBy(*order)
-    near = rows.withColumns({
-        "_inner_last": F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
-        "_inner_next": F.first("_value", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
-    })
+    # what follows is what came before in the reversed order: a frame that only grows, where one that shrinks is run anew for every row
+    earlier = lambda by: F.last("_value", ignorenulls=True).over(Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    near = rows.withColumns({"_inner_last": earlier(order), "_inner_next": earlier([c.desc() for c in order])})
     place = F.struct(*order)
     edges = rows.groupBy(*group).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), place)).alias("_end"), F.min_by("_value", F.when(F.col("_value").isNotNull(), place)).alias("_start"))
-    beyond = Window.partitionBy(*keys).orderBy("_range")
-    edges = edges.select(
-        *group, F.last("_end", ignorenulls=True).over(beyond.rowsBetween(Window.unboundedPreceding, -1)).alias("_outer_last"),
-        F.first("_start", ignorenulls=True).over(beyond.rowsBetween(1, Window.unboundedFollowing)).alias("_outer_next"),
-    )
+    beyond = lambda value, by: F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*group, beyond("_end", F.asc("_range")).alias("_outer_last"), beyond("_start", F.desc("_range")).alias("_outer_next"))
     joined = near.join(edges, group).withColumns({"_last": F.coalesce("_inner_last", "_outer_last"), "_next": F.coalesce("_inner_next", "_outer_next")})
     return joined.drop("_range", "_value", "_inner_last", "_inner_next", "_outer_last", "_outer_next")
 

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from slatewise.operators import experiments, history, metrics
+from slatewise.operators import experiments, history, market, metrics, positions
 from slatewise.session import size_shuffles
 
 
@@ -38,3 +38,12 @@ def test_a_constant_feature_has_no_spread(spark):
     rows = spark.createDataFrame([(i, datetime.date(2024, 4, 1 + i // 10), i % 2, 0.1, float(i)) for i in range(30)], "game_pk long, game_date date, a_win int, c double, x double")
     scale = experiments.window_scales(experiments.plain(rows, ["c", "x"]), ["c", "x"], [("w", "2024-04-03", "2024-04-09")], 10)[0]
     assert scale.spreads[0] == 1.0 and abs(scale.products[0, 0]) < 1e-12 and np.isclose(scale.products[1, 1], 1.0)
+
+
+def test_neighbours_run_no_frame_anew_for_every_row(spark, capsys):
+    rows = spark.createDataFrame([("A", i, i if i % 4 == 0 else None) for i in range(40)], "k string, at int, v int")
+    found = positions.neighbours(rows, ["k"], [F.col("at")], F.col("v"))
+    found.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+    got = {r["at"]: (r["_last"], r["_next"]) for r in found.collect()}
+    assert all(got[i] == ((i - 1) // 4 * 4 if i else None, (i // 4 + 1) * 4 if i < 36 else None) for i in range(40))
