@@ -274,11 +274,11 @@ def score_summary(draws: DataFrame) -> DataFrame:
 
 
 def best_quote_per_market(rows: DataFrame, allowed_books: Sequence[str] = ()) -> DataFrame:
-    """Best price per outcome across books; equal prices resolve to the first book by name."""
+    """Best price per outcome across books; equal prices resolve to the first book by name, +100 and -100 of one book to +100."""
     if allowed_books:
         rows = rows.filter(F.lower("sportsbook").isin(*[b.lower() for b in allowed_books]))
     price = odds.american_to_decimal(F.col("american_odds"))
-    best = rows.groupBy(market_key().alias("market_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(-price, "sportsbook")).alias("q"))
+    best = rows.groupBy(market_key().alias("market_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(-price, "sportsbook", -F.col("american_odds"))).alias("q"))
     return best.select("market_key", "q.*")
 
 

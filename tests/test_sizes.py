@@ -47,3 +47,10 @@ def test_neighbours_run_no_frame_anew_for_every_row(spark, capsys):
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
     got = {r["at"]: (r["_last"], r["_next"]) for r in found.collect()}
     assert all(got[i] == ((i - 1) // 4 * 4 if i else None, (i // 4 + 1) * 4 if i < 36 else None) for i in range(40))
+
+
+def test_even_odds_of_one_book_always_resolve_alike(spark):
+    quotes = [(1, "moneyline", "H", None, None, "B0", odds) for odds in (-100, 100)]
+    schema = "game_pk long, market_type string, selection string, line double, team string, sportsbook string, american_odds int"
+    for rows in (quotes, quotes[::-1]):
+        assert market.best_quote_per_market(spark.createDataFrame(rows, schema).coalesce(1)).first()["american_odds"] == 100
