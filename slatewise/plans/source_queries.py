@@ -412,8 +412,16 @@ def overlay_frame(t):
 # ---- streams ----------------------------------------------------------------------------------
 
 
+STREAM_BATCHES = 4
+
+
+def files_per_batch(files: int) -> int:
+    """Eight files, or so many that the feed takes :data:`STREAM_BATCHES` batches: each scans its whole stored side."""
+    return max(8, -(-files // STREAM_BATCHES))
+
+
 def _stream(t, name, run, *args, **kwargs):
-    feed = streams.read_feed(t.spark, t.path("quote_feed"))
+    feed = streams.read_feed(t.spark, t.path("quote_feed"), files_per_batch(len(t.quote_feed.inputFiles())))
     return run(t.spark, feed, *args, work_path(t.spark, name), work_path(t.spark, f"{name}-checkpoint"), **kwargs)
 
 

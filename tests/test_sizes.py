@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from slatewise.operators import experiments, history, market, metrics, positions
+from slatewise.plans import source_queries
 from slatewise.session import size_shuffles
 
 
@@ -54,3 +55,8 @@ def test_even_odds_of_one_book_always_resolve_alike(spark):
     schema = "game_pk long, market_type string, selection string, line double, team string, sportsbook string, american_odds int"
     for rows in (quotes, quotes[::-1]):
         assert market.best_quote_per_market(spark.createDataFrame(rows, schema).coalesce(1)).first()["american_odds"] == 100
+
+
+def test_a_larger_feed_takes_no_more_batches():
+    for files in (1, 8, 33, 500, 10_000):
+        assert -(-files // source_queries.files_per_batch(files)) <= source_queries.STREAM_BATCHES
