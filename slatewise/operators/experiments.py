@@ -1,6 +1,7 @@
-"""Feature contracts over walk-forward windows, all fitted together in passes over one table of plain columns.
+"""Feature contracts over walk-forward windows, all fitted together in passes over one table of packed rows.
 
-A pass turns every batch of rows into a matrix and leaves one row of sums per task.  The first gives the mean of every
+The training rows are written once as blocks, each a matrix by columns with its rows in order of days, so a pass decodes
+no cells and a window's rows are the first of a block.  A pass leaves one row of sums per task.  The first gives the mean of every
 feature in every window's training rows, the second the products of what is left, so spreads and correlations; exact
 medians are taken only of features that have gaps.  All contracts of all windows are then fitted together: each pass
 gives every contract's slope of the penalised likelihood, and a step solves for it with the bound of the curvature that
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from slatewise.operators.features import exact_medians
 from slatewise.operators.learners import LOGISTIC_C
 from slatewise.operators.metrics import CLIP
+from slatewise.session import stored
 
+BLOCK_ROWS = 2048
 STEPS, FLAT = 60, 1e-8  # passes at most, and the slope that ends them
 FACTS = "window string, candidate string, train_n long, wins long, features int, gradient double, loss double, base_loss double"
 
@@ -67,29 +70,47 @@ def plain(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(F.col("game_pk").cast("long"), "game_date", F.col("a_win").cast("int"), *[value(c).alias(c) for c in columns])
 
 
-def _summed(rows: DataFrame, columns: Sequence[str], starts: Sequence[str], of: Callable[[int, np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
+def packed(rows: DataFrame, columns: Sequence[str], before: str) -> DataFrame:
+    """(days, wins, matrix): all rows of :func:`plain` dated before ``before`` in blocks; unknown numbers are NaN.  Written, as every pass scans it."""
+    names = list(columns)
+    schema = pa.schema([("days", pa.binary()), ("wins", pa.binary()), ("matrix", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            day, y = batch.column("game_date").to_numpy(zero_copy_only=False).astype("datetime64[D]"), batch.column("a_win").to_numpy(zero_copy_only=False).astype(float)
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            blocks = []
+            for a in range(0, len(day), BLOCK_ROWS):
+                order = a + np.argsort(day[a : a + BLOCK_ROWS], kind="stable")
+                blocks.append((day[order].astype(np.int64).tobytes(), y[order].tobytes(), np.array([c[order] for c in x], float).tobytes()))
+            yield pa.record_batch([pa.array([b[i] for b in blocks], pa.binary()) for i in range(3)], schema=schema)
+
+    early = rows.where(F.col("game_date") < F.lit(before).cast("date")).select("game_date", "a_win", *names)
+    return stored(early.mapInArrow(pack, "days binary, wins binary, matrix binary"), "blocks")
+
+
+def _summed(blocks: DataFrame, starts: Sequence[str], of: Callable[[int, np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
     """The sum of ``of(window, matrix, outcomes)`` over each window's training rows: one vector per window."""
-    names, days = list(columns), [np.datetime64(s) for s in starts]
+    days = np.array([np.datetime64(s, "D").astype(np.int64) for s in starts])
     schema = pa.schema([("sums", pa.list_(pa.float64()))])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(days), width))
         for batch in batches:
-            day, y = batch.column("game_date").to_numpy(zero_copy_only=False).astype("datetime64[D]"), batch.column("a_win").to_numpy(zero_copy_only=False).astype(float)
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            for w, start in enumerate(days):
-                early = day < start
-                if early.any():
-                    total[w] += of(w, x if early.all() else x[early], y[early])
+            for day, y, matrix in zip(*batch.columns, strict=True):
+                day, y = np.frombuffer(day.as_buffer(), np.int64), np.frombuffer(y.as_buffer())
+                x = np.frombuffer(matrix.as_buffer()).reshape(-1, len(day)).T
+                for w, n in enumerate(np.searchsorted(day, days)):
+                    if n:
+                        total[w] += of(w, x[:n], y[:n])
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], schema=schema)
 
-    latest = F.col("game_date") < F.lit(max(starts)).cast("date")
-    found = rows.where(latest).mapInArrow(sums, "sums array<double>").agg(Summarizer.sum(array_to_vector("sums"))).first()[0]
+    found = blocks.mapInArrow(sums, "sums array<double>").agg(Summarizer.sum(array_to_vector("sums"))).first()[0]
     return found.toArray().reshape(len(days), width)
 
 
-def window_scales(rows: DataFrame, columns: Sequence[str], windows: Sequence[tuple[str, str, str]], minimum_train: int) -> list[Scale]:
-    """Scales of the windows that hold enough training rows and any validation row."""
+def window_scales(rows: DataFrame, columns: Sequence[str], windows: Sequence[tuple[str, str, str]], minimum_train: int, blocks: DataFrame | None = None) -> list[Scale]:
+    """Scales of the windows that hold enough training rows and any validation row; ``blocks`` are the rows :func:`packed`."""
     nothing = np.zeros(0)
     bare = [Scale(*w, 0, 0, nothing, nothing, nothing, nothing) for w in windows]
     counted = rows.agg(
@@ -107,14 +128,16 @@ def window_scales(rows: DataFrame, columns: Sequence[str], windows: Sequence[tup
             for row in exact_medians(named, [str(g) for g in gaps]).collect():  # one median a feature
                 fills[k, int(row["feature"])] = row["median"]
     starts, width = [w.start for _, w in used], len(columns)
+    if blocks is None:
+        blocks = packed(rows, columns, max(starts))
     n = np.array([counted[f"n{i}"] for i, _ in used], float)
-    means = _summed(rows, columns, starts, lambda w, x, y: np.where(np.isnan(x), fills[w], x).sum(0), width) / n[:, None]
+    means = _summed(blocks, starts, lambda w, x, y: np.where(np.isnan(x), fills[w], x).sum(0), width) / n[:, None]
 
     def products(w: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         centred = np.where(np.isnan(x), fills[w], x) - means[w]
         return (centred.T @ centred).ravel()
 
-    mean_products = _summed(rows, columns, starts, products, width * width).reshape(len(used), width, width) / n[:, None, None]
+    mean_products = _summed(blocks, starts, products, width * width).reshape(len(used), width, width) / n[:, None, None]
     out = []
     for k, (i, w) in enumerate(used):
         spreads = np.sqrt(np.diag(mean_products[k]))
@@ -127,7 +150,7 @@ def _weights(fits: Sequence[Fit]) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([f.weights for f in fits]), np.array([f.intercept for f in fits])
 
 
-def fit_together(rows: DataFrame, columns: Sequence[str], scales: Sequence[Scale], contracts: dict[str, Sequence[int]]) -> list[dict[str, Fit]]:
+def fit_together(blocks: DataFrame, columns: Sequence[str], scales: Sequence[Scale], contracts: dict[str, Sequence[int]]) -> list[dict[str, Fit]]:
     """L2 logistic fits of every contract (places in ``columns``) on every window's training rows, one pass a step."""
     width, count, low = len(columns), len(contracts), CLIP
     penalties = [1.0 / (LOGISTIC_C * s.rows) for s in scales]
@@ -148,7 +171,7 @@ def fit_together(rows: DataFrame, columns: Sequence[str], scales: Sequence[Scale
             losses = -np.log(np.where(y[:, None] == 1, q, 1.0 - q))
             return np.concatenate([(z.T @ r).ravel(), r.sum(0), losses.sum(0)])
 
-        sums = _summed(rows, columns, [s.start for s in scales], slopes, (width + 2) * count)
+        sums = _summed(blocks, [s.start for s in scales], slopes, (width + 2) * count)
         for k, s in enumerate(scales):
             found = sums[k].reshape(width + 2, count) / s.rows
             for i, (name, own) in enumerate(contracts.items()):
@@ -185,14 +208,15 @@ def walk_forward(rows: DataFrame, columns: Sequence[str], windows: Sequence[tupl
     """Out-of-window predictions of every contract, and the facts of every fit.
 
     Predictions: window, candidate, game_pk, game_date, a_win, probability.  Windows and contracts are settings; each
-    window is fitted on its earlier dates.  ``rows`` should be a written table: every pass scans it.
+    window is fitted on its earlier dates.  ``rows`` should be a written table: it is scanned a few times.
     """
     place = {c: i for i, c in enumerate(columns)}
     chosen = {name: [place[c] for c in own] for name, own in contracts.items()}
     table = plain(rows, columns)
-    scales = window_scales(table, columns, windows, minimum_train)
+    blocks = packed(table, columns, max(start for _, start, _ in windows))
+    scales = window_scales(table, columns, windows, minimum_train, blocks)
     predictions, facts = None, []
-    for scale, fits in zip(scales, fit_together(table, columns, scales, chosen), strict=True):
+    for scale, fits in zip(scales, fit_together(blocks, columns, scales, chosen), strict=True):
         scored = _scored(table, columns, scale, fits)
         predictions = scored if predictions is None else predictions.unionByName(scored)
         rate = min(max(scale.wins / scale.rows, CLIP), 1.0 - CLIP)

@@ -60,3 +60,15 @@ def test_even_odds_of_one_book_always_resolve_alike(spark):
 def test_a_larger_feed_takes_no_more_batches():
     for files in (1, 8, 33, 500, 10_000):
         assert -(-files // source_queries.files_per_batch(files)) <= source_queries.STREAM_BATCHES
+
+
+def test_fits_pass_over_packed_blocks_of_all_earlier_rows(spark, monkeypatch):
+    monkeypatch.setattr(experiments, "BLOCK_ROWS", 7)
+    day = lambda i: datetime.date(2024, 4, 1 + i % 9)
+    rows = experiments.plain(spark.createDataFrame([(i, day(i), i % 2, float(i), None if i % 5 == 0 else float(i % 5)) for i in range(90)], "game_pk long, game_date date, a_win int, x double, gap double"), ["x", "gap"])
+    blocks = experiments.packed(rows, ["x", "gap"], "2024-04-08")
+    assert blocks.count() >= 10 and set(blocks.columns) == {"days", "wins", "matrix"}
+    sums = experiments._summed(blocks, ["2024-04-03", "2024-04-08"], lambda w, x, y: np.array([len(y), y.sum(), x[:, 0].sum(), np.isnan(x[:, 1]).sum()]), 4)
+    for got, last in zip(sums, (2, 7), strict=True):
+        early = [i for i in range(90) if i % 9 < last]
+        assert got.tolist() == [len(early), sum(i % 2 for i in early), sum(early), sum(i % 5 == 0 for i in early)]
