@@ -60,15 +60,29 @@ def ranges_for(entries: int) -> int:
     return max(1, -(-entries // RANGE_ENTRIES))
 
 
+def _cuts(prints: np.ndarray, n_ranges: int) -> list[int]:
+    bounds = [(i << 64) // n_ranges for i in range(1, n_ranges)]
+    return [0, *np.searchsorted(prints, np.array(bounds, np.uint64)).tolist(), len(prints)]
+
+
 def sending(unit: int, prints: np.ndarray, amounts: np.ndarray, n_ranges: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Rows of SENT for a unit's sorted distinct fingerprints."""
-    bounds = [(i << 64) // n_ranges for i in range(1, n_ranges)]
-    cuts = [0, *np.searchsorted(prints, np.array(bounds, np.uint64)).tolist(), len(prints)]
+    cuts = _cuts(prints, n_ranges)
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if b > a:
             yield i, unit, pack(prints[a:b], ordered=True), pack(amounts[a:b])
 
 
+def sending_tallies(unit: int, tallies: list[tuple[np.ndarray, np.ndarray]], n_ranges: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """As :func:`sending` for the sum of several tallies; each range is added up by itself, so the whole list is never sorted at once."""
+    cuts = [_cuts(prints, n_ranges) for prints, _ in tallies]
+    for i in range(n_ranges):
+        parts = [(prints[c[i] : c[i + 1]], amounts[c[i] : c[i + 1]]) for (prints, amounts), c in zip(tallies, cuts, strict=True) if c[i] < c[i + 1]]
+        if parts:
+            prints, amounts = tally(np.concatenate([p for p, _ in parts]), np.concatenate([a for _, a in parts]).astype(np.int64))
+            yield i, unit, pack(prints, ordered=True), pack(amounts)
+
+
 def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -132,13 +146,25 @@ def others(sent: DataFrame, summary: Callable[[np.ndarray, np.ndarray], np.ndarr
     The fingerprints need not travel back, and most amounts are 0.  ``summary(prints, totals)`` gives integers on a
     range as a whole; they come as amounts of a row of unit -1.
     """
+    return _replies(sent, lambda totals, own: totals - own, summary)
+
+
+def marks(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(range, unit, amounts): 1 for those of a unit's fingerprints that ``reply(totals, own)`` marks, else 0, in the order it sent them."""
+    return _replies(sent, lambda totals, own: reply(totals, own).astype(np.int64), None)
+
+
+def _replies(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray], summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> DataFrame:
 
     def answered(table: pa.Table) -> pa.Table:
         units, lists, own, totals, prints, sums = _added(table)
         number = table["range"][0].as_py()
         cuts = np.cumsum([0] + [len(x) for x in lists])
-        out = [(number, unit, pack((totals - own)[a:b])) for unit, a, b in zip(units.tolist(), cuts, cuts[1:], strict=False)]
-        return pa.Table.from_batches([batch([*out, (number, -1, pack(summary(prints, sums).astype(np.int64)))], MORE_ARROW)])
+        given = reply(totals, own)
+        out = [(number, unit, pack(given[a:b])) for unit, a, b in zip(units.tolist(), cuts, cuts[1:], strict=False)]
+        if summary is not None:
+            out.append((number, -1, pack(summary(prints, sums).astype(np.int64))))
+        return pa.Table.from_batches([batch(out, MORE_ARROW)])
 
     return sent.groupBy("range").applyInArrow(answered, MORE)
 

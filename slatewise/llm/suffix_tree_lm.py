@@ -13,8 +13,8 @@ which leaves one share for all unseen words: every distribution sums to one.
 Documents lie in units of a written table, as numbers into the unit's vocabulary of 64-bit word fingerprints, dealt into
 buckets by unit, so that the later passes over them shuffle nothing of them.  Counts of words, pairs and triples come
 from an exchange (``exchange.py``) in which a unit sends its distinct fingerprints and gets back what other units add, in the
-same order.  Test sums travel the same way, as whole numbers, so that neither the layout of units nor the order of tasks
-changes the tree.  No list of the whole corpus meets in one place.
+same order; all answers are dealt once into the units' buckets.  Test sums travel the same way, as whole numbers, and come back
+as marks, so that neither the layout of units nor the order of tasks changes the tree.  No list of the whole corpus meets in one place.
 
 Defined cases: null or blank texts are an end token alone; rows with a null id are training rows; repeated rows count
 again and are scored each; ids keep their type.  Without training rows every token is unknown and N and V are 0.  An empty
@@ -79,12 +79,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _bucketed(units: DataFrame) -> DataFrame:
-    """The units as a written table dealt into buckets by unit: joins on the unit leave it where it lies."""
-    spark = units.sparkSession
-    path = work_path(spark, "token-units")
-    name = f"token_units_{path[-32:]}"
-    units.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").option("path", path).saveAsTable(name)
+def _bucketed(rows: DataFrame, buckets: int, label: str = "token-units") -> DataFrame:
+    """Rows of units as a written table dealt into buckets by unit: joins on the unit leave it where it lies."""
+    spark = rows.sparkSession
+    path = work_path(spark, label)
+    name = f"{label.replace('-', '_')}_{path[-32:]}"
+    rows.write.bucketBy(buckets, "unit").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -96,7 +96,8 @@ class Unit:
         words = exchange.unpack(row["words"], ordered=True)
         self.sizes = np.array(row["sizes"], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.runs = [words[exchange.unpack(row["tokens"]).view(np.int64)]]
+        self.words, self.tokens = words, exchange.unpack(row["tokens"]).view(np.int64)
+        self.runs = [words[self.tokens]]
         self.trains = np.repeat(~np.array(row["held"], bool), self.sizes)
         self.place = np.arange(len(self.runs[0])) - np.repeat(self.first, self.sizes)
 
@@ -109,6 +110,10 @@ class Unit:
             self.runs.append(longer)
         return self.runs[n - 1]
 
+    def distinct(self, n: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct runs of n words of the asked tokens, the place of each among them); all tokens ask for single words."""
+        return (self.words, self.tokens) if n == 1 else np.unique(self.run(n)[asked], return_inverse=True)
+
     def context(self, n: int) -> np.ndarray:
         """Fingerprints of the n words before each token."""
         return np.append(np.zeros(1, np.uint64), self.run(n)[:-1] & self.keep)
@@ -122,7 +127,8 @@ def _counted(units: DataFrame, n: int, bits: int, n_ranges: int) -> DataFrame:
             for row in batch.to_pylist():
                 unit = Unit(row, bits)
                 long = unit.place >= n - 1
-                prints, amounts = exchange.tally(unit.run(n)[long], unit.trains[long].astype(np.int64))
+                prints, place = unit.distinct(n, long)
+                amounts = np.bincount(place[unit.trains[long]], minlength=len(prints)).astype(np.int64)
                 yield from exchange.batches(exchange.sending(row["unit"], prints, amounts, n_ranges), exchange.SENT_ARROW)
 
     sent = units.select("unit", "held", "sizes", "n", "words", "tokens").mapInArrow(send, exchange.SENT)
@@ -132,13 +138,13 @@ def _counted(units: DataFrame, n: int, bits: int, n_ranges: int) -> DataFrame:
 class Model:
     """Counts and retained contexts as one unit needs them."""
 
-    def __init__(self, unit: Unit, answers: pa.Table, kept: np.ndarray, depth: int, n_train: int, n_words: int, mu: float, min_context: int):
-        self.unit, self.kept, self.depth, self.mu = unit, kept, depth, mu
+    def __init__(self, unit: Unit, answers: pa.Table, depth: int, n_train: int, n_words: int, mu: float, min_context: int):
+        self.unit, self.depth, self.mu = unit, depth, mu
 
         def counts(n: int) -> np.ndarray:
             """Training totals of the runs of n words that end at each token; 0 where the document is shorter."""
             asked = unit.place >= n - 1
-            known, place = np.unique(unit.run(n)[asked], return_inverse=True)
+            known, place = unit.distinct(n, asked)
             own = np.bincount(place[unit.trains[asked]], minlength=len(known)).astype(np.int64)
             out = np.zeros(len(asked), np.int64)
             out[asked] = (own + exchange.in_order(answers.filter(pa.compute.equal(answers["words"], n))))[place]
@@ -171,11 +177,16 @@ class Model:
             below = np.where(ok, better, below)
         return exchange.tally(np.concatenate(prints), np.concatenate(sums))
 
-    def probabilities(self) -> np.ndarray:
+    def retained(self, marks: np.ndarray) -> np.ndarray:
+        """The contexts whose tests are marked, of those that :meth:`gains` lists."""
+        listed = np.unique(np.concatenate([self.unit.context(d)[self.usable[d - 1]] for d in range(1, self.depth + 1)]))
+        return listed[marks > 0]
+
+    def probabilities(self, kept: np.ndarray) -> np.ndarray:
         """Of every token, by its longest retained context."""
         p, on = self.root, np.ones(len(self.c), bool)
         for d in range(1, self.depth + 1):
-            on = on & self.usable[d - 1] & exchange.lookup(self.kept, self.unit.context(d))[1]
+            on = on & self.usable[d - 1] & exchange.lookup(kept, self.unit.context(d))[1]
             p = np.where(on, (self.runs[d - 1] + self.mu * p) / (self.seen[d - 1] + self.mu), p)
         return p
 
@@ -186,19 +197,20 @@ def score(
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; a null ``held_out`` trains."""
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    units = _bucketed(rows.mapInArrow(_units, f"unit long, ids array<{id_type}>, held array<boolean>, sizes array<int>, n long, words binary, tokens binary"))
+    buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = _bucketed(rows.mapInArrow(_units, f"unit long, ids array<{id_type}>, held array<boolean>, sizes array<int>, n long, words binary, tokens binary"), buckets)
     n_train = units.select(F.explode(F.arrays_zip("held", "sizes")).alias("d")).where("not d.held").agg(F.coalesce(F.sum("d.sizes"), F.lit(0)).alias("n")).first()["n"]
 
     n_tokens = exchange.count_of(units, "n")
     n_ranges, bits = exchange.ranges_for(n_tokens), min(64, SHARING_BITS + ((depth + 1) * n_tokens).bit_length())
     levels = [_counted(units, n, bits, n_ranges) for n in range(1, depth + 2)]
     n_words = sum(int(exchange.unpack(bytes(r["amounts"])).view(np.int64)[0]) for r in levels[0].where("unit = -1").select("amounts").collect())  # one number a range
-    answers = reduce(DataFrame.unionByName, levels).where("unit >= 0").select("unit", "range", "words", "amounts", F.lit(None).cast("binary").alias("prints"))
+    answers = reduce(DataFrame.unionByName, levels).where("unit >= 0").select("unit", "range", "words", "amounts")
+    answers = _bucketed(answers.repartition(buckets, "unit"), buckets, "unit-counts")
     least = int(gain * FINE)
 
     def made(unit: Unit, answered: pa.Table) -> Model:
-        kept = exchange.joined(answered.filter(pa.compute.equal(answered["words"], 0)))
-        return Model(unit, answered, kept, depth, n_train, n_words, mu, min_context)
+        return Model(unit, answered, depth, n_train, n_words, mu, min_context)
 
     def test(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -208,17 +220,21 @@ def score(
 
     numbers = units.select("unit", "held", "sizes", "words", "tokens")
     tested = numbers.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(test, exchange.SENT)
-    kept = stored(exchange.answers(tested, lambda totals, own: totals >= least), "contexts").select("unit", F.lit(0).cast("long").alias("range"), F.lit(0).alias("words"), F.lit(None).cast("binary").alias("amounts"), "prints")
+    marked = stored(exchange.marks(tested, lambda totals, own: totals >= least), "contexts")
+    marked = marked.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("range", "amounts"))).alias("marks"))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
-        for i, row in enumerate(left.select(["unit", "held", "sizes", "words", "tokens"]).to_pylist()):
+        for i, row in enumerate(left.select(["unit", "held", "sizes", "words", "tokens", "marks"]).to_pylist()):
             unit = Unit(row, bits)
             model = made(unit, right)
+            marks = [exchange.unpack(m["amounts"]).view(np.int64) for m in row["marks"] or []]  # ranges in order, as they were sent
+            kept = model.retained(np.concatenate([np.zeros(0, np.int64), *marks]))
             add = lambda values, unit=unit: np.add.reduceat(values, unit.first)
-            columns = [left["ids"][i].values, pa.array(row["held"], pa.bool_()), pa.array(unit.sizes), pa.array(add((model.c > 0).astype(np.int64))), pa.array(np.full(len(unit.sizes), n_train)), pa.array(add(np.log10(model.root))), pa.array(add(np.log10(model.probabilities())))]
+            columns = [left["ids"][i].values, pa.array(row["held"], pa.bool_()), pa.array(unit.sizes), pa.array(add((model.c > 0).astype(np.int64))), pa.array(np.full(len(unit.sizes), n_train)), pa.array(add(np.log10(model.root))), pa.array(add(np.log10(model.probabilities(kept))))]
             parts.append(pa.table(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(parts)
 
     out = f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return units.select("unit", "ids", "held", "sizes", "words", "tokens").groupBy("unit").cogroup(answers.unionByName(kept).groupBy("unit")).applyInArrow(scored, out)
+    whole = units.select("unit", "ids", "held", "sizes", "words", "tokens").join(marked.hint("merge"), "unit", "left")
+    return whole.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(scored, out)

@@ -199,3 +199,21 @@ def test_packed_lists_come_back():
         values = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
         assert (exchange.unpack(exchange.pack(values, ordered=True), ordered=True) == values).all()
         assert (exchange.unpack(exchange.pack(values - np.uint64(5))) == values - np.uint64(5)).all()
+
+
+def test_sums_of_tallies_are_sent_range_by_range_without_sorting_the_whole():
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 1 << 63, 400, np.uint64) << np.uint64(1) for _ in range(3)]
+    lists.append(lists[0][:100])
+    tallies = [exchange.tally(x) for x in lists]
+    whole = exchange.tally(np.concatenate(lists))
+    assert list(exchange.sending_tallies(7, tallies, 5)) == list(exchange.sending(7, *whole, 5))
+
+
+def test_marks_come_back_in_the_order_sent_without_fingerprints(spark):
+    sent = [(0, 1, [3, 5, 9], [4, 1, 2]), (0, 2, [5, 7], [9, 1]), (1, 1, [1 << 63], [12])]
+    rows = [(r, u, exchange.pack(np.array(p, np.uint64), ordered=True), exchange.pack(np.array(a, np.int64))) for r, u, p, a in sent]
+    found = exchange.marks(spark.createDataFrame(rows, exchange.SENT), lambda totals, own: totals >= 10)
+    assert found.columns == ["range", "unit", "amounts"]
+    got = {(r["range"], r["unit"]): exchange.unpack(bytes(r["amounts"])).tolist() for r in found.collect()}
+    assert got == {(0, 1): [0, 1, 0], (0, 2): [1, 0], (1, 1): [1]}
