@@ -160,26 +160,29 @@ def verified(data: np.ndarray, wanted: np.ndarray, max_words: int, salt: int, bi
     held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(max_words + 1)]
     for n, prints, s, e in phrases(data, max_words, salt, bits):
         hit = exchange.lookup(wanted, prints)[1]
-        held[n].append((prints[hit], s[hit], e[hit]))
+        held[n].append((prints[hit], s[hit].astype(np.uint32), (e[hit] - s[hit]).astype(np.uint32)))
     for n in range(1, max_words + 1):
-        prints, s, e = (np.concatenate([h[i] for h in held[n]]) if held[n] else np.zeros(0, np.uint64) for i in range(3))
+        prints, s, length = (np.concatenate([h[i] for h in held[n]]) if held[n] else np.zeros(0, np.uint64) for i in range(3))
         held[n] = []
         if not len(prints):
             continue
-        order = np.argsort(prints, kind="stable")
-        prints, s, e = prints[order], s[order].astype(np.int64), e[order].astype(np.int64)
+        order = np.argsort(prints, kind="stable").astype(np.uint32)
+        prints, s, length = prints[order], s[order], length[order]
+        del order
         opens = np.append(True, prints[1:] != prints[:-1])
         first = np.flatnonzero(opens)
-        group = np.cumsum(opens) - 1
-        length, lead = e - s, first[group]
-        odd = length != length[lead]
-        odd[~odd] = _different(data, s[~odd], s[lead[~odd]], length[~odd])
+        group = np.cumsum(opens, dtype=np.uint32) - np.uint32(1)
+        odd = length != length[first[group]]
+        for a in range(0, len(odd), 1 << 20):
+            same = a + np.flatnonzero(~odd[a : a + (1 << 20)])
+            odd[same] = _different(data, s[same].astype(np.int64), s[first[group[same]]].astype(np.int64), length[same].astype(np.int64))
         mixed = np.zeros(len(first), bool)
         mixed[group[odd]] = True
         counts = np.diff(np.append(first, len(prints)))
-        yield n, [], s[first[~mixed]], e[first[~mixed]], counts[~mixed]
+        begin, size = s[first[~mixed]].astype(np.int64), length[first[~mixed]].astype(np.int64)
+        yield n, [], begin, begin + size, counts[~mixed]
         if mixed.any():
-            apart = Counter(data[a:b].tobytes() for a, b in zip(s[mixed[group]], e[mixed[group]], strict=True))
+            apart = Counter(data[a : a + b].tobytes() for a, b in zip(s[mixed[group]].tolist(), length[mixed[group]].tolist(), strict=True))
             yield n, list(apart), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array(list(apart.values()), np.int64)
 
 
@@ -190,12 +193,11 @@ def phrase_counts(units: DataFrame, min_count: int, max_words: int, bits: int =
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
-                prints, counts = [], []
+                tallies = []
                 for _, p, _, _ in phrases(_opened(row), max_words, _salt(row["lang"]), bits):
-                    found, n = exchange.tally(p)
-                    prints.append(found)
-                    counts.append(n)
-                yield from exchange.batches(exchange.sending(row["unit"], *exchange.tally(np.concatenate(prints), np.concatenate(counts)), n_ranges), exchange.SENT_ARROW)
+                    found, counts = exchange.tally(p)
+                    tallies.append((found, counts.astype(np.uint32)))
+                yield from exchange.batches(exchange.sending_tallies(row["unit"], tallies, n_ranges), exchange.SENT_ARROW)
 
     frequent = exchange.answers(units.mapInArrow(send, exchange.SENT), lambda totals, own: totals >= min_count)
 
