@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from slatewise.operators import experiments, history, market, metrics, positions
+from slatewise.operators import experiments, history, learners, market, metrics, positions
 from slatewise.plans import source_queries
 from slatewise.session import size_shuffles
 
@@ -72,3 +72,15 @@ def test_fits_pass_over_packed_blocks_of_all_earlier_rows(spark, monkeypatch):
     for got, last in zip(sums, (2, 7), strict=True):
         early = [i for i in range(90) if i % 9 < last]
         assert got.tolist() == [len(early), sum(i % 2 for i in early), sum(early), sum(i % 5 == 0 for i in early)]
+
+
+def test_boosted_components_share_one_preparation_and_score_as_alone(spark, monkeypatch):
+    monkeypatch.setattr(learners, "BOOST_ROUNDS", 2)
+    made, plain = [], learners.preparation
+    monkeypatch.setattr(learners, "preparation", lambda *given: made.append(1) or plain(*given))
+    day = lambda i: datetime.date(2024, 4, 1) + datetime.timedelta(days=i // 10)
+    rows = spark.createDataFrame([(i, day(i), int(i % 7 > 2), float(i % 7), None if i % 11 == 0 else float(i % 5)) for i in range(300)], "game_pk long, game_date date, a_win int, x double, gap double")
+    together = learners.fit_components(rows, ["x", "gap"], list(learners.BOOSTED))
+    assert list(together) == list(learners.BOOSTED) and len(made) == 1
+    scores = lambda frame: {r["game_pk"]: round(r["p"], 12) for r in frame.collect()}
+    assert scores(together["catboost"]) == scores(learners.fit_component(rows, ["x", "gap"], "catboost"))
