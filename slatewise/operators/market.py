@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import odds
 from slatewise.operators.positions import position
+from slatewise.operators.scores import CELLS, score_cells
 
 # Market types and total selections
 MARKET_TYPES = ("moneyline", "run_line", "game_total", "team_total")
@@ -149,16 +150,6 @@ def provider_snapshot_diff(previous: DataFrame, incoming: DataFrame, replace_gam
     return rows.select("quote_key", "game_pk", "sportsbook", "old_odds", "new_odds", "status", active.alias("active_odds"))
 
 
-def score_cells(draws: DataFrame) -> DataFrame:
-    """One row per game: its distinct scores with draw counts.
-
-    Draws collapse to distinct scores before the shuffle; a game has at most as many cells as
-    scores its draws take, however many draws there are.
-    """
-    counted = draws.groupBy("game_pk", "away_runs", "home_runs").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("game_pk").agg(F.sum("n").alias("draws"), F.collect_list(F.struct("away_runs", "home_runs", "n")).alias("cells"))
-
-
 def price_quotes_from_draws(quotes: DataFrame, draws: DataFrame, authoritative: DataFrame | None = None) -> DataFrame:
     """Win and push probability of every quote that has draws; see :func:`price_quotes`."""
     return price_quotes(quotes, score_cells(draws), authoritative)
@@ -178,7 +169,7 @@ def price_quotes(quotes: DataFrame, cells: DataFrame, authoritative: DataFrame |
     sign = F.when(two_way | is_over, 1.0).otherwise(-1.0)
     shift = F.when(market_type == "moneyline", 0.0).when(market_type == "run_line", F.col("line")).otherwise(-F.col("line"))
     rows = quotes.withColumns({"_away": away_weight * sign, "_home": home_weight * sign, "_shift": shift * sign})
-    joined = rows.join(cells, "game_pk")
+    joined = rows.join(cells, "game_pk").withColumn("cells", F.arrays_zip(*CELLS))  # three plain arrays travel, not structs
 
     def add(acc: Column, cell: Column) -> Column:
         margin = F.col("_away") * cell["away_runs"] + F.col("_home") * cell["home_runs"] + F.col("_shift")
@@ -282,16 +273,28 @@ def best_quote_per_market(rows: DataFrame, allowed_books: Sequence[str] = ()) ->
     return best.select("market_key", "q.*")
 
 
+def best_priced(quotes: DataFrame, cells: DataFrame) -> DataFrame:
+    """The best quote per outcome, priced, with its ``market_key``; the rank functions take it as it is.
+
+    An outcome's quotes share game and probability, so the best are chosen before they are priced.
+    """
+    return price_quotes(best_quote_per_market(quotes), cells)
+
+
+def _best(priced: DataFrame) -> DataFrame:
+    return priced if "market_key" in priced.columns else best_quote_per_market(priced)
+
+
 def rank_high_probability(priced: DataFrame, top_n: int | None = None) -> DataFrame:
     """Outcomes by win probability regardless of price, best display price each."""
-    best = best_quote_per_market(priced)
+    best = _best(priced)
     ordered = best.orderBy(F.desc("win_probability"), F.asc("push_probability"), F.desc("game_pk"), F.desc("market_key"))
     return ordered if top_n is None else ordered.limit(top_n)
 
 
 def rank_best_value(priced: DataFrame, top_n: int = 5, sportsbook: str | None = None, include_marginal: bool = False, required_roi: float = odds.MINIMUM_ROI) -> DataFrame:
     """The top-n values at one book, or at the best available price per outcome."""
-    rows = best_quote_per_market(priced) if sportsbook is None else priced.filter(F.lower("sportsbook") == sportsbook.lower()).withColumn("market_key", market_key())
+    rows = _best(priced) if sportsbook is None else priced.filter(F.lower("sportsbook") == sportsbook.lower()).withColumn("market_key", market_key())
     kept = value_quotes(rows, required_roi).filter(F.col("status").isin("PLAY", *(["MARGINAL"] if include_marginal else [])))
     return kept.orderBy(
         F.desc("expected_roi"), F.desc("probability_edge"), F.desc("conservative_probability"), F.desc("game_pk"), F.desc("market_key")

@@ -220,13 +220,17 @@ def best_quote_per_market(t):
     return market.best_quote_per_market(t.quotes)
 
 
+def best_priced(t):
+    return market.best_priced(t.quotes.drop("captured_at", "event_date"), shared.score_cells(t))
+
+
 @query(
     "rank_high_probability",
     "market_key:s sportsbook:s american_odds:i win_probability:d push_probability:d",
     f"{PRICED}, {BEST.format(src='priced')} => select * from best",
 )
 def rank_high_probability(t):
-    return market.rank_high_probability(market.price_quotes(t.quotes, shared.score_cells(t)))
+    return market.rank_high_probability(best_priced(t))
 
 
 @query(
@@ -235,7 +239,7 @@ def rank_high_probability(t):
     f"{PRICED}, {BEST.format(src='priced')} => select * from best order by win_probability desc, push_probability, game_pk desc, market_key desc limit 100",
 )
 def rank_high_probability_top(t):
-    return market.rank_high_probability(market.price_quotes(t.quotes, shared.score_cells(t)), 100)
+    return market.rank_high_probability(best_priced(t), 100)
 
 
 @query(
@@ -244,7 +248,7 @@ def rank_high_probability_top(t):
     f"{PRICED}, {BEST.format(src='priced')}, {valued_sql('best', 0.0)} => select * from valued where status = 'PLAY' order by expected_roi desc, probability_edge desc, w desc, game_pk desc, market_key desc limit 5",
 )
 def rank_best_value(t):
-    return market.rank_best_value(market.price_quotes(t.quotes, shared.score_cells(t)))
+    return market.rank_best_value(best_priced(t))
 
 
 @query(

@@ -393,7 +393,8 @@ class Tables:
     """The raw tables of one data folder and the domain tables derived from them.
 
     A domain table is written once per application as Parquet in the shared folder, so every
-    query scans it with pruned columns instead of repeating the joins behind it.
+    query scans it with pruned columns instead of repeating the joins behind it.  One that only
+    repeats the rows of another (``$EACH``) is never written.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -416,17 +417,21 @@ class Tables:
         """Where the domain table lies, writing it on first use."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
-            text = VIEWS[name]
-            parents = [v for v in VIEWS if v != name and mentions(v, text)]
-            for parent in parents:
-                text = re.sub(rf'(?<!")\b{parent}\b(?!")', f"{{{parent}}}", text)
-            frames = {r: self.raw(r) for r in RAW_TABLES if f"{{{r}}}" in text}
-            frames |= {parent: getattr(self, parent) for parent in parents}
             target = work_path(self.spark, name)
-            self.spark.sql(_spark_text(text), **frames).write.parquet(target)
+            self.view(name).write.parquet(target)
             _WRITTEN[key] = target
         return _WRITTEN[key]
 
+    def view(self, name: str) -> DataFrame:
+        """The domain table as a query over the written tables behind it."""
+        text = VIEWS[name]
+        parents = [v for v in VIEWS if v != name and mentions(v, text)]
+        for parent in parents:
+            text = re.sub(rf'(?<!")\b{parent}\b(?!")', f"{{{parent}}}", text)
+        frames = {r: self.raw(r) for r in RAW_TABLES if f"{{{r}}}" in text}
+        frames |= {parent: getattr(self, parent) for parent in parents}
+        return self.spark.sql(_spark_text(text), **frames)
+
     def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that several jobs of one application train on, written on first use."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
@@ -439,4 +444,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
+        if "$EACH" in VIEWS[name]:
+            return self.view(name)  # repeats written rows: cheaper to repeat where they are read than to write
         return self.spark.read.parquet(self.path(name))
