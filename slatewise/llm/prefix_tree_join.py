@@ -20,7 +20,8 @@ Two documents link when 100 * intersection >= threshold * union.  The join loses
 
 Shuffles carry hashes as packed blobs, split by hash range into buckets whose number follows the data.  Texts
 of candidate sets are fetched by a second scan, filtered by ids that are broadcast while they are few, which is
-counted; beyond that texts are shuffled once.
+counted; beyond that texts are shuffled once.  A set is written with the block that it is searched in, so the first
+round moves it once; later rounds read the sets of large families only.
 
 Defined cases: null texts and texts without words have empty sets, link with nothing and are their own
 component; texts of fewer than five words have one shingle.  Repeated rows are equal documents.  A null id is never
@@ -307,9 +308,9 @@ def _block(salt: int, count: str) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count))
 
 
-def _links(grouped: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside the groups (group, node, comp, side)."""
-    return grouped.join(sets, "node").select("group", "node", "comp", "side", "packed").repartition("group").sortWithinPartitions("group").mapInArrow(_linked, "u long, v long")
+def _links(grouped: DataFrame) -> DataFrame:
+    """Links inside the groups (group, node, comp, side, packed)."""
+    return grouped.select("group", "node", "comp", "side", "packed").repartition("group").sortWithinPartitions("group").mapInArrow(_linked, "u long, v long")
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
@@ -372,30 +373,30 @@ def _labels(texts: DataFrame, prints: DataFrame) -> DataFrame | None:
     # sets and shingles are the nodes, even and odd, of one graph
     families = components(lists.select(F.xxhash64("key").bitwiseOR(F.lit(1)).alias("u"), F.col("node").alias("v")))
     members = stored(families.where("node % 2 = 0").select(F.col("comp").alias("key"), "node"), "families")
-    wanted = stored(nodes.join(members.select("node"), "node").select(F.col("_row._id").alias("r_id"), F.col("_row._text_hash").alias("r_hash")), "wanted")
-    picked = texts.join(small(wanted), texts["_id"].eqNullSafe(F.col("r_id")) & (F.col("_text_hash") == F.col("r_hash")), "left_semi")
+    blocked = members.join(members.groupBy("key").agg(_blocks_of(F.count("*")).alias("n_blocks")), "key").select("key", "node", (F.col("n_blocks") > 1).alias("large"), F.xxhash64("key", _block(7, "n_blocks")).alias("group"))
+    wanted = stored(nodes.join(blocked, "node").select(F.col("_row._id").alias("r_id"), F.col("_row._text_hash").alias("r_hash"), "group", "large"), "wanted")
+    picked = texts.join(small(wanted), texts["_id"].eqNullSafe(F.col("r_id")) & (F.col("_text_hash") == F.col("r_hash")))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
+            for a, b, data, offsets in blocks(batch.column(0)):
                 sets = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s, 11) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "packed"])
+                carried = [batch.column(i).slice(a, b - a) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s, 11) for s in sets], pa.int64()), *carried, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "group", "large", "packed"])
 
-    sets = stored(picked.select("_text").mapInArrow(packed, "node long, packed binary"), "sets")
-    return _rounds(lists, members, sets)
+    sets = stored(picked.select("_text", "group", "large").mapInArrow(packed, "node long, group long, large boolean, packed binary"), "sets")
+    return _rounds(lists, blocked, sets)
 
 
-def _rounds(lists: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _rounds(lists: DataFrame, blocked: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, comp) of linked nodes: blocks of families, then joined blocks, then what is still apart."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
-    blocked = members.join(sizes, "key").withColumn("n_blocks", _blocks_of(F.col("m")))
-    inside = blocked.select(F.xxhash64("key", _block(7, "n_blocks")).alias("group"), "node", F.col("node").alias("comp"), F.lit(0).alias("side"))
-    edges = stored(_links(inside, sets), "links")
-    large = stored(blocked.where("n_blocks > 1").select("key", "node"), "large")
+    edges = stored(_links(sets.withColumns({"comp": F.col("node"), "side": F.lit(0)})), "links")
+    large = stored(blocked.where("large").select("key", "node"), "large")
+    sets = sets.where("large").select("node", "packed")
     if not large.isEmpty():
         # one node of each component of several meets the others' of its family
         joined = _labelled(large, edges).groupBy("key", "comp").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n > 1").select("key", "node", "comp")
-        edges = edges.union(stored(_links(_all_pairs(joined), sets), "links"))
+        edges = edges.union(stored(_links(_all_pairs(joined).join(sets, "node")), "links"))
         apart = stored(_labelled(large, edges), "apart")
         # two exact ways for each family: all against those outside the main component, or by kept shingle where that is less
         comps = apart.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"))
@@ -409,7 +410,7 @@ def _rounds(lists: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
             choice = stored(dear.join(listed, "key").select("key", (F.col("cost") <= F.col("listed")).alias("whole")), "choice")
             last = last.unionByName(_across(apart.join(choice.where("whole").select("key"), "key")))
             last = last.unionByName(_all_pairs(by_list.join(choice.where("not whole").select(F.col("key").alias("family")), "family").select("key", "node", "comp")))
-        edges = edges.union(stored(_links(last, sets), "links"))
+        edges = edges.union(stored(_links(last.join(sets, "node")), "links"))
     return None if edges.isEmpty() else components(edges)
 
 
@@ -425,8 +426,9 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash"))
     document = F.struct("_id", "_text_hash")
     full = named.where("comp is not null").withColumn("nameless", F.col("_id").isNull())
-    stays = full.groupBy("comp", "nameless").agg(F.min(document).alias("stays"))
-    linked = full.join(stays, ["comp", "nameless"]).where(~document.eqNullSafe(F.col("stays")))
+    # written, so that the rows of a component of many need not meet in one task
+    stays = stored(full.groupBy("comp", "nameless").agg(F.min(document).alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n"), "stays")
+    linked = full.join(small(stays), ["comp", "nameless"]).where(~document.eqNullSafe(F.col("stays")))
     gone = stored(linked.select(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash")).distinct(), "gone")
     counted = named.where("_id is not null or n > 0").groupBy("_id", "_text_hash").count().where("`count` > 1")
     repeated = stored(counted.join(small(gone), same, "left_anti").select(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash")), "repeated")

@@ -80,6 +80,24 @@ def test_a_large_family_of_separate_pairs(spark):
     assert len(rows) > 2 * prefix_tree_join.BLOCK and got == {doc: doc - doc % 2 for doc, _ in rows}
 
 
+def test_whole_sets_move_once_and_later_only_those_of_large_families(spark, monkeypatch):
+    """The first round reads sets beside their blocks, without a join; later rounds read large families by a pushed filter."""
+    plans, plain = [], prefix_tree_join.stored
+
+    def spy(frame, label):
+        plans.append((label, frame._jdf.queryExecution().executedPlan().toString()))
+        return plain(frame, label)
+
+    monkeypatch.setattr(prefix_tree_join, "stored", spy)
+    monkeypatch.setattr(prefix_tree_join, "BLOCK", 4)
+    rows = corpus()
+    prefix_tree_join.keep_one(spark.createDataFrame([(a, b, "x", 1, 2) for a, b in rows], SCHEMA)).collect()
+    first, *later = [plan for label, plan in plans if label == "links"]
+    assert "Join" not in first and len(later) == 2
+    assert all("packed" in plan and "EqualTo(large,true)" in plan for plan in later)
+    assert "stays" in [label for label, _ in plans]
+
+
 def test_no_set_is_on_both_sides_of_a_group(spark, monkeypatch):
     monkeypatch.setattr(prefix_tree_join, "BLOCK", 8)
     members = spark.range(0, 120, 2).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("comp"))
