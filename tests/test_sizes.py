@@ -84,3 +84,14 @@ def test_boosted_components_share_one_preparation_and_score_as_alone(spark, monk
     assert list(together) == list(learners.BOOSTED) and len(made) == 1
     scores = lambda frame: {r["game_pk"]: round(r["p"], 12) for r in frame.collect()}
     assert scores(together["catboost"]) == scores(learners.fit_component(rows, ["x", "gap"], "catboost"))
+
+
+def test_fits_that_keep_blocks_get_no_second_copy_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(learners, "FOREST", {**learners.FOREST, "numTrees": 2})
+    kept, plain = {}, learners._classify
+    monkeypatch.setattr(learners, "_classify", lambda model, train, test: kept.setdefault(type(model).__name__, train.storageLevel.useMemory) and None or plain(model, train, test))
+    day = lambda i: datetime.date(2024, 4, 1) + datetime.timedelta(days=i // 10)
+    rows = spark.createDataFrame([(i, day(i), int(i % 7 > 2), float(i % 7), float(i % 5)) for i in range(300)], "game_pk long, game_date date, a_win int, x double, gap double")
+    for name in ("logistic", "random_forest"):
+        assert learners.fit_component(rows, ["x", "gap"], name).count() == 60
+    assert kept == {"LogisticRegression": False, "RandomForestClassifier": True}
