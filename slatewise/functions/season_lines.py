@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ FIP_HOME_RUN, FIP_WALK, FIP_STRIKEOUT, FIP_CONSTANT = 13.0, 3.0, 2.0, 3.10
 WOBA_WEIGHTS = {"walk": 0.69, "hbp": 0.72, "single": 0.88, "double": 1.247, "triple": 1.578, "homer": 2.031}
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value taken a single time, however often ``of`` names it: a plain column is repeated wherever it is named."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def first_stat(payload: Column) -> Column:
     """The stat map of the first block that has splits."""
     blocks = F.filter(F.from_json(payload, SEASON_SCHEMA)["stats"], lambda b: F.size(b["splits"]) > 0)
@@ -67,6 +74,12 @@ def starter_line(payload: Column) -> dict[str, Column]:
     }
 
 
+def starter_k_rate(payload: Column) -> Column:
+    """``starter_k_rate`` of :func:`starter_line` alone, from one parse of the payload."""
+    rate = lambda stat: once(number(stat, "battersFaced"), lambda faced: ratio(number(stat, "strikeOuts"), faced, 100.0))
+    return once(first_stat(payload), rate)
+
+
 def hitter_line(payload: Column) -> dict[str, Column]:
     """Plate appearances, slash line, rates and a linear-weights on-base proxy."""
     stat = first_stat(payload)

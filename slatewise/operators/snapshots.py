@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.functions.season_lines import starter_line
+from slatewise.functions.season_lines import once, starter_k_rate
 from slatewise.operators.context import CONTEXT_FEATURES
 from slatewise.operators.ledger import latest_event_join
 from slatewise.operators.metrics import CLIP, clipped
@@ -17,23 +17,25 @@ TOLERANCE = 1e-10
 
 
 def starter_snapshot_issues(captures: DataFrame) -> DataFrame:
-    """Every broken rule per capture: kind, identity text, time, raw hash, recomputed metric."""
+    """Every broken rule per capture: kind, identity text, time, raw hash, recomputed metric.  Each payload is parsed once."""
     expected = F.concat_ws(":", F.col("game_pk").cast("string"), "side", F.col("pitcher_id").cast("string"))
-    metric = starter_line(F.col("raw_payload"))["starter_k_rate"]
-    scale = F.greatest(F.lit(1.0), F.abs(metric))
     issue = lambda bad, category: F.when(bad, category)
-    issues = F.array_compact(
-        F.array(
-            issue(F.col("kind") != STARTER_KIND, "kind"),
-            issue(F.col("captured_at") > F.col("scheduled_start"), "post_start"),
-            issue(~F.col("side").isin(*SIDES), "side"),
-            issue(F.col("identity") != expected, "identity"),
-            issue(F.sha2("raw_payload", 256) != F.col("raw_payload_sha256"), "raw_hash"),
-            issue(metric.isNull() != F.col("starter_k_rate").isNull(), "metric"),
-            issue(F.abs(metric - F.col("starter_k_rate")) > TOLERANCE * scale, "metric"),
+
+    def found(metric: Column) -> Column:
+        scale = F.greatest(F.lit(1.0), F.abs(metric))
+        return F.array_compact(
+            F.array(
+                issue(F.col("kind") != STARTER_KIND, "kind"),
+                issue(F.col("captured_at") > F.col("scheduled_start"), "post_start"),
+                issue(~F.col("side").isin(*SIDES), "side"),
+                issue(F.col("identity") != expected, "identity"),
+                issue(F.sha2("raw_payload", 256) != F.col("raw_payload_sha256"), "raw_hash"),
+                issue(metric.isNull() != F.col("starter_k_rate").isNull(), "metric"),
+                issue(F.abs(metric - F.col("starter_k_rate")) > TOLERANCE * scale, "metric"),
+            )
         )
-    )
-    return captures.withColumn("issues", issues)
+
+    return captures.withColumn("issues", once(starter_k_rate(F.col("raw_payload")), found))
 
 
 def starter_snapshot_audit(captures: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Queries that carry only what they ask for."""
 
+from slatewise.operators import snapshots
 from slatewise.plans import context_queries, load_all
+from slatewise.sources import documents
 from slatewise.sources.adapters import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,3 +22,17 @@ def test_votes_are_counted_before_any_shuffle(spark, capsys):
 def test_issues_need_no_chain_of_digests(spark, capsys):
     plan = plan_of(load_all()["evidence_issues"].run(spark, FOLDER), capsys)
     assert "sha2(" not in plan and "lag(" not in plan
+
+
+def test_a_capture_is_parsed_once(spark, capsys):
+    payload = '{"stats":[{"splits":[{"stat":{"strikeOuts":"50","battersFaced":"200"}}]}]}'
+    rows = [(1, "home", 7, payload, 25.0), (1, "away", 8, payload, 26.0), (2, "home", 9, "{}", None), (2, "away", 9, None, 3.0)]
+    captures = spark.createDataFrame(rows, "game_pk long, side string, pitcher_id long, raw_payload string, starter_k_rate double").selectExpr(
+        "*", "'starter_stats' as kind", "concat_ws(':', game_pk, side, pitcher_id) as identity", "sha2(raw_payload, 256) as raw_payload_sha256", "timestamp'2024-04-01' as captured_at", "timestamp'2024-04-02' as scheduled_start"
+    )
+    checked = snapshots.starter_snapshot_issues(captures)
+    assert {(r.game_pk, r.side): r.issues for r in checked.collect()} == {(1, "home"): [], (1, "away"): ["metric"], (2, "home"): [], (2, "away"): ["metric"]}
+    for frame in (documents.starter_identity_changes(checked.filter("size(issues) = 0")), snapshots.starter_snapshot_audit(captures)):
+        capsys.readouterr()
+        frame.explain("formatted")
+        assert capsys.readouterr().out.count("from_json(") == 1
