@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import odds
@@ -20,6 +20,7 @@ REQUIRED_PROVENANCE = ("schedule", "live_feed", "pitcher_stats", "market_input")
 PLACEHOLDERS = ("", "missing", "none", "neutral", "neutral_placeholder", "unknown")
 SHA256_PATTERN = "^[0-9a-f]{64}$"
 SCHEMA_VERSION = 1
+SPAN = 4096  # sequences of a ledger that one task looks at
 MINIMUM_PROSPECTIVE_GAMES = 500
 AUDIT_MINIMUM_GRADED = 100
 AUDIT_MINIMUM_FILTERED = 30
@@ -190,30 +191,35 @@ def event_content() -> Column:
 def hash_chain_verify(events: DataFrame, content: Column | None = None) -> DataFrame:
     """Per ledger stream: is the chain intact, and where and how does it first break.
 
-    Each event meets its predecessor by an equality join on (stream, sequence), so one long
-    ledger spreads over the cluster instead of being walked in order by a single task.  A
-    sequence that occurs twice is a break, also at the end of the ledger (a fork).
+    Events meet their predecessors within spans of ``SPAN`` sequences, so one long ledger spreads over the cluster instead of being
+    walked in order by a single task; the last events of a span go to the next one, too.  A sequence that occurs twice is a
+    break, also at the end of the ledger (a fork).  Digests are checked where the events are read and do not travel; events that lie by
+    stream already are not moved at all.
     """
     content = event_content() if content is None else content
     digest = F.sha2(F.concat(content, F.lit("|"), F.coalesce("previous_event_sha256", F.lit(""))), 256)
-    rows = events.select("stream", "sequence", "event_type", "schema_version", "previous_event_sha256", "event_sha256", digest.alias("actual"))
-    places = events.groupBy("stream", "sequence").agg(F.count(F.lit(1)).alias("copies"), F.min("event_sha256").alias("linked"))
-    before = places.select("stream", (F.col("sequence") + 1).alias("sequence"), "linked")
-    copies = events.groupBy("stream", "event_sha256").agg(F.min("sequence").alias("first_use"))
-    repeats = places.select("stream", "sequence", "copies")
-    joined = rows.join(before, ["stream", "sequence"], "left").join(repeats, ["stream", "sequence"]).join(copies, ["stream", "event_sha256"])
-    first = F.col("sequence") == 1
-    problem = (
+    late = (
+        F.when(F.col("event_sha256") != digest, "hash_mismatch")
+        .when(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), "unsupported_schema")
+        .when(~F.col("event_type").isin(*EVENT_TYPES), "unknown_event_type")
+    )
+    span, place = F.floor(F.col("sequence") / SPAN), F.col("sequence")
+    spans = F.when((place + 1) % SPAN == 0, F.array(span, span + 1)).otherwise(F.array(span))
+    rows = events.select("stream", "sequence", "previous_event_sha256", "event_sha256", late.alias("late"), F.explode(spans).alias("span"))
+    linked = F.min("event_sha256").over(Window.partitionBy("stream", "span").orderBy("sequence").rangeBetween(-1, -1))
+    own = rows.withColumn("linked", linked).where(F.col("span") == span)
+    copies = own.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("stream", "span", "sequence")))
+    first = place == 1
+    early = (
         F.when(F.col("copies") > 1, "repeated_sequence")
         .when(~first & F.col("linked").isNull(), "sequence_gap")
         .when(first & F.col("previous_event_sha256").isNotNull(), "broken_chain")
         .when(~first & ~F.col("previous_event_sha256").eqNullSafe(F.col("linked")), "broken_chain")
-        .when(F.col("first_use") < F.col("sequence"), "duplicate_hash")
-        .when(F.col("event_sha256") != F.col("actual"), "hash_mismatch")
-        .when(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), "unsupported_schema")
-        .when(~F.col("event_type").isin(*EVENT_TYPES), "unknown_event_type")
     )
-    marked = joined.withColumn("problem", problem)
+    known = copies.select("stream", "sequence", "event_sha256", early.alias("early"), "late").where("stream is not null and event_sha256 is not null")
+    marked = known.withColumn("first_use", F.min("sequence").over(Window.partitionBy("stream", "event_sha256")))
+    problem = F.coalesce("early", F.when(F.col("first_use") < place, "duplicate_hash"), "late")
+    marked = marked.withColumn("problem", problem)
     at = F.when(F.col("problem").isNotNull(), F.col("sequence"))
     out = marked.groupBy("stream").agg(F.count(F.lit(1)).alias("events"), F.min(at).alias("first_break"), F.min_by("problem", at).alias("problem"))
     return out.withColumn("status", F.when(F.col("first_break").isNull(), "PASS").otherwise("FAIL"))
